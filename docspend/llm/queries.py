@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspend.llm import exact_dedup, packing
+from docspend.llm import exact_dedup, near_dedup, packing
 from docspend.llm.common import table
 
 
@@ -14,8 +14,12 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.groups(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_minhash_near_dedup)}
 
 
 def oracle_sql():

@@ -105,4 +105,4 @@ def test_many_shards_pool_what_is_left(spark):
     assert sorted(r.uid for r in got) == list(range(3000))
     plain = packing.Packing(sizes, 1024)
     plain.best_fit(sorted(range(3000), key=lambda i: -sizes[i]))
-    assert len({r.sequence_id for r in got}) <= 1.003 * len(plain.bins)
+    assert len({r.sequence_id for r in got}) <= 1.02 * len(plain.bins)
