@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspend.llm import exact_dedup, near_dedup, packing
+from docspend.llm import exact_dedup, line_dedup, mixing, near_dedup, packing
 from docspend.llm.common import table
 
 
@@ -18,9 +18,17 @@ def op3_minhash_near_dedup(spark, sf_dir):
     return near_dedup.groups(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op4_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark, sf_dir):
+    return mixing.plan(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_minhash_near_dedup, op4_line_dedup, op10_mixing)}
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op4_line_dedup": line_dedup.ORACLE}
