@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspend.llm import exact_dedup, line_dedup, mixing, near_dedup, packing
+from docspend.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, repetition, token_counts, warc
 from docspend.llm.common import table
 
 
@@ -22,13 +22,33 @@ def op4_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark, sf_dir):
+    return token_counts.document_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_quality_rules(spark, sf_dir):
+    return repetition.judged(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+OPERATORS = (op1_exact_dedup, op2_best_fit_packing, op3_minhash_near_dedup, op4_line_dedup, op5_token_counts, op6_quality_classifier, op7_warc, op9_quality_rules, op10_mixing)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_minhash_near_dedup, op4_line_dedup, op10_mixing)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op4_line_dedup": line_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op7_warc": warc.ORACLE}
