@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspend.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, repetition, token_counts, warc
+from docspend.llm import exact_dedup, html_extract, line_dedup, mixing, near_dedup, packing, quality, repetition, token_counts, warc
 from docspend.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_html_extraction(spark, sf_dir):
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return repetition.judged(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_mixing(spark, sf_dir):
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_exact_dedup, op2_best_fit_packing, op3_minhash_near_dedup, op4_line_dedup, op5_token_counts, op6_quality_classifier, op7_warc, op9_quality_rules, op10_mixing)
+OPERATORS = (op1_exact_dedup, op2_best_fit_packing, op3_minhash_near_dedup, op4_line_dedup, op5_token_counts, op6_quality_classifier, op7_warc, op8_html_extraction, op9_quality_rules, op10_mixing)
 
 
 def queries():
