@@ -50,8 +50,14 @@ def op10_mixing(spark, sf_dir):
 OPERATORS = (op1_exact_dedup, op2_best_fit_packing, op3_minhash_near_dedup, op4_line_dedup, op5_token_counts, op6_quality_classifier, op7_warc, op8_html_extraction, op9_quality_rules, op10_mixing)
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in OPERATORS}
+    return {f.__name__: f for f in (*OPERATORS, pipeline)}
 
 
 def oracle_sql():
