@@ -111,7 +111,7 @@ SELECT s_suppkey + 1 AS id, s_suppkey % 50 + 1 AS user_id, s_name AS name, CAST(
   CASE WHEN s_suppkey % 3 = 0 THEN '{}' WHEN s_suppkey % 3 = 1 THEN CONCAT('{"q": "", "date_from": "199', CAST(s_suppkey % 5 + 5 AS STRING), '-03-01", "date_to": null}') ELSE CONCAT('{"date_from": "1996-01-01", "date_to": "199', CAST(s_suppkey % 4 + 6 AS STRING), '-12-31"}') END AS filter_json
 FROM {supplier}""",
     "sessions": """
-SELECT event_id AS id, user_id + 1 AS user_id, CONCAT('t', CAST(event_id AS STRING)) AS token_hash, ts AS created_at, ts + CAST(value AS INT) * INTERVAL '1' HOUR AS expires_at,
+SELECT event_id AS id, user_id + 1 AS user_id, CONCAT('t', CAST(event_id AS STRING)) AS token_hash, ts AS created_at, ts + CAST(FLOOR(value) AS INT) * INTERVAL '1' HOUR AS expires_at,
   CASE WHEN event_type = 'error' THEN ts ELSE CAST(NULL AS TIMESTAMP) END AS revoked_at
 FROM {events}""",
     "folders": """
