@@ -20,14 +20,14 @@ def load_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def magic_format(content: Column) -> Column:
     """pdf, xml or ofd by the first bytes; null for others."""
     head = F.hex(F.substring(content, 1, 8))
-    return F.when(head.startswith("25504446"), "pdf").when(head.startswith("3C3F786D6C") | head.startswith("EFBBBF3C3F786D6C"[:16]), "xml").when(head.startswith("504B0304"), "ofd")
+    return F.when(head.startswith("25504446"), "pdf").when(head.startswith("3C3F786D6C") | head.startswith("EFBBBF3C3F786D6C"), "xml").when(head.startswith("504B0304"), "ofd")
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, format, reason: landed files, with why a file is not taken."""
+    """path, length, format, reason: landed files, with why a file is not taken.  Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     kind = magic_format(F.col("content"))
-    reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > MAX_BYTES, "too large").when(kind.isNull(), "unknown format")
+    reason = F.when(F.col("length") > MAX_BYTES, "too large").when(kind.isNull(), "unknown format")
     return files.select("path", "length", kind.alias("format"), reason.alias("reason"))
 
 
