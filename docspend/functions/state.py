@@ -32,3 +32,28 @@ def parse_state(raw: Column) -> Column:
     old = F.create_map(F.lit("INBOX"), F.struct(raw.alias("uid"), *(F.lit("").alias(c) for c in ("uidvalidity", "uidnext", "messages"))))
     empty = F.from_json(F.lit("{}"), f"map<string, {FOLDER}>")
     return F.when(F.coalesce(raw, F.lit("")) == "", empty).when(whole, clean).otherwise(old)
+
+
+LEGACY = "__legacy_uid__"
+DELTA = "outlook_delta_v1"
+FOLDER_DELTA = "struct<delta_link: string, last_sync_at: string, _legacy_received_dt: string>"
+
+
+def parse_time_state(raw: Column) -> Column:
+    """folder -> time of its newest message; any other text is one old message id."""
+    parsed = F.from_json(raw, "map<string, string>")
+    clean = F.transform_values(parsed, lambda _, v: F.coalesce(v, F.lit("")))
+    empty = F.from_json(F.lit("{}"), "map<string, string>")
+    old = F.create_map(F.lit(LEGACY), raw)
+    return F.when(F.coalesce(raw, F.lit("")) == "", empty).when(raw.rlike(r"^\s*\{") & parsed.isNotNull(), clean).otherwise(old)
+
+
+def parse_delta_state(raw: Column) -> Column:
+    """(folders, bridged): state of change feeds; times of old are bridged, anything else starts anew."""
+    empty = F.from_json(F.lit("{}"), f"map<string, {FOLDER_DELTA}>")
+    tagged = F.from_json(raw, f"_format string, folders map<string, {FOLDER_DELTA}>")
+    times = F.from_json(raw, "map<string, string>")
+    plain = raw.rlike(r"^\s*\{") & times.isNotNull() & ~F.map_contains_key(times, F.lit(LEGACY)) & F.forall(F.map_values(times), lambda v: v.isNotNull() & ~v.rlike(r"^\s*[\[{]"))
+    bridge = F.transform_values(times, lambda _, v: F.struct(F.lit("").alias("delta_link"), F.lit("").alias("last_sync_at"), v.alias("_legacy_received_dt")))
+    pack = lambda folders, bridged: F.struct(F.coalesce(folders, empty).alias("folders"), F.lit(bridged).alias("bridged"))
+    return F.when(F.coalesce(tagged["_format"] == DELTA, F.lit(False)), pack(tagged["folders"], False)).when(F.coalesce(plain, F.lit(False)), pack(bridge, True)).otherwise(pack(empty, False))

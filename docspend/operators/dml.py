@@ -74,3 +74,20 @@ def close_orphans(logs: DataFrame, at: str, message: str = "interrupted") -> Dat
     """Runs that never finished and carry no error are stamped."""
     orphan = F.col("finished_at").isNull() & F.col("error_message").isNull()
     return logs.withColumns({"finished_at": F.when(orphan, F.lit(at).cast("timestamp")).otherwise(F.col("finished_at")), "error_message": F.when(orphan, message).otherwise(F.col("error_message"))})
+
+
+def backfill_tenant(df: DataFrame, users: DataFrame) -> DataFrame:
+    """Rows without a tenant go to user 1, if there is one."""
+    first = users.where("id = 1").agg(F.count("*").alias("has"))
+    return df.join(F.broadcast(first)).withColumn("user_id", F.when(F.col("user_id").isNull() & (F.col("has") > 0), F.lit(1).cast("long")).otherwise(F.col("user_id"))).drop("has")
+
+
+def backfill_expiry(cache: DataFrame) -> DataFrame:
+    from docspend.functions.parse import expiry
+
+    return cache.withColumn("expires_at", F.coalesce("expires_at", expiry(F.col("prompt_type"), F.col("created_at"))))
+
+
+def seed_setting(settings: DataFrame, key: str, value: str) -> DataFrame:
+    """A setting gets its default only where it is empty."""
+    return settings.withColumn("value", F.when((F.col("key") == key) & (F.coalesce("value", F.lit("")) == ""), value).otherwise(F.col("value")))
