@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from docspend.llm.common import scratch, written
 
-REVISIT, SEGMENT, CHUNK, ROTATE = 100, 32_768, 4096, 32_000_000
+REVISIT, SEGMENT, CHUNK, ROTATE, LEVEL = 100, 32_768, 4096, 32_000_000, 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -89,10 +89,16 @@ def members(raw: bytes) -> Iterator[bytes]:
     if raw[:2] != b"\x1f\x8b":
         yield raw
         return
-    while raw:
-        one = zlib.decompressobj(31)
-        yield one.decompress(raw) + one.flush()
-        raw = one.unused_data
+    at, view = 0, memoryview(raw)
+    while at < len(raw):
+        one, parts = zlib.decompressobj(31), []
+        while not one.eof and at < len(raw):
+            # small steps: what is left over after a member's end is copied
+            step = view[at : at + 16_384]
+            parts.append(one.decompress(step))
+            at += len(step)
+        at -= len(one.unused_data)
+        yield b"".join(parts) + one.flush()
 
 
 def identifier(page_id: int | None, digest: str) -> str:
@@ -106,7 +112,7 @@ class _Archive:
         self.stem, self.n, self.parts, self.size = stem, 0, [], 0
 
     def add(self, data: bytes) -> None:
-        self.parts.append(gzip.compress(data, 6, mtime=0))
+        self.parts.append(gzip.compress(data, LEVEL, mtime=0))
         self.size += len(self.parts[-1])
         if self.size > ROTATE:
             self.close()
@@ -116,7 +122,7 @@ class _Archive:
 
         if self.parts:
             with atomic(f"{self.stem}-{self.n:04d}.warc.gz") as out:
-                out.write(gzip.compress(record("warcinfo", [("WARC-Record-ID", f"<urn:docspend:file:{self.stem.rpartition('/')[2]}-{self.n}>")], b"software: docspend\r\n"), 6, mtime=0))
+                out.write(gzip.compress(record("warcinfo", [("WARC-Record-ID", f"<urn:docspend:file:{self.stem.rpartition('/')[2]}-{self.n}>")], b"software: docspend\r\n"), LEVEL, mtime=0))
                 for x in self.parts:
                     out.write(x)
         self.n, self.parts, self.size = self.n + 1, [], 0
@@ -160,49 +166,84 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> int:
     return written(rows.mapInArrow(run, "n long"), "manifest").agg(F.sum("n")).first()[0] or 0
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def _records(raw: bytes) -> Iterator[tuple]:
+    """The columns of RECORDS of the records of one file that matter here."""
+    number = lambda x: None if x is None else int(x)
+    for member in members(raw):
+        for f, block in parsed(member):
+            kind = f.get("warc-type")
+            if kind in ("response", "revisit", "continuation"):
+                digest = f.get("warc-payload-digest", "").removeprefix("sha256:") or None
+                yield f.get("warc-record-id"), kind, number(f.get("warc-segment-number")), f.get("warc-segment-origin-id"), number(f.get("warc-segment-total-length")), f.get("warc-refers-to"), digest, block
+
+
+KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _emitted(rows: Iterator[tuple], schema: str, size_of) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of some megabytes."""
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    held, size = [], 0
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(c, KINDS[k]) for c, k in zip(zip(*held), kinds)], list(names))
+
+    for row in rows:
+        held.append(row)
+        size += size_of(row)
+        if size > 8_000_000:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("content")
+
+
+def read_records(spark: SparkSession, path: str, segments_only: bool = False) -> DataFrame:
     """The records of all archives below path, as they stand in the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORDS.split(", ")]
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        number = lambda x: None if x is None else int(x)
+        rows = (r for batch in batches for raw in batch.column("content") for r in _records(raw.as_py()) if not segments_only or r[2] is not None)
+        yield from _emitted(rows, RECORDS, lambda r: len(r[7]))
 
-        def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+    return _files(spark, path).mapInArrow(run, RECORDS)
 
-        for batch in batches:
-            rows, size = [], 0
-            for raw in batch.column("content"):
-                for member in members(raw.as_py()):
-                    for f, block in parsed(member):
-                        kind = f.get("warc-type")
-                        if kind not in ("response", "revisit", "continuation"):
-                            continue
-                        digest = f.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                        rows.append((f.get("warc-record-id"), kind, number(f.get("warc-segment-number")), f.get("warc-segment-origin-id"), number(f.get("warc-segment-total-length")), f.get("warc-refers-to"), digest, block))
-                        size += len(block)
-                    if size > 8_000_000:
-                        yield out(rows)
-                        rows, size = [], 0
-            if rows:
-                yield out(rows)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("content")
-    return files.mapInArrow(run, RECORDS)
+
+def _answer(kind: str, problem: str | None, block: bytes) -> tuple[bytes | None, str | None]:
+    if problem is None and kind == "response":
+        try:
+            return payload_of(block), None
+        except ValueError as e:
+            problem = str(e)
+    return None, problem
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Every response and revisit of the archives with its payload: whole records are decoded where they
+    are read, and only segments are gathered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                for raw in batch.column("content"):
+                    for name, kind, segment, _, _, refers_to, digest, block in _records(raw.as_py()):
+                        if segment is None and kind != "continuation":
+                            yield name, kind, refers_to, digest, *_answer(kind, None, block)
+
+        yield from _emitted(rows(), WHOLE, lambda r: len(r[4] or b""))
+
+    whole = _files(spark, path).mapInArrow(run, WHOLE)
+    return whole.unionByName(reassembled(read_records(spark, path, segments_only=True)))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        payloads, problems = [], []
-        for kind, problem, blocks in zip(*(batch.column(c).to_pylist() for c in ("warc_type", "problem", "blocks"))):
-            payload = None
-            if problem is None and kind == "response":
-                try:
-                    payload = payload_of(b"".join(blocks))
-                except ValueError as e:
-                    problem = str(e)
-            payloads.append(payload), problems.append(problem)
+        joined = zip(*(batch.column(c).to_pylist() for c in ("warc_type", "problem", "blocks")))
+        found = [_answer(kind, problem, b"".join(blocks)) for kind, problem, blocks in joined]
+        payloads, problems = zip(*found) if found else ((), ())
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("record_id", "warc_type", "refers_to", "digest")), pa.array(payloads, pa.binary()), pa.array(problems, pa.string())], ["record_id", "warc_type", "refers_to", "digest", "payload", "problem"])
 
 
@@ -240,7 +281,7 @@ def round_trip(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     make_dir(path)
     write_archives(pages, path, segment)
     page = lambda c: F.expr(f"try_cast(split_part({c}, ':', 4) AS BIGINT)")
-    read = reassembled(read_records(spark, path))
+    read = read_pages(spark, path)
     read = written(read.select("record_id", "warc_type", "refers_to", "problem", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("sha")), "records")
     answers = read.where("warc_type = 'response'")
     found = answers.groupBy(F.col("record_id").alias("refers_to")).agg(F.first("n").alias("n"), F.first("sha").alias("sha"))
