@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docspend.shipping import ship
+
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 SQL = {
@@ -129,6 +131,7 @@ def resolved(name: str, where) -> str:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture, or a given table, as a DataFrame."""
+    ship(spark)
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spark.sql(resolved(name, lambda base: f"parquet.`{sf_dir}/{base}.parquet`").strip().replace("\\\\", "\\\\"))
