@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes handled at a time, so that the 8-byte helper arrays stay near 100 MB.
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 1_000_000
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True

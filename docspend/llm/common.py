@@ -9,12 +9,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspend.shipping import ship
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -24,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the session has none (tests on one machine) a temporary folder is set.
     """
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
@@ -36,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new, unused path below the shared folder; the application's folder goes at exit."""
+    ship(spark)
     top = f"{shared_dir(spark).rstrip('/')}/docspend-{spark.sparkContext.applicationId}"
     if not getattr(scratch, "registered", None) == top:
         scratch.registered = top

@@ -261,14 +261,12 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier does not reject; all columns stay."""
     model = train(docs, labels)
 
-    @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
-
-        span, out = SpanHash(), []
-        data, offsets = string_bytes(pa.array(text, pa.string()))
-        for lo, hi in chunked(offsets):
-            out.append(model.score(features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], span)))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = SpanHash()
+        for batch in batches:
+            data, offsets = string_bytes(batch.column("text"))
+            for lo, hi in chunked(offsets):
+                x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], span)
+                yield batch.slice(lo, hi - lo).filter(pa.array(model.score(x) >= ACCEPT))
 
-    return docs.where(score(text_or_empty()) >= ACCEPT)
+    return docs.mapInArrow(run, docs.schema)

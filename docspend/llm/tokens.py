@@ -46,8 +46,8 @@ def _visible_bytes() -> dict[int, str]:
 
 
 class Encoder:
-    SLOTS = 1 << 22
-    ARENA = 12_000_000
+    SLOTS = 1 << 21
+    ARENA = 8_000_000
 
     def __init__(self, path: str | None = None, special_as_text: bool = False):
         """special_as_text: a special token's string in a text is ordinary text (else it is that token)."""
@@ -128,7 +128,7 @@ class Encoder:
         ends = np.append(starts[1:], m)
         h = self.hash(points, starts, ends)
         h[h == 0] = 1
-        slot = (h >> np.uint64(42)).astype(np.int64)
+        slot = (h >> np.uint64(43)).astype(np.int64)
         miss = np.flatnonzero(self.keys[slot] != h)
         at, size = self.at[slot], self.size[slot]
         if len(miss):
@@ -139,7 +139,7 @@ class Encoder:
             s, e = starts[miss[where]], ends[miss[where]]
             new_at, new_size = self._kept([self._piece(text[a:b]) for a, b in zip(s.tolist(), e.tolist())])
             at[miss], size[miss] = new_at[back], new_size[back]
-            slots = (new >> np.uint64(42)).astype(np.int64)
+            slots = (new >> np.uint64(43)).astype(np.int64)
             # two new pieces may share a slot: the later one stays, in all three arrays alike
             _, keep = np.unique(slots[::-1], return_index=True)
             keep = len(slots) - 1 - keep
