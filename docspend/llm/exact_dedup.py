@@ -1,9 +1,12 @@
 """Exact dedup: group by a 128-bit content hash, then compare the bytes inside each group.
 
-Plan: one aggregation by (hash, text) whose partial step folds copies before the shuffle, so a
-group that holds a third of all rows arrives as one row per task; the small class table is
-written; one join by hash takes each document to its class.  Two different texts under one hash
-are two classes, and where that occurs (checked, not assumed) the join also compares the text.
+Plan: one aggregation of (hash, doc_id), whose partial step folds copies before the shuffle, gives
+the groups; they are written.  A hash with one row needs no comparison, so only the texts of the
+other hashes are compared: a second scan keeps those (by a broadcast of their hashes while there
+are few, by a shuffled semi join beyond that) and aggregates by (hash, text), again folding copies
+in each task, so a group that holds a third of all rows arrives as one row per task.  One join by
+hash takes each document to its group.  Two different texts under one hash are two groups, and
+where that occurs (checked, not assumed) the join also compares the text.
 
 Defined cases: a null text counts as empty; an empty text is a text like any other; a null
 doc_id is smaller than all others; rows that repeat the same doc_id and text are one document
@@ -19,26 +22,36 @@ from pyspark.sql import functions as F
 from docspend.llm.common import text_or_empty, written
 
 
+#: Hashes of groups that are broadcast at most, of 16 bytes each.
+FEW_GROUPS = 1_000_000
+
+
 def content_hash(digest: Column) -> Column:
     """128 bits of a SHA-256 given as hex."""
-    return F.substring(digest, 1, 32)
+    return F.unhex(F.substring(digest, 1, 32))
 
 
-def classes(docs: DataFrame, hashed=content_hash) -> DataFrame:
+def classes(docs: DataFrame, hashed=content_hash, few: int = FEW_GROUPS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs."""
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    keyed = rows.withColumn("text_sha256", F.sha2("text", 256)).withColumn("h", hashed(F.col("text_sha256")))
-    groups = keyed.groupBy("h", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = written(groups.drop("text"), "classes")
-    collided = groups.groupBy("h").count().where("count > 1").select("h")
+    keyed = docs.select("doc_id", text_or_empty().alias("text")).withColumn("text_sha256", F.sha2("text", 256)).withColumn("h", hashed(F.col("text_sha256")))
     members = keyed.drop("text")
-    if collided.isEmpty():
+    size_and_keep = (F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = written(members.groupBy("h").agg(*size_and_keep), "groups")
+    shared = groups.where("group_size > 1").select("h")
+    n = shared.count()
+    if not n:
         found = members.join(groups, "h")
     else:
-        # different texts under one 128-bit hash: compare the texts themselves for these
-        exact = keyed.groupBy("h", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        found = members.join(collided, "h", "left_anti").join(groups, "h")
-        found = found.unionByName(keyed.join(collided, "h", "left_semi").join(exact, ["h", "text"]).drop("text"))
+        together = keyed.join(F.broadcast(shared) if n <= few else shared, "h", "left_semi")
+        texts = together.groupBy("h", "text").agg(*size_and_keep)
+        collided = written(texts.groupBy("h").agg(F.count("*").alias("texts")).where("texts > 1").select("h"), "collided")
+        if collided.isEmpty():
+            found = members.join(groups, "h")
+        else:
+            # different texts under one hash: these groups are split by the texts themselves
+            found = members.join(collided, "h", "left_anti").join(groups, "h")
+            split = keyed.join(collided, "h", "left_semi")
+            found = found.unionByName(split.join(split.groupBy("h", "text").agg(*size_and_keep), ["h", "text"]).drop("text"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 

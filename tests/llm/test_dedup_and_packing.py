@@ -28,9 +28,10 @@ def expected(rows):
 ROWS = [(1, "a", "en", "x"), (2, "a", None, None), (3, None, "en", "x"), (4, "", "en", "x"), (5, "ü", "en", "x"), (5, "ü", "en", "x"), (None, "a", None, None), (None, "lone", None, None), (7, "x" * 300_000, "en", "x")]
 
 
+@pytest.mark.parametrize("few", [0, 100])
 @pytest.mark.parametrize("hashed", [exact_dedup.content_hash, lambda d: F.substring(d, 1, 1), lambda d: F.lit("0")])
-def test_classes_even_if_hashes_collide(spark, hashed):
-    got = exact_dedup.classes(spark.createDataFrame(ROWS, DOCS), hashed).collect()
+def test_classes_even_if_hashes_collide(spark, hashed, few):
+    got = exact_dedup.classes(spark.createDataFrame(ROWS, DOCS), hashed, few).collect()
     assert sorted(map(tuple, got), key=repr) == expected(ROWS)
 
 
