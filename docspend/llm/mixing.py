@@ -10,7 +10,8 @@ beforehand, so that a hot source costs no more than a small one.
 
 Rates become copies by systematic rounding: within buckets of a source of some thousand documents,
 ordered by size, a copy more is given wherever the running sum of fractions passes a whole number.
-The start of each bucket and the order come from hashes, so reruns agree.
+Each bucket starts its sum where its words come nearest to what its rates ask for.  Buckets and
+order come from hashes of doc_id, so reruns agree.
 
 Defined cases: a null text has size 0, and documents of size 0 have rate 1; a source may be null;
 a source without words has target 0; equal rows may get different numbers of copies; if no
@@ -27,7 +28,7 @@ from docspend.llm.common import WORD, text_or_empty, written
 #: No document is repeated more often, and no target is above this many times its source.
 MOST = 3
 WEIGHTS = (1, 2, 3)
-STEPS, CLOSE, BUCKET = 60, 1e-9, 4096
+STEPS, CLOSE, BUCKET, STARTS = 60, 1e-9, 4096, 32
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -107,11 +108,18 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     bucket = F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.ceil(F.col("n") / BUCKET))
     rows = rows.withColumn("bucket", bucket).withColumn("part", F.col("rate") - F.floor("rate"))
     mine = Window.partitionBy("source", "bucket").orderBy("size", F.xxhash64("doc_id", F.lit("order")), "doc_id")
-    start = F.pmod(F.xxhash64("source", "bucket", F.lit("start")), F.lit(1 << 20)) / float(1 << 20)
     rows = rows.withColumn("sum", F.sum("part").over(mine.rowsBetween(Window.unboundedPreceding, 0)))
-    before = F.coalesce(F.lag("sum").over(mine), F.lit(0.0))
-    extra = F.floor(F.col("sum") + start) - F.floor(before + start)
-    copies = F.least((F.floor("rate") + extra).cast("long"), F.lit(most).cast("long"))
+    rows = rows.withColumn("before", F.coalesce(F.lag("sum").over(mine), F.lit(0.0)))
+    names = ["doc_id", "source", "bucket", "size", "source_size", "target", "rate", "part", "sum", "before"]
+    rows = written(rows.select(*names), "rounding")
+    # of STARTS evenly spaced starts, each bucket takes the one whose words come nearest to its share
+    extra = lambda start: F.floor(F.col("sum") + start) - F.floor(F.col("before") + start)
+    starts = [(k + 0.5) / STARTS for k in range(STARTS)]
+    miss = [F.abs(F.sum(F.col("size") * (extra(F.lit(u)) - F.col("part")))) for u in starts]
+    choice = F.array_min(F.array(*(F.struct(m.alias("miss"), F.lit(u).alias("start")) for m, u in zip(miss, starts))))
+    chosen = rows.groupBy(F.col("source").alias("of"), F.col("bucket").alias("b")).agg(choice["start"].alias("start"))
+    rows = rows.join(chosen, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b")))
+    copies = F.least((F.floor("rate") + extra(F.col("start"))).cast("long"), F.lit(most).cast("long"))
     rows = rows.withColumn("copies", copies)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
 
