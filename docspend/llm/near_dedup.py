@@ -271,10 +271,16 @@ def candidates(reps: DataFrame, percent: int) -> tuple[list[DataFrame], list[Dat
         pairs.append(found.where("b IS NOT NULL").select("a", "b"))
         members.append(found.where("block IS NOT NULL").select(F.col("a").alias("uid"), "block", F.lit(len(members)).alias("level")))
         rows = found.where("key IS NOT NULL").select("key", "label", F.col("a").alias("uid"), "n", "sketch")
-        before, n = n, rows.count()
-        # leaders alone in their region, or hardly fewer than before: nothing is left to join
-        if n < 2 or (before is not None and n > 0.9 * before):
+        # each region ends for itself: with one leader, or with hardly fewer than it had before
+        now = rows.groupBy("key").agg(F.count("*").alias("leaders"))
+        going = now.where("leaders > 1")
+        if before is not None:
+            going = going.join(before.withColumnRenamed("leaders", "had"), "key", "left").where("had IS NULL OR leaders <= 0.9 * had").select("key", "leaders")
+        before = written(going, "regions")
+        n = before.agg(F.sum("leaders")).first()[0] or 0
+        if not n:
             return pairs, members
+        rows = rows.join(before.select("key"), "key", "left_semi")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
