@@ -19,6 +19,11 @@ similarity of their full sets reaches the threshold, and a group is a connected
    its sets meet in one task, each once, and all intersections across components come from
    products of slices of their incidence matrix.  So no pair of a block is dropped for its
    number, and no table of pairs grows with the square of a group.
+6. A region of several blocks that still holds several components is compared across its blocks
+   too: cut anew into cells by set size, cells whose sizes allow a link meet pair by pair as in 5.
+   Only its largest component is not compared with itself.  So two rows of one region that are
+   linked are in one component, however dense the region is; where most of its rows stay apart,
+   this step's work grows with the square of their number.
 
 Sketch matches are a filter only: at 0.8 a pair misses the limit of 64 of 104 matches with a
 probability near 2e-6, and misses all 13 trees with 1e-4.
@@ -47,6 +52,8 @@ U64 = np.uint64
 TREES, DEPTH, MIN_DEPTH = 13, 8, 3
 HASHES = TREES * DEPTH
 BLOCK, SMALL = 512, 64
+#: Rows of a cell; two cells meet in a task.
+CELL = BLOCK // 2
 #: Sketch matches below which a pair cannot be linked, and from which leaders stand for a row.
 POSSIBLE, LIKELY = 64, 86
 #: More leaders than this are sorted in a range partitioning again, fewer are grouped by key.
@@ -165,8 +172,11 @@ def spanning_forest(m: np.ndarray, least: int = 1) -> tuple[list[tuple[int, int]
     return edges, root
 
 
-def _blocks(percent: int, ordered: bool):
-    """Stream rows sorted by (key, label, uid); give candidate pairs, members of large blocks and leaders."""
+def _blocks(percent: int, ordered: bool, whole: bool = False):
+    """Stream rows sorted by (key, label, uid); give candidate pairs, members of large blocks and leaders.
+
+    whole: also all rows of regions of several blocks, as key and uid without a label.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -175,6 +185,7 @@ def _blocks(percent: int, ordered: bool):
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         members: list[tuple[np.ndarray, int]] = []
         leaders: list[tuple] = []
+        spread: list[tuple[np.ndarray, np.ndarray, int]] = []  # uid and n of a block whose region goes on, and its key
 
         def solve(key, label, uid, n, s, more):
             """One block; more: the region goes on elsewhere."""
@@ -195,6 +206,8 @@ def _blocks(percent: int, ordered: bool):
                 members.append((uid, block))
             if len(a):
                 pairs.append((np.minimum(uid[a], uid[b]), np.maximum(uid[a], uid[b])))
+            if more and whole:
+                spread.append((uid, n, int(key)))
             if more:
                 _, root = spanning_forest(m, LIKELY)
                 for r in np.unique(root):
@@ -208,8 +221,10 @@ def _blocks(percent: int, ordered: bool):
             mu = np.concatenate([x for x, _ in members]) if members else np.zeros(0, np.int64)
             mb = np.concatenate([np.full(len(x), k) for x, k in members]) if members else np.zeros(0, np.int64)
             lk, ll, lu, ln, ls = zip(*leaders) if leaders else ((),) * 5
+            for u, n, k in spread:
+                lk, ll, lu, ln, ls = (*lk, *[k] * len(u)), (*ll, *[None] * len(u)), (*lu, *u.tolist()), (*ln, *n.tolist()), (*ls, *[None] * len(u))
             p, q, r = len(a), len(mu), len(lu)
-            pairs.clear(), members.clear(), leaders.clear()
+            pairs.clear(), members.clear(), leaders.clear(), spread.clear()
             yes = lambda v, t: pa.array(v, t)
             nul = pa.nulls
             cat = lambda t, *x: pa.concat_arrays([y.cast(t) for y in x])
@@ -247,7 +262,7 @@ def _blocks(percent: int, ordered: bool):
                     first, cutoff = False, 0
                 begin = stop
             held = [x[begin:] for x in rows]
-            if sum(len(x) for x, _ in pairs) > 20_000 or len(leaders) > 5_000 or len(members) > 50:
+            if sum(len(x) for x, _ in pairs) > 20_000 or len(leaders) > 5_000 or len(members) > 50 or len(spread) > 50:
                 yield out()
         if held is not None and len(held[0]):
             solve(held[0][0], *held[1:], ordered or cutoff > 0)
@@ -256,21 +271,23 @@ def _blocks(percent: int, ordered: bool):
     return run
 
 
-def candidates(reps: DataFrame, percent: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Candidate pairs (a < b) and members of large blocks (uid, block), level by level."""
+def candidates(reps: DataFrame, percent: int) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+    """Candidate pairs (a < b) and members of large blocks (uid, block), level by level, and the rows of regions of several blocks (key, uid, n)."""
     spark = reps.sparkSession
     rows = reps.select("uid", F.col("n_shingles").alias("n"), "sketch", F.posexplode("keys").alias("tree", "key"))
     label = F.expr(f"substring(sketch, tree * {DEPTH} + {MIN_DEPTH + 1}, {DEPTH - MIN_DEPTH})")
     rows = rows.select("key", label.alias("label"), "uid", "n", "sketch")
-    pairs, members, n, before = [], [], None, None
+    pairs, members, regions, n, before = [], [], None, None, None
     while True:
         ordered = n is None or n > FEW_LEADERS
         parts = partitions(spark)
         dealt = rows.repartitionByRange(parts, "key", "label", "uid") if ordered else rows.repartition(parts, "key")
-        found = written(dealt.sortWithinPartitions("key", "label", "uid").mapInArrow(_blocks(percent, ordered), FOUND), "found")
+        found = written(dealt.sortWithinPartitions("key", "label", "uid").mapInArrow(_blocks(percent, ordered, regions is None), FOUND), "found")
         pairs.append(found.where("b IS NOT NULL").select("a", "b"))
         members.append(found.where("block IS NOT NULL").select(F.col("a").alias("uid"), "block", F.lit(len(members)).alias("level")))
-        rows = found.where("key IS NOT NULL").select("key", "label", F.col("a").alias("uid"), "n", "sketch")
+        if regions is None:  # the leaders of later levels are rows of these regions
+            regions = found.where("key IS NOT NULL AND label IS NULL").select("key", F.col("a").alias("uid"), "n")
+        rows = found.where("label IS NOT NULL").select("key", "label", F.col("a").alias("uid"), "n", "sketch")
         # each region ends for itself: with one leader, or with hardly fewer than it had before
         now = rows.groupBy("key").agg(F.count("*").alias("leaders"))
         going = now.where("leaders > 1")
@@ -279,7 +296,7 @@ def candidates(reps: DataFrame, percent: int) -> tuple[list[DataFrame], list[Dat
         before = written(going, "regions")
         n = before.agg(F.sum("leaders")).first()[0] or 0
         if not n:
-            return pairs, members
+            return pairs, members, regions
         rows = rows.join(before.select("key"), "key", "left_semi")
 
 
@@ -329,6 +346,9 @@ def _linked_across(percent: int):
             both = shared_counts([unpacked48(r[4]) for r in rows])
             yes = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (root[:, None] != root[None, :])
             a, b = np.nonzero(np.triu(yes, 1))
+            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            _, one = np.unique(np.stack([low, high], axis=1), axis=0, return_index=True)  # one link joins two components
+            a, b = a[one], b[one]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(uid[a], uid[b])), pa.array(np.maximum(uid[a], uid[b]))], ["a", "b"])
 
         held: list[tuple] = []
@@ -344,6 +364,38 @@ def _linked_across(percent: int):
     return run
 
 
+def linked_across(rows: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of each block of rows (block, uid, root, n, shingles)."""
+    dealt = rows.repartition(partitions(rows.sparkSession), "block").sortWithinPartitions("block")
+    return written(dealt.mapInArrow(_linked_across(percent), "a long, b long").distinct(), "links")
+
+
+def across_blocks(regions: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """block, uid, root, n: rows of regions with several components, once for each block of two cells they are compared in."""
+    c = F.col
+    rows = regions.join(roots, regions.uid == roots.node, "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("root"))
+    rows = written(rows, "regions")
+    parts = rows.groupBy("key", "root").agg(F.count("*").alias("rows"))
+    open_ = parts.groupBy("key").agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("key", "largest")
+    # sets of classes that are not neighbours differ too much in size for a link
+    size_class = F.floor(F.log("n") / (float(np.log(100 / percent)) + 1e-9))
+    rows = written(rows.join(open_, "key").select("key", "uid", "n", "root", F.struct((c("root") == c("largest")).alias("own"), size_class.alias("size")).alias("cell")), "cells")
+    cells = written(rows.groupBy("key", "cell").agg(F.ceil(F.count("*") / CELL).alias("k")), "cells")
+    first, second = cells.select("key", c("cell").alias("c1"), c("k").alias("k1")), cells.select("key", c("cell").alias("c2"), c("k").alias("k2"))
+    near = (c("c1") <= c("c2")) & (F.abs(c("c1.size") - c("c2.size")) <= 1) & ~(c("c1.own") & c("c2.own"))
+    meet = first.join(second, "key").where(near)
+    named = lambda h1, h2: F.xxhash64("key", "c1", "c2", h1, h2).alias("block")
+    mine = rows.withColumn("h", F.xxhash64("uid"))
+    left = mine.join(meet, (mine.key == meet.key) & (mine.cell == meet.c1)).drop(mine.key).withColumn("h", F.pmod("h", "k1"))
+    right = mine.join(meet, (mine.key == meet.key) & (mine.cell == meet.c2)).drop(mine.key).withColumn("h", F.pmod("h", "k2"))
+    others = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), c(k) - 1)).alias("o")
+    what = ["uid", "root", "n"]
+    two = left.where("c1 <> c2").select("*", others("k2")).select(named(c("h"), c("o")), *what)
+    two = two.unionByName(right.where("c1 <> c2").select("*", others("k1")).select(named(c("o"), c("h")), *what))
+    one = left.where("c1 = c2").select("*", others("k1")).where("h <> o OR k1 = 1").select(named(F.least("h", "o"), F.greatest("h", "o")), *what)
+    return two.unionByName(one)
+
+
 def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
     sig = written(signatures(docs, shingle), "signatures")
@@ -351,7 +403,7 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     reps = sig.groupBy(*names).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("r"))
     reps = written(reps.select(*names, F.col("r.uid").alias("rep"), F.col("r.doc_id").alias("rep_doc")), "reps")
     alone = sig.where("n_shingles > 0").join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi")
-    pairs, members = candidates(alone.select("uid", "n_shingles", "sketch", "keys"), percent)
+    pairs, members, regions = candidates(alone.select("uid", "n_shingles", "sketch", "keys"), percent)
     sets = sig.select("uid", "shingles", "n_shingles")
     tried = _all(pairs).distinct()
     links = written(confirmed(tried, sets, percent), "links")
@@ -364,8 +416,13 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
         rows = rooted.join(open_, ["level", "block"], "left_semi")
         rows = rows.select("uid", "root", (F.col("block") * 64 + F.col("level")).alias("block")).join(sets, "uid")
         rows = rows.select("block", "uid", "root", F.col("n_shingles").alias("n"), "shingles")
-        dealt = rows.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block")
-        new = written(dealt.mapInArrow(_linked_across(percent), "a long, b long").distinct(), "links")
+        new = linked_across(rows, percent)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            roots = written(components(links), "roots")
+    if not regions.isEmpty():
+        rows = across_blocks(regions, roots, percent).join(sets.select("uid", "shingles"), "uid").select("block", "uid", "root", "n", "shingles")
+        new = linked_across(rows, percent)
         if not new.isEmpty():
             roots = written(components(links.unionByName(new)), "roots")
     labelled = reps.join(roots, reps.rep == roots.node, "left").select(*names, "rep_doc", F.coalesce("root", "rep").alias("root"))

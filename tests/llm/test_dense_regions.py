@@ -33,3 +33,18 @@ def test_a_region_that_does_not_shrink_does_not_end_the_others(spark):
                 root[find(a)] = find(b)
     found = {(cluster[u], find(u)) for u in cluster}
     assert len(found) == len(set(cluster.values()))
+
+
+def test_linked_pairs_of_a_dense_region_are_all_found(spark):
+    """A template in all texts, and pairs of texts just above the limit that are linked with nothing else."""
+    template = [f"t{i}" for i in range(84)]
+    rng, rows = random.Random(5), []
+    for pair in range(900):
+        shared = [f"s{pair}x{i}" for i in range(16)]
+        for side in range(2):
+            words = template + shared + [f"u{pair}x{side}x{i}" for i in range(12)]
+            rng.shuffle(words)
+            rows.append((2 * pair + side, " ".join(words)))
+    got = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()
+    apart = [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2]
+    assert len(got) == 1800 and apart == []
