@@ -78,6 +78,11 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def text_name(column: str = "text"):
+    """A 128-bit name of the text; with doc_id it tells rows of one doc_id, or of none, apart."""
+    return F.unhex(F.md5(text_or_empty(column)))
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The wanted names, with underscores put before those that df has already."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspend.llm.common import WORD, text_or_empty, written
+from docspend.llm.common import WORD, text_name, text_or_empty, written
 
 #: No document is repeated more often, and no target is above this many times its source.
 MOST = 3
@@ -32,7 +32,7 @@ STEPS, CLOSE, BUCKET, STARTS = 60, 1e-9, 4096, 32
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", text_name().alias("name"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -93,8 +93,8 @@ def solved(histogram: DataFrame, goals: DataFrame, most: int = MOST) -> DataFram
     return goals.join(s, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "mean", "lambda")
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, taken, rate, copies for every row of docs."""
+def _planned(docs: DataFrame, weights, most: int) -> DataFrame:
+    """The plan with the source and the name of the text of each row."""
     sizes = written(sized(docs), "sizes")
     goals = written(targets(sizes, weights, most), "targets")
     histogram = written(sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("c")), "histogram")
@@ -105,12 +105,13 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     tilted = F.least(F.exp(F.least(F.col("lambda") * F.col("size") / F.col("mean"), F.lit(50.0))), F.lit(float(most)))
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("target") == 0, 0.0).otherwise(F.coalesce(tilted, F.lit(float(most))))
     rows = rows.withColumn("rate", rate)
-    bucket = F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.ceil(F.col("n") / BUCKET))
+    lost = F.when(F.col("doc_id").isNull(), F.col("name"))  # spreads rows without an id; a null leaves the hash as it is
+    bucket = F.pmod(F.xxhash64("doc_id", lost, F.lit("bucket")), F.ceil(F.col("n") / BUCKET))
     rows = rows.withColumn("bucket", bucket).withColumn("part", F.col("rate") - F.floor("rate"))
-    mine = Window.partitionBy("source", "bucket").orderBy("size", F.xxhash64("doc_id", F.lit("order")), "doc_id")
+    mine = Window.partitionBy("source", "bucket").orderBy("size", F.xxhash64("doc_id", lost, F.lit("order")), "doc_id", "name")
     rows = rows.withColumn("sum", F.sum("part").over(mine.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("before", F.coalesce(F.lag("sum").over(mine), F.lit(0.0)))
-    names = ["doc_id", "source", "bucket", "size", "source_size", "target", "rate", "part", "sum", "before"]
+    names = ["doc_id", "source", "name", "bucket", "size", "source_size", "target", "rate", "part", "sum", "before"]
     rows = written(rows.select(*names), "rounding")
     # of STARTS evenly spaced starts, each bucket takes the one whose words come nearest to its share
     extra = lambda start: F.floor(F.col("sum") + start) - F.floor(F.col("before") + start)
@@ -121,14 +122,30 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     rows = rows.join(chosen, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b")))
     copies = F.least((F.floor("rate") + extra(F.col("start"))).cast("long"), F.lit(most).cast("long"))
     rows = rows.withColumn("copies", copies)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
+    return rows.select("doc_id", "source", "name", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
+
+
+def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """doc_id, size, source_size, target, taken, rate, copies for every row of docs."""
+    return _planned(docs, weights, most).drop("source", "name")
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """docs with each row as often as the mix takes it; all columns stay.
 
-    doc_id names a document here: rows that repeat one are given the copies of the first.
+    Rows go by doc_id, source and text; each of several rows that are equal in these has the
+    copies of one row of the plan.
     """
-    copies = plan(docs, weights, most).groupBy(F.col("doc_id").alias("__id")).agg(F.min("copies").alias("__copies"))
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).where("__copies > 0")
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "__copies")).alias("__copy")).drop("__copy")
+    planned = _planned(docs, weights, most).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("name").alias("__name"))
+    copies = written(planned.agg(F.sort_array(F.collect_list("copies")).alias("__copies")), "copies")
+    named = docs.select(*docs.columns, text_name().alias("__text"))
+    same = named.doc_id.eqNullSafe(F.col("__id")) & named.source.eqNullSafe(F.col("__source")) & (F.col("__text") == F.col("__name"))
+    joined = named.join(copies.where("array_max(__copies) > 0"), same)
+    mine = F.col("__copies")[0]
+    if not copies.where("size(__copies) > 1").isEmpty():
+        once, more = joined.where("size(__copies) = 1"), joined.where("size(__copies) > 1")
+        turn = F.row_number().over(Window.partitionBy("__id", "__source", "__text").orderBy(F.lit(1)))
+        joined = once.withColumn("__turn", F.lit(1)).unionByName(more.withColumn("__turn", turn))
+        mine = F.element_at("__copies", F.col("__turn"))
+    joined = joined.withColumn("__mine", mine).where("__mine > 0")
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mine"))).alias("__copy")).drop("__copy")

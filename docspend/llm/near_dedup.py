@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspend.llm.bytesops import LOWER, SpanHash, chunked, mixed, string_bytes, words
-from docspend.llm.common import partitions, text_or_empty, written
+from docspend.llm.common import WORD, partitions, text_name, text_or_empty, written
 from docspend.llm.graph import components
 
 U64 = np.uint64
@@ -59,7 +59,7 @@ POSSIBLE, LIKELY = 64, 86
 #: More leaders than this are sorted in a range partitioning again, fewer are grouped by key.
 FEW_LEADERS = 200_000
 
-SIGNATURES = "uid long, doc_id long, n_shingles long, fp1 long, fp2 long, sketch binary, keys array<long>, shingles binary"
+SIGNATURES = "uid long, doc_id long, name binary, n_shingles long, fp1 long, fp2 long, sketch binary, keys array<long>, shingles binary"
 FOUND = "a long, b long, block long, key long, label binary, n long, sketch binary"
 
 
@@ -134,11 +134,11 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     uid += 1
                 u, n, f1, f2, sketch, keys, full = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(u, pa.int64()), batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(full, pa.binary())],
-                    ["uid", "doc_id", "n_shingles", "fp1", "fp2", "sketch", "keys", "shingles"],
+                    [pa.array(u, pa.int64()), batch.column("doc_id").slice(lo, hi - lo), batch.column("name").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(full, pa.binary())],
+                    ["uid", "doc_id", "name", "n_shingles", "fp1", "fp2", "sketch", "keys", "shingles"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, SIGNATURES)
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), text_name().alias("name")).mapInArrow(run, SIGNATURES)
 
 
 def matches(sketches: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -396,8 +396,8 @@ def across_blocks(regions: DataFrame, roots: DataFrame, percent: int) -> DataFra
     return two.unionByName(one)
 
 
-def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+def rooted(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, name of the text, n_shingles, component_id and root of the component: one row per row of docs."""
     sig = written(signatures(docs, shingle), "signatures")
     names = ["fp1", "fp2"]
     reps = sig.groupBy(*names).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("r"))
@@ -410,10 +410,10 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     roots = written(components(links), "roots")
     inside = _all(members)
     if not inside.isEmpty():
-        rooted = inside.join(roots, inside.uid == roots.node, "left").select("uid", "block", "level", F.coalesce("root", "uid").alias("root"))
-        rooted = written(rooted, "members")
-        open_ = rooted.groupBy("level", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("level", "block")
-        rows = rooted.join(open_, ["level", "block"], "left_semi")
+        held = inside.join(roots, inside.uid == roots.node, "left").select("uid", "block", "level", F.coalesce("root", "uid").alias("root"))
+        held = written(held, "members")
+        open_ = held.groupBy("level", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("level", "block")
+        rows = held.join(open_, ["level", "block"], "left_semi")
         rows = rows.select("uid", "root", (F.col("block") * 64 + F.col("level")).alias("block")).join(sets, "uid")
         rows = rows.select("block", "uid", "root", F.col("n_shingles").alias("n"), "shingles")
         new = linked_across(rows, percent)
@@ -427,9 +427,15 @@ def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
             roots = written(components(links.unionByName(new)), "roots")
     labelled = reps.join(roots, reps.rep == roots.node, "left").select(*names, "rep_doc", F.coalesce("root", "rep").alias("root"))
     least = labelled.groupBy("root").agg(F.min("rep_doc").alias("component_id"))
-    labelled = labelled.join(least, "root").select(*names, "component_id")
-    out = sig.select("doc_id", "n_shingles", *names).join(labelled, names)
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    labelled = labelled.join(least, "root").select(*names, "component_id", "root")
+    out = sig.select("doc_id", "name", "n_shingles", *names).join(labelled, names)
+    return out.select("doc_id", "name", "n_shingles", "component_id", "root")
+
+
+def groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return rooted(docs, shingle, percent).select("doc_id", "n_shingles", "component_id", kept)
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
@@ -440,10 +446,18 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id.  All columns stay."""
-    named = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    stays = written(groups(docs, shingle, percent).where("kept").groupBy(named.alias("__id")).agg(F.count("*").alias("__rows")), "stays")
-    kept = docs.withColumn("__id", named).join(stays, "__id", "left_semi")
-    if not stays.where("__rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["__id"])  # a doc_id in several linked rows
+    """One row of each group, of those with the smallest doc_id (null last).  All columns stay.
+
+    Rows go by doc_id and text, so rows of one doc_id or of none stay where their texts are not
+    linked; rows without a word are linked with nothing and stay.
+    """
+    rows = rooted(docs, shingle, percent).where("n_shingles > 0").groupBy("root", "doc_id", "name").agg(F.count("*").alias("rows"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name", "rows")).alias("r"))
+    stays = written(first.select(F.col("r.doc_id").alias("__id"), F.col("r.name").alias("__name"), F.col("r.rows").alias("__rows")), "stays")
+    named = docs.select(*docs.columns, text_name().alias("__text"), (~text_or_empty().rlike(WORD)).alias("__bare"))
+    kept = named.join(stays, named.doc_id.cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__name")), "left")
+    kept = kept.where("__bare OR __rows IS NOT NULL")
+    if not stays.where("__rows > 1").isEmpty():  # of equal rows one stays; those without a word are each their own
+        own = F.when(F.col("__bare"), F.monotonically_increasing_id())
+        kept = kept.withColumn("__own", own).dropDuplicates(["__id", "__text", "__own"])
     return kept.select(*docs.columns)
