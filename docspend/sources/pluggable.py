@@ -70,11 +70,12 @@ def _call_once(df: DataFrame, key: str, column: str, cache: DataFrame | None, fn
 
 
 def enrich(df: DataFrame, extractor: Callable[[list[str]], list[str | None]], cache: DataFrame | None = None, column: str = "raw_text", prompt: str = "extract_invoice") -> DataFrame:
-    """df with response: the user's extractor runs once for each distinct text that is not cached.
+    """df with response: the user's extractor runs once for each distinct text that is not cached;
+    the key hashes the whole text.
 
     A text the extractor fails on has a null response; the parser's fields stay.
     """
-    keyed = df.withColumn("content_hash", F.sha2(F.concat_ws(":", F.lit(prompt), F.substring(column, 1, 5000)), 256))
+    keyed = df.withColumn("content_hash", F.sha2(F.concat_ws(":", F.lit(prompt), F.col(column)), 256))
     fresh = _call_once(keyed, "content_hash", column, cache, extractor)
     known = fresh if cache is None else fresh.unionByName(cache.select("content_hash", "response"))
     return keyed.join(known, "content_hash", "left")
