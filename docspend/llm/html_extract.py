@@ -10,8 +10,9 @@ Each task folds its own pages host by host before anything is shuffled, and what
 is folded again in two steps, so a host with a third of all pages is many small folds.  The wrapper
 then tells for each slot whether it belongs to the article, and pages are read through it.
 
-Roles: slots in an article (or, on hosts without one, in `main`, else in the group with most
-paragraphs and headings over the wrapper) are main text, except inside menus, headers, footers,
+Roles: slots in an article (or, on pages without text in one, in `main`, else in the group with
+most paragraphs and headings over the wrapper and its siblings with text, else in that of the
+page itself) are main text, except inside menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles.
 
 Defined cases: a null html is an empty page with empty text; broken markup is closed as browsers
@@ -220,8 +221,8 @@ def _is_aside(x: Node) -> bool:
     return x.tag in NEVER or x.tag not in ("body", "html", "article", "main") and bool(ASIDE.search(x.key.partition(" ")[2]))
 
 
-def main_slots(wrapper: list[Node]) -> list[Node]:
-    """The containers of main text in a wrapper."""
+def main_slots(wrapper: list[Node]) -> list[list[Node]]:
+    """The containers of main text in a wrapper, by kind; a page is read through the first kind that gives it text."""
 
     def find(nodes, wanted):
         for x in nodes:
@@ -232,25 +233,38 @@ def main_slots(wrapper: list[Node]) -> list[Node]:
             else:
                 yield from find(x.children, wanted)
 
+    kinds = []
     for wanted in (_named_article, lambda x: x.tag == "main" or re.search(r"(?:^| )(?:main|content|main-content|page-content)(?:$| )", x.key.partition(" ")[2], re.I) is not None):
-        found = list(find(wrapper, wanted))
-        if found:
-            return found
-    # no container says so: the one with most paragraphs and headings of its own
-    best: tuple[int, Node | None] = (0, None)
+        kinds.append(list(find(wrapper, wanted)))
+    return [*kinds, weighed_slots(wrapper)]
+
+
+def weighed_slots(wrapper: list[Node]) -> list[Node]:
+    """Where no container says so: the one with most paragraphs and headings of its own, and its siblings that have any."""
+    best: tuple[int, Node | None, list[Node]] = (0, None, [])
+    kinds = ("p", "h1", "h2", "h3", "blockquote", "pre")
 
     def weigh(nodes):
         nonlocal best
         for x in nodes:
             if _is_aside(x):
                 continue
-            own = sum((1 + c.many) * (2 if c.tag == "p" else 1) for c in x.children if c.tag in ("p", "h1", "h2", "h3", "blockquote", "pre", TEXT))
+            own = sum((1 + c.many) * (2 if c.tag == "p" else 1) for c in x.children if c.tag in (*kinds, TEXT))
             if own > best[0]:
-                best = (own, x)
+                best = (own, x, nodes)
             weigh(x.children)
 
     weigh(wrapper)
-    return [best[1]] if best[1] else []
+    return [x for x in best[2] if x is best[1] or not _is_aside(x) and any(c.tag in kinds for c in x.children)]
+
+
+def main_blocks(page: Node, wrapper: list[Node], kinds: list[list[Node]]) -> list[str]:
+    """The main text of a page through the first kind of container that gives it any."""
+    for containers in kinds:
+        if containers and (out := blocks_of(page, wrapper, containers)):
+            return out
+    own = folded(page.children)  # the wrapper's choice is not on this page
+    return blocks_of(page, own, weighed_slots(own))
 
 
 def blocks_of(page: Node, wrapper: list[Node], containers: list[Node]) -> list[str]:
@@ -287,7 +301,7 @@ def wrapper_of(page: str) -> str:
 
 def extracted(page: str, wrapper: str) -> str:
     pattern = loaded(wrapper)
-    return "\n".join(blocks_of(page_tree(page), pattern, main_slots(pattern)))
+    return "\n".join(main_blocks(page_tree(page), pattern, main_slots(pattern)))
 
 
 #: Hosts a task keeps at a time; more are handed on and folded later.
@@ -356,7 +370,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                         ready.clear()
                     pattern = loaded(wrapper)
                     ready[wrapper] = (pattern, main_slots(pattern))
-                texts.append("\n".join(blocks_of(page_tree(page), *ready[wrapper])))
+                texts.append("\n".join(main_blocks(page_tree(page), *ready[wrapper])))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
