@@ -6,15 +6,16 @@ similarity of their full sets reaches the threshold, and a group is a connected
 1. One pass over the texts makes, for each document, the number of shingles, a 128-bit name of
    the set, a sketch of one byte for each of TREES x DEPTH minhashes, and for each tree the key of
    its first MIN_DEPTH minhashes.  Documents with equal sets are folded into one representative.
-2. Each tree is a sorted order of signatures.  All trees share one range partitioning by (key,
-   rest of the label, id), so a dense region is spread over many tasks by itself.  A run of equal
-   keys is a region; where a region is sparse its MIN_DEPTH prefix is the candidate group, where
-   it is dense the order by the deeper label decides which rows share a block of at most BLOCK
-   rows (the longest common prefixes are neighbours), so that the depth adapts to the region.
-3. A small block gives all pairs whose sketches allow a link.  A larger one gives a maximum
-   spanning forest and the two nearest of each row; one leader of each cluster goes to a next
-   order over leaders, which joins the blocks of a region.
-4. Candidate pairs are confirmed on the full sets; components of the confirmed links follow.
+2. Each tree is a sorted order of signatures, key first, then the label of its deeper minhashes.
+   All trees share one range partitioning by (key, label, id), so a dense region is spread over
+   many tasks by itself.  A run of equal keys is a region.  A region of at most BLOCK rows stays
+   at MIN_DEPTH; a larger one is cut where neighbours have the shortest common prefix, so that
+   the rows of a block are those of longest common prefix and the depth adapts to the region.
+3. A small block gives all pairs whose sketches allow a link, those of its spanning forest first.
+   A larger one gives a maximum spanning forest and the two nearest of each row; one leader of
+   each cluster goes to a next order over leaders, which joins the blocks of a region.
+4. First pairs are confirmed on the full sets, then those others that still lie between
+   components; components of the confirmed links follow.  Only sets of candidates are shuffled.
 5. Completion: a large block whose rows are still in different components is compared as a whole:
    its sets meet in one task, each once, and all intersections across components come from
    products of slices of their incidence matrix.  So no pair of a block is dropped for its
@@ -22,11 +23,13 @@ similarity of their full sets reaches the threshold, and a group is a connected
 6. A region of several blocks that still holds several components is compared across its blocks
    too: cut anew into cells by set size, cells whose sizes allow a link meet pair by pair as in 5.
    Only its largest component is not compared with itself.  So two rows of one region that are
-   linked are in one component, however dense the region is; where most of its rows stay apart,
-   this step's work grows with the square of their number.
+   linked are in one component, however dense the region is and however it was cut; where most of
+   its rows stay apart, this step's work grows with the square of their number.
 
-Sketch matches are a filter only: at 0.8 a pair misses the limit of 64 of 104 matches with a
-probability near 2e-6, and misses all 13 trees with 1e-4.
+The orders over leaders only spare work for step 6, which finds what they miss: a region leaves
+them when one leader is left or a round removes less than a tenth of its leaders.  Sketch matches
+are a filter only: at 0.8 a pair misses the limit of 64 of 104 matches with a probability near
+2e-6, and misses all 13 trees with 1e-4.  Sets are stored as distinct 48-bit shingle hashes.
 
 Defined cases: null and empty texts and texts of white space have an empty set, are linked with
 nothing and are their own component; with fewer words than a shingle has, the whole sequence is
@@ -56,11 +59,13 @@ BLOCK, SMALL = 512, 64
 CELL = BLOCK // 2
 #: Sketch matches below which a pair cannot be linked, and from which leaders stand for a row.
 POSSIBLE, LIKELY = 64, 86
-#: More leaders than this are sorted in a range partitioning again, fewer are grouped by key.
-FEW_LEADERS = 200_000
+#: Candidate ids up to which their set is broadcast to pick the full sets (8 bytes each); more are joined by a shuffle.
+FEW_IDS = 2_000_000
+#: Parts a component is dealt in when its rows get its smallest doc_id.
+SALT = 16
 
 SIGNATURES = "uid long, doc_id long, name binary, n_shingles long, fp1 long, fp2 long, sketch binary, keys array<long>, shingles binary"
-FOUND = "a long, b long, block long, key long, label binary, n long, sketch binary"
+FOUND = "a long, b long, first boolean, block long, key long, label binary, n long, sketch binary"
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int, span: SpanHash) -> list[np.ndarray]:
@@ -77,10 +82,10 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int, span: SpanH
             s = np.sort(many[a : b - size + 1])
             out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif b > a:
-            whole = U64(b - a)
+            whole = np.array([b - a], U64)
             for x in h[a:b]:
-                whole = mixed(np.array([whole * U64(0xA0761D6478BD642F) + x]))[0]
-            out.append(np.array([whole], U64))
+                whole = mixed(whole * U64(0xA0761D6478BD642F) + x)
+            out.append(whole)
         else:
             out.append(np.zeros(0, U64))
     return out
@@ -101,8 +106,9 @@ def minhashes(shingles: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.n
 
 
 def packed48(sorted_hashes: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash, six bytes each."""
-    return (sorted_hashes >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The distinct upper 48 bits of the hashes, six bytes each."""
+    short = sorted_hashes >> U64(16)
+    return short[np.append(True, short[1:] != short[:-1])[: len(short)]].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 def unpacked48(raw: bytes) -> np.ndarray:
@@ -172,7 +178,14 @@ def spanning_forest(m: np.ndarray, least: int = 1) -> tuple[list[tuple[int, int]
     return edges, root
 
 
-def _blocks(percent: int, ordered: bool, whole: bool = False):
+def cut_at(labels: np.ndarray, begin: int) -> int:
+    """Where a region that goes on for more than BLOCK rows from begin is cut: at the last of the shortest common prefixes of neighbours."""
+    here = labels[begin : begin + BLOCK + 1]
+    prefix = np.cumprod(here[1:] == here[:-1], axis=1).sum(axis=1)
+    return begin + BLOCK - int(prefix[::-1].argmin())
+
+
+def _blocks(percent: int, whole: bool):
     """Stream rows sorted by (key, label, uid); give candidate pairs, members of large blocks and leaders.
 
     whole: also all rows of regions of several blocks, as key and uid without a label.
@@ -182,7 +195,7 @@ def _blocks(percent: int, ordered: bool, whole: bool = False):
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 33
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         members: list[tuple[np.ndarray, int]] = []
         leaders: list[tuple] = []
         spread: list[tuple[np.ndarray, np.ndarray, int]] = []  # uid and n of a block whose region goes on, and its key
@@ -194,18 +207,21 @@ def _blocks(percent: int, ordered: bool, whole: bool = False):
             if g < 2 and not more:
                 return
             m = matches(s, n, percent)
+            edges, _ = spanning_forest(m)
+            first = np.array(sorted((min(e), max(e)) for e in edges), np.int64).reshape(-1, 2)
             if g <= SMALL:
-                a, b = np.nonzero(np.triu(m))
+                rest = np.triu(m)
+                rest[first[:, 0], first[:, 1]] = 0
+                rest = np.stack(np.nonzero(rest), axis=1)
             else:
-                edges, _ = spanning_forest(m)
                 near = np.argsort(-m, axis=1, kind="stable")[:, :2]
-                edges += [(i, int(j)) for i in range(g) for j in near[i] if m[i, j]]
-                edges = np.array(sorted({(min(e), max(e)) for e in edges}), np.int64).reshape(-1, 2)
-                a, b = edges[:, 0], edges[:, 1]
+                rest = {(min(i, int(j)), max(i, int(j))) for i in range(g) for j in near[i] if m[i, j]} - set(map(tuple, first.tolist()))
+                rest = np.array(sorted(rest), np.int64).reshape(-1, 2)
                 block += 1
                 members.append((uid, block))
-            if len(a):
-                pairs.append((np.minimum(uid[a], uid[b]), np.maximum(uid[a], uid[b])))
+            if len(first):
+                a, b = uid[np.concatenate([first, rest])].T
+                pairs.append((np.minimum(a, b), np.maximum(a, b), np.arange(len(a)) < len(first)))
             if more and whole:
                 spread.append((uid, n, int(key)))
             if more:
@@ -213,91 +229,81 @@ def _blocks(percent: int, ordered: bool, whole: bool = False):
                 for r in np.unique(root):
                     mine = np.flatnonzero(root == r)
                     top = mine[m[np.ix_(mine, mine)].sum(axis=1, dtype=np.int64).argmax()]
-                    leaders.append((int(key), label[top], int(uid[top]), int(n[top]), s[top].tobytes()))
+                    leaders.append((int(key), label[top].tobytes(), int(uid[top]), int(n[top]), s[top].tobytes()))
 
         def out():
-            a = np.concatenate([x for x, _ in pairs]) if pairs else np.zeros(0, np.int64)
-            b = np.concatenate([y for _, y in pairs]) if pairs else np.zeros(0, np.int64)
-            mu = np.concatenate([x for x, _ in members]) if members else np.zeros(0, np.int64)
-            mb = np.concatenate([np.full(len(x), k) for x, k in members]) if members else np.zeros(0, np.int64)
+            joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+            a, b, f = (joined([x[k] for x in pairs], t) for k, t in ((0, np.int64), (1, np.int64), (2, bool)))
+            mu, mb = joined([x for x, _ in members], np.int64), joined([np.full(len(x), k) for x, k in members], np.int64)
             lk, ll, lu, ln, ls = zip(*leaders) if leaders else ((),) * 5
-            for u, n, k in spread:
-                lk, ll, lu, ln, ls = (*lk, *[k] * len(u)), (*ll, *[None] * len(u)), (*lu, *u.tolist()), (*ln, *n.tolist()), (*ls, *[None] * len(u))
-            p, q, r = len(a), len(mu), len(lu)
+            su, sn, sk = joined([x for x, _, _ in spread], np.int64), joined([n for _, n, _ in spread], np.int64), joined([np.full(len(x), k) for x, _, k in spread], np.int64)
+            sizes = (len(a), len(mu), len(lu), len(su))
             pairs.clear(), members.clear(), leaders.clear(), spread.clear()
-            yes = lambda v, t: pa.array(v, t)
-            nul = pa.nulls
-            cat = lambda t, *x: pa.concat_arrays([y.cast(t) for y in x])
+
+            def column(kind, *parts):
+                return pa.concat_arrays([pa.nulls(k, kind) if x is None else pa.array(x, kind) for k, x in zip(sizes, parts)])
+
             i64, raw = pa.int64(), pa.binary()
             return pa.RecordBatch.from_arrays(
-                [cat(i64, yes(a, i64), yes(mu, i64), yes(lu, i64)), cat(i64, yes(b, i64), nul(q, i64), nul(r, i64)), cat(i64, nul(p, i64), yes(mb, i64), nul(r, i64)), cat(i64, nul(p + q, i64), yes(lk, i64)), cat(raw, nul(p + q, raw), yes(ll, raw)), cat(i64, nul(p + q, i64), yes(ln, i64)), cat(raw, nul(p + q, raw), yes(ls, raw))],
-                ["a", "b", "block", "key", "label", "n", "sketch"],
+                [column(i64, a, mu, lu, su), column(i64, b, None, None, None), column(pa.bool_(), f, None, None, None), column(i64, None, mb, None, None), column(i64, None, None, lk, sk), column(raw, None, None, ll, None), column(i64, None, None, ln, sn), column(raw, None, None, ls, None)],
+                ["a", "b", "first", "block", "key", "label", "n", "sketch"],
             )
 
         held = None
         cutoff = 0  # blocks of the held region that went already
-        first = True
+        first = True  # the first region of a partition may have begun before it
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, uid, n = (np.asarray(batch.column(c)) for c in ("key", "uid", "n"))
-            label = np.array(batch.column("label").to_pylist(), object)
+            label = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(-1, DEPTH - MIN_DEPTH)
             s = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
             rows = [key, label, uid, n, s] if held is None else [np.concatenate([x, y]) for x, y in zip(held, (key, label, uid, n, s))]
-            ends = np.append(np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1, len(rows[0]))
             begin = 0
-            for end in ends.tolist():
-                last = end == len(rows[0])
-                if last and end - begin <= BLOCK:
+            for end in np.append(np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1, len(rows[0])).tolist():
+                while end - begin > BLOCK:
+                    to = cut_at(rows[1], begin)
+                    solve(rows[0][begin], *(x[begin:to] for x in rows[1:]), True)
+                    begin, cutoff = to, cutoff + 1
+                if end == len(rows[0]):
                     break  # the region may go on in the next batch
-                size = end - begin
-                stop = end if not last else begin + size // BLOCK * BLOCK
-                more = ordered and first or cutoff > 0 or size > BLOCK
-                for at in range(begin, stop, BLOCK):
-                    to = min(at + BLOCK, stop)
-                    solve(rows[0][at], rows[1][at:to], rows[2][at:to], rows[3][at:to], rows[4][at:to], more)
-                if last:
-                    cutoff += 1
-                else:
-                    first, cutoff = False, 0
-                begin = stop
+                solve(rows[0][begin], *(x[begin:end] for x in rows[1:]), first or cutoff > 0)
+                begin, first, cutoff = end, False, 0
             held = [x[begin:] for x in rows]
-            if sum(len(x) for x, _ in pairs) > 20_000 or len(leaders) > 5_000 or len(members) > 50 or len(spread) > 50:
+            if sum(len(x[0]) for x in pairs) > 20_000 or len(leaders) > 5_000 or len(members) > 50 or len(spread) > 50:
                 yield out()
         if held is not None and len(held[0]):
-            solve(held[0][0], *held[1:], ordered or cutoff > 0)
+            solve(held[0][0], *held[1:], True)
         yield out()
 
     return run
 
 
 def candidates(reps: DataFrame, percent: int) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
-    """Candidate pairs (a < b) and members of large blocks (uid, block), level by level, and the rows of regions of several blocks (key, uid, n)."""
+    """Candidate pairs (a < b, first), members of large blocks (uid, block), level by level, and the rows of regions of several blocks (key, uid, n)."""
     spark = reps.sparkSession
     rows = reps.select("uid", F.col("n_shingles").alias("n"), "sketch", F.posexplode("keys").alias("tree", "key"))
     label = F.expr(f"substring(sketch, tree * {DEPTH} + {MIN_DEPTH + 1}, {DEPTH - MIN_DEPTH})")
     rows = rows.select("key", label.alias("label"), "uid", "n", "sketch")
-    pairs, members, regions, n, before = [], [], None, None, None
+    pairs, members, regions, before, parts = [], [], None, None, partitions(spark)
     while True:
-        ordered = n is None or n > FEW_LEADERS
-        parts = partitions(spark)
-        dealt = rows.repartitionByRange(parts, "key", "label", "uid") if ordered else rows.repartition(parts, "key")
-        found = written(dealt.sortWithinPartitions("key", "label", "uid").mapInArrow(_blocks(percent, ordered, regions is None), FOUND), "found")
-        pairs.append(found.where("b IS NOT NULL").select("a", "b"))
+        dealt = rows.repartitionByRange(parts, "key", "label", "uid").sortWithinPartitions("key", "label", "uid")
+        found = written(dealt.mapInArrow(_blocks(percent, regions is None), FOUND), "found")
+        pairs.append(found.where("b IS NOT NULL").select("a", "b", "first"))
         members.append(found.where("block IS NOT NULL").select(F.col("a").alias("uid"), "block", F.lit(len(members)).alias("level")))
         if regions is None:  # the leaders of later levels are rows of these regions
             regions = found.where("key IS NOT NULL AND label IS NULL").select("key", F.col("a").alias("uid"), "n")
         rows = found.where("label IS NOT NULL").select("key", "label", F.col("a").alias("uid"), "n", "sketch")
-        # each region ends for itself: with one leader, or with hardly fewer than it had before
-        now = rows.groupBy("key").agg(F.count("*").alias("leaders"))
-        going = now.where("leaders > 1")
+        # a region ends for itself: with one leader, or where a round removes hardly any (step 6 compares all its rows anyway)
+        going = rows.groupBy("key").agg(F.count("*").alias("leaders")).where("leaders > 1")
         if before is not None:
             going = going.join(before.withColumnRenamed("leaders", "had"), "key", "left").where("had IS NULL OR leaders <= 0.9 * had").select("key", "leaders")
         before = written(going, "regions")
-        n = before.agg(F.sum("leaders")).first()[0] or 0
+        n = before.agg(F.sum("leaders")).first()[0]
         if not n:
             return pairs, members, regions
         rows = rows.join(before.select("key"), "key", "left_semi")
+        parts = min(partitions(spark), 1 + n // (8 * BLOCK))  # partitions of several blocks
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -404,30 +410,41 @@ def rooted(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     reps = written(reps.select(*names, F.col("r.uid").alias("rep"), F.col("r.doc_id").alias("rep_doc")), "reps")
     alone = sig.where("n_shingles > 0").join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi")
     pairs, members, regions = candidates(alone.select("uid", "n_shingles", "sketch", "keys"), percent)
-    sets = sig.select("uid", "shingles", "n_shingles")
-    tried = _all(pairs).distinct()
-    links = written(confirmed(tried, sets, percent), "links")
-    roots = written(components(links), "roots")
     inside = _all(members)
+    pairs = written(_all(pairs).groupBy("a", "b").agg(F.max("first").alias("first")), "pairs")
+    ids = _all([pairs.select(F.col("a").alias("uid")), pairs.select(F.col("b").alias("uid")), inside.select("uid"), regions.select("uid")]).distinct()
+    ids = written(ids, "ids")
+    few = ids.count() <= FEW_IDS
+    sets = written(sig.select("uid", "shingles", "n_shingles").join(F.broadcast(ids) if few else ids, "uid", "left_semi"), "sets")
+    links = written(confirmed(pairs.where("first"), sets, percent), "links")
+    roots = written(components(links), "roots")
+
+    def joined(new: DataFrame) -> None:
+        nonlocal links, roots
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            roots = written(components(links), "roots")
+
+    def rooted_as(rows: DataFrame, uid: str, root: str) -> DataFrame:
+        return rows.join(roots.select(F.col("node").alias(uid), F.col("root").alias("found")), uid, "left").withColumn(root, F.coalesce("found", uid)).drop("found")
+
+    rest = rooted_as(rooted_as(pairs.where("NOT first"), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
+    joined(written(confirmed(rest, sets, percent), "links"))
     if not inside.isEmpty():
-        held = inside.join(roots, inside.uid == roots.node, "left").select("uid", "block", "level", F.coalesce("root", "uid").alias("root"))
-        held = written(held, "members")
+        held = written(rooted_as(inside, "uid", "root").select("uid", "block", "level", "root"), "members")
         open_ = held.groupBy("level", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("level", "block")
         rows = held.join(open_, ["level", "block"], "left_semi")
         rows = rows.select("uid", "root", (F.col("block") * 64 + F.col("level")).alias("block")).join(sets, "uid")
-        rows = rows.select("block", "uid", "root", F.col("n_shingles").alias("n"), "shingles")
-        new = linked_across(rows, percent)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            roots = written(components(links), "roots")
+        joined(linked_across(rows.select("block", "uid", "root", F.col("n_shingles").alias("n"), "shingles"), percent))
     if not regions.isEmpty():
-        rows = across_blocks(regions, roots, percent).join(sets.select("uid", "shingles"), "uid").select("block", "uid", "root", "n", "shingles")
-        new = linked_across(rows, percent)
-        if not new.isEmpty():
-            roots = written(components(links.unionByName(new)), "roots")
-    labelled = reps.join(roots, reps.rep == roots.node, "left").select(*names, "rep_doc", F.coalesce("root", "rep").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("rep_doc").alias("component_id"))
-    labelled = labelled.join(least, "root").select(*names, "component_id", "root")
+        rows = across_blocks(regions, roots, percent).join(sets.select("uid", "shingles"), "uid")
+        joined(linked_across(rows.select("block", "uid", "root", "n", "shingles"), percent))
+    # the smallest id of each component, given to its rows in SALT parts
+    linked = roots.join(reps.select(F.col("rep").alias("node"), "rep_doc"), "node")
+    least = linked.groupBy("root").agg(F.min("rep_doc").alias("least")).select("root", "least", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part"))
+    linked = roots.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")).join(least, ["root", "part"]).select(F.col("node").alias("rep"), "root", "least")
+    labelled = reps.join(linked, "rep", "left")
+    labelled = labelled.select(*names, F.when(F.col("root").isNull(), F.col("rep_doc")).otherwise(F.col("least")).alias("component_id"), F.coalesce("root", "rep").alias("root"))
     out = sig.select("doc_id", "name", "n_shingles", *names).join(labelled, names)
     return out.select("doc_id", "name", "n_shingles", "component_id", "root")
 

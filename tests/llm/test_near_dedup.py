@@ -92,6 +92,19 @@ def test_deduplicated_and_empty_table(spark):
 def test_sets_survive_the_packing():
     s = np.sort(np.random.default_rng(1).integers(0, 2**63, 50).astype(np.uint64))
     assert (near_dedup.unpacked48(near_dedup.packed48(s)) == s >> np.uint64(16)).all()
+    alike = np.sort(np.append(s, s[7] ^ np.uint64(1)))  # equal in 48 bits: kept once, so it can't count as shared
+    assert (near_dedup.unpacked48(near_dedup.packed48(alike)) == s >> np.uint64(16)).all()
+    assert near_dedup.packed48(s[:0]) == b""
+
+
+def test_regions_are_cut_at_the_shortest_common_prefix():
+    n = near_dedup.BLOCK
+    labels = np.zeros((n + 200, 5), np.uint8)
+    labels[300:, 1] = 1  # 300 rows share the first byte and the second with each other
+    labels[400:, 3] = 2
+    assert near_dedup.cut_at(labels, 0) == 300
+    assert near_dedup.cut_at(labels[300:].repeat(3, axis=0), 0) == 300  # deeper where the prefix is longer
+    assert near_dedup.cut_at(np.zeros((n + 1, 5), np.uint8), 0) == n  # rows alike in the whole label: as many as fit
 
 
 def test_components_of_chains_and_stars(spark):
