@@ -25,7 +25,8 @@ SELECT o.o_orderkey + 1 AS id, o.o_custkey % 50 + 1 AS user_id,
   CASE o.o_orderpriority WHEN '1-URGENT' THEN '增值税专用发票' WHEN '2-HIGH' THEN '数电普票' WHEN '3-MEDIUM' THEN '电子发票（铁路电子客票）' WHEN '5-LOW' THEN '收据' ELSE '未知' END AS invoice_type,
   CASE WHEN o.o_orderkey % 29 = 0 THEN 'saas_invoice' WHEN o.o_orderkey % 31 = 0 THEN CAST(NULL AS STRING) WHEN o.o_orderkey % 5 = 0 THEN 'overseas_invoice' WHEN o.o_orderkey % 7 = 0 THEN 'receipt' WHEN o.o_orderkey % 11 = 0 THEN 'proforma' ELSE 'vat_invoice' END AS invoice_category,
   CASE WHEN o.o_orderkey % 3 = 0 THEN CAST(NULL AS STRING) ELSE CONCAT('Order "', o.o_orderpriority, '", ', c.c_mktsegment) END AS item_summary,
-  CONCAT(CAST(o.o_custkey % 50 + 1 AS STRING), '/', CAST(o.o_orderkey % 700 AS STRING), '.pdf') AS file_path,
+  CASE WHEN o.o_orderkey % 19 = 0 THEN CONCAT('users/', CAST(o.o_custkey % 50 + 1 AS STRING), '/invoices/', CAST(o.o_orderkey % 700 AS STRING), '.pdf')
+       ELSE CONCAT(CAST(o.o_custkey % 50 + 1 AS STRING), '/', CAST(o.o_orderkey % 700 AS STRING), '.pdf') END AS file_path,
   CONCAT('发票号码：', CAST(10000000 + o.o_orderkey AS STRING)) AS raw_text,
   CONCAT('m', CAST(o.o_orderkey % 4000 AS STRING)) AS email_uid, o.o_custkey % 120 + 1 AS email_account_id,
   CASE o.o_orderstatus WHEN 'F' THEN 'pdf' WHEN 'O' THEN 'xml' ELSE 'ofd' END AS source_format,
@@ -38,11 +39,14 @@ FROM {customer}""",
     "email_accounts": """
 SELECT s_suppkey + 1 AS id, s_suppkey % 50 + 1 AS user_id, s_name AS name,
   CASE WHEN s_suppkey % 4 = 0 THEN 'imap' WHEN s_suppkey % 4 = 1 THEN 'pop3' WHEN s_suppkey % 4 = 2 THEN 'outlook' ELSE 'qq' END AS type,
-  CONCAT('imap', CAST(s_nationkey AS STRING), '.example') AS host, CONCAT(s_name, '@', CASE WHEN s_suppkey % 3 = 0 THEN 'outlook.com' ELSE 'corp.example' END) AS username,
+  CASE WHEN s_nationkey % 6 = 0 THEN 'IMAP.qq.com' ELSE CONCAT('imap', CAST(s_nationkey AS STRING), '.example') END AS host, CONCAT(s_name, '@', CASE WHEN s_suppkey % 3 = 0 THEN 'outlook.com' WHEN s_suppkey % 7 = 1 THEN 'LIVE.co.uk' ELSE 'corp.example' END) AS username,
   s_acctbal > 0 AS is_active,
   CASE WHEN s_suppkey % 5 = 0 THEN CAST(NULL AS STRING) WHEN s_suppkey % 5 = 1 THEN CAST(s_suppkey * 37 AS STRING)
        WHEN s_suppkey % 5 = 2 THEN '[1, 2]' ELSE CONCAT('{"INBOX": {"uid": "', CAST(s_suppkey * 11 AS STRING), '", "uidvalidity": "7", "uidnext": "', CAST(s_suppkey * 11 + 1 AS STRING), '", "messages": "', CAST(s_suppkey AS STRING), '"}}') END AS last_scan_uid,
-  CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS created_at, CASE WHEN s_suppkey % 2 = 0 THEN 'secret' ELSE '' END AS password_encrypted
+  CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS created_at, CASE WHEN s_suppkey % 2 = 0 THEN 'secret' ELSE '' END AS password_encrypted,
+  CAST(993 + s_suppkey % 3 AS INT) AS port, CASE WHEN s_suppkey % 4 = 2 THEN 'personal' ELSE CAST(NULL AS STRING) END AS outlook_account_type,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'secret' ELSE '' END AS secondary_credential_encrypted, CASE WHEN s_suppkey % 5 = 0 THEN 'secret' ELSE CAST(NULL AS STRING) END AS secondary_password_encrypted,
+  CASE WHEN s_suppkey % 7 = 0 THEN 'secret' ELSE CAST(NULL AS STRING) END AS totp_secret_encrypted, CASE WHEN s_suppkey % 2 = 1 THEN '{}' ELSE '' END AS playwright_storage_state
 FROM {supplier}""",
     "extraction_logs": """
 SELECT event_id + 1 AS id, user_id % 50 + 1 AS user_id, CAST(FLOOR(event_id / 20.0) AS BIGINT) + 1 AS scan_log_id,
@@ -53,7 +57,8 @@ SELECT event_id + 1 AS id, user_id % 50 + 1 AS user_id, CAST(FLOOR(event_id / 20
   CASE WHEN event_id % 7 = 0 THEN CAST(NULL AS INT) ELSE CAST(event_id % 3 + 1 AS INT) END AS classification_tier,
   CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 5 = 1 THEN CAST(NULL AS STRING) WHEN event_id % 5 = 2 THEN 'qr' WHEN event_id % 5 = 3 THEN 'llm' ELSE 'regex' END AS parse_method,
   CASE WHEN event_id % 6 = 0 THEN CAST(10000000 + event_id AS STRING) WHEN event_id % 6 = 1 THEN '' ELSE CAST(NULL AS STRING) END AS invoice_no,
-  value / 100 AS confidence, ts AS created_at, value
+  value / 100 AS confidence, ts AS created_at, value, CASE WHEN event_id % 10 = 0 THEN 'xml' ELSE 'pdf' END AS parse_format,
+  CASE WHEN event_id % 8 = 0 THEN 'rejected' ELSE CAST(NULL AS STRING) END AS download_outcome, CASE WHEN event_id % 9 = 4 THEN CONCAT('failed: ', props) ELSE CAST(NULL AS STRING) END AS error_detail
 FROM {events}""",
     "scan_logs": """
 SELECT scan_log_id AS id, MIN(user_id) AS user_id, MIN(user_id) * 2 AS email_account_id, MIN(created_at) AS started_at,
@@ -69,15 +74,16 @@ SELECT doc_id AS email_id, doc_id % 120 + 1 AS account_id, CASE WHEN doc_id % 3
   COALESCE(text, '') AS body_text,
   CASE WHEN doc_id % 12 = 0 THEN CONCAT('scan', CAST(doc_id AS STRING), '.PDF') WHEN doc_id % 12 = 1 THEN 'photo.jpg' WHEN doc_id % 12 = 2 THEN 'data.xml' WHEN doc_id % 12 = 3 THEN 'noext' ELSE CAST(NULL AS STRING) END AS attachment,
   CASE WHEN doc_id % 6 = 0 THEN CONCAT('https://', source, '.example/d/', CAST(doc_id AS STRING), '.pdf?x=1') WHEN doc_id % 6 = 1 THEN CONCAT('https://click.mail.', source, '.example/a') WHEN doc_id % 6 = 2 THEN CONCAT('http://', source, '.example/Track/', CAST(doc_id AS STRING)) WHEN doc_id % 6 = 3 THEN CONCAT('http://', source, '.example/logo.PNG') ELSE CAST(NULL AS STRING) END AS link,
-  CASE WHEN doc_id % 15 = 0 THEN 'List-Unsubscribe' WHEN doc_id % 15 = 1 THEN 'X-Mailer' ELSE CAST(NULL AS STRING) END AS header,
+  CASE WHEN doc_id % 24 = 0 THEN CONCAT('scan', CAST(doc_id AS STRING), '.ofd') WHEN doc_id % 36 = 2 THEN 'data.xml' ELSE CAST(NULL AS STRING) END AS attachment2,
+  doc_id % 120 % 50 + 1 AS user_id, CASE WHEN doc_id % 15 = 0 THEN 'List-Unsubscribe' WHEN doc_id % 15 = 1 THEN 'X-Mailer' ELSE CAST(NULL AS STRING) END AS header,
   CAST('2024-01-01 00:00:00' AS TIMESTAMP) + CAST(doc_id % 300 AS INT) * INTERVAL '1' HOUR AS received_at
 FROM {documents}""",
     "parse_texts": """
 SELECT o.o_orderkey AS id,
   CONCAT(CASE WHEN o.o_orderkey % 9 = 0 THEN '行程单 ' WHEN o.o_orderkey % 9 < 5 THEN '电子发票（普通发票） ' ELSE '收据 ' END,
-    '发票号码：', CASE WHEN o.o_orderkey % 8 = 0 THEN '12' ELSE CAST(10000000 + o.o_orderkey AS STRING) END, CHR(10),
+    '发票号码：', CASE WHEN o.o_orderkey % 12 = 5 THEN '　' ELSE '' END, CASE WHEN o.o_orderkey % 8 = 0 THEN '12' ELSE CAST(10000000 + o.o_orderkey AS STRING) END, CHR(10),
     '开票日期: ', CAST(1995 + o.o_orderkey % 30 AS STRING), '年', CAST(o.o_orderkey % 14 AS STRING), '月', CAST(o.o_orderkey % 31 + 1 AS STRING), '日', CHR(10),
-    '购买方 名称：', c.c_name, CHR(10), '销 售 方信息 名 称: Seller ', c.c_mktsegment, CHR(10),
+    '购买方 名称：', CASE WHEN o.o_orderkey % 12 = 7 THEN '　' ELSE '' END, c.c_name, CHR(10), '销 售 方信息 名 称: Seller ', c.c_mktsegment, CHR(10),
     CASE WHEN o.o_orderkey % 2 = 0 THEN '税率 13% 税额' ELSE '' END,
     CASE WHEN o.o_orderkey % 5 = 0 THEN '合 计 ¥ ' WHEN o.o_orderkey % 5 = 1 THEN '无金额 ' ELSE '价税合计（大写）壹佰圆 ￥' END, CAST(CAST(o.o_totalprice AS DECIMAL(12,2)) AS STRING),
     CASE WHEN o.o_orderkey % 25 = 0 THEN ' (cid:1)(cid:22)(cid:3)(cid:4)(cid:5)(cid:6)' ELSE '' END) AS raw_text,
@@ -90,7 +96,7 @@ SELECT l_orderkey * 10 + l_linenumber AS cand_id, l_suppkey % 50 + 1 AS user_id,
   CASE WHEN l_linenumber = 1 THEN '未知' ELSE CONCAT('Buyer ', CAST(l_partkey % 30 AS STRING)) END AS buyer,
   CASE WHEN l_linenumber = 2 THEN CAST(NULL AS STRING) ELSE CONCAT('Seller ', CAST(l_suppkey AS STRING)) END AS seller,
   CASE WHEN l_partkey % 9 = 0 THEN CAST(0.01 AS DECIMAL(12,2)) WHEN l_partkey % 9 = 1 THEN CAST(NULL AS DECIMAL(12,2)) ELSE CAST(l_extendedprice AS DECIMAL(12,2)) END AS amount,
-  CAST(l_shipdate AS DATE) AS invoice_date,
+  CASE WHEN l_partkey % 11 = 0 THEN CAST(NULL AS DATE) ELSE CAST(l_shipdate AS DATE) END AS invoice_date,
   CASE l_linenumber WHEN 1 THEN '电子发票（铁路电子客票）' WHEN 2 THEN '数电普票(补)' WHEN 3 THEN '01' WHEN 4 THEN '收据' WHEN 5 THEN '' ELSE '增值税专用发票' END AS invoice_type,
   CASE WHEN l_partkey % 3 = 0 THEN CAST(NULL AS STRING) WHEN l_partkey % 37 = 0 THEN '加微信 abcdef1' ELSE CONCAT('Part ', CAST(l_partkey AS STRING)) END AS item_summary,
   CASE WHEN l_partkey % 8 = 0 THEN '' WHEN l_partkey % 8 = 1 THEN '铁路客运' ELSE '发票号码 税率 价税合计 数电专票' END AS raw_text,
@@ -98,19 +104,33 @@ SELECT l_orderkey * 10 + l_linenumber AS cand_id, l_suppkey % 50 + 1 AS user_id,
   CAST(l_partkey % 101 AS DOUBLE) / 100 AS confidence, l_linenumber % 2 = 0 AS is_vat_document,
   CASE WHEN l_partkey % 6 = 0 THEN CAST(NULL AS BOOLEAN) ELSE l_partkey % 6 < 3 END AS x_valid,
   CASE WHEN l_partkey % 5 = 0 THEN 'receipt' ELSE 'vat_invoice' END AS x_category,
-  CASE WHEN l_partkey % 7 = 0 THEN '未知' ELSE 'X Buyer' END AS x_buyer, CAST(l_quantity AS DECIMAL(12,2)) AS x_amount, CAST(l_partkey % 90 AS DOUBLE) / 100 AS x_confidence,
+  CASE WHEN l_partkey % 7 = 0 THEN '未知' ELSE 'X Buyer' END AS x_buyer, CAST(CASE WHEN l_partkey % 13 = 0 THEN 0.05 WHEN l_partkey % 13 = 1 THEN 0.00 ELSE l_quantity END AS DECIMAL(12,2)) AS x_amount,
+  CASE WHEN l_partkey % 8 = 3 THEN '' ELSE 'X Seller' END AS x_seller, CONCAT('X ', CAST(l_partkey % 4 AS STRING)) AS x_item_summary, CASE WHEN l_partkey % 9 = 2 THEN '未知' ELSE '数电专票' END AS x_invoice_type,
+  CASE WHEN l_partkey % 12 = 1 THEN '' ELSE CONCAT('9', CAST(1000000 + l_orderkey AS STRING)) END AS x_invoice_no, CAST('2024-03-04' AS DATE) AS x_invoice_date, CAST(l_partkey % 90 AS DOUBLE) / 100 AS x_confidence,
   l_shipdate AS received_at, CONCAT('m', CAST(l_orderkey AS STRING)) AS email_uid, CONCAT('file', CAST(l_linenumber AS STRING), '.pdf') AS filename
 FROM {lineitem}""",
     "listing": """
-SELECT CONCAT(CAST(p_partkey % 60 + 1 AS STRING), '/', CAST(p_partkey % 700 AS STRING), '.pdf') AS path, COUNT(*) AS n, SUM(p_size) AS size FROM {part} GROUP BY p_partkey % 60, p_partkey % 700""",
+SELECT path, COUNT(*) AS n, SUM(size) AS size FROM (
+  SELECT CONCAT(CAST(p_partkey % 60 + 1 AS STRING), '/', CAST(p_partkey % 700 AS STRING), '.pdf') AS path, p_size AS size FROM {part}
+  UNION ALL SELECT CONCAT('users/', CAST(p_partkey % 60 + 1 AS STRING), '/invoices/', CAST(p_partkey % 350 AS STRING), '.pdf'), p_size FROM {part}
+  UNION ALL SELECT CONCAT('users/', CAST(p_partkey * 7 AS STRING), CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE '' END, '/invoices/a.pdf'), p_size FROM {part}) f GROUP BY path""",
+    "attachments": """
+SELECT e.email_id, e.attachment AS filename, 0 AS position, p.raw_text, p.qr, 'pdf' AS source_format FROM ({emails}) e JOIN ({parse_texts}) p ON p.id = e.email_id WHERE e.attachment IS NOT NULL
+UNION ALL SELECT e.email_id, e.attachment2, 1, CONCAT('copy ', p.raw_text), '', 'ofd' FROM ({emails}) e JOIN ({parse_texts}) p ON p.id = e.email_id WHERE e.attachment2 IS NOT NULL AND e.attachment2 <> e.attachment""",
+    "correction_logs": """
+SELECT event_id AS id, user_id % 50 + 1 AS user_id, event_id % 1000 + 1 AS invoice_id, event_type AS field_name, CAST(event_id AS STRING) AS new_value, ts AS corrected_at FROM {events}""",
+    "webhook_logs": """
+SELECT event_id AS id, user_id % 50 + 1 AS user_id, 'invoice.created' AS event, CAST(200 + user_id * 3 AS INT) AS status_code, ts AS created_at FROM {events}""",
+    "app_settings": """
+SELECT n_name AS key, CASE WHEN n_nationkey % 3 = 0 THEN '' WHEN n_nationkey % 3 = 1 THEN CAST(NULL AS STRING) ELSE 'set' END AS value FROM {nation}""",
     "llm_cache": """
-SELECT p_partkey AS id, CONCAT('h', CAST(p_partkey AS STRING)) AS content_hash, CASE WHEN p_partkey % 3 = 0 THEN 'classify' WHEN p_partkey % 3 = 1 THEN 'analyze_email' ELSE 'extract_invoice' END AS prompt_type,
+SELECT p_partkey AS id, CONCAT('h', CAST(p_partkey AS STRING)) AS content_hash, CASE WHEN p_partkey % 3 = 0 THEN 'classify' WHEN p_partkey % 3 = 1 THEN 'analyze_email_v3' ELSE 'extract_invoice' END AS prompt_type,
   p_name AS response_json, CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS created_at,
   CASE WHEN p_partkey % 4 = 0 THEN CAST(NULL AS TIMESTAMP) ELSE CAST('2024-01-01 00:00:00' AS TIMESTAMP) + p_size * INTERVAL '1' DAY END AS expires_at
 FROM {part}""",
     "saved_views": """
 SELECT s_suppkey + 1 AS id, s_suppkey % 50 + 1 AS user_id, s_name AS name, CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS created_at,
-  CASE WHEN s_suppkey % 3 = 0 THEN '{}' WHEN s_suppkey % 3 = 1 THEN CONCAT('{"q": "", "date_from": "199', CAST(s_suppkey % 5 + 5 AS STRING), '-03-01", "date_to": null}') ELSE CONCAT('{"date_from": "1996-01-01", "date_to": "199', CAST(s_suppkey % 4 + 6 AS STRING), '-12-31"}') END AS filter_json
+  CASE WHEN s_suppkey % 3 = 0 THEN '{}' WHEN s_suppkey % 9 = 4 THEN CONCAT('{"q": "Seller ', CAST(s_suppkey % 23 AS STRING), '", "date_from": "1995-02-01"}') WHEN s_suppkey % 9 = 5 THEN '{"q": "no-such-word"}' WHEN s_suppkey % 3 = 1 THEN CONCAT('{"q": "", "date_from": "199', CAST(s_suppkey % 5 + 5 AS STRING), '-03-01", "date_to": null}') ELSE CONCAT('{"date_from": "1996-01-01", "date_to": "199', CAST(s_suppkey % 4 + 6 AS STRING), '-12-31"}') END AS filter_json
 FROM {supplier}""",
     "sessions": """
 SELECT event_id AS id, user_id + 1 AS user_id, CONCAT('t', CAST(event_id AS STRING)) AS token_hash, ts AS created_at, ts + CAST(FLOOR(value) AS INT) * INTERVAL '1' HOUR AS expires_at,

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docspend.functions.text import contains_any
+from docspend.functions.text import contains_any, strip
 from docspend.schemas import (
-    CATEGORIES, E_TICKET_MARKERS, E_TICKET_TYPES, NON_INVOICE_MARKERS, SENTINEL, UNKNOWN, VALID_TYPES, VAT_REQUIRED_MARKERS, VAT_TYPE_MARKERS,
+    CATEGORIES, E_TICKET_MARKERS, E_TICKET_TYPES, NON_INVOICE_MARKERS, SENTINEL, SPACE, UNKNOWN, VALID_TYPES, VAT_REQUIRED_MARKERS, VAT_TYPE_MARKERS,
 )
 
-NUMBER = r"发票号码[：:\s]*(\d{8,20})"
-DATE = r"开票日期[：:\s]*(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日"
-BUYER = r"购\s*买\s*方[^\n]*?名\s*称[：:\s]*([^\n]+?)(?:\n|纳税|统一)"
-SELLER = r"销\s*售\s*方[^\n]*?名\s*称[：:\s]*([^\n]+?)(?:\n|纳税|统一)"
-TOTAL = r"价税合计[（(]大写[）)][^\n]*?[¥￥]\s*([\d,]+\.\d{2})"
-TOTAL_ELSE = r"合\s*计[^\n]*?[¥￥]\s*([\d,]+\.\d{2})"
+# Fixed patterns: they must equal the expected ones for right results.  White space and digits are
+# those of Unicode, and [^\n] stands for any character but a line feed: Java's dot stops at more.
+NUMBER = rf"发票号码[：:{SPACE}]*(\p{{Nd}}{{8,20}})"
+DATE = rf"开票日期[：:{SPACE}]*(\p{{Nd}}{{4}})[{SPACE}]*年[{SPACE}]*(\p{{Nd}}{{1,2}})[{SPACE}]*月[{SPACE}]*(\p{{Nd}}{{1,2}})[{SPACE}]*日"
+BUYER = rf"购[{SPACE}]*买[{SPACE}]*方[^\n]*?名[{SPACE}]*称[：:{SPACE}]*([^\n]+?)(?:\n|纳税|统一)"
+SELLER = rf"销[{SPACE}]*售[{SPACE}]*方[^\n]*?名[{SPACE}]*称[：:{SPACE}]*([^\n]+?)(?:\n|纳税|统一)"
+TOTAL = rf"价税合计[（(]大写[）)][^\n]*?[¥￥][{SPACE}]*([\p{{Nd}},]+\.\p{{Nd}}{{2}})"
+TOTAL_ELSE = rf"合[{SPACE}]*计[^\n]*?[¥￥][{SPACE}]*([\p{{Nd}},]+\.\p{{Nd}}{{2}})"
 QR_CODES = ("01", "03", "04", "08", "10", "11", "14", "15")
 
 
@@ -24,14 +28,23 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+WIDE = "０１２３４５６７８９"
+
+
+def narrow(text: Column) -> Column:
+    """Full-width digits as ASCII ones."""
+    return F.translate(text, WIDE, "0123456789")
+
+
 def day(year: Column, month: Column, dom: Column) -> Column:
     """A date, null if there is no such day."""
+    year, month, dom = narrow(year), narrow(month), narrow(dom)
     text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(dom, 2, "0"))
     return F.when(year.isNotNull() & month.isNotNull() & dom.isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def amount(text: Column) -> Column:
-    return F.trim(F.replace(text, F.lit(","), F.lit(""))).try_cast("decimal(12,2)")
+    return narrow(strip(F.replace(text, F.lit(","), F.lit("")))).try_cast("decimal(12,2)")
 
 
 def qr_date(text: Column) -> Column:
@@ -59,8 +72,8 @@ def fields(text: Column) -> dict[str, Column]:
     return {
         "invoice_no": found(text, NUMBER),
         "invoice_date": day(*(found(text, DATE, i) for i in (1, 2, 3))),
-        "buyer": F.trim(found(text, BUYER)),
-        "seller": F.trim(found(text, SELLER)),
+        "buyer": strip(found(text, BUYER)),
+        "seller": strip(found(text, SELLER)),
         "amount": amount(F.coalesce(found(text, TOTAL), found(text, TOTAL_ELSE))),
     }
 
@@ -122,10 +135,16 @@ def safe_component(text: Column, most: int = 40) -> Column:
     return F.when(clean == "", "unknown").otherwise(clean)
 
 
+def clean_extension(extension: str) -> str:
+    """Letters, digits, dots, _ and - only, with a dot in front; a PDF's if nothing is left."""
+    clean = re.sub(r"[^A-Za-z0-9._-]", "", extension.strip())
+    return clean if clean.startswith(".") else f".{clean}" if clean else ".pdf"
+
+
 def canonical_name(buyer: Column, seller: Column, invoice_no: Column, date: Column, total: Column, extension: str = ".pdf") -> Column:
     stamp = F.coalesce(F.date_format(date, "yyyyMMdd"), F.lit("unknown"))
     money = F.coalesce(total, F.lit(0)).cast("decimal(12,2)").cast("string")
-    return F.concat(F.concat_ws("_", safe_component(buyer), safe_component(seller), safe_component(invoice_no), stamp, money), F.lit(extension))
+    return F.concat(F.concat_ws("_", safe_component(buyer), safe_component(seller), safe_component(invoice_no), stamp, money), F.lit(clean_extension(extension)))
 
 
 def is_traversal(path: Column) -> Column:
@@ -140,8 +159,16 @@ def category(raw: Column) -> Column:
     return F.when(raw.isNull(), CATEGORIES[0]).when(raw == "saas_invoice", "overseas_invoice").otherwise(raw)
 
 
-def expiry(prompt_type: Column, created: Column) -> Column:
-    return created + F.when(prompt_type.isin("classify", "analyze_email"), F.expr("INTERVAL 7 DAYS")).otherwise(F.expr("INTERVAL 365 DAYS"))
+#: Prompts whose answers grow old soon.
+SHORT_LIVED = ("classify", "analyze_email_v3")
+
+
+def content_hash(prompt_type: str, text: Column) -> Column:
+    return F.sha2(F.concat(F.lit(f"{prompt_type}:"), text), 256)
+
+
+def expiry(prompt_type: Column, created: Column, short: str = "7 DAYS") -> Column:
+    return created + F.when(prompt_type.isin(*SHORT_LIVED), F.expr(f"INTERVAL {short}")).otherwise(F.expr("INTERVAL 365 DAYS"))
 
 
 def file_format(name: Column, head: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspend.functions.state import parse_state, uid_order
 from docspend.schemas import CATEGORIES, OUTCOME_PRIORITY
 
 MONEY = "decimal(24,2)"
@@ -74,47 +75,63 @@ def avg_confidence(df: DataFrame) -> DataFrame:
     return df.agg(F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("avg_confidence"))
 
 
+def monthly_lists(df: DataFrame) -> DataFrame:
+    """currency, monthly_spend: the months of each currency in order."""
+    rows = monthly_by_currency(df).groupBy("currency")
+    return rows.agg(F.sort_array(F.collect_list(F.struct("month", "total", F.col("n").alias("count")))).alias("monthly_spend"))
+
+
+def scan_headline(accounts: DataFrame, logs: DataFrame) -> DataFrame:
+    """active_accounts, last_scan_at, last_scan_found of each tenant that has accounts."""
+    active = accounts.groupBy("user_id").agg(F.count(F.when(F.col("is_active"), 1)).alias("active_accounts"))
+    last = logs.groupBy("user_id").agg(F.max_by(F.struct("started_at", "invoices_found"), F.struct("started_at", "id")).alias("last"))
+    return active.join(last, "user_id", "full").select("user_id", F.coalesce("active_accounts", F.lit(0)).alias("active_accounts"), F.col("last.started_at").alias("last_scan_at"), F.col("last.invoices_found").alias("last_scan_found"))
+
+
 def spend_stats(invoices: DataFrame, logs: DataFrame, accounts: DataFrame, as_of: str, user_id: int | None = None, k: int = 10) -> DataFrame:
-    """The whole statistics document, a row a tenant, in one pass over the invoices.
+    """The whole statistics document, a row a tenant, from one scan and one shuffle of the invoices.
 
-    Every breakdown is a sum over one (tenant, month, seller, type, category, method) table, so the
-    invoices are shuffled once; the breakdowns regroup that much smaller table.
+    Every invoice counts once for each breakdown, which folds in its task to a row for each
+    (tenant, breakdown, key).  Sellers are ranked before they are gathered, so that a tenant's
+    document holds k of them however many there are.
     """
     if user_id is not None:
         invoices, logs, accounts = (x.where(F.col("user_id") == user_id) for x in (invoices, logs, accounts))
+    c = F.col
     start = F.trunc(F.lit(as_of).cast("date"), "month")
-    this = (F.col("invoice_date") >= start) & (F.col("invoice_date") < F.add_months(start, 1))
-    keys = ["user_id", "month", "seller", "invoice_type", "invoice_category", "extraction_method", "currency"]
-    cube = invoices.select("*", month().alias("month"), currency().alias("currency"), this.alias("this")).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum("amount").alias("s"), F.sum(F.when(F.col("this"), 1).otherwise(0)).alias("n_this"), F.sum(F.when(F.col("this"), F.col("amount"))).alias("s_this"), F.sum("confidence").alias("c"), F.count("confidence").alias("nc"),
+    this = (c("invoice_date") >= start) & (c("invoice_date") < F.add_months(start, 1))
+    none = F.lit(None).cast("string")
+    of = {"all": none, "month": month(), "seller": c("seller"), "type": c("invoice_type"), "category": c("invoice_category"), "method": c("extraction_method"), "currency": currency(), "both": currency()}
+    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), key.alias("key"), (month() if kind == "both" else none).alias("sub")) for kind, key in of.items()))
+    rows = invoices.select("user_id", "amount", "confidence", this.alias("this"), F.inline(kinds))
+    sums = rows.groupBy("user_id", "kind", "key", "sub").agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("amount"), F.lit(0)).cast(MONEY).alias("total"),
+        F.count(F.when(c("this"), 1)).alias("n_this"), F.coalesce(F.sum(F.when(c("this"), c("amount"))), F.lit(0)).cast(MONEY).alias("total_this"), F.avg("confidence").alias("confidence"),
     )
-    total = F.sum("s").cast(MONEY)
-    head = cube.groupBy("user_id").agg(
-        F.sum("n").alias("n"), total.alias("total"), F.sum("n_this").alias("month_n"), F.coalesce(F.sum("s_this"), F.lit(0)).cast(MONEY).alias("month_total"),
-        F.round(F.coalesce(F.sum("c") / F.sum("nc"), F.lit(0.0)), 6).alias("avg_confidence"),
+    rank = F.row_number().over(Window.partitionBy("user_id", "kind").orderBy(F.desc("total"), F.desc("n"), "key", "sub"))
+    sums = sums.withColumn("rank", rank).where((c("kind") != "seller") | (c("rank") <= k))
+    one = lambda kind, value: F.max(F.when(c("kind") == kind, value))
+
+    def listed(kind: str, key: str, order: list[Column], money: bool = True) -> Column:
+        """The sorted list of a breakdown."""
+        fields = [c("key").alias(key), *([c("total").alias("total")] if money else []), c("n").alias("count")]
+        rows = F.collect_list(F.when(c("kind") == kind, F.struct(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order))).alias("o"), F.struct(*fields).alias("v"))))
+        return F.transform(F.array_sort(rows), lambda x: x["v"])
+
+    by_month = F.array_sort(F.collect_list(F.when(c("kind") == "both", F.struct(c("key").alias("currency"), c("sub").alias("month"), "total", c("n").alias("count")))))
+    doc = sums.groupBy("user_id").agg(
+        one("all", c("n")).alias("total_invoices"), one("all", c("total")).alias("total_amount"), one("all", c("n_this")).alias("invoices_this_month"), one("all", c("total_this")).alias("amount_this_month"),
+        listed("month", "month", [c("key")]).alias("monthly_spend"), listed("seller", "seller", [c("rank")]).alias("top_sellers"), F.reverse(listed("type", "type", [c("key")], False)).alias("by_type"),
+        listed("category", "category", [-c("n"), c("key")], False).alias("by_category"), listed("method", "method", [-c("n"), c("key")], False).alias("by_method"),
+        listed("currency", "currency", [-c("total"), c("key")]).alias("by_currency"), by_month.alias("both"), F.round(F.coalesce(one("all", c("confidence")), F.lit(0.0)), 6).alias("avg_confidence"),
     )
-
-    def listed(name: str, by: list[str], order, value) -> DataFrame:
-        """Sorted list of structs for each tenant."""
-        rows = cube.groupBy("user_id", *by).agg(F.sum("n").alias("n"), total.alias("total"))
-        return rows.groupBy("user_id").agg(F.expr(f"transform(array_sort(collect_list(named_struct({order}))), x -> {value})").alias(name))
-
-    parts = [
-        listed("monthly", ["month"], "'k', month, 'n', n, 'total', total", "x"),
-        listed("top_sellers", ["seller"], "'a', -total, 'b', -n, 'k', seller, 'n', n, 'total', total", "named_struct('k', x.k, 'n', x.n, 'total', x.total)"),
-        listed("by_type", ["invoice_type"], "'k', invoice_type, 'n', n", "x"),
-        listed("by_category", ["invoice_category"], "'a', -n, 'k', invoice_category, 'n', n", "named_struct('k', x.k, 'n', x.n)"),
-        listed("by_method", ["extraction_method"], "'a', -n, 'k', extraction_method, 'n', n", "named_struct('k', x.k, 'n', x.n)"),
-        listed("by_currency", ["currency"], "'a', -total, 'k', currency, 'n', n, 'total', total", "named_struct('k', x.k, 'n', x.n, 'total', x.total)"),
-    ]
-    last = logs.groupBy("user_id").agg(F.max_by(F.struct("started_at", "invoices_found"), F.struct("started_at", "id")).alias("last"))
-    active = accounts.groupBy("user_id").agg(F.count(F.when(F.col("is_active"), 1)).alias("active_accounts"))
-    out = head
-    for part in [*parts, last, active]:
-        out = out.join(part, "user_id", "left")
-    return out.select(
-        "user_id", "n", "total", "month_n", "month_total", "avg_confidence", "monthly", F.slice("top_sellers", 1, k).alias("top_sellers"), F.reverse("by_type").alias("by_type"), "by_category", "by_method", "by_currency",
-        F.coalesce("active_accounts", F.lit(0)).alias("active_accounts"), F.col("last.started_at").alias("last_scan_at"), F.col("last.invoices_found").alias("last_scan_found"),
+    currencies = F.array_distinct(F.transform("both", lambda x: x["currency"]))
+    months = lambda cur: F.transform(F.filter("both", lambda x: x["currency"] == cur), lambda x: F.struct(x["month"].alias("month"), x["total"].alias("total"), x["count"].alias("count")))
+    nested = F.transform(currencies, lambda cur: F.struct(cur.alias("currency"), months(cur).alias("monthly_spend")))
+    doc = doc.withColumn("monthly_spend_by_currency", nested).drop("both").join(scan_headline(accounts, logs), "user_id", "left")
+    return doc.select(
+        "user_id", "total_invoices", "total_amount", "invoices_this_month", "amount_this_month", F.coalesce("active_accounts", F.lit(0)).alias("active_accounts"), "last_scan_at", "last_scan_found",
+        "monthly_spend", "top_sellers", "by_type", "by_category", "by_method", "by_currency", "monthly_spend_by_currency", "avg_confidence",
     )
 
 
@@ -160,3 +177,29 @@ def scan_summary(logs: DataFrame) -> DataFrame:
     )
     long = logs.select("scan_log_id", F.inline(kinds)).where("k IS NOT NULL")
     return long.groupBy("scan_log_id", "kind", "k").agg(F.count("*").alias("n"))
+
+
+def run_rollup(results: DataFrame) -> DataFrame:
+    """account_id, messages, found, errors, newest_uid of a run's results (account_id, uid, invoices_added, error)."""
+    newest = F.max_by("uid", uid_order(F.col("uid"))).alias("newest_uid")
+    return results.groupBy("account_id").agg(F.count("*").alias("messages"), F.coalesce(F.sum("invoices_added"), F.lit(0)).alias("found"), F.count(F.when(F.coalesce("error", F.lit("")) != "", 1)).alias("errors"), newest)
+
+
+def admin_count(users: DataFrame) -> DataFrame:
+    """admins, may_remove: active administrators, and whether one of them can go."""
+    n = F.count(F.when(F.col("is_admin") & F.col("is_active"), 1))
+    return users.agg(n.alias("admins"), (n > 1).alias("may_remove"))
+
+
+def colliding_numbers(invoices: DataFrame) -> DataFrame:
+    """Numbers that more than one invoice has."""
+    return invoices.groupBy("invoice_no").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def state_summary(accounts: DataFrame) -> DataFrame:
+    """id, folders, messages, top_uid of each account's saved state."""
+    states = accounts.withColumn("state", parse_state(F.col("last_scan_uid")))
+    total = F.aggregate(F.map_values("state"), F.lit(0).cast("long"), lambda n, s: n + F.coalesce(s["messages"].try_cast("long"), F.lit(0)))
+    ordered = F.array_sort(F.transform(F.map_values("state"), lambda s: F.struct(uid_order(s["uid"]).alias("o"), s["uid"].alias("uid"))))
+    top = F.when(F.size("state") > 0, F.element_at(ordered, -1)["uid"])
+    return states.select("id", F.coalesce(F.size("state"), F.lit(0)).alias("folders"), F.coalesce(total, F.lit(0).cast("long")).alias("messages"), top.alias("top_uid"))

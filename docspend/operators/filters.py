@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspend.functions.text import iso
 from docspend.operators.aggregates import currency
 from docspend.schemas import BLOCKED_HOSTS, BLOCKED_PATHS, CONTENT_TYPES, IMAGE_SUFFIXES, SKIP_FLAGS, UNKNOWN
 
@@ -35,16 +36,27 @@ def by_ids(df: DataFrame, ids: list[int], user_id: int) -> DataFrame:
 
 
 def evaluate_views(views: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Matches of every saved view, all at once.
+    """Matches of every saved view, all at once: within its dates, and with all words of its q where it has one.
 
-    Invoices are folded to a count for each (tenant, day) first, so the range join meets a view
-    with days, not with invoices.
+    Views without words: invoices are folded to a count for each (tenant, day) first, so the range
+    join meets a view with days, not with invoices.  Views with words: only postings of words that
+    some view asks for are shuffled, and meet the views by (tenant, word).
     """
+    from docspend.search.text import build_index, tokens
+
+    c = F.col
     spec = F.from_json("filter_json", "q string, date_from string, date_to string")
-    parsed = views.select("id", "user_id", spec.alias("f")).select("id", "user_id", F.try_to_date("f.date_from").alias("lo"), F.try_to_date("f.date_to").alias("hi"))
-    days = invoices.groupBy(F.col("user_id").alias("owner"), "invoice_date").agg(F.count("*").alias("n"))
-    inside = (F.col("user_id") == F.col("owner")) & (F.col("lo").isNull() | (F.col("invoice_date") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("invoice_date") <= F.col("hi")))
-    return parsed.join(days, inside, "left").groupBy("id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("matches"))
+    parsed = views.select("id", "user_id", spec.alias("f"))
+    parsed = parsed.select("id", "user_id", F.array_distinct(tokens(c("f.q"))).alias("words"), F.try_to_date("f.date_from").alias("lo"), F.try_to_date("f.date_to").alias("hi"))
+    between = (c("lo").isNull() | (c("invoice_date") >= c("lo"))) & (c("hi").isNull() | (c("invoice_date") <= c("hi")))
+    days = invoices.groupBy(c("user_id").alias("owner"), "invoice_date").agg(F.count("*").alias("n"))
+    plain = parsed.where(F.size("words") == 0).join(days, (c("user_id") == c("owner")) & between).groupBy("id").agg(F.sum("n").alias("n"))
+    asked = parsed.where(F.size("words") > 0).select("id", "user_id", "lo", "hi", F.size("words").alias("many"), F.explode("words").alias("term"))
+    hits = build_index(invoices, keep=("user_id", "invoice_date")).join(asked.select("term").distinct(), "term", "left_semi")
+    hits = hits.select("term", c("id").alias("invoice"), "user_id", "invoice_date").distinct()
+    worded = asked.join(hits, ["user_id", "term"]).where(between).groupBy("id", "invoice", "many").agg(F.count("*").alias("found"))
+    worded = worded.where("found = many").groupBy("id").agg(F.count("*").alias("n"))
+    return parsed.select("id").join(plain.unionByName(worded), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("matches"))
 
 
 def active_accounts(df: DataFrame, account_id: int | None = None) -> DataFrame:
@@ -87,40 +99,75 @@ def is_acceptable_type(content_type: Column) -> Column:
 
 
 def invoice_view(df: DataFrame) -> DataFrame:
-    names = ["id", "invoice_no", "buyer", "seller", "amount", "invoice_date", "invoice_type", "invoice_category", "item_summary", "source_format", "extraction_method", "confidence", "is_manually_corrected"]
-    return df.select(*names, currency().alias("currency"))
+    """The response of an invoice: derived currency, ISO dates and times."""
+    before = ["id", "invoice_no", "buyer", "seller", F.col("amount").cast("double").alias("amount"), F.date_format("invoice_date", "yyyy-MM-dd").alias("invoice_date"), "invoice_type", "invoice_category"]
+    after = ["item_summary", "source_format", "extraction_method", "confidence", "is_manually_corrected"]
+    return df.select(*before, currency().alias("currency"), *after, iso("created_at").alias("created_at"))
+
+
+#: Columns that invoice rows take over as they are, where the documents have them.
+CARRIED = ("cand_id", "upload_id", "email_id", "file_path", "email_uid", "source_format", "extraction_method", "confidence")
 
 
 def to_invoice_rows(df: DataFrame, as_of: str) -> DataFrame:
-    """Defaults for fields that could not be read."""
+    """Rows to store, with defaults for fields that could not be read."""
     known = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(UNKNOWN)).alias(c)
+    more = [c for c in CARRIED if c in df.columns]
+    more += [F.col("category").alias("invoice_category")] if "category" in df.columns else []
+    more += [F.col("account_id").alias("email_account_id")] if "account_id" in df.columns else []
     return df.select(
-        "cand_id", "user_id", "invoice_no", known("buyer"), known("seller"), known("invoice_type"), F.coalesce("amount", F.lit(0)).cast("decimal(12,2)").alias("amount"),
-        F.coalesce("invoice_date", F.lit(as_of).cast("date")).alias("invoice_date"), F.coalesce("item_summary", F.lit("")).alias("item_summary"), F.substring("raw_text", 1, 10000).alias("raw_text"),
+        "user_id", "invoice_no", known("buyer"), known("seller"), known("invoice_type"), F.coalesce("amount", F.lit(0)).cast("decimal(12,2)").alias("amount"),
+        F.coalesce("invoice_date", F.lit(as_of).cast("date")).alias("invoice_date"), F.coalesce("item_summary", F.lit("")).alias("item_summary"), F.substring("raw_text", 1, 10000).alias("raw_text"), *more,
     )
 
 
-def iso_utc(column: str) -> Column:
-    return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+def log_view(df: DataFrame) -> DataFrame:
+    """The response of a scan log; its times are UTC and say so."""
+    times = {c: iso(c, "+00:00").alias(c) for c in ("started_at", "finished_at")}
+    return df.select("id", "email_account_id", times["started_at"], times["finished_at"], "emails_scanned", "invoices_found", "error_message")
+
+
+def extraction_view(df: DataFrame) -> DataFrame:
+    """The response of an extraction log."""
+    names = ["id", "scan_log_id", "email_uid", "email_subject", "attachment_filename", "outcome", "classification_tier", "parse_method", "parse_format", "download_outcome", "invoice_no", "confidence", "error_detail"]
+    return df.select(*names, iso("created_at").alias("created_at"))
 
 
 def account_view(df: DataFrame) -> DataFrame:
-    """No secrets, only whether there is one."""
-    return df.select("id", "name", "type", "host", "username", "is_active", (F.coalesce("password_encrypted", F.lit("")) != "").alias("has_password"))
+    """No secrets, only whether there are any."""
+    secrets = {"has_secondary_credential": "secondary_credential_encrypted", "has_secondary_password": "secondary_password_encrypted", "has_totp_secret": "totp_secret_encrypted", "has_playwright_storage_state": "playwright_storage_state"}
+    has = [(F.coalesce(c, F.lit("")) != "").alias(name) for name, c in secrets.items()]
+    return df.select("id", "name", "type", "host", "port", "username", "outlook_account_type", "is_active", "last_scan_uid", iso("created_at").alias("created_at"), *has)
 
 
 def progress(account_index: Column, accounts: Column, done: Column, total: Column) -> dict[str, Column]:
-    """Percentages of a run, 0 to 100 with one decimal, safe for zeros."""
-    part = F.least(done / F.greatest(total, F.lit(1)), F.lit(1.0))
-    share = lambda x: F.round(F.least(x, F.lit(1.0)) * 100, 1)
-    overall = (F.greatest(account_index - 1, F.lit(0)) + part) / F.greatest(accounts, F.lit(1))
-    return {"account_pct": share(account_index / F.greatest(accounts, F.lit(1))), "email_pct": share(part), "overall_pct": share(overall)}
+    """Percentages of a run with one decimal, 0 where there is nothing to do; the overall one is 100 at most."""
+    share = lambda x, of: F.when(of != 0, x / of).otherwise(0.0)
+    percent = lambda x: F.round(x * 100, 1)
+    overall = F.greatest(account_index - 1, F.lit(0)) / accounts + (F.lit(1.0) / accounts) * (done / F.greatest(total, F.lit(1)))
+    overall = F.when(accounts != 0, F.least(overall, F.lit(1.0))).otherwise(0.0)
+    return {"account_pct": percent(share(account_index, accounts)), "email_pct": percent(share(done, total)), "overall_pct": percent(overall)}
 
 
 def page_of(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    return df.orderBy(*order).offset(max(page - 1, 0) * size).limit(size)
+    """A page of the rows, each with the total number of them; page counts from 1."""
+    rows = df.orderBy(*order).offset(max(page - 1, 0) * size).limit(size)
+    return rows.withColumn("total", df.agg(F.count("*")).scalar())
 
 
 def page_invoices(df: DataFrame, page: int, size: int) -> DataFrame:
-    """Newest first; page counts from 1."""
+    """Newest first."""
     return page_of(df, [F.desc("invoice_date"), F.desc("id")], page, size)
+
+
+def page_logs(df: DataFrame, page: int, size: int) -> DataFrame:
+    return page_of(df, [F.desc("started_at"), F.desc("id")], page, size)
+
+
+def list_sorted(df: DataFrame, *keys: str) -> DataFrame:
+    """Highest keys first."""
+    return df.orderBy(*(F.desc(k) for k in keys))
+
+
+def order_messages(df: DataFrame) -> DataFrame:
+    return df.orderBy("received_at", "email_id")

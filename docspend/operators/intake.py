@@ -1,89 +1,249 @@
-"""Classification and intake of messages and documents."""
+"""Classification and intake of messages and documents, as one flow of columns from raw messages to rows and audit.
+
+Network and file formats stay outside: documents come with their text layer (raw_text) and QR
+payload; the message analyser and the field extractor are functions the user plugs in.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspend.functions import parse as P
-from docspend.functions.text import has_keyword, is_trusted, scam_reason
-from docspend.operators.windows import is_document
+from docspend.functions import portal as O
+from docspend.functions.text import analysis_text, enrichment_text, has_keyword, is_trusted, scam_reason
+from docspend.operators.filters import to_invoice_rows
+from docspend.operators.joins import seen_attachments
+from docspend.operators.windows import dedup_messages, is_document, prioritise, repeated_names
 from docspend.schemas import BULK_HEADER, UNKNOWN
+from docspend.sources.pluggable import enrich
+from docspend.streaming.ingest import ingest_increment
+
+c = F.col
+Extractor = Callable[[list[str]], list[str | None]]
 
 
 def classify(emails: DataFrame, trusted: list[str], extra: list[str] | None = None) -> DataFrame:
-    """First rule wins: bulk header, scam, document attached, trusted sender, nothing to go by; else undecided.
+    """email_id, is_invoice, confidence, reason; the first rule wins, undecided messages have nulls.
 
-    One CASE over one scan: the rules are columns, and only the first 2000 characters of a body count.
+    Bulk header, scam, document attached, trusted sender, nothing to go by; only the first 2000
+    characters of a body count.  emails has attachments (array of names), links (array) and headers
+    (map).  The rules are one CASE that gives a number, everything else follows from the number.
     """
-    text = F.concat_ws(" ", "subject", F.substring("body_text", 1, 2000))
-    rows = emails.withColumn("scam", scam_reason(text))
-    bulk = F.lower(F.coalesce("header", F.lit(""))) == BULK_HEADER
-    document = F.coalesce(is_document(F.col("attachment")), F.lit(False))
-    empty = F.col("attachment").isNull() & F.col("link").isNull() & ~has_keyword(text, extra)
-    rules = [
-        (bulk, False, 0.98, F.lit("bulk header")),
-        (F.col("scam").isNotNull(), False, 0.97, F.col("scam")),
-        (document, True, 0.95, F.concat(F.lit("invoice attachment: "), F.col("attachment"))),
-        (is_trusted(F.col("from_addr"), trusted), True, 0.98, F.lit("trusted sender")),
-        (empty, False, 0.90, F.lit("no content or keywords")),
-    ]
-
-    def chain(pick) -> Column:
-        out = F
-        for rule in rules:
-            out = out.when(rule[0], pick(rule))
-        return out
-
-    return rows.select("email_id", chain(lambda r: F.lit(r[1])).alias("is_invoice"), chain(lambda r: F.lit(r[2])).alias("confidence"), chain(lambda r: r[3]).alias("reason"))
+    names = F.filter("attachments", is_document)
+    rows = emails.select("*", F.concat(c("subject"), F.lit(" "), F.substring("body_text", 1, 2000)).alias("text"))
+    rows = rows.select("*", scam_reason(c("text")).alias("scam"))
+    none = (F.coalesce(F.size("attachments"), F.lit(0)) <= 0) & (F.coalesce(F.size("links"), F.lit(0)) <= 0)
+    bulk = F.coalesce(F.exists(F.map_keys("headers"), lambda k: F.lower(k) == BULK_HEADER), F.lit(False))
+    rule = F.when(bulk, 1).when(c("scam").isNotNull(), 2).when(F.size(names) > 0, 3).when(is_trusted(c("from_addr"), trusted), 4).when(none & ~has_keyword(c("text"), extra), 5)
+    rows = rows.select("email_id", "scam", F.get(names, F.lit(0)).alias("document"), rule.alias("rule"))
+    pick = lambda *values: F.get(F.array(*values), c("rule") - 1)
+    reason = pick(F.lit("bulk header"), c("scam"), F.concat(F.lit("invoice attachment: "), c("document")), F.lit("trusted sender"), F.lit("no content or keywords"))
+    return rows.select("email_id", c("rule").isin(3, 4).alias("is_invoice"), pick(*map(F.lit, (0.98, 0.97, 0.95, 0.98, 0.90))).alias("confidence"), reason.alias("reason"))
+
+
+def parse_documents(df: DataFrame) -> DataFrame:
+    """df (raw_text, qr) with the parsed fields: those of a QR payload first, else of the text.
+
+    A text without a payload whose fields are worth less than 0.6 keeps none of them.
+    """
+    found = df.withColumns({f"t_{k}": v for k, v in P.fields(c("raw_text")).items()} | {"q": P.qr_fields(c("qr"))})
+    conf = P.confidence(c("t_invoice_no"), c("t_buyer"), c("t_seller"), c("t_amount"), c("t_invoice_date"), F.lit(None).cast("string")).cast("double")
+    found = found.withColumn("t_confidence", conf)
+    qr, text = c("q").isNotNull(), c("q").isNotNull() | (c("t_confidence") >= 0.6)
+    total = P.amount(c("q.amount"))
+    out = {
+        "invoice_no": F.when(qr, c("q.invoice_no")).when(text, c("t_invoice_no")), "invoice_date": F.coalesce(P.qr_date(c("q.date")), F.when(text, c("t_invoice_date"))),
+        "buyer": F.when(text, c("t_buyer")), "seller": F.when(text, c("t_seller")), "amount": F.coalesce(F.when(total != 0, total), F.when(text, c("t_amount")), total),
+        "invoice_type": F.lit(None).cast("string"), "item_summary": F.lit(None).cast("string"), "extraction_method": F.when(qr, "qr").when(text, "regex").otherwise("llm"),
+        "confidence": F.when(qr, 0.95).when(text, c("t_confidence")).otherwise(0.0), "is_vat_document": F.coalesce(P.is_vat_document(c("raw_text")), F.lit(False)),
+    }
+    return found.select(*df.columns, *(v.alias(k) for k, v in out.items()))
+
+
+EXTRACT = "buyer string, seller string, invoice_no string, invoice_date date, amount decimal(12,2), item_summary string, invoice_type string, invoice_category string, confidence double, is_valid_tax_invoice boolean"
+
+
+def extraction(response: Column) -> dict[str, Column]:
+    """The x_ columns of an extractor's JSON; all null if it is no valid record."""
+    x = F.from_json(response, EXTRACT)
+    category, score = F.coalesce(x["invoice_category"], F.lit("vat_invoice")), F.coalesce(x["confidence"], F.lit(0.9))
+    given = [x[k].isNotNull() for k in ("buyer", "seller", "invoice_no", "invoice_date", "amount", "item_summary", "invoice_type")]
+    valid = category.isin("vat_invoice", "receipt", "proforma", "overseas_invoice", "other") & score.between(0, 1) & (x["amount"] >= 0)
+    for g in given:
+        valid = valid & g
+    fields = {k: x[k] for k in ("buyer", "seller", "invoice_no", "invoice_date", "amount", "item_summary", "invoice_type")}
+    fields |= {"category": category, "confidence": score, "valid": F.coalesce(x["is_valid_tax_invoice"], F.lit(False))}
+    return {f"x_{k}": F.when(F.coalesce(valid, F.lit(False)), v) for k, v in fields.items()}
+
+
+def with_extraction(df: DataFrame, extractor: Extractor | None, cache: DataFrame | None = None) -> DataFrame:
+    """df with x_ columns of the user's extractor, asked once for each distinct text (text_in) that is wanted (need)."""
+    if extractor is None:
+        return df.withColumns(extraction(F.lit(None).cast("string")))
+    asked = df.withColumn("text_in", F.when(c("need"), F.substring("text_in", 1, 5000)))
+    return enrich(asked, extractor, cache, "text_in", "extract").withColumns(extraction(c("response"))).drop("response", "content_hash")
 
 
 def merged(policy: str) -> dict[str, Column]:
-    """Parsed fields after the selective merge of the extracted ones (x_ columns)."""
-    c = F.col
+    """Parsed fields after the selective merge of the extracted ones (x_ columns).
+
+    Names, type and summary are taken over where the extractor knows them; number, date and amount
+    only where the parser has none it can trust.
+    """
     use = c("x_valid").isNotNull() & (c("x_valid") | (c("x_category") != "vat_invoice"))
     over = lambda name: F.when(use & P.given(c(f"x_{name}")) & (c(f"x_{name}") != UNKNOWN), c(f"x_{name}")).otherwise(c(name))
-    enough = P.is_sentinel(c("x_amount")) if policy == "upload" else c("x_amount") == 0
+    enough = ~P.is_sentinel(c("x_amount")) if policy == "upload" else c("x_amount") != 0
     open_ = c("amount").isNull() | P.is_sentinel(c("amount"))
-    return {
-        "buyer": over("buyer"),
-        "amount": F.when(use & open_ & c("x_amount").isNotNull() & ~enough, c("x_amount")).otherwise(c("amount")),
+    return {n: over(n) for n in ("buyer", "seller", "item_summary", "invoice_type")} | {
+        "invoice_no": F.when(use & ~P.digits_number(c("invoice_no"), 8, 20) & P.given(c("x_invoice_no")), c("x_invoice_no")).otherwise(c("invoice_no")),
+        "invoice_date": F.when(use & c("invoice_date").isNull(), c("x_invoice_date")).otherwise(c("invoice_date")),
+        "amount": F.when(use & open_ & c("x_amount").isNotNull() & enough, c("x_amount")).otherwise(c("amount")),
         "extraction_method": F.when(use, "llm").otherwise(c("extraction_method")),
         "confidence": F.when(use, F.greatest("confidence", "x_confidence")).otherwise(c("confidence")),
     }
 
 
-def decide(cand: DataFrame, existing: DataFrame, policy: str = "mail", strict: bool = False) -> DataFrame:
-    """cand_id, outcome, detail of every parsed document: enrich, merge, scam, reject, gate, dedup.
+def needs(df: DataFrame) -> Column:
+    """Whether a parsed document is handed to the extractor."""
+    return P.should_enrich(c("confidence"), c("invoice_no"), c("amount"), c("buyer"), c("seller"), c("invoice_type"), c("item_summary"), c("raw_text"))
+
 
-    policy 'upload' relaxes the rules for transport e-tickets; 'mail' does not.
+def judged(cand: DataFrame, policy: str = "mail", strict: bool = False) -> DataFrame:
+    """Parsed documents with x_ columns after merge, scam test, rejection and gate.
+
+    Adds category, outcome (null: may be saved), audit and detail, the words of the log.  policy
+    'upload' relaxes the rules for transport e-tickets; 'mail' does not.
     """
-    c = F.col
-    need = P.should_enrich(c("confidence"), c("invoice_no"), c("amount"), c("buyer"), c("seller"), c("invoice_type"), c("item_summary"), c("raw_text"))
-    strong = P.is_strong(c("extraction_method"), c("invoice_no"))
-    rows = cand.withColumn("strong", strong).withColumn("x_valid", F.when(need, c("x_valid")))
-    rows = rows.withColumns(merged(policy))
+    rows = cand.withColumn("strong", P.is_strong(c("extraction_method"), c("invoice_no"))).withColumn("x_valid", F.when(needs(cand), c("x_valid")))
+    changed = merged(policy)
+    rows = rows.select(*(changed.get(n, c(n)).alias(n) for n in rows.columns))
     ticket = P.is_e_ticket(c("invoice_type"), c("invoice_no"), c("item_summary"), c("raw_text")) if policy == "upload" else F.lit(False)
     words = F.concat_ws(" ", F.nullif("buyer", F.lit("")), F.nullif("seller", F.lit("")), F.nullif("item_summary", F.lit("")))
-    rows = rows.withColumns({"words": words, "ticket": ticket, "valid": P.is_valid_type(c("invoice_type"))})
-    extracted, plain = c("x_valid").isNotNull(), ~c("valid") & ~c("ticket")
-    llm_rejected = extracted & ~c("x_valid") & ~c("strong") & ~c("ticket")
-    reject = llm_rejected | (~extracted & ~c("is_vat_document") & plain)
-    if not strict:
-        reject = reject & (F.when(extracted, c("x_category")).otherwise("vat_invoice") == "vat_invoice")
-    rows = rows.withColumns({"scam": scam_reason(c("words")), "reject": F.coalesce(reject, F.lit(False)), "sentinel": P.is_sentinel(c("amount")) & ~c("ticket")})
-    low = (c("confidence") < F.when(c("ticket"), 0.5).otherwise(0.6)) | ~P.given(c("invoice_no")) | c("sentinel")
-    why = F.when(c("sentinel"), "amount below sentinel").when(~P.given(c("invoice_no")), "missing invoice_no").otherwise("low confidence")
-    spam, done = ("scam_detected", "manual_upload_saved") if policy == "upload" else ("not_vat_invoice", "saved")
-    outcome = F.when(c("scam").isNotNull(), spam).when(c("reject"), "not_vat_invoice").when(low, "low_confidence")
-    detail = F.when(c("scam").isNotNull(), c("scam")).when(c("reject"), F.concat(F.lit("type="), F.coalesce("invoice_type", F.lit("")))).when(low, why)
-    rows = rows.select("cand_id", "user_id", "invoice_no", "received_at", "email_uid", outcome.alias("outcome"), detail.alias("detail"))
-    # one join with the stored numbers and one window; rows that are decided already are spread by their own id
-    known = existing.select("user_id", "invoice_no", F.lit(True).alias("stored")).distinct()
+    extracted = c("x_valid").isNotNull()
+    rows = rows.withColumns({"scam": scam_reason(words), "ticket": ticket, "type_known": P.is_valid_type(c("invoice_type")), "category": F.when(extracted, c("x_category")).otherwise("vat_invoice")})
+    refused = extracted & ~c("x_valid") & ~c("strong") & ~c("ticket")
+    unlike = ~extracted & ~c("is_vat_document") & ~c("type_known") & ~c("ticket")
+    reject = (refused | unlike) if strict else (refused | unlike) & (c("category") == "vat_invoice")
+    rows = rows.withColumns({"refused": refused, "reject": F.coalesce(reject, F.lit(False)), "sentinel": P.is_sentinel(c("amount")) & ~c("ticket")})
+    missing = ~P.given(c("invoice_no"))
+    low = (c("confidence") < F.when(c("ticket"), 0.5).otherwise(0.6)) | missing | c("sentinel")
+    if policy == "upload":
+        why, spam = F.when(c("sentinel"), "amount below sentinel").when(missing, "missing invoice_no").otherwise("low confidence"), "scam_detected"
+    else:
+        why, spam = F.when(c("sentinel"), "amount sentinel").when(missing, "invoice_no missing"), "not_vat_invoice"
+    verdict = F.concat(F.lit("type='"), F.coalesce("invoice_type", F.lit("")), F.lit("' category='"), c("category"), F.lit("' llm_rejected="), F.initcap(F.coalesce("refused", F.lit(False)).cast("string")))
+    return rows.withColumns({
+        "outcome": F.when(c("scam").isNotNull(), spam).when(c("reject"), "not_vat_invoice").when(low, "low_confidence"),
+        "audit": F.when(c("scam").isNotNull() | c("reject"), "not_vat_invoice").when(low, "low_confidence"),
+        "detail": F.when(c("scam").isNotNull(), F.concat(F.lit("scam signal: "), c("scam"))).when(c("reject"), verdict).when(low, why),
+    }).drop("strong", "scam", "ticket", "type_known", "refused", "reject", "sentinel")
+
+
+def numbered(rows: DataFrame, existing: DataFrame, policy: str, order: list[str]) -> DataFrame:
+    """Judged documents with their last outcome: the first of each new number of a tenant is saved.
+
+    One join with the stored numbers and one window; rows that are decided already are spread by
+    their own key, so that an empty number is no hot one.
+    """
+    known = existing.select("user_id", "invoice_no").distinct().withColumn("stored", F.lit(True))
     rows = rows.join(known, ["user_id", "invoice_no"], "left")
-    fresh = c("outcome").isNull() & c("stored").isNull()
-    rows = rows.withColumn("fresh", fresh).withColumn("spread", F.when(c("fresh"), F.lit(-1).cast("long")).otherwise(c("cand_id")))
-    turn = F.row_number().over(Window.partitionBy("user_id", "invoice_no", "spread").orderBy("received_at", "email_uid", "cand_id"))
-    rows = rows.withColumn("turn", turn)
-    final = F.when(c("outcome").isNotNull(), c("outcome")).when(c("fresh") & (c("turn") == 1), done).otherwise("duplicate")
-    return rows.select("cand_id", "user_id", "invoice_no", final.alias("outcome"), "detail")
+    rows = rows.withColumn("fresh", c("outcome").isNull() & c("stored").isNull())
+    rows = rows.withColumn("spread", F.when(c("fresh"), F.lit(-1).cast("long")).otherwise(F.xxhash64(*order)))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("user_id", "invoice_no", "spread").orderBy(*order)))
+    first = c("fresh") & (c("nth") == 1)
+    saved = ("saved", "manual_upload_saved") if policy == "upload" else ("saved", "saved")
+    last = {n: F.when(c("outcome").isNotNull(), c(n)).when(first, v).otherwise("duplicate") for n, v in zip(("audit", "outcome"), saved[::-1])}
+    return rows.select(*(last.get(n, c(n)).alias(n) for n in rows.columns if n not in ("stored", "fresh", "spread", "nth")))
+
+
+def decide(cand: DataFrame, existing: DataFrame, policy: str = "mail", strict: bool = False) -> DataFrame:
+    """cand_id, outcome, detail of every parsed and extracted document: merge, scam, reject, gate, dedup."""
+    rows = numbered(judged(cand, policy, strict), existing, policy, ["received_at", "email_uid", "cand_id"])
+    return rows.select("cand_id", "user_id", "invoice_no", "outcome", "audit", "detail")
+
+
+class Intake(NamedTuple):
+    """What an intake gives: rows of invoices, rows of the audit log and the next state."""
+
+    invoices: DataFrame
+    audit: DataFrame
+    state: DataFrame | None
+
+
+AUDIT = ("user_id", "email_uid", "email_subject", "attachment_filename", "outcome", "classification_tier", "parse_method", "parse_format", "invoice_no", "confidence", "error_detail")
+
+
+def _audit(df: DataFrame, **values: Column) -> DataFrame:
+    kinds = {"user_id": "long", "classification_tier": "int", "confidence": "double"}
+    return df.select(*((values[n] if n in values else F.lit(None)).cast(kinds.get(n, "string")).alias(n) for n in AUDIT))
+
+
+def _documents(rows: DataFrame, existing: DataFrame, policy: str, strict: bool, extractor: Extractor | None, cache: DataFrame | None, order: list[str], as_of: str) -> tuple[DataFrame, DataFrame]:
+    """Invoice rows and audit rows of documents (user_id, email_uid, email_subject, filename, tier, body_text, raw_text, qr, source_format)."""
+    parsed = parse_documents(rows)
+    parsed = parsed.withColumn("need", needs(parsed))
+    asked = with_extraction(parsed.withColumn("text_in", enrichment_text(c("body_text"), c("raw_text"))), extractor, cache)
+    done = numbered(judged(asked, policy, strict), existing, policy, order)
+    file_path = F.concat(F.lit("users/"), c("user_id"), F.lit("/invoices/"), P.canonical_name(c("buyer"), c("seller"), c("invoice_no"), c("invoice_date"), c("amount")))
+    saved = to_invoice_rows(done.where("outcome = 'saved'").withColumn("file_path", file_path), as_of)
+    audit = _audit(
+        done, user_id=c("user_id"), email_uid=c("email_uid"), email_subject=F.substring("email_subject", 1, 500), attachment_filename=c("filename"), outcome=c("audit"), classification_tier=c("tier"), parse_method=c("extraction_method"),
+        parse_format=c("source_format"), invoice_no=c("invoice_no"), confidence=F.when(c("audit") != "duplicate", c("confidence")), error_detail=F.substring("detail", 1, 2000),
+    )
+    return saved, audit
+
+
+def mail_intake(
+    emails: DataFrame, documents: DataFrame, state: DataFrame, logs: DataFrame, invoices: DataFrame, as_of: str, trusted: list[str],
+    analyser: Extractor | None = None, extractor: Extractor | None = None, cache: DataFrame | None = None, extra: list[str] | None = None, strict: bool = False,
+) -> Intake:
+    """New messages to invoice rows, audit rows and the next state.
+
+    emails: email_id, user_id, account_id, folder, uid, uidvalidity, message_id, subject, from_addr,
+    body_text, received_at, attachments, links, headers; documents: email_id, filename, raw_text,
+    qr, source_format of the attachments that could be read; logs: earlier audit rows.
+
+    Increment by saved state -> first of each message id -> rules -> the analyser where they leave
+    it open -> attachments in processing order -> those seen before dropped -> parsed -> extracted
+    where wanted -> merged, scam, rejection, gate -> first of each number.  Messages that stay
+    undecided, for want of an analyser or of a valid answer, are recorded as errors.
+    """
+    fresh, after = ingest_increment(emails, state)
+    fresh = dedup_messages(fresh).drop("mid")
+    rules = classify(fresh, trusted, extra).select("email_id", "is_invoice")
+    known = fresh.join(rules, "email_id")
+    if analyser is None:
+        known = known.withColumn("related", F.lit(None).cast("boolean"))
+    else:
+        asked = known.withColumn("text_in", F.when(c("is_invoice").isNull(), analysis_text(c("subject"), c("from_addr"), c("body_text"), c("links"))))
+        record = F.from_json("response", O.ANALYSIS)
+        valid = record["is_invoice_related"].isNotNull() & record["invoice_confidence"].isNotNull() & (F.size(O.violations(record)) == 0)
+        known = enrich(asked, analyser, cache, "text_in", "analyze_email_v3").withColumn("related", F.when(F.coalesce(valid, F.lit(False)), record["is_invoice_related"]))
+    known = known.withColumns({"tier": F.when(c("is_invoice").isNotNull(), 1).otherwise(3), "wanted": F.coalesce("is_invoice", "related")})
+    others = known.where("wanted IS NULL OR NOT wanted")
+    dropped = _audit(
+        others, user_id=c("user_id"), email_uid=c("uid"), email_subject=F.substring("subject", 1, 500), outcome=F.when(c("wanted").isNull(), "error").otherwise("not_invoice"),
+        classification_tier=c("tier"), error_detail=F.when(c("wanted").isNull(), "no valid analysis"),
+    )
+    named = known.where("wanted").select("email_id", "user_id", "account_id", "tier", "body_text", "received_at", c("uid").alias("email_uid"), c("subject").alias("email_subject"), F.posexplode("attachments").alias("position", "filename"))
+    held = prioritise(named.join(documents, ["email_id", "filename"]), "email_id", "position")
+    held = held.join(seen_attachments(logs, "user_id").withColumn("before", F.lit(True)), ["user_id", "email_uid", "filename"], "left")
+    held = repeated_names(held, "email_id", "turn").withColumn("skipped", c("skipped") | c("before").isNotNull()).drop("before")
+    skipped = held.where("skipped")
+    skipped = _audit(skipped, user_id=c("user_id"), email_uid=c("email_uid"), email_subject=F.substring("email_subject", 1, 500), attachment_filename=c("filename"), outcome=F.lit("skipped_seen"), classification_tier=c("tier"))
+    saved, done = _documents(held.where("NOT skipped"), invoices, "mail", strict, extractor, cache, ["received_at", "email_uid", "email_id", "turn"], as_of)
+    return Intake(saved, dropped.unionByName(skipped).unionByName(done), after)
+
+
+def upload_intake(uploads: DataFrame, invoices: DataFrame, as_of: str, extractor: Extractor | None = None, cache: DataFrame | None = None, strict: bool = False) -> Intake:
+    """Uploaded documents (upload_id, user_id, account_id, filename, raw_text, qr, source_format) to invoice rows and audit rows.
+
+    Every upload has a run of its own, which names the invoice's message: manual:upload_id.
+    """
+    rows = uploads.withColumns({"email_uid": F.concat(F.lit("manual:"), c("upload_id")), "email_subject": F.concat(F.lit("Manual upload: "), c("filename")), "tier": F.lit(None).cast("int"), "body_text": F.lit(None).cast("string")})
+    saved, audit = _documents(rows, invoices, "upload", strict, extractor, cache, ["upload_id", "filename"], as_of)
+    return Intake(saved, audit, None)

@@ -18,6 +18,27 @@ def format_priority(name: Column) -> Column:
     return F.when(ext == "pdf", 0).when(ext == "ofd", 1).when(ext == "xml", 2).otherwise(3)
 
 
+def processing_order(name: Column, hints: Column | None = None) -> Column:
+    """A sort key: formats in the order of the hints first, then pdf, ofd, xml and others."""
+    plain = format_priority(name)
+    if hints is None:
+        return plain
+    place = F.array_position(F.transform(hints, lambda x: F.lower(x)), extension(name))
+    return F.when(F.coalesce(F.size(hints), F.lit(0)) <= 0, plain).when(place > 0, place - 1).otherwise(F.size(hints) + plain)
+
+
+def prioritise(attachments: DataFrame, key: str, position: str, name: str = "filename", hints: str | None = None) -> DataFrame:
+    """turn: the order in which a message's attachments are processed; those of one rank keep theirs."""
+    order = processing_order(F.col(name), F.col(hints) if hints else None)
+    return attachments.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy(order, position, name)))
+
+
+def repeated_names(attachments: DataFrame, *order: str) -> DataFrame:
+    """skipped: whether a message (email_uid) has an earlier attachment of the same name."""
+    turn = F.row_number().over(Window.partitionBy("email_uid", "filename").orderBy(*order))
+    return attachments.withColumn("skipped", turn > 1)
+
+
 def dedup_invoices(cand: DataFrame) -> DataFrame:
     """The first of each (tenant, number) is saved, later ones are duplicates."""
     turn = F.row_number().over(Window.partitionBy("user_id", "invoice_no").orderBy("received_at", "email_uid", "cand_id"))
@@ -54,10 +75,10 @@ def retention_split(df: DataFrame, expired: Column, n: int, key: str = "id") ->
     return df.join(doomed, key, "left_anti")
 
 
-def after_last_known(df: DataFrame, known: DataFrame) -> DataFrame:
-    """Messages of an account newer than the newest known one."""
-    seen = df.join(known, ["account_id", "uid"], "left_semi").groupBy("account_id").agg(F.max("received_at").alias("last"))
-    return df.join(seen, "account_id", "left").where("last IS NULL OR received_at > last").drop("last")
+def after_last_known(df: DataFrame, known: DataFrame, position: str = "position") -> DataFrame:
+    """Messages of an account behind the last known one in the mailbox's own order."""
+    seen = df.join(known, ["account_id", "uid"], "left_semi").groupBy("account_id").agg(F.max(position).alias("last"))
+    return df.join(seen, "account_id", "left").where(F.col("last").isNull() | (F.col(position) > F.col("last"))).drop("last")
 
 
 def is_document(name: Column) -> Column:

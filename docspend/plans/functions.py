@@ -2,58 +2,67 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
-from docspend import schemas as S
 from docspend.functions import parse as P
 from docspend.functions import state as ST
 from docspend.functions import text as T
 from docspend.operators import dml as D
 from docspend.operators import intake as I
 from docspend.operators import windows as W
-from docspend.plans.registry import query
+from docspend.plans import expected as X
+from docspend.plans.registry import AS_OF, query
+from docspend.streaming import ingest as G
 
 c = F.col
 
+HTML = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
+for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    HTML = f"replace({HTML}, '{_name}', '{_char}')"
 
-def quoted(values) -> str:
-    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
+@query("fn_01_html_to_text", f"SELECT page_id, trim(regexp_replace({HTML}, '[{X.WS}]+', ' ', 'g')) AS text FROM pages")
+def _(t):
+    return t.pages.select("page_id", T.html_to_text(c("html")).alias("text"))
 
-def any_of(text: str, parts) -> str:
-    return "(" + " OR ".join(f"contains({text}, '{p}')" for p in parts) + ")"
 
+REFS = ("&#8364;", "&#x4E2D;", "&eacute;", "&amp;lt;", "&copy", "&nosuch;", "&#0;")
 
-HTML = "regexp_replace(html, '<[^>]+>', ' ', 'g')"
-for _name, _char in T.ENTITIES.items():
-    HTML = "replace({}, '{}', '{}')".format(HTML, _name, _char.replace("'", "''"))
 
-
-@query("fn_01_html_to_text", f"SELECT page_id, trim(regexp_replace({HTML}, '[\\s ]+', ' ', 'g')) AS text FROM pages")
+@query("fn_01_references", "SELECT p_partkey AS id, p_name || ['€', '中', 'é', '&lt;', '©', '&nosuch;', chr(65533)][p_partkey % 7 + 1] || '.' AS text FROM part")
 def _(t):
-    return t.pages.select("page_id", T.html_to_text(c("html")).alias("text"))
+    ref = F.get(F.array(*map(F.lit, REFS)), (c("p_partkey") % 7).cast("int"))
+    return t.part.select(c("p_partkey").alias("id"), T.unescape(F.concat("p_name", ref, F.lit("."))).alias("text"))
 
 
-@query("fn_02_urls", "SELECT page_id, list_distinct_n(html) AS n FROM pages".replace("list_distinct_n(html)", "len(list_distinct(regexp_extract_all(url || ' ' || html, 'https?://[^\\s<>\"'']+')))"))
+@query("fn_02_urls", "SELECT page_id, len(list_distinct(regexp_extract_all(url || ' ' || html, 'https?://[^\\s<>\"\'\']+'))) AS n FROM pages")
 def _(t):
     return t.pages.select("page_id", F.size(T.urls(F.concat_ws(" ", "url", "html"))).cast("long").alias("n"))
 
 
-SCAM = "CASE WHEN t = '' THEN NULL " + " ".join(f"WHEN contains(lower(t), '{p}') THEN 'scam phrase: {p}'" for p in S.SCAM_PHRASES)
-SCAM += f" WHEN regexp_matches(t, '{S.SCAM_CONTACT}') THEN 'wechat/qq contact inline' WHEN regexp_matches(t, '{S.SCAM_DIGITS}') THEN 'obfuscated phone/contact digits' END"
+@query("fn_03_scam_reason", f"SELECT email_id, {X.scam('t')} AS reason FROM (SELECT email_id, subject || ' ' || substring(body_text, 1, 2000) AS t FROM {{emails}} e) x")
+def _(t):
+    return t.emails.select("email_id", T.scam_reason(F.concat_ws(" ", "subject", F.substring("body_text", 1, 2000))).alias("reason"))
 
 
-@query("fn_03_scam_reason", f"SELECT email_id, {SCAM} AS reason FROM (SELECT email_id, subject || ' ' || substring(body_text, 1, 2000) AS t FROM {{emails}} e) x")
+WIDE = "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'QQ' || chr(12288) || 'abc' || p_partkey || 'x' WHEN 1 THEN '１' || chr(12288) || '３ ８ ０ ０' || p_partkey WHEN 2 THEN p_name ELSE '１３８００' END AS t FROM part"
+
+
+@query("fn_03_wide_characters", f"SELECT id, {X.scam('t')} AS reason FROM ({WIDE}) w")
 def _(t):
-    return t.emails.select("email_id", T.scam_reason(F.concat_ws(" ", "subject", F.substring("body_text", 1, 2000))).alias("reason"))
+    k = c("p_partkey")
+    text = F.when(k % 4 == 0, F.concat(F.lit("QQ\u3000abc"), k, F.lit("x"))).when(k % 4 == 1, F.concat(F.lit("１\u3000３ ８ ０ ０"), k)).when(k % 4 == 2, c("p_name")).otherwise("１３８００")
+    return t.part.select(k.alias("id"), T.scam_reason(text).alias("reason"))
 
 
-@query("fn_04_keyword", f"SELECT email_id, {any_of('lower(subject)', S.KEYWORDS)} AS hit FROM {{emails}} e")
+@query("fn_04_keyword", f"SELECT email_id, {X.any_of('lower(subject)', *X.KEYWORDS)} AS hit FROM {{emails}} e")
 def _(t):
     return t.emails.select("email_id", T.has_keyword(c("subject")).alias("hit"))
 
 
-BOX = "CASE WHEN regexp_matches(lower(from_addr), '<[^<]+>[^>]*$') THEN regexp_extract(lower(from_addr), '<([^<]*)>[^>]*$', 1) ELSE lower(from_addr) END"
+BOX = X.MAILBOX
 
 
 @query("fn_05_mailbox", f"SELECT email_id, {BOX} AS mailbox, CASE WHEN contains({BOX}, '@') THEN split_part({BOX}, '@', -1) ELSE '' END AS domain FROM {{emails}} e")
@@ -72,16 +81,19 @@ def _(t):
     return t.emails.where("attachment IS NOT NULL").select("email_id", W.extension(c("attachment")).alias("ext"))
 
 
-@query("fn_08_download_name", "SELECT email_id, CASE WHEN regexp_matches(split_part(link, '?', 1), '[.]pdf$') THEN 'download.pdf' WHEN regexp_matches(split_part(link, '?', 1), '[.]xml$') THEN 'download.xml' WHEN regexp_matches(split_part(link, '?', 1), '[.]ofd$') THEN 'download.ofd' WHEN contains(lower(header), 'pdf') THEN 'download.pdf' WHEN contains(lower(header), 'xml') THEN 'download.xml' WHEN contains(lower(header), 'zip') OR contains(lower(header), 'ofd') THEN 'download.ofd' ELSE 'download.pdf' END AS name FROM {emails} e WHERE link IS NOT NULL")
+PATH = "split_part(link, '?', 1)"
+
+
+@query(
+    "fn_08_download_name",
+    f"""SELECT email_id, 'download.' || CASE WHEN ends_with({PATH}, '.pdf') THEN 'pdf' WHEN ends_with({PATH}, '.xml') THEN 'xml' WHEN ends_with({PATH}, '.ofd') THEN 'ofd' WHEN contains(lower(header), 'pdf') THEN 'pdf'
+        WHEN contains(lower(header), 'xml') THEN 'xml' WHEN contains(lower(header), 'ofd') OR contains(lower(header), 'zip') THEN 'ofd' ELSE 'pdf' END AS name FROM {{emails}} e WHERE link IS NOT NULL""",
+)
 def _(t):
-    path, kind = F.substring_index("link", "?", 1), F.lower("header")
-    name = F.when(path.rlike("[.]pdf$"), "pdf").when(path.rlike("[.]xml$"), "xml").when(path.rlike("[.]ofd$"), "ofd").when(F.contains(kind, F.lit("pdf")), "pdf").when(F.contains(kind, F.lit("xml")), "xml").when(F.contains(kind, F.lit("ofd")) | F.contains(kind, F.lit("zip")), "ofd").otherwise("pdf")
-    return t.emails.where("link IS NOT NULL").select("email_id", F.concat(F.lit("download."), name).alias("name"))
+    return t.emails.where("link IS NOT NULL").select("email_id", T.download_name(c("link"), c("header")).alias("name"))
 
 
-RX = lambda p, g=1: f"NULLIF(regexp_extract(raw_text, '{p}', {g}), '')"
-DAY = lambda y, m, d: f"TRY_CAST(lpad({y}, 4, '0') || '-' || lpad({m}, 2, '0') || '-' || lpad({d}, 2, '0') AS DATE)"
-FIELDS = f"SELECT id, raw_text, {RX(P.NUMBER)} AS invoice_no, {DAY(*(RX(P.DATE, i) for i in (1, 2, 3)))} AS invoice_date, trim({RX(P.BUYER)}) AS buyer, trim({RX(P.SELLER)}) AS seller, TRY_CAST(trim(replace(COALESCE({RX(P.TOTAL)}, {RX(P.TOTAL_ELSE)}), ',', '')) AS DECIMAL(12,2)) AS amount FROM {{parse_texts}} p"
+FIELDS = X.fields("{parse_texts} p0")
 
 
 @query("fn_09_fields", f"SELECT id, invoice_no, invoice_date, buyer, seller, amount FROM ({FIELDS}) x")
@@ -95,40 +107,27 @@ def _(t):
     return t.part.select(c("p_partkey").alias("id"), P.amount(x).alias("amount"))
 
 
-PART = lambda i: f"NULLIF(trim(string_split(trim(qr), sep)[{i}]), '')"
-QR = f"""SELECT id, code, invoice_no, amount, date FROM (SELECT id, row_number() OVER (PARTITION BY id ORDER BY sep) AS rn, code, invoice_no, amount, date FROM (
-    SELECT id, sep, CASE WHEN seven THEN {PART(3)} ELSE {PART(1)} END AS code, CASE WHEN seven THEN {PART(4)} ELSE {PART(2)} END AS invoice_no, CASE WHEN seven THEN {PART(5)} ELSE {PART(3)} END AS amount, CASE WHEN seven THEN {PART(6)} ELSE {PART(4)} END AS date FROM (
-      SELECT *, len(string_split(trim(qr), sep)) >= 7 AND trim(string_split(trim(qr), sep)[1]) = '01' AND trim(string_split(trim(qr), sep)[2]) IN ({quoted(P.QR_CODES)}) AS seven, len(string_split(trim(qr), sep)) = 5 AND regexp_matches(trim(string_split(trim(qr), sep)[1]), '^[0-9]{{10,12}}$') AS five
-      FROM {{parse_texts}} p, (VALUES (','), ('|')) s(sep) WHERE NOT regexp_matches(qr, '^https?://')) a WHERE seven OR five) b) d WHERE rn = 1"""
+QR = X.qr("{parse_texts}")
 
 
-@query("fn_12_qr_fields", QR.replace("{{10,12}}", "{10,12}"))
+@query("fn_12_qr_fields", QR)
 def _(t):
     return t.parse_texts.select("id", P.qr_fields(c("qr")).alias("q")).where("q IS NOT NULL").select("id", "q.*")
 
 
-QD = lambda x: f"CASE WHEN regexp_matches({x}, '^[0-9]{{8}}$') THEN {DAY(f'substring({x}, 1, 4)', f'substring({x}, 5, 2)', f'substring({x}, 7, 2)')} " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN {DAY(*(f"regexp_extract({x}, '{p}', {i})" for i in (1, 2, 3)))}" for p in ("^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})", "^([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日")) + " END"
-
-
-@query("fn_11_qr_date", f"SELECT id, {QD('trim(date)')} AS day FROM ({QR}) z WHERE date IS NOT NULL")
+@query("fn_11_qr_date", f"SELECT id, {X.qr_day('trim(date)')} AS day FROM ({QR}) z WHERE date IS NOT NULL")
 def _(t):
     rows = t.parse_texts.select("id", P.qr_fields(c("qr"))["date"].alias("date")).where("date IS NOT NULL")
     return rows.select("id", P.qr_date(c("date")).alias("day"))
 
 
-VALID = lambda x: f"(COALESCE({x}, '') IN ({quoted(S.VALID_TYPES)}) OR {any_of(f'COALESCE({x}, {chr(39) * 2})', [v for v in S.VALID_TYPES if len(v) > 3])})"
-
-
-@query("fn_13_confidence", f"SELECT id, CAST((CASE WHEN invoice_no IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN amount > 0 THEN 25 ELSE 0 END + CASE WHEN invoice_date IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN buyer <> '' THEN 10 ELSE 0 END + CASE WHEN seller <> '' THEN 10 ELSE 0 END) / 100.0 AS DECIMAL(3,2)) AS confidence FROM ({FIELDS}) x")
+@query("fn_13_confidence", f"SELECT id, {X.CONFIDENCE} AS confidence FROM ({FIELDS}) x")
 def _(t):
     f = t.parse_texts.select("id", *(v.alias(k) for k, v in P.fields(c("raw_text")).items()))
     return f.select("id", P.confidence(c("invoice_no"), c("buyer"), c("seller"), c("amount"), c("invoice_date"), F.lit(None).cast("string")).alias("confidence"))
 
 
-REQ = " + ".join(f"CAST(contains(raw_text, '{m}') AS INT)" for m in S.VAT_REQUIRED_MARKERS)
-
-
-@query("fn_14_vat_document", f"SELECT id, NOT {any_of('raw_text', S.NON_INVOICE_MARKERS)} AND {any_of('raw_text', S.VAT_TYPE_MARKERS)} AND {REQ} >= 2 AS vat FROM {{parse_texts}} p")
+@query("fn_14_vat_document", f"SELECT id, {X.vat_document()} AS vat FROM {{parse_texts}} p")
 def _(t):
     return t.parse_texts.select("id", P.is_vat_document(c("raw_text")).alias("vat"))
 
@@ -138,50 +137,49 @@ def _(t):
     return t.parse_texts.select("id", P.is_garbled(c("raw_text")).alias("garbled"))
 
 
-TICKET = f"(COALESCE(invoice_type, '') IN ({quoted(S.E_TICKET_TYPES)}) OR (regexp_matches(invoice_no, '^[0-9]{{{{20}}}}$') AND ({any_of('COALESCE(invoice_type, chr(0))', S.E_TICKET_MARKERS)} OR {any_of('COALESCE(item_summary, chr(0))', S.E_TICKET_MARKERS)} OR {any_of('COALESCE(raw_text, chr(0))', S.E_TICKET_MARKERS)})))".replace("{{20}}", "{20}")
-SENT = "COALESCE(amount < 0.10, FALSE)"
-STRONG = "(extraction_method IN ('qr', 'xml_xpath', 'ofd_struct') OR COALESCE(regexp_matches(invoice_no, '^([0-9]{8}|[0-9]{20})$'), FALSE))"
-NEED = f"((confidence < 0.6 OR COALESCE(invoice_no, '') = '' OR {SENT} OR COALESCE(buyer, '') IN ('', '未知') OR COALESCE(seller, '') IN ('', '未知') OR COALESCE(invoice_type, '') IN ('', '未知') OR COALESCE(item_summary, '') = '') AND COALESCE(raw_text, '') <> '')"
-
-
-@query("fn_17_e_ticket", f"SELECT cand_id, filename, {TICKET} AS ticket FROM {{candidates}} x")
+@query("fn_17_e_ticket", f"SELECT cand_id, filename, {X.ticket()} AS ticket FROM {{candidates}} x")
 def _(t):
     return t.candidates.select("cand_id", "filename", P.is_e_ticket(c("invoice_type"), c("invoice_no"), c("item_summary"), c("raw_text")).alias("ticket"))
 
 
-@query("fn_18_valid_type", f"SELECT cand_id, filename, {VALID('invoice_type')} AS valid FROM {{candidates}} x")
+@query("fn_18_valid_type", f"SELECT cand_id, filename, {X.known_type('invoice_type')} AS valid FROM {{candidates}} x")
 def _(t):
     return t.candidates.select("cand_id", "filename", P.is_valid_type(c("invoice_type")).alias("valid"))
 
 
-@query("fn_19_strong", f"SELECT cand_id, {STRONG} AS strong FROM {{candidates}} x")
+@query("fn_19_strong", f"SELECT cand_id, {X.STRONG} AS strong FROM {{candidates}} x")
 def _(t):
     return t.candidates.select("cand_id", P.is_strong(c("extraction_method"), c("invoice_no")).alias("strong"))
 
 
-@query("fn_20_should_enrich", f"SELECT cand_id, {NEED} AS need FROM {{candidates}} x")
+@query("fn_20_should_enrich", f"SELECT cand_id, {X.NEED} AS need FROM {{candidates}} x")
 def _(t):
-    return t.candidates.select("cand_id", P.should_enrich(c("confidence"), c("invoice_no"), c("amount"), c("buyer"), c("seller"), c("invoice_type"), c("item_summary"), c("raw_text")).alias("need"))
+    return t.candidates.select("cand_id", I.needs(t.candidates).alias("need"))
 
 
-@query("fn_21_enrich_text", "SELECT email_id, substring('[message]' || chr(10) || substring(body_text, 1, 2000) || chr(10) || '[document]' || chr(10) || subject, 1, 5000) AS text FROM {emails} e")
-def _(t):
-    return t.emails.select("email_id", F.substring(F.concat_ws("\n", F.lit("[message]"), F.substring("body_text", 1, 2000), F.lit("[document]"), "subject"), 1, 5000).alias("text"))
+WRAPPED = "CASE WHEN body_text <> '' THEN '[Email context]' || chr(10) || body_text || chr(10) || '[/Email context]' || chr(10) || chr(10) || '[Attachment text]' || chr(10) || subject || chr(10) || '[/Attachment text]' ELSE subject END"
+
 
+@query("fn_21_enrich_text", f"SELECT email_id, substring({WRAPPED}, 1, 5000) AS text FROM {{emails}} e")
+def _(t):
+    return t.emails.select("email_id", F.substring(T.enrichment_text(c("body_text"), c("subject")), 1, 5000).alias("text"))
 
-USE = "(x_valid IS NOT NULL AND (x_valid OR x_category <> 'vat_invoice'))"
-MERGED = lambda enough: f"CASE WHEN {USE} AND x_buyer <> '' AND x_buyer <> '未知' THEN x_buyer ELSE buyer END AS buyer, CASE WHEN {USE} AND (amount IS NULL OR {SENT}) AND x_amount IS NOT NULL AND NOT ({enough}) THEN x_amount ELSE amount END AS amount, CASE WHEN {USE} THEN 'llm' ELSE extraction_method END AS extraction_method, CASE WHEN {USE} THEN GREATEST(confidence, x_confidence) ELSE confidence END AS confidence"
 
+MERGED = ["buyer", "seller", "item_summary", "invoice_type", "invoice_no", "invoice_date", "amount", "extraction_method", "confidence"]
+for _policy in ("upload", "mail"):
 
-@query("fn_22_merge", f"SELECT cand_id, filename, {MERGED('x_amount < 0.10')} FROM {{candidates}} x")
-def _(t):
-    return t.candidates.withColumns(I.merged("upload")).select("cand_id", "filename", "buyer", "amount", "extraction_method", "confidence")
+    @query(f"fn_22_merge_{_policy}" if _policy == "mail" else "fn_22_merge", f"SELECT cand_id, filename, {', '.join(f'{v} AS {k}' for k, v in X.merged(_policy).items())} FROM {{candidates}} x")
+    def _(t, policy=_policy):
+        return t.candidates.select("cand_id", "filename", *(v.alias(k) for k, v in I.merged(policy).items()))
 
 
-@query("fn_25_content_hash", "SELECT p_partkey AS id, sha256('extract:' || p_name) AS content_hash, TIMESTAMP '2024-01-01' + CASE WHEN p_partkey % 2 = 0 THEN INTERVAL 7 DAY ELSE INTERVAL 365 DAY END AS expires_at FROM part")
+@query(
+    "fn_25_content_hash",
+    "SELECT p_partkey AS id, sha256('extract:' || p_name) AS content_hash, TIMESTAMP '2024-01-01' + CASE WHEN p_partkey % 3 < 2 THEN INTERVAL 7 DAY ELSE INTERVAL 365 DAY END AS expires_at FROM part",
+)
 def _(t):
-    kind = F.when(c("p_partkey") % 2 == 0, "classify").otherwise("extract_invoice")
-    return t.part.select(c("p_partkey").alias("id"), F.sha2(F.concat(F.lit("extract:"), c("p_name")), 256).alias("content_hash"), P.expiry(kind, F.lit("2024-01-01").cast("timestamp")).alias("expires_at"))
+    kind = F.when(c("p_partkey") % 3 == 0, "classify").when(c("p_partkey") % 3 == 1, "analyze_email_v3").otherwise("extract")
+    return t.part.select(c("p_partkey").alias("id"), P.content_hash("extract", c("p_name")).alias("content_hash"), P.expiry(kind, F.lit("2024-01-01").cast("timestamp")).alias("expires_at"))
 
 
 @query("fn_26_uid_newer", "SELECT event_id, CASE WHEN a = '' THEN FALSE WHEN COALESCE(b, '') = '' THEN TRUE WHEN regexp_matches(a, '^[0-9]+$') AND regexp_matches(b, '^[0-9]+$') THEN CAST(a AS BIGINT) > CAST(b AS BIGINT) ELSE a > b END AS newer FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 5 = 1 THEN 'x' || event_id ELSE CAST(event_id AS VARCHAR) END AS a, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN event_type ELSE CAST(user_id * 60 AS VARCHAR) END AS b FROM events) x")
@@ -196,13 +194,9 @@ def _(t):
     return t.email_accounts.select("id", F.explode(ST.parse_state(c("last_scan_uid"))).alias("folder", "s")).select("id", "folder", "s.uid", "s.uidvalidity")
 
 
-CLEAN = lambda x: f"trim(regexp_replace(regexp_replace(COALESCE({x}, ''), '[/\\\\:*?\"<>|]', '_', 'g'), '_+', '_', 'g'), '_')"
-SAFE = lambda x: f"COALESCE(NULLIF(rtrim(substring({CLEAN(x)}, 1, 40), '_'), ''), 'unknown')"
-
-
-@query("fn_29_canonical_name", f"SELECT id, {SAFE('buyer')} || '_' || {SAFE('item_summary')} || '_' || {SAFE('invoice_no')} || '_' || strftime(invoice_date, '%Y%m%d') || '_' || amount || '.pdf' AS name FROM {{invoices}} i")
+@query("fn_29_canonical_name", f"SELECT id, {X.safe('buyer')} || '_' || {X.safe('item_summary')} || '_' || {X.safe('invoice_no')} || '_' || strftime(invoice_date, '%Y%m%d') || '_' || amount || '.pdf' AS name FROM {{invoices}} i")
 def _(t):
-    return t.invoices.select("id", P.canonical_name(c("buyer"), c("item_summary"), c("invoice_no"), c("invoice_date"), c("amount")).alias("name"))
+    return t.invoices.select("id", P.canonical_name(c("buyer"), c("item_summary"), c("invoice_no"), c("invoice_date"), c("amount"), "p*df").alias("name"))
 
 
 @query("fn_30_traversal", "SELECT id, p, CASE WHEN id % 4 IN (1, 3) THEN TRUE ELSE FALSE END AS bad FROM (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'a/../b/' || p_partkey WHEN 1 THEN 'a/../../' || p_partkey WHEN 2 THEN './x/' || p_partkey ELSE '/etc/' || p_partkey END AS p FROM part) y")
@@ -212,27 +206,30 @@ def _(t):
     return rows.withColumn("bad", P.is_traversal(c("p")))
 
 
-@query("fn_31_fallback_id", "SELECT email_id, 'pop3-' || sha256(subject || '|' || from_addr || '|' || uid) AS mid FROM {emails} e")
+@query("fn_31_fallback_id", "SELECT email_id, 'pop3-' || sha256(subject || '|' || from_addr || '|' || COALESCE(link, '') || '|' || uid) AS mid FROM {emails} e")
 def _(t):
-    return t.emails.select("email_id", F.concat(F.lit("pop3-"), F.sha2(F.concat_ws("|", "subject", "from_addr", "uid"), 256)).alias("mid"))
+    return t.emails.select("email_id", T.fallback_id(c("subject"), c("from_addr"), c("link"), c("uid")).alias("mid"))
+
+
+#: Forms of one instant: with Z, an offset, nothing, RFC 2822 with and without weekday; and no time at all.
+STAMPS = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'+00:00'", "yyyy-MM-dd'T'HH:mm:ss", "dd MMM yyyy HH:mm:ss Z", "E, dd MMM yyyy HH:mm:ss Z", "E, dd MMM yyyy HH:mm:ss 'GMT'", "'soon'", "yyyy-MM-dd'T'HH:mm:ss'+08:00'")
 
 
-@query("fn_32_timestamps", "SELECT event_id, date_trunc('second', ts) AS at FROM events")
+@query("fn_32_timestamps", "SELECT event_id, CASE event_id % 8 WHEN 6 THEN NULL WHEN 7 THEN date_trunc('second', ts) - INTERVAL 8 HOUR ELSE date_trunc('second', ts) END AS at FROM events")
 def _(t):
-    iso, rfc = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format("ts", "dd MMM yyyy HH:mm:ss Z")
-    rows = t.events.select("event_id", F.when(c("event_id") % 2 == 0, iso).otherwise(rfc).alias("x"))
-    parsed = F.coalesce(F.try_to_timestamp("x", F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")), F.try_to_timestamp("x", F.lit("dd MMM yyyy HH:mm:ss Z")))
-    return rows.select("event_id", parsed.alias("at"))
+    text = F.get(F.array(*(F.date_format("ts", f) for f in STAMPS)), (c("event_id") % 8).cast("int"))
+    return t.events.select("event_id", T.instant(text).alias("at"))
 
 
-@query("fn_33_account_kind", "SELECT id, split_part(username, '@', -1) IN ('outlook.com', 'hotmail.com', 'live.com', 'msn.com') AS personal FROM {email_accounts} a")
+@query("fn_33_account_kind", f"SELECT id, lower(split_part(username, '@', -1)) IN ({X.listed(*X.PERSONAL)}) AS personal, type = 'qq' OR lower(host) IN ('imap.qq.com', 'imap.exmail.qq.com') AS dedicated FROM {{email_accounts}} a")
 def _(t):
-    return t.email_accounts.select("id", F.substring_index("username", "@", -1).isin("outlook.com", "hotmail.com", "live.com", "msn.com").alias("personal"))
+    return t.email_accounts.select("id", *(v.alias(k) for k, v in T.account_kinds(c("type"), c("host"), c("username")).items()))
 
 
-@query("fn_37_redirect", "SELECT page_id, contains(lower(url), 'example.net') AS wrapped FROM pages")
+@query("fn_37_redirect", "SELECT page_id, page_id % 3 = 0 AS wrapped FROM pages")
 def _(t):
-    return t.pages.select("page_id", F.contains(F.lower("url"), F.lit("example.net")).alias("wrapped"))
+    url = F.when(c("page_id") % 3 == 0, F.concat(F.lit("https://eur01.safelinks.protection.outlook.com/?url="), "url")).when(c("page_id") % 3 == 1, c("url"))
+    return t.pages.select("page_id", T.is_redirect(url).alias("wrapped"))
 
 
 @query("fn_38_category", "SELECT id, CASE WHEN invoice_category IS NULL THEN 'vat_invoice' WHEN invoice_category = 'saas_invoice' THEN 'overseas_invoice' ELSE invoice_category END AS category FROM {invoices} i")
@@ -247,9 +244,9 @@ def _(t):
     return t.extraction_logs.groupBy("outcome").agg(F.max(priority()).alias("rank"))
 
 
-@query("fn_40_embedding_text", "SELECT id, concat_ws(' ', buyer, seller, item_summary) AS text FROM {invoices} i")
+@query("fn_40_embedding_text", "SELECT id, buyer || ' ' || seller || ' ' || COALESCE(item_summary, '') AS text FROM {invoices} i")
 def _(t):
-    return t.invoices.select("id", F.concat_ws(" ", "buyer", "seller", "item_summary").alias("text"))
+    return t.invoices.select("id", T.embedding_text(c("buyer"), c("seller"), c("item_summary")).alias("text"))
 
 
 @query("src_03_detect_format", "SELECT email_id, CASE WHEN e = 'ofd' THEN 'ofd' WHEN e = 'xml' OR starts_with(ltrim(h), '<?xml') THEN 'xml' WHEN e = 'pdf' OR starts_with(h, '%PDF') THEN 'pdf' WHEN contains(h, '<?xml') THEN 'xml' ELSE 'pdf' END AS format FROM (SELECT email_id, CASE WHEN contains(attachment, '.') THEN lower(split_part(attachment, '.', -1)) ELSE '' END AS e, CASE email_id % 3 WHEN 0 THEN '  <?xml?>' WHEN 1 THEN '%PDF-1' ELSE 'x <?xml' END AS h FROM {emails} x WHERE attachment IS NOT NULL) y")
@@ -258,13 +255,42 @@ def _(t):
     return t.emails.where("attachment IS NOT NULL").select("email_id", P.file_format(c("attachment"), head).alias("format"))
 
 
-EDITS = "SELECT c_custkey AS id, 'New ' || c_mktsegment AS buyer, CAST(c_acctbal AS DECIMAL(12,2)) AS amount, CASE WHEN c_custkey % 2 = 0 THEN DATE '1999-09-09' END AS invoice_date FROM customer"
+EDITS = """SELECT c_custkey AS id, 'New ' || c_mktsegment AS buyer, CAST(c_acctbal AS DECIMAL(12,2)) AS amount, CASE WHEN c_custkey % 2 = 0 THEN DATE '1999-09-09' END AS invoice_date,
+    CASE WHEN c_custkey % 5 = 0 THEN CAST(10000000 + c_custkey % 40 AS VARCHAR) WHEN c_custkey % 5 = 1 THEN 'N' || c_custkey END AS invoice_no FROM customer"""
+OLD = "CASE f WHEN 'buyer' THEN i.buyer WHEN 'amount' THEN CAST(i.amount AS VARCHAR) WHEN 'invoice_date' THEN CAST(i.invoice_date AS VARCHAR) ELSE i.invoice_no END"
+NEW = OLD.replace("i.", "e.")
+WANTED = f"SELECT i.id, i.user_id, e.invoice_no, MIN(i.id) OVER (PARTITION BY i.user_id, e.invoice_no) AS lowest FROM {{invoices}} i JOIN ({EDITS}) e USING (id) WHERE e.invoice_no IS NOT NULL"
+REJECTED = f"SELECT id FROM ({WANTED}) w WHERE id <> lowest OR EXISTS (SELECT 1 FROM {{invoices}} o WHERE o.user_id = w.user_id AND o.invoice_no = w.invoice_no AND o.id <> w.id)"
 
 
-@query("dml_01_corrections", f"SELECT i.id AS invoice_id, f AS field_name, CASE f WHEN 'buyer' THEN i.buyer WHEN 'amount' THEN CAST(i.amount AS VARCHAR) ELSE CAST(i.invoice_date AS VARCHAR) END AS old_value, CASE f WHEN 'buyer' THEN e.buyer WHEN 'amount' THEN CAST(e.amount AS VARCHAR) ELSE CAST(e.invoice_date AS VARCHAR) END AS new_value FROM {{invoices}} i JOIN ({EDITS}) e USING (id), (VALUES ('buyer'), ('amount'), ('invoice_date')) v(f) WHERE CASE f WHEN 'buyer' THEN i.buyer <> e.buyer WHEN 'amount' THEN i.amount <> e.amount ELSE i.invoice_date <> e.invoice_date END")
+def _edits(t):
+    k = c("c_custkey")
+    number = F.when(k % 5 == 0, (k % 40 + 10000000).cast("string")).when(k % 5 == 1, F.concat(F.lit("N"), k))
+    return t.customer.select(k.alias("id"), F.concat(F.lit("New "), c("c_mktsegment")).alias("buyer"), c("c_acctbal").cast("decimal(12,2)").alias("amount"), F.when(k % 2 == 0, F.lit("1999-09-09").cast("date")).alias("invoice_date"), number.alias("invoice_no"))
+
+
+@query(
+    "dml_01_corrections",
+    f"""SELECT i.id AS invoice_id, f AS field_name, {OLD} AS old_value, {NEW} AS new_value FROM {{invoices}} i JOIN ({EDITS}) e USING (id), (VALUES ('buyer'), ('amount'), ('invoice_date'), ('invoice_no')) v(f)
+        WHERE {OLD} <> {NEW} AND i.id NOT IN ({REJECTED})""",
+)
 def _(t):
-    edits = t.customer.select(c("c_custkey").alias("id"), F.concat(F.lit("New "), c("c_mktsegment")).alias("buyer"), c("c_acctbal").cast("decimal(12,2)").alias("amount"), F.when(c("c_custkey") % 2 == 0, F.lit("1999-09-09").cast("date")).alias("invoice_date"))
-    return D.apply_corrections(t.invoices, edits)[1].drop("user_id")
+    return D.apply_corrections(t.invoices, _edits(t))[1].drop("user_id")
+
+
+@query("dml_01_rejected", REJECTED)
+def _(t):
+    return D.apply_corrections(t.invoices, _edits(t))[2]
+
+
+@query(
+    "dml_01_snapshot",
+    f"""SELECT i.id, CASE WHEN ok THEN COALESCE(e.invoice_no, i.invoice_no) ELSE i.invoice_no END AS invoice_no, CASE WHEN ok THEN COALESCE(e.buyer, i.buyer) ELSE i.buyer END AS buyer,
+        is_manually_corrected OR (ok AND (COALESCE(e.invoice_no <> i.invoice_no, FALSE) OR COALESCE(e.buyer <> i.buyer, FALSE) OR COALESCE(e.amount <> i.amount, FALSE) OR COALESCE(e.invoice_date <> i.invoice_date, FALSE))) AS is_manually_corrected
+        FROM (SELECT *, id NOT IN ({REJECTED}) AS ok FROM {{invoices}} z) i LEFT JOIN ({EDITS}) e USING (id)""",
+)
+def _(t):
+    return D.apply_corrections(t.invoices, _edits(t))[0].select("id", "invoice_no", "buyer", "is_manually_corrected")
 
 
 @query("dml_02_delete", "SELECT id, file_path FROM {invoices} i WHERE user_id = 4 AND id IN (SELECT event_id FROM events)")
@@ -298,49 +324,155 @@ def _(t):
     return W.retention_split(t.llm_cache, c("expires_at") <= F.lit("2024-01-20").cast("timestamp"), 500).select("id")
 
 
-@query("snk_05_upsert_latest", "SELECT p_partkey AS id, 'base' AS v FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT c_custkey, c_name FROM customer")
+@query(
+    "snk_05_upsert_latest",
+    "SELECT p_partkey AS id, 'base' AS v FROM part WHERE p_partkey NOT IN (SELECT event_id % 500 FROM events) UNION ALL SELECT event_id % 500, arg_max(event_type || event_id, event_id) FROM events GROUP BY 1",
+)
+def _(t):
+    delta = t.events.select((c("event_id") % 500).alias("id"), F.concat("event_type", "event_id").alias("v"), "event_id")
+    return D.upsert_latest(t.part.select(c("p_partkey").alias("id"), F.lit("base").alias("v")), delta, "id", "event_id")
+
+
+TRUST = ["@pay.vendor.example", "src4"]
+
+
+def _messages(t):
+    """The fixture's messages with attachments, links and headers as the intake reads them."""
+    none = F.array().cast("array<string>")
+    return t.emails.withColumns({
+        "attachments": F.array_compact(F.array("attachment", "attachment2")), "links": F.when(c("link").isNotNull(), F.array("link")).otherwise(none),
+        "headers": F.when(c("header").isNotNull(), F.create_map("header", F.lit("x"))), "uidvalidity": F.lit("v1"),
+    })
+
+
+PICK = lambda *v: "CASE rule " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(v, 1)) + " END"
+
+
+@query(
+    "pip_01_classify",
+    f"""SELECT email_id, {PICK('FALSE', 'FALSE', 'TRUE', 'TRUE', 'FALSE')} AS is_invoice, {PICK('0.98', '0.97', '0.95', '0.98', '0.90')} AS confidence,
+        {PICK("'bulk header'", 'scam', "'invoice attachment: ' || document", "'trusted sender'", "'no content or keywords'")} AS reason FROM ({X.rules('{emails}')}) z""",
+)
+def _(t):
+    return I.classify(_messages(t), TRUST)
+
+
+CAND = ["cand_id", "user_id", "invoice_no", "buyer", "seller", "amount", "invoice_date", "invoice_type", "item_summary", "raw_text", "extraction_method", "confidence", "is_vat_document"]
+CAND += ["x_valid", "x_category", "x_buyer", "x_seller", "x_item_summary", "x_invoice_type", "x_invoice_no", "x_invoice_date", "x_amount", "x_confidence", "received_at", "email_uid"]
+for _policy in ("mail", "upload"):
+
+    @query(
+        f"fn_24_decide_{_policy}",
+        f"WITH {X.gate(f'SELECT DISTINCT {", ".join(CAND)} FROM {{candidates}} z', '{invoices}', _policy, 'received_at, email_uid, cand_id')} SELECT cand_id, invoice_no, outcome, audit, detail FROM done",
+    )
+    def _(t, policy=_policy):
+        return I.decide(t.candidates.select(*CAND).distinct(), t.invoices, policy).select("cand_id", "invoice_no", "outcome", "audit", "detail")
+
+
+#: The state the intake starts from, and what it saw before.
+STATE = "SELECT account_id, folder, CAST(MAX(CAST(uid AS BIGINT)) AS VARCHAR) AS last_uid, CASE WHEN account_id % 2 = 0 THEN 'old' ELSE 'v1' END AS validity FROM {emails} q WHERE received_at < TIMESTAMP '2024-01-02 00:00:00' GROUP BY 1, 2"
+SEEN = "SELECT user_id, uid AS email_uid, attachment AS attachment_filename FROM {emails} q WHERE email_id % 60 IN (0, 26)"
+
+
+def _answers(texts):
+    """A message analyser whose answers follow from the length of what it reads."""
+    out = []
+    for n in map(len, texts):
+        related = n % 2 == 0
+        record = {"is_invoice_related": related, "invoice_confidence": 0.5} | ({} if related else {"skip_reason": "odd"}) | ({"url_confidence": 0.7} if n % 7 == 0 else {})
+        out.append(None if n % 11 == 0 else json.dumps(record))
+    return out
+
+
+def _extracted(texts):
+    """An extractor whose answers follow from the length of the text."""
+    out = []
+    for n in map(len, texts):
+        record = {"buyer": "X Buyer", "seller": "未知" if n % 3 == 0 else "X Seller", "invoice_no": str(90000000 + n // 2), "invoice_date": "2024-02-03", "amount": str(n % 50), "item_summary": f"sum {n % 5}", "invoice_type": "数电专票" if n % 2 else "收据"}
+        record |= {"invoice_category": "receipt" if n % 5 == 0 else "vat_invoice", "confidence": 1.5 if n % 13 == 0 else (n % 10) / 10, "is_valid_tax_invoice": n % 4 < 2}
+        out.append(None if n % 7 == 0 else json.dumps(record))
+    return out
+
+
+def _parsed(source: str) -> str:
+    """Documents (id, raw_text, qr and more) with what the parser keeps."""
+    q = X.qr(f"(SELECT id, qr FROM {source} a0)")
+    return f"""SELECT d.* EXCLUDE (invoice_no, invoice_date, buyer, seller, amount, conf), CASE WHEN q.id IS NOT NULL THEN q.invoice_no WHEN conf >= 0.6 THEN d.invoice_no END AS invoice_no,
+      COALESCE({X.qr_day('trim(q.date)')}, CASE WHEN keep THEN d.invoice_date END) AS invoice_date, CASE WHEN keep THEN d.buyer END AS buyer, CASE WHEN keep THEN d.seller END AS seller,
+      COALESCE(NULLIF({X.money('q.amount')}, 0), CASE WHEN keep THEN d.amount END, {X.money('q.amount')}) AS amount, CAST(NULL AS VARCHAR) AS invoice_type, CAST(NULL AS VARCHAR) AS item_summary,
+      CASE WHEN q.id IS NOT NULL THEN 'qr' WHEN conf >= 0.6 THEN 'regex' ELSE 'llm' END AS extraction_method, CASE WHEN q.id IS NOT NULL THEN 0.95 WHEN conf >= 0.6 THEN CAST(conf AS DOUBLE) ELSE 0.0 END AS confidence,
+      {X.vat_document('d.raw_text')} AS is_vat_document
+      FROM (SELECT *, conf >= 0.6 OR id IN (SELECT id FROM ({q}) q1) AS keep FROM (SELECT *, {X.CONFIDENCE} AS conf FROM ({X.fields(source)}) f0) f1) d LEFT JOIN ({q}) q ON q.id = d.id"""
+
+
+def _asked(source: str, text: str) -> str:
+    """Parsed documents with what the extractor answers to those that are handed to it."""
+    return f"""SELECT *, CASE WHEN ok THEN n % 4 < 2 END AS x_valid, CASE WHEN ok THEN CASE WHEN n % 5 = 0 THEN 'receipt' ELSE 'vat_invoice' END END AS x_category, CASE WHEN ok THEN 'X Buyer' END AS x_buyer,
+      CASE WHEN ok THEN CASE WHEN n % 3 = 0 THEN '未知' ELSE 'X Seller' END END AS x_seller, CASE WHEN ok THEN 'sum ' || (n % 5) END AS x_item_summary, CASE WHEN ok THEN CASE WHEN n % 2 = 1 THEN '数电专票' ELSE '收据' END END AS x_invoice_type,
+      CASE WHEN ok THEN CAST(90000000 + n // 2 AS VARCHAR) END AS x_invoice_no, CASE WHEN ok THEN DATE '2024-02-03' END AS x_invoice_date, CASE WHEN ok THEN CAST(n % 50 AS DECIMAL(12,2)) END AS x_amount, CASE WHEN ok THEN (n % 10) / 10.0 END AS x_confidence
+      FROM (SELECT *, {X.NEED} AND n % 7 <> 0 AND n % 13 <> 0 AS ok FROM (SELECT *, least(length({text}), 5000) AS n FROM ({source}) h0) h1) h2"""
+
+
+LETTER = "'Subject: ' || subject || chr(10) || 'From: ' || from_addr || chr(10) || 'Body:' || chr(10) || substring(body_text, 1, 2000) || chr(10) || chr(10) || '<links>' || chr(10) || COALESCE('  <url>' || link || '</url>', '  (none)') || chr(10) || '</links>'"
+CONTEXT = "CASE WHEN body_text <> '' THEN '[Email context]' || chr(10) || body_text || chr(10) || '[/Email context]' || chr(10) || chr(10) || '[Attachment text]' || chr(10) || raw_text || chr(10) || '[/Attachment text]' ELSE raw_text END"
+MAIL = f"""WITH fresh AS (SELECT m.* FROM {{emails}} m LEFT JOIN ({STATE}) s USING (account_id, folder) WHERE s.last_uid IS NULL OR s.validity = 'old' OR CAST(m.uid AS BIGINT) > CAST(s.last_uid AS BIGINT)),
+    firsts AS (SELECT * EXCLUDE (rn, m) FROM (SELECT *, row_number() OVER (PARTITION BY account_id, m ORDER BY received_at, folder, email_id) AS rn FROM (SELECT *, trim(replace(replace(message_id, '<', ''), '>', '')) AS m FROM fresh) y) x WHERE rn = 1 OR m = ''),
+    ruled AS (SELECT *, {PICK('FALSE', 'FALSE', 'TRUE', 'TRUE', 'FALSE')} AS sure, length({LETTER}) AS k FROM ({X.rules('firsts')}) r),
+    known AS (SELECT *, CASE WHEN sure IS NOT NULL THEN 1 ELSE 3 END AS tier, COALESCE(sure, CASE WHEN k % 11 <> 0 AND k % 7 <> 0 THEN k % 2 = 0 END) AS wanted FROM ruled),
+    held AS (SELECT k.email_id, k.user_id, k.tier, k.body_text, k.received_at, k.uid AS email_uid, k.subject AS email_subject, a.filename, a.raw_text, a.qr, a.source_format, k.email_id * 2 + a.position AS id,
+      row_number() OVER (PARTITION BY k.email_id ORDER BY CASE lower(split_part(a.filename, '.', -1)) WHEN 'pdf' THEN 0 WHEN 'ofd' THEN 1 WHEN 'xml' THEN 2 ELSE 3 END, a.position, a.filename) AS turn,
+      EXISTS (SELECT 1 FROM ({SEEN}) l WHERE l.user_id = k.user_id AND l.email_uid = k.uid AND l.attachment_filename = a.filename) AS skipped
+      FROM known k JOIN ({{attachments}}) a USING (email_id) WHERE k.wanted AND a.filename IN (k.attachment, k.attachment2)),
+    open_ AS (SELECT * EXCLUDE (skipped) FROM held WHERE NOT skipped),
+    """ + X.gate(_asked(_parsed("open_"), CONTEXT), "{invoices}", "mail", "received_at, email_uid, email_id, turn")
+LOG = "user_id, email_uid, attachment_filename, outcome, classification_tier, parse_method, parse_format, invoice_no, confidence, error_detail"
+
+
+def _mail(t):
+    state = t.emails.where("received_at < TIMESTAMP '2024-01-02 00:00:00'").groupBy("account_id", "folder").agg(G.newest().alias("last_uid")).withColumn("validity", F.when(c("account_id") % 2 == 0, "old").otherwise("v1"))
+    seen = t.emails.where("email_id % 60 IN (0, 26)").select("user_id", c("uid").alias("email_uid"), c("attachment").alias("attachment_filename"))
+    documents = t.attachments.select("email_id", "filename", "raw_text", "qr", "source_format")
+    return I.mail_intake(_messages(t), documents, state, seen, t.invoices, AS_OF[:10], TRUST, _answers, _extracted)
+
+
+@query(
+    "pip_02_mail_intake",
+    f"""{MAIL} SELECT user_id, email_uid, filename AS attachment_filename, audit AS outcome, tier AS classification_tier, extraction_method AS parse_method, source_format AS parse_format, invoice_no, CASE WHEN audit <> 'duplicate' THEN confidence END AS confidence, detail AS error_detail FROM done
+    UNION ALL SELECT user_id, email_uid, filename, 'skipped_seen', tier, NULL, NULL, NULL, NULL, NULL FROM held WHERE skipped
+    UNION ALL SELECT user_id, uid, attachment2, 'skipped_seen', tier, NULL, NULL, NULL, NULL, NULL FROM known WHERE wanted AND attachment2 = attachment AND email_id IN (SELECT email_id FROM {{attachments}} d)
+    UNION ALL SELECT user_id, uid, NULL, CASE WHEN wanted IS NULL THEN 'error' ELSE 'not_invoice' END, tier, NULL, NULL, NULL, NULL, CASE WHEN wanted IS NULL THEN 'no valid analysis' END FROM known WHERE wanted IS NULL OR NOT wanted""",
+)
 def _(t):
-    return D.upsert_latest(t.part.select(c("p_partkey").alias("id"), F.lit("base").alias("v")), t.customer.select(c("c_custkey").alias("id"), c("c_name").alias("v")), "id")
+    return _mail(t).audit.select(*LOG.split(", "))
 
 
-TRUST = ("@pay.vendor.example", "src4")
-TRUSTED = "(contains(lower(from_addr), 'src4') OR (contains(BOX, '@') AND (split_part(BOX, '@', -1) = 'pay.vendor.example' OR ends_with(split_part(BOX, '@', -1), '.pay.vendor.example'))))".replace("BOX", f"({BOX})")
-CLASSES = f"""SELECT email_id, CASE r WHEN 1 THEN FALSE WHEN 2 THEN FALSE WHEN 3 THEN TRUE WHEN 4 THEN TRUE WHEN 5 THEN FALSE END AS is_invoice, CASE r WHEN 1 THEN 0.98 WHEN 2 THEN 0.97 WHEN 3 THEN 0.95 WHEN 4 THEN 0.98 WHEN 5 THEN 0.90 END AS confidence,
-    CASE r WHEN 1 THEN 'bulk header' WHEN 2 THEN scam WHEN 3 THEN 'invoice attachment: ' || attachment WHEN 4 THEN 'trusted sender' WHEN 5 THEN 'no content or keywords' END AS reason FROM (SELECT *, CASE WHEN lower(header) = 'list-unsubscribe' THEN 1 WHEN scam IS NOT NULL THEN 2
-    WHEN contains(attachment, '.') AND lower(split_part(attachment, '.', -1)) IN ('pdf', 'xml', 'ofd') THEN 3 WHEN {TRUSTED} THEN 4 WHEN attachment IS NULL AND link IS NULL AND NOT {any_of('lower(t)', S.KEYWORDS)} THEN 5 END AS r FROM (SELECT *, {SCAM} AS scam FROM (SELECT *, subject || ' ' || substring(body_text, 1, 2000) AS t FROM {{emails}} e) x) y) z"""
+ROWS = "user_id, invoice_no, buyer, seller, invoice_type, amount, invoice_date, item_summary, raw_text, email_uid, source_format, extraction_method, confidence, invoice_category"
+STORED = """user_id, invoice_no, COALESCE(NULLIF(buyer, ''), '未知') AS buyer, COALESCE(NULLIF(seller, ''), '未知') AS seller, COALESCE(NULLIF(invoice_type, ''), '未知') AS invoice_type, CAST(COALESCE(amount, 0) AS DECIMAL(12,2)) AS amount,
+    COALESCE(invoice_date, DATE '2001-07-15') AS invoice_date, COALESCE(item_summary, '') AS item_summary, substring(raw_text, 1, 10000) AS raw_text, email_uid, source_format, extraction_method, confidence, category AS invoice_category"""
 
 
-@query("pip_01_classify", CLASSES)
+@query("pip_02_invoice_rows", f"{MAIL} SELECT {STORED} FROM done WHERE outcome = 'saved'")
 def _(t):
-    return I.classify(t.emails, list(TRUST))
+    return _mail(t).invoices.select(*ROWS.split(", "))
 
 
-def decided(policy: str) -> str:
-    """The intake decision in SQL; the unique key of a candidate is all of its columns, so rows are made distinct."""
-    ticket = TICKET if policy == "upload" else "FALSE"
-    scam = SCAM.replace("(t", "(s").replace("WHEN t = ''", "WHEN s = ''")
-    spam = "scam_detected" if policy == "upload" else "not_vat_invoice"
-    done = "manual_upload_saved" if policy == "upload" else "saved"
-    enough = "x_amount < 0.10" if policy == "upload" else "x_amount = 0"
-    return f"""WITH c AS (SELECT DISTINCT cand_id, user_id, invoice_no, buyer, seller, amount, invoice_type, item_summary, raw_text, extraction_method, confidence, is_vat_document, CASE WHEN {NEED} THEN x_valid END AS x_valid, x_category, x_buyer, x_amount, x_confidence, received_at, email_uid, {STRONG} AS strong FROM {{candidates}} q),
-    m AS (SELECT cand_id, user_id, invoice_no, seller, invoice_type, item_summary, raw_text, is_vat_document, x_valid, x_category, received_at, email_uid, strong, {MERGED(enough)} FROM c),
-    g AS (SELECT *, {ticket} AS ticket, {VALID('invoice_type')} AS valid, concat_ws(' ', NULLIF(buyer, ''), NULLIF(seller, ''), NULLIF(item_summary, '')) AS s FROM m),
-    d AS (SELECT *, {scam} AS scam, ((x_valid IS NOT NULL AND NOT x_valid AND NOT strong AND NOT ticket) OR (NOT valid AND x_valid IS NULL AND NOT is_vat_document AND NOT ticket)) AND COALESCE(CASE WHEN x_valid IS NOT NULL THEN x_category END, 'vat_invoice') = 'vat_invoice' AS reject,
-      {SENT} AND NOT ticket AS sentinel FROM g),
-    e AS (SELECT *, confidence < CASE WHEN ticket THEN 0.5 ELSE 0.6 END OR COALESCE(invoice_no, '') = '' OR sentinel AS low FROM d),
-    o AS (SELECT *, CASE WHEN scam IS NOT NULL THEN '{spam}' WHEN reject THEN 'not_vat_invoice' WHEN low THEN 'low_confidence' END AS outcome FROM e),
-    p AS (SELECT o.*, EXISTS (SELECT 1 FROM {{invoices}} i WHERE i.user_id = o.user_id AND i.invoice_no = o.invoice_no) AS stored FROM o)
-    SELECT cand_id, invoice_no, COALESCE(outcome, CASE WHEN stored THEN 'duplicate' WHEN row_number() OVER (PARTITION BY outcome IS NULL AND NOT stored, user_id, invoice_no ORDER BY received_at, email_uid, cand_id) = 1 THEN '{done}' ELSE 'duplicate' END) AS outcome FROM p"""
+UPLOADS = "SELECT id, id AS upload_id, id % 7 + 1 AS user_id, 'manual:' || id AS email_uid, 'up' || id || '.pdf' AS filename, raw_text, qr, 'pdf' AS source_format FROM {parse_texts} u0"
+UPLOAD = "WITH " + X.gate(_asked(_parsed(f"({UPLOADS})"), "raw_text"), "{invoices}", "upload", "upload_id, filename")
 
 
-CAND = ["cand_id", "user_id", "invoice_no", "buyer", "seller", "amount", "invoice_type", "item_summary", "raw_text", "extraction_method", "confidence", "is_vat_document", "x_valid", "x_category", "x_buyer", "x_amount", "x_confidence", "received_at", "email_uid"]
+def _upload(t):
+    uploads = t.parse_texts.select(c("id").alias("upload_id"), (c("id") % 7 + 1).alias("user_id"), F.concat(F.lit("up"), "id", F.lit(".pdf")).alias("filename"), "raw_text", "qr", F.lit("pdf").alias("source_format"))
+    return I.upload_intake(uploads, t.invoices, AS_OF[:10], _extracted)
 
 
-@query("pip_02_mail_intake", decided("mail"))
+@query(
+    "pip_03_upload_intake",
+    f"""{UPLOAD} SELECT user_id, email_uid, filename AS attachment_filename, audit AS outcome, CAST(NULL AS INT) AS classification_tier, extraction_method AS parse_method, source_format AS parse_format, invoice_no, CASE WHEN audit <> 'duplicate' THEN confidence END AS confidence, detail AS error_detail FROM done""",
+)
 def _(t):
-    return I.decide(t.candidates.select(*CAND).distinct(), t.invoices, "mail").select("cand_id", "invoice_no", "outcome")
+    return _upload(t).audit.select(*LOG.split(", "))
 
 
-@query("pip_03_upload_intake", decided("upload"))
+@query("pip_03_invoice_rows", f"{UPLOAD} SELECT {STORED} FROM done WHERE outcome = 'saved'")
 def _(t):
-    return I.decide(t.candidates.select(*CAND).distinct(), t.invoices, "upload").select("cand_id", "invoice_no", "outcome")
+    return _upload(t).invoices.select(*ROWS.split(", "))

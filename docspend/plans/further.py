@@ -62,12 +62,17 @@ def _(t):
     return rows.select("event_id", F.size(O.violations(c("r"))).alias("broken"), O.should_download(c("r")).alias("fetch"))
 
 
-@query("dml_03_backfill", "SELECT id, CASE WHEN expires_at IS NOT NULL THEN expires_at WHEN prompt_type IN ('classify', 'analyze_email') THEN created_at + INTERVAL 7 DAY ELSE created_at + INTERVAL 365 DAY END AS expires_at, COALESCE(CASE WHEN id % 2 = 0 THEN id END, 1) AS user_id FROM {llm_cache} x")
+@query("dml_03_backfill", "SELECT id, CASE WHEN expires_at IS NOT NULL THEN expires_at WHEN prompt_type IN ('classify', 'analyze_email_v3') THEN created_at + INTERVAL 30 DAY ELSE created_at + INTERVAL 365 DAY END AS expires_at, COALESCE(CASE WHEN id % 2 = 0 THEN id END, 1) AS user_id FROM {llm_cache} x")
 def _(t):
     rows = D.backfill_expiry(t.llm_cache).withColumn("user_id", F.when(c("id") % 2 == 0, c("id")))
     return D.backfill_tenant(rows, t.users).select("id", "expires_at", "user_id")
 
 
+@query("dml_03_seed_setting", "SELECT key, CASE WHEN key = 'FRANCE' AND COALESCE(value, '') = '' THEN 'on' ELSE value END AS value FROM {app_settings} s")
+def _(t):
+    return D.seed_setting(t.app_settings, "FRANCE", "on")
+
+
 @query("udf_01_enrich", "SELECT email_id, substring(body_text, 1, 20) || '!' AS response FROM {emails} e")
 def _(t):
     return pluggable.enrich(t.emails.select("email_id", "body_text"), lambda texts: [x[:20] + "!" for x in texts], column="body_text").select("email_id", "response")

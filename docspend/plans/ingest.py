@@ -44,14 +44,34 @@ def _feed(t):
     return t.events.select(c("user_id").alias("account_id"), c("event_type").alias("folder"), ((c("event_id") % 40).cast("int") + 1).alias("page"), F.concat(F.lit("tok"), c("event_id")).alias("token"), (c("event_id") % 6 == 0).alias("removed"), F.concat(F.lit("msg"), c("event_id") % 3000).alias("message_id"), c("event_id").alias("uid"))
 
 
-@query("stm_04_change_feed", f"SELECT account_id, message_id, folder, uid FROM (SELECT *, row_number() OVER (PARTITION BY account_id, message_id ORDER BY folder, page, uid) AS rn FROM ({FEED}) f WHERE NOT removed) x WHERE rn = 1")
+#: A folder's mode follows from what its state holds: a token, an old time, nothing.
+MODE = "CASE WHEN account_id % 3 = 0 THEN 'incremental' WHEN account_id % 3 = 1 THEN 'bridge' ELSE 'initial' END"
+EVENTS = f"SELECT account_id, folder, CASE WHEN m = 'incremental' AND x THEN 'delta_resync' WHEN m = 'bridge' AND p > 30 THEN 'delta_bridge_overflow' END AS outcome, tok FROM (SELECT account_id, folder, {MODE} AS m, MAX(page) AS p, bool_or(uid % 97 = 0) AS x, arg_max(token, (page, uid)) AS tok FROM ({FEED}) f GROUP BY 1, 2) g"
+
+
+def _changes(t):
+    feed = _feed(t).withColumn("expired", c("uid") % 97 == 0)
+    a = c("account_id")
+    state = feed.select("account_id", "folder").distinct().select("account_id", "folder", F.when(a % 3 == 0, "d").alias("delta_link"), F.when(a % 3 == 1, "2024-01-01").alias("legacy"))
+    return G.apply_change_feed(feed, state)
+
+
+@query(
+    "stm_04_change_feed",
+    f"""SELECT account_id, message_id, folder, uid FROM (SELECT *, row_number() OVER (PARTITION BY account_id, message_id ORDER BY folder, page, uid) AS rn FROM ({FEED}) f JOIN ({EVENTS}) e USING (account_id, folder) WHERE NOT removed AND outcome IS NULL) x WHERE rn = 1""",
+)
+def _(t):
+    return _changes(t)[0]
+
+
+@query("stm_04_tokens", f"SELECT account_id, folder FROM ({EVENTS}) e WHERE outcome IS NULL")
 def _(t):
-    return G.apply_change_feed(_feed(t))[0]
+    return _changes(t)[1].select("account_id", "folder")
 
 
-@query("stm_04_overflow", f"SELECT account_id, folder, 'delta_bridge_overflow' AS outcome FROM ({FEED}) f GROUP BY 1, 2 HAVING MAX(page) > 30")
+@query("stm_04_events", f"SELECT account_id, folder, outcome FROM ({EVENTS}) e WHERE outcome IS NOT NULL")
 def _(t):
-    return G.apply_change_feed(_feed(t))[2]
+    return _changes(t)[2]
 
 
 @query("stm_07_progress", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, COUNT(*) AS processed, COUNT(*) FILTER (event_type = 'purchase') AS found, COUNT(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
@@ -77,10 +97,16 @@ def _(t):
     return R.emails_from_graph_json(t.events.select("event_id", item.alias("value"))).select("event_id", "uid", "from_addr", "received_at")
 
 
-@query("src_07_portal", "SELECT 'portal:' || p_partkey AS uid, 'Invoice ' || p_size AS subject, 'Invoice: ' || p_size || chr(10) || 'Amount: ' || p_brand || chr(10) || 'Currency: USD' || chr(10) || 'Date: ' || chr(10) || 'Bill to: ' || p_name || chr(10) || 'Source: ' || p_partkey AS body_text FROM part")
+@query(
+    "src_07_portal",
+    """SELECT 'portal:' || p_partkey AS uid, trim('Portal Invoice ' || p_partkey || ' — ' || p_brand || ' USD ' || CASE WHEN p_size % 2 = 0 THEN 'May 1, 2026' ELSE '' END) AS subject,
+    'Portal subscription invoice ' || p_partkey || chr(10) || 'Provider: Portal (portal.example)' || chr(10) || 'Bill-to: ' || CASE WHEN p_size % 3 = 0 THEN 'Unknown' ELSE p_name END || chr(10) || 'Amount: ' || p_brand || ' USD' || chr(10) || 'Date: '
+      || CASE WHEN p_size % 2 = 0 THEN 'May 1, 2026' ELSE '' END || chr(10) || 'URL: https://p.example/' || p_partkey AS body_text, 'https://p.example/' || p_partkey AS link, 'USD' AS currency, 'portal-' || p_partkey AS message_id, 'Portal Invoices' AS folder FROM part""",
+)
 def _(t):
-    rows = t.part.select(c("p_partkey").cast("string").alias("portal_id"), c("p_size").cast("string").alias("number"), c("p_brand").alias("money"), F.lit("USD").alias("currency"), F.lit(None).cast("string").alias("date"), c("p_name").alias("bill_to"))
-    return R.emails_from_portal(rows).select("uid", "subject", "body_text")
+    k = c("p_partkey").cast("string")
+    rows = t.part.select(k.alias("portal_id"), F.concat(F.lit("https://p.example/"), k).alias("url"), c("p_brand").alias("money"), F.when(c("p_size") % 2 == 0, "May 1, 2026").alias("date"), F.when(c("p_size") % 3 != 0, c("p_name")).alias("bill_to"), F.lit(1).alias("account_id"))
+    return R.emails_from_portal(rows).select("uid", "subject", "body_text", F.get("links", F.lit(0)).alias("link"), c("headers")["_currency"].alias("currency"), "message_id", "folder")
 
 
 @query("fn_16_xml_fields", "SELECT id, CASE WHEN id % 4 = 3 THEN NULL ELSE CAST(10000000 + id AS VARCHAR) END AS no, CASE WHEN id % 4 = 3 THEN NULL WHEN id % 4 = 1 THEN buyer END AS buyer FROM (SELECT p_partkey AS id, p_name AS buyer FROM part) p")

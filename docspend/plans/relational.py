@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docspend.operators import dml as D
 from docspend.operators import filters as L
+from docspend.operators import joins as J
 from docspend.operators import windows as W
+from docspend.plans import expected as X
 from docspend.plans.registry import AS_OF, query
 
 LISTED = [7, 3, 51, 7, 108, 999999]
@@ -27,16 +29,17 @@ def _(t):
     return L.in_categories(t.invoices, ["receipt", "proforma"]).select("id", "invoice_category")
 
 
-@query("flt_04_by_ids", "SELECT pos, i.id, invoice_no FROM (VALUES (0, 7), (1, 3), (2, 51), (3, 7), (4, 108), (5, 999999)) v(pos, id) JOIN {invoices} i ON i.id = v.id WHERE user_id = (SELECT user_id FROM {invoices} j WHERE j.id = 7)")
+@query("flt_04_by_ids", "SELECT pos, i.id, invoice_no FROM (VALUES (0, 7), (1, 3), (2, 51), (3, 7), (4, 108), (5, 999999)) v(pos, id) JOIN {invoices} i ON i.id = v.id WHERE user_id = 4")
 def _(t):
-    owner = t.invoices.where("id = 7").select("user_id").first()
-    return L.by_ids(t.invoices, LISTED, owner[0] if owner else -1).select("pos", "id", "invoice_no")
+    return L.by_ids(t.invoices, LISTED, 4).select("pos", "id", "invoice_no")
 
 
 @query(
     "flt_05_evaluate_views",
-    """SELECT v.id, COUNT(i.id) AS matches FROM (SELECT id, user_id, TRY_CAST(json_extract_string(filter_json, '$.date_from') AS DATE) AS lo, TRY_CAST(json_extract_string(filter_json, '$.date_to') AS DATE) AS hi FROM {saved_views} s) v
-       LEFT JOIN {invoices} i ON i.user_id = v.user_id AND (lo IS NULL OR invoice_date >= lo) AND (hi IS NULL OR invoice_date <= hi) GROUP BY v.id""",
+    """SELECT v.id, COUNT(i.id) AS matches FROM (SELECT id, user_id, json_extract_string(filter_json, '$.q') AS q, TRY_CAST(json_extract_string(filter_json, '$.date_from') AS DATE) AS lo, TRY_CAST(json_extract_string(filter_json, '$.date_to') AS DATE) AS hi FROM {saved_views} s) v
+       LEFT JOIN {invoices} i ON i.user_id = v.user_id AND (lo IS NULL OR invoice_date >= lo) AND (hi IS NULL OR invoice_date <= hi)
+         AND list_has_all(list_transform(regexp_split_to_array(concat_ws(' ', invoice_no, buyer, seller, invoice_type, invoice_category, item_summary, raw_text), '[^\\p{L}\\p{N}]+'), lambda x: lower(x)), list_filter(regexp_split_to_array(lower(COALESCE(q, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))
+       GROUP BY v.id""".replace("\\\\", "\\"),
 )
 def _(t):
     return L.evaluate_views(t.saved_views, t.invoices)
@@ -57,9 +60,9 @@ def _(t):
     return L.scannable_folders(t.folders).select("id", "folder")
 
 
-HOSTS = " OR ".join(f"contains(lower(regexp_extract(link, '^[a-z]+://([^/?#]*)', 1)), '{h}')" for h in L.BLOCKED_HOSTS)
-PATHS = " OR ".join(f"contains(lower(regexp_extract(link, '^[a-z]+://[^/?#]*(.*)$', 1)) || '?', '{p}')" for p in L.BLOCKED_PATHS)
-ENDS = " OR ".join(f"ends_with(lower(link), '{s}')" for s in L.IMAGE_SUFFIXES)
+HOSTS = " OR ".join(f"contains(lower(regexp_extract(link, '^[a-z]+://([^/?#]*)', 1)), '{h}')" for h in X.BLOCKED_HOSTS)
+PATHS = " OR ".join(f"contains(lower(regexp_extract(link, '^[a-z]+://[^/?#]*(.*)$', 1)) || '?', '{p}')" for p in X.BLOCKED_PATHS)
+ENDS = " OR ".join(f"ends_with(lower(link), '{s}')" for s in X.IMAGES)
 
 
 @query("flt_09_blocked_urls", f"SELECT email_id, link, ({HOSTS} OR {PATHS} OR {ENDS}) AS blocked FROM {{emails}} e WHERE link IS NOT NULL")
@@ -82,7 +85,8 @@ def _(t):
 
 @query(
     "prj_01_invoice_view",
-    "SELECT id, invoice_no, buyer, seller, amount, invoice_date, invoice_type, invoice_category, item_summary, source_format, extraction_method, confidence, is_manually_corrected, CASE WHEN invoice_category = 'overseas_invoice' THEN 'USD' ELSE 'CNY' END AS currency FROM {invoices} i",
+    """SELECT id, invoice_no, buyer, seller, CAST(amount AS DOUBLE) AS amount, strftime(invoice_date, '%Y-%m-%d') AS invoice_date, invoice_type, invoice_category, CASE WHEN invoice_category = 'overseas_invoice' THEN 'USD' ELSE 'CNY' END AS currency,
+    item_summary, source_format, extraction_method, confidence, is_manually_corrected, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at FROM {invoices} i""",
 )
 def _(t):
     return L.invoice_view(t.invoices)
@@ -94,84 +98,108 @@ def _(t):
     CAST(COALESCE(amount, 0) AS DECIMAL(12,2)) AS amount, COALESCE(invoice_date, DATE '2001-07-15') AS invoice_date, COALESCE(item_summary, '') AS item_summary, substring(raw_text, 1, 10000) AS raw_text FROM {candidates} c""",
 )
 def _(t):
-    return L.to_invoice_rows(t.candidates, AS_OF[:10])
+    named = ["cand_id", "user_id", "invoice_no", "buyer", "seller", "invoice_type", "amount", "invoice_date", "item_summary", "raw_text"]
+    return L.to_invoice_rows(t.candidates.select(*named), AS_OF[:10])
 
 
-@query("prj_03_log_view", "SELECT id, strftime(started_at, '%Y-%m-%dT%H:%M:%SZ') AS started_at, strftime(finished_at, '%Y-%m-%dT%H:%M:%SZ') AS finished_at, emails_scanned, invoices_found FROM {scan_logs} s")
+STAMP = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond({c}) % 1000000 = 0 THEN '' ELSE strftime({c}, '.%f') END"
+
+
+@query("prj_03_log_view", f"SELECT id, email_account_id, {STAMP('started_at')} || '+00:00' AS started_at, {STAMP('finished_at')} || '+00:00' AS finished_at, emails_scanned, invoices_found, error_message FROM {{scan_logs}} s")
+def _(t):
+    return L.log_view(t.scan_logs)
+
+
+@query(
+    "prj_03_extraction_view",
+    f"SELECT id, scan_log_id, email_uid, email_subject, attachment_filename, outcome, classification_tier, parse_method, parse_format, download_outcome, invoice_no, confidence, error_detail, {STAMP('created_at')} AS created_at FROM {{extraction_logs}} l",
+)
 def _(t):
-    return t.scan_logs.select("id", L.iso_utc("started_at").alias("started_at"), L.iso_utc("finished_at").alias("finished_at"), "emails_scanned", "invoices_found")
+    return L.extraction_view(t.extraction_logs)
 
 
-@query("prj_04_account_view", "SELECT id, name, type, host, username, is_active, COALESCE(password_encrypted, '') <> '' AS has_password FROM {email_accounts} a")
+@query(
+    "prj_04_account_view",
+    """SELECT id, name, type, host, port, username, outlook_account_type, is_active, last_scan_uid, '2024-01-01T00:00:00' AS created_at, COALESCE(secondary_credential_encrypted, '') <> '' AS has_secondary_credential,
+    COALESCE(secondary_password_encrypted, '') <> '' AS has_secondary_password, COALESCE(totp_secret_encrypted, '') <> '' AS has_totp_secret, COALESCE(playwright_storage_state, '') <> '' AS has_playwright_storage_state FROM {email_accounts} a""",
+)
 def _(t):
     return L.account_view(t.email_accounts)
 
 
 @query(
     "prj_05_progress",
-    """SELECT id, ROUND(LEAST((id % 8) / GREATEST(7.0, 1), 1.0) * 100, 1) AS account_pct, ROUND(LEAST(invoices_found / CAST(GREATEST(emails_scanned, 1) AS DOUBLE), 1.0) * 100, 1) AS email_pct,
-    ROUND(LEAST((GREATEST(id % 8 - 1, 0) + LEAST(invoices_found / CAST(GREATEST(emails_scanned, 1) AS DOUBLE), 1.0)) / 7.0, 1.0) * 100, 1) AS overall_pct FROM {scan_logs} s""",
+    """SELECT id, CASE WHEN n = 0 THEN 0.0 ELSE ROUND(id % 8 / CAST(n AS DOUBLE) * 100, 1) END AS account_pct, CASE WHEN total = 0 THEN 0.0 ELSE ROUND(done / CAST(total AS DOUBLE) * 100, 1) END AS email_pct,
+    CASE WHEN n = 0 THEN 0.0 ELSE ROUND(LEAST(GREATEST(id % 8 - 1, 0) / CAST(n AS DOUBLE) + 1.0 / n * (done / CAST(GREATEST(total, 1) AS DOUBLE)), 1.0) * 100, 1) END AS overall_pct
+    FROM (SELECT id, id % 5 * 2 AS n, emails_scanned % 4 AS total, emails_scanned % 7 AS done FROM {scan_logs} s) x""",
 )
 def _(t):
-    p = L.progress(F.col("id") % 8, F.lit(7), F.col("invoices_found"), F.col("emails_scanned"))
+    p = L.progress(F.col("id") % 8, F.col("id") % 5 * 2, F.col("emails_scanned") % 7, F.col("emails_scanned") % 4)
     return t.scan_logs.select("id", *(c.alias(k) for k, c in p.items()))
 
 
 @query("jon_01_user_invoice_counts", "SELECT u.id, COUNT(i.id) AS n FROM {users} u LEFT JOIN {invoices} i ON i.user_id = u.id GROUP BY u.id")
 def _(t):
-    counts = t.invoices.groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))  # folded before the join
-    return t.users.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    return J.invoice_counts(t.users, t.invoices)
 
 
 @query("jon_02_mark_existing", "SELECT cand_id, MIN(i.id) AS existing_id FROM {candidates} c LEFT JOIN {invoices} i ON i.user_id = c.user_id AND i.invoice_no = c.invoice_no AND c.invoice_no <> '' GROUP BY cand_id")
 def _(t):
-    known = t.invoices.groupBy("user_id", "invoice_no").agg(F.min("id").alias("existing_id")).where("invoice_no <> ''")
-    found = t.candidates.join(known, ["user_id", "invoice_no"], "left")
-    return found.groupBy("cand_id").agg(F.min("existing_id").alias("existing_id"))
+    return J.mark_existing(t.candidates, t.invoices).groupBy("cand_id").agg(F.min("existing_id").alias("existing_id"))
+
 
+SEEN = "SELECT 1 FROM {extraction_logs} l WHERE l.email_uid = c.email_uid AND l.attachment_filename = c.filename AND l.email_uid <> ''"
 
-@query("jon_03_drop_seen", "SELECT cand_id FROM {candidates} c WHERE NOT EXISTS (SELECT 1 FROM {extraction_logs} l WHERE l.email_uid = c.email_uid AND l.attachment_filename = c.filename AND l.email_uid <> '')")
+
+@query("jon_03_drop_seen", f"SELECT cand_id FROM {{candidates}} c WHERE NOT EXISTS ({SEEN})")
 def _(t):
-    seen = t.extraction_logs.where("email_uid <> '' AND attachment_filename IS NOT NULL").select("email_uid", F.col("attachment_filename").alias("filename"))
-    return t.candidates.join(seen, ["email_uid", "filename"], "left_anti").select("cand_id")
+    return J.drop_seen(t.candidates, t.extraction_logs).select("cand_id")
+
+
+@query("jon_03_drop_seen_by_tenant", f"SELECT cand_id FROM {{candidates}} c WHERE NOT EXISTS ({SEEN} AND l.user_id = c.user_id)")
+def _(t):
+    return J.drop_seen(t.candidates, t.extraction_logs, "user_id").select("cand_id")
 
 
 @query("jon_04_hydrate", "SELECT id, invoice_no FROM {invoices} i WHERE user_id = 9 AND id IN (SELECT event_id FROM events WHERE event_type = 'click')")
 def _(t):
-    hits = t.events.where("event_type = 'click'").select(F.col("event_id").alias("id"))
-    return L.scoped(t.invoices, 9).join(hits, "id", "left_semi").select("id", "invoice_no")
+    return J.hydrate(t.invoices, t.events.where("event_type = 'click'").select(F.col("event_id").alias("id")), 9).select("id", "invoice_no")
 
 
-@query("jon_05_hydrate_ranked", "SELECT row_number() OVER (ORDER BY e.value, e.event_id) AS place, i.id FROM events e JOIN {invoices} i ON i.id = e.event_id WHERE user_id_ok(i.user_id)".replace("user_id_ok(i.user_id)", "i.user_id = 9 AND i.invoice_date >= DATE '1997-01-01'"))
+@query("jon_05_hydrate_ranked", "SELECT row_number() OVER (ORDER BY e.value, e.event_id) AS place, i.id FROM events e JOIN {invoices} i ON i.id = e.event_id WHERE i.user_id = 9 AND i.invoice_date >= DATE '1997-01-01' ORDER BY 1 LIMIT 40")
 def _(t):
     hits = t.events.select(F.col("event_id").alias("id"), "value")
-    kept = L.date_between(L.scoped(t.invoices, 9), "1997-01-01").join(hits, "id")
-    return kept.select(F.row_number().over(Window.orderBy("value", "id")).alias("place"), "id")
+    return J.hydrate_ranked(L.date_between(L.scoped(t.invoices, 9), "1997-01-01"), hits, [F.col("value"), F.col("id")], 40).select("place", "id")
 
 
-@query(
-    "jon_06_split_cache",
-    """SELECT r.k AS content_hash, r.n, c.id IS NOT NULL AS hit FROM (SELECT 'h' || (l_partkey * 2) AS k, COUNT(*) AS n FROM lineitem GROUP BY 1) r LEFT JOIN {llm_cache} c ON c.content_hash = r.k AND (c.expires_at IS NULL OR c.expires_at > TIMESTAMP '2024-01-20 00:00:00')""",
-)
-def _(t):
+ASKED = "(SELECT 'h' || (l_partkey * 2) AS k, COUNT(*) AS n FROM lineitem GROUP BY 1)"
+LIVE = "c.expires_at IS NULL OR c.expires_at > TIMESTAMP '2024-01-20 00:00:00'"
+
+
+def _split(t):
     wanted = t.lineitem.groupBy(F.concat(F.lit("h"), F.col("l_partkey") * 2).alias("content_hash")).agg(F.count("*").alias("n"))
-    live = t.llm_cache.where("expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-20 00:00:00'").select("content_hash", F.lit(True).alias("hit"))
-    return wanted.join(live, "content_hash", "left").select("content_hash", "n", F.coalesce("hit", F.lit(False)).alias("hit"))
+    return J.split_cache(wanted, t.llm_cache, "2024-01-20 00:00:00")
+
+
+@query("jon_06_split_cache", f"SELECT r.k AS content_hash, r.n, c.response_json FROM {ASKED} r JOIN {{llm_cache}} c ON c.content_hash = r.k AND ({LIVE})")
+def _(t):
+    return _split(t)[0]
+
+
+@query("jon_06_cache_misses", f"SELECT r.k AS content_hash, r.n FROM {ASKED} r WHERE NOT EXISTS (SELECT 1 FROM {{llm_cache}} c WHERE c.content_hash = r.k AND ({LIVE}))")
+def _(t):
+    return _split(t)[1]
 
 
 @query("jon_07_active_sessions", "SELECT s.id, u.email FROM {sessions} s JOIN {users} u ON u.id = s.user_id WHERE revoked_at IS NULL AND expires_at > TIMESTAMP '2024-01-15 00:00:00' AND s.created_at <= TIMESTAMP '2024-01-15 00:00:00' AND is_active")
 def _(t):
-    at = F.lit("2024-01-15 00:00:00").cast("timestamp")
-    live = t.sessions.where(F.col("revoked_at").isNull() & (F.col("expires_at") > at) & (F.col("created_at") <= at)).select("id", "user_id")
-    owners = t.users.where("is_active").select(F.col("id").alias("user_id"), "email")
-    return live.join(owners, "user_id").select("id", "email")
+    return J.active_sessions(t.sessions, t.users, "2024-01-15 00:00:00")
 
 
 @query("jon_08_drilldown", "SELECT l.id, l.outcome, l.created_at FROM {extraction_logs} l WHERE scan_log_id IN (SELECT id FROM {scan_logs} s WHERE user_id = (SELECT MIN(user_id) FROM {scan_logs} z))")
 def _(t):
     least = t.scan_logs.agg(F.min("user_id").alias("user_id"))
-    own = t.scan_logs.join(F.broadcast(least), "user_id").select(F.col("id").alias("scan_log_id"))
-    return t.extraction_logs.join(own, "scan_log_id", "left_semi").select("id", "outcome", "created_at").orderBy("created_at", "id")
+    return J.drilldown(t.extraction_logs, t.scan_logs.join(F.broadcast(least), "user_id")).select("id", "outcome", "created_at")
 
 
 @query(
@@ -188,40 +216,40 @@ def _(t):
     return t.emails.select("email_id", is_trusted(F.col("from_addr"), ["billing@src1.example", "@vendor.example", "src12", "pay.vendor.example"]).alias("trusted"))
 
 
-@query("jon_10_orphan_owners", "SELECT DISTINCT split_part(path, '/', 1) AS owner FROM {listing} l WHERE TRY_CAST(split_part(path, '/', 1) AS BIGINT) NOT IN (SELECT id FROM {users} u WHERE is_active)")
+@query(
+    "jon_10_orphan_owners",
+    "SELECT DISTINCT split_part(path, '/', 2) AS owner FROM {listing} l WHERE path LIKE 'users/%' AND TRY_CAST(split_part(path, '/', 2) AS BIGINT) IS NOT NULL AND TRY_CAST(split_part(path, '/', 2) AS BIGINT) NOT IN (SELECT id FROM {users} u)",
+)
 def _(t):
-    owners = t.listing.select(F.substring_index("path", "/", 1).alias("owner")).distinct().withColumn("id", F.col("owner").try_cast("long")).where("id IS NOT NULL")
-    return owners.join(t.users.where("is_active").select("id"), "id", "left_anti").select("owner")
+    return J.orphan_owners(t.listing, t.users)
 
 
-@query("jon_11_delete_user", "SELECT 'invoices' AS tab, COUNT(*) AS n FROM {invoices} i WHERE user_id <> 5 UNION ALL SELECT 'scan_logs', COUNT(*) FROM {scan_logs} s WHERE user_id <> 5 UNION ALL SELECT 'extraction_logs', COUNT(*) FROM {extraction_logs} l WHERE user_id <> 5")
-def _(t):
-    from docspend.operators.dml import delete_user
+OWNED = {"correction_logs": "correction_logs", "extraction_logs": "extraction_logs", "webhook_logs": "webhook_logs", "saved_views": "saved_views", "invoices": "invoices", "scan_logs": "scan_logs", "email_accounts": "email_accounts", "user_sessions": "sessions"}
+LEFT = " UNION ALL ".join(f"SELECT '{n}' AS tab, id FROM {{{f}}} x WHERE user_id <> 5" for n, f in OWNED.items())
+
 
-    left = delete_user({n: getattr(t, n) for n in ("invoices", "scan_logs", "extraction_logs")}, 5)
+@query("jon_11_delete_user", f"{LEFT} UNION ALL SELECT 'users', id FROM {{users}} u WHERE id <> 5")
+def _(t):
+    left = D.delete_user({n: getattr(t, f) for n, f in OWNED.items()} | {"users": t.users}, 5)
     out = None
     for name, df in left.items():
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("tab"), "n")
+        one = df.select(F.lit(name).alias("tab"), "id")
         out = one if out is None else out.unionByName(one)
     return out
 
 
 @query(
     "jon_12_reconcile_paths",
-    """SELECT i.id, CASE WHEN contains(i.file_path, '/') AND a.path IS NOT NULL THEN 'already_migrated' WHEN b.path IS NOT NULL THEN 'moved' ELSE 'missing' END AS status
-    FROM {invoices} i LEFT JOIN {listing} a ON a.path = i.file_path LEFT JOIN {listing} b ON b.path = CAST(i.user_id % 60 + 1 AS VARCHAR) || '/' || split_part(i.file_path, '/', 2)""",
+    """SELECT id, CASE WHEN file_path LIKE 'users/%' THEN 'already_migrated' WHEN b AND NOT a THEN 'collision' WHEN NOT a THEN 'missing' ELSE 'moved' END AS status, CASE WHEN file_path LIKE 'users/%' THEN file_path ELSE place END AS new_path
+    FROM (SELECT id, file_path, place, file_path IN (SELECT path FROM {listing} l1) AS a, place IN (SELECT path FROM {listing} l2) AS b FROM (SELECT *, 'users/' || user_id || '/invoices/' || split_part(file_path, '/', -1) AS place FROM {invoices} i) y) x""",
 )
 def _(t):
-    from docspend.operators.dml import reconcile_paths
-
-    other = F.concat((F.col("user_id") % 60 + 1).cast("string"), F.lit("/"), F.substring_index("file_path", "/", -1))
-    return reconcile_paths(t.invoices, t.listing, other).select("id", "status")
+    return D.reconcile_paths(t.invoices, t.listing).select("id", "status", "new_path")
 
 
-@query("jon_13_correction_history", "SELECT invoice_id, COUNT(DISTINCT field_name) AS fields, COUNT(*) AS n, arg_max(new_value, (seen, k)) AS last_value FROM (SELECT event_id % 1000 + 1 AS invoice_id, event_type AS field_name, CAST(event_id AS VARCHAR) AS new_value, ts AS seen, event_id AS k FROM events) x GROUP BY 1")
+@query("jon_13_correction_history", "SELECT invoice_id, COUNT(DISTINCT field_name) AS fields, COUNT(*) AS n, arg_max(new_value, (corrected_at, id)) AS last_value FROM {correction_logs} x GROUP BY 1")
 def _(t):
-    rows = t.events.select((F.col("event_id") % 1000 + 1).alias("invoice_id"), F.col("event_type").alias("field_name"), F.col("event_id").cast("string").alias("new_value"), "ts", "event_id")
-    return rows.groupBy("invoice_id").agg(F.countDistinct("field_name").alias("fields"), F.count("*").alias("n"), F.max_by("new_value", F.struct("ts", "event_id")).alias("last_value"))
+    return D.correction_history(t.correction_logs)
 
 
 @query("win_01_dedup_invoices", "SELECT cand_id, CASE WHEN row_number() OVER (PARTITION BY user_id, invoice_no ORDER BY received_at, email_uid, cand_id) = 1 THEN 'saved' ELSE 'duplicate' END AS outcome FROM (SELECT DISTINCT cand_id, user_id, invoice_no, received_at, email_uid FROM {candidates} y) c")
@@ -234,18 +262,30 @@ def _(t):
     return W.dedup_messages(t.emails).select("email_id")
 
 
-@query("win_03_prioritise", "SELECT email_uid, string_agg(filename, ',' ORDER BY CASE WHEN filename LIKE '%.pdf' THEN 0 WHEN filename LIKE '%.ofd' THEN 1 WHEN filename LIKE '%.xml' THEN 2 ELSE 3 END, k, filename) AS files FROM (SELECT 'm' || l_orderkey AS email_uid, l_linenumber AS k, 'f' || l_linenumber || CASE l_partkey % 4 WHEN 0 THEN '.xml' WHEN 1 THEN '.ofd' WHEN 2 THEN '.pdf' ELSE '.txt' END AS filename FROM lineitem) x GROUP BY 1")
+NAMES = "SELECT 'm' || l_orderkey AS email_uid, l_linenumber AS k, 'f' || l_linenumber || CASE l_partkey % 4 WHEN 0 THEN '.xml' WHEN 1 THEN '.OFD' WHEN 2 THEN '.pdf' ELSE '.txt' END AS filename, l_orderkey % 2 = 0 AS hinted FROM lineitem"
+BASIC = "CASE WHEN lower(filename) LIKE '%.pdf' THEN 0 WHEN lower(filename) LIKE '%.ofd' THEN 1 WHEN lower(filename) LIKE '%.xml' THEN 2 ELSE 3 END"
+HINTED = f"CASE WHEN NOT hinted THEN {BASIC} WHEN lower(filename) LIKE '%.xml' THEN 0 WHEN lower(filename) LIKE '%.ofd' THEN 1 ELSE 2 + {BASIC} END"
+
+
+def _names(t):
+    ext = F.get(F.array(*map(F.lit, (".xml", ".OFD", ".pdf", ".txt"))), (F.col("l_partkey") % 4).cast("int"))
+    hints = F.when(F.col("l_orderkey") % 2 == 0, F.array(F.lit("xml"), F.lit("OFD"))).alias("hints")
+    return t.lineitem.select(F.concat(F.lit("m"), "l_orderkey").alias("email_uid"), F.col("l_linenumber").alias("k"), F.concat(F.lit("f"), "l_linenumber", ext).alias("filename"), hints)
+
+
+@query("win_03_prioritise", f"SELECT email_uid, k, filename, row_number() OVER (PARTITION BY email_uid ORDER BY {BASIC}, k, filename) AS turn FROM ({NAMES}) x")
+def _(t):
+    return W.prioritise(_names(t), "email_uid", "k").select("email_uid", "k", "filename", "turn")
+
+
+@query("win_03_prioritise_hinted", f"SELECT email_uid, k, filename, row_number() OVER (PARTITION BY email_uid ORDER BY {HINTED}, k, filename) AS turn FROM ({NAMES}) x")
 def _(t):
-    ext = F.get(F.array(*map(F.lit, (".xml", ".ofd", ".pdf", ".txt"))), (F.col("l_partkey") % 4).cast("int"))
-    rows = t.lineitem.select(F.concat(F.lit("m"), "l_orderkey").alias("email_uid"), F.col("l_linenumber").alias("k"), F.concat(F.lit("f"), "l_linenumber", ext).alias("filename"))
-    order = F.array_sort(F.collect_list(F.struct(W.format_priority(F.col("filename")).alias("p"), "k", "filename")))
-    return rows.groupBy("email_uid").agg(F.array_join(F.transform(order, lambda x: x["filename"]), ",").alias("files"))
+    return W.prioritise(_names(t), "email_uid", "k", hints="hints").select("email_uid", "k", "filename", "turn")
 
 
 @query("win_04_same_name_twice", "SELECT cand_id, row_number() OVER (PARTITION BY email_uid, filename ORDER BY cand_id, invoice_no) > 1 AS skipped FROM (SELECT DISTINCT cand_id, email_uid, filename, invoice_no FROM {candidates} y) c")
 def _(t):
-    turn = F.row_number().over(Window.partitionBy("email_uid", "filename").orderBy("cand_id", "invoice_no"))
-    return t.candidates.select("cand_id", "email_uid", "filename", "invoice_no").distinct().select("cand_id", (turn > 1).alias("skipped"))
+    return W.repeated_names(t.candidates.select("cand_id", "email_uid", "filename", "invoice_no").distinct(), "cand_id", "invoice_no").select("cand_id", "skipped")
 
 
 @query("win_05_latest_scan", "SELECT user_id, id, started_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, id DESC) AS rn FROM {scan_logs} s) x WHERE rn = 1")
@@ -269,40 +309,38 @@ def _(t):
     return W.retention_split(t.extraction_logs, F.col("created_at") < F.lit("2024-01-10").cast("timestamp"), 1000).select("id")
 
 
-@query("win_09_after_last_known", "SELECT email_id FROM {emails} e LEFT JOIN (SELECT account_id, MAX(received_at) AS last FROM {emails} k WHERE folder = 'Archive' GROUP BY 1) x USING (account_id) WHERE last IS NULL OR received_at > last")
+@query("win_09_after_last_known", "SELECT email_id FROM {emails} e LEFT JOIN (SELECT account_id, MAX(email_id) AS last FROM {emails} k WHERE folder = 'Archive' AND email_id % 4 < 3 GROUP BY 1) x USING (account_id) WHERE last IS NULL OR email_id > last")
 def _(t):
-    known = t.emails.where("folder = 'Archive'").select("account_id", "uid")
-    return W.after_last_known(t.emails, known).select("email_id")
+    known = t.emails.where("folder = 'Archive' AND email_id % 4 < 3").select("account_id", "uid")
+    return W.after_last_known(t.emails, known, "email_id").select("email_id")
 
 
-@query("srt_01_page_invoices", "SELECT id, invoice_date FROM {invoices} i WHERE user_id = 3 ORDER BY invoice_date DESC, id DESC LIMIT 20 OFFSET 20")
+@query("srt_01_page_invoices", "SELECT id, invoice_date, (SELECT COUNT(*) FROM {invoices} j WHERE user_id = 3) AS total FROM {invoices} i WHERE user_id = 3 ORDER BY invoice_date DESC, id DESC LIMIT 20 OFFSET 20")
 def _(t):
-    return L.page_invoices(L.scoped(t.invoices, 3), 2, 20).select("id", "invoice_date")
+    return L.page_invoices(L.scoped(t.invoices, 3), 2, 20).select("id", "invoice_date", "total")
 
 
-@query("srt_02_page_logs", "SELECT id, started_at FROM {scan_logs} s ORDER BY started_at DESC, id DESC LIMIT 25")
+@query("srt_02_page_logs", "SELECT id, started_at, (SELECT COUNT(*) FROM {scan_logs} j) AS total FROM {scan_logs} s ORDER BY started_at DESC, id DESC LIMIT 25")
 def _(t):
-    return L.page_of(t.scan_logs, [F.desc("started_at"), F.desc("id")], 1, 25).select("id", "started_at")
+    return L.page_logs(t.scan_logs, 1, 25).select("id", "started_at", "total")
 
 
 @query("srt_03_list_sorted", "SELECT id, name FROM {saved_views} v")
 def _(t):
-    return t.saved_views.orderBy(F.desc("created_at"), F.desc("id")).select("id", "name")
+    return L.list_sorted(t.saved_views, "created_at", "id").select("id", "name")
 
 
 @query("srt_04_order_messages", "SELECT email_id, received_at FROM {emails} e")
 def _(t):
-    return t.emails.orderBy("received_at", "email_id").select("email_id", "received_at")
+    return L.order_messages(t.emails).select("email_id", "received_at")
 
 
 @query("set_02_pending_links", "SELECT DISTINCT link FROM {emails} e WHERE link IS NOT NULL AND link NOT IN (SELECT link FROM {emails} k WHERE folder = 'Archive' AND link IS NOT NULL)")
 def _(t):
-    links = t.emails.where("link IS NOT NULL")
-    return links.select("link").distinct().join(links.where("folder = 'Archive'").select("link"), "link", "left_anti")
+    return J.pending_links(t.emails, t.emails.where("folder = 'Archive' AND link IS NOT NULL"))
 
 
 @query("set_03_events_to_audit", "SELECT id, email_uid, outcome FROM {extraction_logs} l UNION ALL SELECT NULL, 'scanner:' || event_type || ':' || (event_id % 5), event_type FROM events WHERE event_type = 'error'")
 def _(t):
-    log = t.extraction_logs.select("id", "email_uid", "outcome")
-    found = t.events.where("event_type = 'error'").select(F.concat_ws(":", F.lit("scanner"), "event_type", (F.col("event_id") % 5).cast("string")).alias("email_uid"), F.col("event_type").alias("outcome"))
-    return log.unionByName(found, allowMissingColumns=True)
+    found = t.events.where("event_type = 'error'").select(F.col("event_type").alias("kind"), (F.col("event_id") % 5).cast("string").alias("folder"))
+    return J.events_to_audit(t.extraction_logs.select("id", "email_uid", "outcome"), found)

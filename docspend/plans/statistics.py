@@ -79,35 +79,56 @@ def _(t):
     return A.avg_confidence(t.invoices)
 
 
+DOC = f"""WITH i AS (SELECT *, strftime(invoice_date, '%Y-%m') AS month, {CUR} AS currency, invoice_date >= DATE '2001-07-01' AND invoice_date < DATE '2001-08-01' AS this FROM {{invoices}} x),
+    head AS (SELECT user_id, COUNT(*) AS total_invoices, {M} AS total_amount, COUNT(*) FILTER (this) AS invoices_this_month, CAST(COALESCE(SUM(amount) FILTER (this), 0) AS DECIMAL(24,2)) AS amount_this_month, ROUND(COALESCE(AVG(confidence), 0), 6) AS avg_confidence FROM i GROUP BY 1),
+    a AS (SELECT user_id, COUNT(*) FILTER (is_active) AS active_accounts FROM {{email_accounts}} y GROUP BY 1),
+    l AS (SELECT user_id, started_at AS last_scan_at, invoices_found AS last_scan_found FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, id DESC) AS rn FROM {{scan_logs}} z) WHERE rn = 1)"""
+
+
+def _items(by: str, order: str, *shown: str, limit: str = "") -> str:
+    """user_id and the listed items of a breakdown as one text, in order."""
+    item = " || '/' || ".join(f"COALESCE(CAST({x} AS VARCHAR), '~')" for x in shown)
+    return f"SELECT user_id, string_agg({item}, ';' ORDER BY rn) AS items FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS rn FROM (SELECT user_id, {by}, {M} AS total, COUNT(*) AS n FROM i GROUP BY ALL) g) r {limit} GROUP BY 1"
+
+
+PARTS = {
+    "monthly_spend": _items("month", "month", "month", "total", "n"), "top_sellers": _items("seller", "total DESC, n DESC, seller", "seller", "total", "n", limit="WHERE rn <= 10"),
+    "by_type": _items("invoice_type", "invoice_type DESC", "invoice_type", "n"), "by_category": _items("invoice_category", "n DESC, invoice_category NULLS FIRST", "invoice_category", "n"),
+    "by_method": _items("extraction_method", "n DESC, extraction_method", "extraction_method", "n"), "by_currency": _items("currency", "total DESC, currency", "currency", "total", "n"),
+    "monthly_spend_by_currency": _items("currency, month", "currency, month", "currency", "month", "total", "n"),
+}
+JOINED = " ".join(f"LEFT JOIN ({sql}) {name} ON {name}.user_id = head.user_id" for name, sql in PARTS.items())
+
+
 @query(
     "agg_13_spend_stats",
-    f"""WITH i AS (SELECT *, strftime(invoice_date, '%Y-%m') AS month, {CUR} AS currency, invoice_date >= DATE '2001-07-01' AND invoice_date < DATE '2001-08-01' AS this FROM {{invoices}} x),
-    head AS (SELECT user_id, COUNT(*) AS n, {M} AS total, COUNT(*) FILTER (this) AS month_n, CAST(COALESCE(SUM(amount) FILTER (this), 0) AS DECIMAL(24,2)) AS month_total, ROUND(COALESCE(AVG(confidence), 0), 6) AS avg_confidence FROM i GROUP BY 1),
-    s AS (SELECT user_id, seller, {M} AS total, COUNT(*) AS n FROM i GROUP BY 1, 2),
-    s1 AS (SELECT user_id, arg_min(seller, rn) AS best_seller FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY total DESC, n DESC, seller) AS rn FROM s) GROUP BY 1),
-    d AS (SELECT user_id, COUNT(DISTINCT month) AS months, COUNT(DISTINCT invoice_type) AS types, COUNT(DISTINCT currency) AS currencies FROM i GROUP BY 1),
-    l AS (SELECT user_id, started_at AS last_scan_at, invoices_found AS last_scan_found FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, id DESC) AS rn FROM {{scan_logs}} z) WHERE rn = 1),
-    a AS (SELECT user_id, COUNT(*) FILTER (is_active) AS active_accounts FROM {{email_accounts}} y GROUP BY 1)
-    SELECT user_id, n, total, month_n, month_total, avg_confidence, best_seller, months, types, currencies, COALESCE(active_accounts, 0) AS active_accounts, last_scan_at, last_scan_found
-    FROM head JOIN s1 USING (user_id) JOIN d USING (user_id) LEFT JOIN l USING (user_id) LEFT JOIN a USING (user_id)""",
+    f"""{DOC} SELECT head.*, COALESCE(active_accounts, 0) AS active_accounts, last_scan_at, last_scan_found, {", ".join(f"{name}.items AS {name}" for name in PARTS)}
+    FROM head LEFT JOIN a ON a.user_id = head.user_id LEFT JOIN l ON l.user_id = head.user_id {JOINED}""",
 )
 def _(t):
+    """The document, its lists written as text so that every entry is compared."""
     doc = A.spend_stats(t.invoices, t.scan_logs, t.email_accounts, AS_OF)
-    return doc.select(
-        "user_id", "n", "total", "month_n", "month_total", "avg_confidence", F.expr("top_sellers[0].k").alias("best_seller"), F.size("monthly").cast("long").alias("months"),
-        F.size("by_type").cast("long").alias("types"), F.size("by_currency").cast("long").alias("currencies"), "active_accounts", "last_scan_at", "last_scan_found",
-    )
+    text = lambda x: F.coalesce(x.cast("string"), F.lit("~"))
+    shown = {"monthly_spend": ("month", "total", "count"), "top_sellers": ("seller", "total", "count"), "by_type": ("type", "count"), "by_category": ("category", "count"), "by_method": ("method", "count"), "by_currency": ("currency", "total", "count")}
+    line = lambda fields: lambda x: F.concat_ws("/", *(text(x[n]) for n in fields))
+    lists = {name: F.array_join(F.transform(name, line(fields)), ";") for name, fields in shown.items()}
+    nested = F.flatten(F.transform("monthly_spend_by_currency", lambda x: F.transform(x["monthly_spend"], lambda y: F.concat_ws("/", x["currency"], y["month"], text(y["total"]), text(y["count"])))))
+    return doc.withColumns(lists | {"monthly_spend_by_currency": F.array_join(nested, ";")})
+
+
+@query("agg_10_monthly_lists", f"SELECT currency, string_agg(month || '/' || total || '/' || n, ';' ORDER BY month) AS months FROM (SELECT strftime(invoice_date, '%Y-%m') AS month, {CUR} AS currency, {M} AS total, COUNT(*) AS n FROM {{invoices}} i GROUP BY 1, 2) x GROUP BY 1")
+def _(t):
+    rows = A.monthly_lists(t.invoices)
+    return rows.select("currency", F.array_join(F.transform("monthly_spend", lambda x: F.concat_ws("/", x["month"], x["total"].cast("string"), x["count"].cast("string"))), ";").alias("months"))
 
 
 @query(
     "agg_14_scan_headline",
-    """SELECT a.user_id, a.active_accounts, l.last_at, l.last_found FROM (SELECT user_id, COUNT(*) FILTER (is_active) AS active_accounts FROM {email_accounts} x GROUP BY 1) a
-    LEFT JOIN (SELECT user_id, MAX(started_at) AS last_at, arg_max(invoices_found, (started_at, id)) AS last_found FROM {scan_logs} y GROUP BY 1) l USING (user_id)""",
+    """SELECT COALESCE(a.user_id, l.user_id) AS user_id, COALESCE(a.active_accounts, 0) AS active_accounts, l.last_scan_at, l.last_scan_found FROM (SELECT user_id, COUNT(*) FILTER (is_active) AS active_accounts FROM {email_accounts} x GROUP BY 1) a
+    FULL JOIN (SELECT user_id, MAX(started_at) AS last_scan_at, arg_max(invoices_found, (started_at, id)) AS last_scan_found FROM {scan_logs} y GROUP BY 1) l ON l.user_id = a.user_id""",
 )
 def _(t):
-    active = t.email_accounts.groupBy("user_id").agg(F.count(F.when(F.col("is_active"), 1)).alias("active_accounts"))
-    last = t.scan_logs.groupBy("user_id").agg(F.max("started_at").alias("last_at"), F.max_by("invoices_found", F.struct("started_at", "id")).alias("last_found"))
-    return active.join(last, "user_id", "left")
+    return A.scan_headline(t.email_accounts, t.scan_logs)
 
 
 @query(
@@ -140,13 +161,11 @@ def _(t):
 
 @query(
     "agg_18_run_rollup",
-    """SELECT account_id, COUNT(*) AS messages, COUNT(*) FILTER (attachment IS NOT NULL) AS found, MAX(CAST(uid AS BIGINT)) AS newest_uid FROM {emails} e GROUP BY 1""",
+    """SELECT account_id, COUNT(*) AS messages, COUNT(attachment) AS found, COUNT(*) FILTER (email_id % 9 = 0) AS errors, CAST(MAX(CAST(uid AS BIGINT)) AS VARCHAR) AS newest_uid FROM {emails} e GROUP BY 1""",
 )
 def _(t):
-    from docspend.functions.state import uid_order
-
-    newest = F.max_by("uid", uid_order(F.col("uid"))).cast("long")
-    return t.emails.groupBy("account_id").agg(F.count("*").alias("messages"), F.count("attachment").alias("found"), newest.alias("newest_uid"))
+    results = t.emails.select("account_id", "uid", F.when(F.col("attachment").isNotNull(), 1).otherwise(0).alias("invoices_added"), F.when(F.col("email_id") % 9 == 0, "failed").alias("error"))
+    return A.run_rollup(results)
 
 
 @query("agg_19_health", "SELECT (SELECT COUNT(*) FROM {invoices} i) AS invoices, (SELECT MAX(finished_at) FROM {scan_logs} s) AS last_finished")
@@ -157,13 +176,12 @@ def _(t):
 
 @query("agg_20_admin_count", "SELECT COUNT(*) FILTER (is_admin AND is_active) AS admins, COUNT(*) FILTER (is_admin AND is_active) > 1 AS may_remove FROM {users} u")
 def _(t):
-    n = F.count(F.when(F.col("is_admin") & F.col("is_active"), 1))
-    return t.users.agg(n.alias("admins"), (n > 1).alias("may_remove"))
+    return A.admin_count(t.users)
 
 
 @query("agg_21_colliding_numbers", "SELECT invoice_no, COUNT(*) AS n FROM {invoices} i GROUP BY 1 HAVING COUNT(*) > 1")
 def _(t):
-    return t.invoices.groupBy("invoice_no").agg(F.count("*").alias("n")).where("n > 1")
+    return A.colliding_numbers(t.invoices)
 
 
 @query(
@@ -172,9 +190,4 @@ def _(t):
        CASE WHEN last_scan_uid LIKE '{"INBOX%' THEN json_extract_string(last_scan_uid, '$.INBOX.uid') WHEN last_scan_uid <> '' THEN last_scan_uid END AS top_uid FROM {email_accounts} a""",
 )
 def _(t):
-    from docspend.functions.state import parse_state, uid_order
-
-    states = t.email_accounts.withColumn("state", parse_state(F.col("last_scan_uid")))
-    total = F.aggregate(F.map_values("state"), F.lit(0).cast("long"), lambda n, s: n + F.coalesce(s["messages"].try_cast("long"), F.lit(0)))
-    ordered = F.array_sort(F.transform(F.map_values("state"), lambda s: F.struct(uid_order(s["uid"]).alias("o"), s["uid"].alias("uid"))))
-    return states.select("id", F.coalesce(F.size("state"), F.lit(0)).alias("folders"), F.coalesce(total, F.lit(0).cast("long")).alias("messages"), F.when(F.size("state") > 0, F.element_at(ordered, -1)["uid"]).alias("top_uid"))
+    return A.state_summary(t.email_accounts)

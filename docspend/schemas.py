@@ -5,7 +5,7 @@ from __future__ import annotations
 TABLES = {
     "users": "id BIGINT, email STRING, is_active BOOLEAN, is_admin BOOLEAN, created_at TIMESTAMP, updated_at TIMESTAMP",
     "user_sessions": "id BIGINT, user_id BIGINT, token_hash STRING, created_at TIMESTAMP, expires_at TIMESTAMP, revoked_at TIMESTAMP, last_seen_at TIMESTAMP, user_agent STRING, ip_address STRING",
-    "email_accounts": "id BIGINT, user_id BIGINT, name STRING, type STRING, host STRING, port INT, username STRING, outlook_account_type STRING, is_active BOOLEAN, last_scan_uid STRING, created_at TIMESTAMP",
+    "email_accounts": "id BIGINT, user_id BIGINT, name STRING, type STRING, host STRING, port INT, username STRING, outlook_account_type STRING, is_active BOOLEAN, last_scan_uid STRING, created_at TIMESTAMP, password_encrypted STRING, secondary_credential_encrypted STRING, secondary_password_encrypted STRING, totp_secret_encrypted STRING, playwright_storage_state STRING",
     "invoices": "id BIGINT, user_id BIGINT, invoice_no STRING, buyer STRING, seller STRING, amount DECIMAL(12,2), invoice_date DATE, invoice_type STRING, invoice_category STRING, item_summary STRING, file_path STRING, raw_text STRING, email_uid STRING, email_account_id BIGINT, source_format STRING, extraction_method STRING, confidence DOUBLE, is_manually_corrected BOOLEAN, created_at TIMESTAMP",
     "scan_logs": "id BIGINT, user_id BIGINT, email_account_id BIGINT, started_at TIMESTAMP, finished_at TIMESTAMP, emails_scanned INT, invoices_found INT, error_message STRING",
     "extraction_logs": "id BIGINT, user_id BIGINT, scan_log_id BIGINT, email_uid STRING, email_subject STRING, attachment_filename STRING, outcome STRING, classification_tier INT, parse_method STRING, parse_format STRING, download_outcome STRING, invoice_no STRING, confidence DOUBLE, error_detail STRING, created_at TIMESTAMP",
@@ -16,6 +16,9 @@ TABLES = {
     "app_settings": "key STRING, value STRING, updated_at TIMESTAMP",
 }
 
+#: White space of Unicode, for use inside a character class.
+SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # They must equal the expected lists for right results.
 CATEGORIES = ("vat_invoice", "receipt", "proforma", "overseas_invoice", "other")
 UNKNOWN = "未知"
@@ -43,8 +46,12 @@ KEYWORDS = (
     "购物凭证", "消费凭证", "购物发票", "订单完成", "交易成功", "支付凭证", "發票",
 )
 SCAM_PHRASES = ("代开", "代开发票", "代开各行业", "有发票出售", "出售发票", "提供发票", "发票业务", "联系微信", "微信号", "加微信", "加qq", "联系qq")
-SCAM_CONTACT = r"(?i)(微信|weixin|wechat|qq)[\s:：]*[a-zA-Z0-9_-]{5,20}"
-SCAM_DIGITS = r"(?:[\d][\s/\-_<>+*\.\|丨]{1,4}){4,}[\d]"
+SCAM_CONTACT = rf"(?i)(微信|weixin|wechat|qq)[{SPACE}:：]*[a-zA-Z0-9_-]{{5,20}}"
+SCAM_DIGITS = rf"(?:\p{{Nd}}[{SPACE}/\-_<>+*\.\|丨]{{1,4}}){{4,}}\p{{Nd}}"
+PERSONAL_DOMAINS = ("outlook.com", "hotmail.com", "live.com", "live.cn", "live.co.uk", "live.fr", "live.de", "live.it", "live.jp", "msn.com", "passport.com")
+DEDICATED_TYPES = ("qq",)
+DEDICATED_HOSTS = ("imap.qq.com", "imap.exmail.qq.com")
+REDIRECT_HOST = "safelinks.protection.outlook.com"
 BLOCKED_HOSTS = (
     "linktrace.triggerdelivery.com", "click.linksynergy.com", "beacon.mailchimp.com", "trk.klclick.com",
     "t.e.apple.com", "click.e.usps.com", "email.analytics", "click.mail", "tracking.pixel",

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspend.search.text import similar_text
+from docspend.shipping import ship
+
 ROWS, QUERIES = 4096, 512
 
 
@@ -31,12 +34,18 @@ def _blocks(df: DataFrame, size: int, prefix: str) -> DataFrame:
     return rows.mapInArrow(run, f"{prefix}_ids array<long>, {prefix}_data binary")
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
+#: Bytes of query vectors up to which all of them go to every task; more are dealt in groups.
+BROADCAST = 64 << 20
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, higher_first: bool = False) -> DataFrame:
     """query_id, id, distance, place: the k nearest of vectors (id, embedding) for each query.
 
-    A block of queries meets a block of rows in one matrix product, which keeps its k best for each
-    query; the final choice is over k rows a block.  Equal distances are ordered by id.
+    A block of queries meets a block of rows in one matrix product, by |x|^2 - 2xq + |q|^2; what
+    lies within rounding of the k-th is measured again exactly, and a block keeps its k best for
+    each query.  Equal distances are ordered by id, the lower first or the higher_first.
     """
+    ship(vectors.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -45,29 +54,61 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Tru
             for ids, data, qids, qdata in zip(*(batch.column(c).to_pylist() for c in ("r_ids", "r_data", "q_ids", "q_data"))):
                 x, q = np.frombuffer(data).reshape(len(ids), -1), np.frombuffer(qdata).reshape(len(qids), -1)
                 ids = np.array(ids)
+                x2, q2 = (x * x).sum(axis=1), (q * q).sum(axis=1)
+                near = q @ x.T
+                near *= -2
+                near += x2
+                near += q2[:, None]
+                slack = 1e-6 + 1e-12 * (x2.max() + q2)  # distances are rounded to 6 places
                 out = []
-                for i, query in enumerate(q):
-                    d = np.round(np.sqrt(((x - query) ** 2).sum(axis=1)), 6)
+                for i, row in enumerate(near):
                     if exclude_self:
-                        d[ids == qids[i]] = np.inf
-                    best = np.lexsort((ids, d))[:k]
-                    best = best[np.isfinite(d[best])]
-                    out.append((np.full(len(best), qids[i]), ids[best], d[best]))
+                        row[ids == qids[i]] = np.inf
+                    limit = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+                    limit = limit if np.isinf(limit) else (np.sqrt(max(limit, 0)) + 1e-6) ** 2 + slack[i]
+                    some = np.flatnonzero((row <= limit) & np.isfinite(row))
+                    d = np.round(np.sqrt(((x[some] - q[i]) ** 2).sum(axis=1)), 6)
+                    best = np.lexsort((-ids[some] if higher_first else ids[some], d))[:k]
+                    out.append((np.full(len(best), qids[i]), ids[some][best], d[best]))
                 columns = [np.concatenate(c) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "id", "distance"])
 
-    pairs = _blocks(vectors, ROWS, "r").join(_blocks(queries, QUERIES, "q"))
-    near = pairs.mapInArrow(run, "query_id long, id long, distance double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return near.withColumn("place", place).where(F.col("place") <= k)
+    rows, asked = _blocks(vectors, ROWS, "r"), _blocks(queries, QUERIES, "q")
+    size = queries.agg(F.sum(F.size("embedding") * 8)).first()[0] or 0
+    if size <= BROADCAST:
+        pairs = rows.join(F.broadcast(asked))
+    else:  # every block of queries goes to each of the groups of row blocks
+        groups = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        deal = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+        pairs = rows.withColumn("group", F.pmod(F.xxhash64("r_ids"), F.lit(groups)).cast("int")).join(asked.select("*", deal), "group").drop("group")
+    found = pairs.mapInArrow(run, "query_id long, id long, distance double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", F.desc("id") if higher_first else "id"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def similar(df: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """query_id, id, place, by: the k rows nearest to each of queries (rows of df), then the higher id.
+
+    A query without a vector, or without another vector to meet, is answered by its text.
+    """
+    mine = vectors.join(queries.select("id"), "id", "left_semi")
+    by_vector = knn(vectors, mine, k, higher_first=True).select("query_id", "id", "place", F.lit("vector").alias("by"))
+    left = queries.join(by_vector.select(F.col("query_id").alias("id")), "id", "left_anti")
+    return by_vector.unionByName(similar_text(df, left, k).select("query_id", "id", "place", F.lit("text").alias("by")))
 
 
-def hybrid(text_hits: DataFrame, vector_hits: DataFrame, size: int) -> DataFrame:
-    """id, place: text hits in their order, then vector hits that are not among them, `size` in all.
+def hybrid(text_hits: DataFrame, vector_hits: DataFrame, size: int, page: int = 1, order: list[Column] | None = None) -> DataFrame:
+    """id, place, total: a page of text hits in their order, then the nearest vectors that are not among them, `size` in all.
 
-    text_hits: id, place; vector_hits: id, distance.
+    text_hits: all hits, id and the columns of order (place without one); vector_hits: id, distance
+    of the 2 * size nearest.  total is the number of text hits, or of merged rows if there are more.
+    Only `size` rows of either kind are ranked.
     """
-    extra = vector_hits.join(text_hits.select("id"), "id", "left_anti").select("id", F.lit(1).alias("source"), F.col("distance").alias("rank"))
-    both = text_hits.select("id", F.lit(0).alias("source"), F.col("place").cast("double").alias("rank")).unionByName(extra)
+    order = order or [F.col("place")]
+    text = text_hits.orderBy(*order).offset(max(page - 1, 0) * size).limit(size)
+    text = text.select("id", F.lit(0).alias("source"), F.row_number().over(Window.orderBy(*order)).cast("double").alias("rank"))
+    extra = vector_hits.join(text.select("id"), "id", "left_anti").orderBy("distance", "id").limit(size)
+    both = text.unionByName(extra.select("id", F.lit(1).alias("source"), F.col("distance").alias("rank")))
     top = both.orderBy("source", "rank", "id").limit(size)
-    return top.select("id", F.row_number().over(Window.orderBy("source", "rank", "id")).alias("place"))
+    merged = top.select("id", F.row_number().over(Window.orderBy("source", "rank", "id")).alias("place"))
+    return merged.withColumn("total", F.greatest(text_hits.agg(F.count("*")).scalar(), F.count("*").over(Window.partitionBy())))

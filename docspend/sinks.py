@@ -7,12 +7,14 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CSV_COLUMNS = ("invoice_no", "buyer", "seller", "amount", "invoice_date", "invoice_type", "invoice_category", "item_summary", "source_format", "extraction_method", "confidence")
+from docspend.functions.text import iso
+
+CSV_COLUMNS = ("invoice_no", "buyer", "seller", "amount", "invoice_date", "invoice_category", "invoice_type", "item_summary", "extraction_method", "confidence", "created_at")
 
 
 def csv_rows(df: DataFrame) -> DataFrame:
-    """The columns of the export: no nulls in the summary, ISO dates."""
-    special = {"invoice_date": F.date_format("invoice_date", "yyyy-MM-dd"), "item_summary": F.coalesce("item_summary", F.lit(""))}
+    """The columns of the export: no nulls in the summary, ISO dates and times."""
+    special = {"invoice_date": F.date_format("invoice_date", "yyyy-MM-dd"), "item_summary": F.coalesce("item_summary", F.lit("")), "created_at": iso("created_at")}
     return df.select(*(special.get(c, F.col(c)).alias(c) for c in CSV_COLUMNS))
 
 
@@ -23,6 +25,11 @@ def export_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def bundle_summary(invoices: DataFrame, ids: DataFrame, user_id: int) -> DataFrame:
+    """The rows of the CSV summary that goes with a bundle: the tenant's rows among ids."""
+    return csv_rows(invoices.where(F.col("user_id") == user_id).join(ids.select("id").distinct(), "id", "left_semi"))
+
+
 def bundle_manifest(invoices: DataFrame, ids: DataFrame, user_id: int, listing: DataFrame) -> DataFrame:
     """The tenant's rows among ids, each with whether its file is in the listing."""
     own = invoices.where(F.col("user_id") == user_id).join(ids, "id", "left_semi")
@@ -40,9 +47,10 @@ def hmac_sha256(secret: str, message: Column) -> Column:
 
 
 def invoice_events(df: DataFrame, secret: str) -> DataFrame:
-    """id, body, signature: JSON in fixed key order and its signature."""
-    text = lambda c: F.col(c).cast("string").alias(c)
-    body = F.to_json(F.struct(F.lit("invoice.created").alias("event"), text("invoice_no"), text("amount"), F.date_format("invoice_date", "yyyy-MM-dd").alias("date")))
+    """id, body, signature: compact JSON in fixed key order and its signature."""
+    parts = {"event": F.lit("invoice.created"), "invoice_no": F.col("invoice_no"), "buyer": F.col("buyer"), "seller": F.col("seller"), "amount": F.col("amount").cast("string")}
+    parts |= {"invoice_date": F.date_format("invoice_date", "yyyy-MM-dd"), "invoice_type": F.col("invoice_type"), "confidence": F.col("confidence").cast("double")}
+    body = F.to_json(F.struct(*(v.alias(k) for k, v in parts.items())), {"ignoreNullFields": "false"})
     return df.select("id", body.alias("body")).withColumn("signature", F.concat(F.lit("sha256="), hmac_sha256(secret, F.col("body"))))
 
 

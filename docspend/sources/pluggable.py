@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-EMAIL = "uid string, subject string, from_addr string, body_text string"
+from docspend.functions.parse import content_hash
+from docspend.shipping import ship
+
+EMAIL = "uid string, subject string, from_addr string, body_text string, state string"
+COLUMNS = ("uid", "subject", "from_addr", "body_text")
 
 
 class _Part(InputPartition):
@@ -27,11 +31,19 @@ class _Reader(DataSourceReader):
 
     def read(self, part: _Part) -> Iterator[tuple]:
         for m in self.make(self.options, part.number, part.of):
-            yield tuple(m.get(c) for c in ("uid", "subject", "from_addr", "body_text"))
+            if "state" in m:
+                yield (*[None] * len(COLUMNS), m["state"])
+            else:
+                yield (*map(m.get, COLUMNS), None)
 
 
 def register_source(spark: SparkSession, kind: str, make: Callable[[dict, int, int], Iterator[dict]], parts: int = 1) -> None:
-    """Register spark.read.format(kind): make(options, part, parts) gives the messages of one part."""
+    """Register spark.read.format(kind): make(options, part, parts) gives the messages of one part.
+
+    options holds what the reader was given, also the state of the last run; a dict with the one
+    key state hands on the state for the next run.  split_state tells both apart.
+    """
+    ship(spark)
 
     class Source(DataSource):
         @classmethod
@@ -47,11 +59,16 @@ def register_source(spark: SparkSession, kind: str, make: Callable[[dict, int, i
     spark.dataSource.register(Source)
 
 
+def split_state(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The messages that a plugged source gave, and the states of its parts."""
+    return rows.where("state IS NULL").drop("state"), rows.where("state IS NOT NULL").select("state")
+
+
 def _call_once(df: DataFrame, key: str, column: str, cache: DataFrame | None, fn: Callable[[list[str]], list[str | None]]) -> DataFrame:
     """key, response of every distinct text that the cache (key, response) does not know."""
     misses = df.select(key, column).dropDuplicates([key])
     if cache is not None:
-        misses = misses.join(cache.select(key), key, "left_anti")
+        misses = misses.join(cache.select(key).distinct(), key, "left_anti")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -69,23 +86,28 @@ def _call_once(df: DataFrame, key: str, column: str, cache: DataFrame | None, fn
     return misses.mapInPandas(run, f"{key} string, response string")
 
 
-def enrich(df: DataFrame, extractor: Callable[[list[str]], list[str | None]], cache: DataFrame | None = None, column: str = "raw_text", prompt: str = "extract_invoice") -> DataFrame:
-    """df with response: the user's extractor runs once for each distinct text that is not cached;
-    the key hashes the whole text.
+def enrich(df: DataFrame, extractor: Callable[[list[str]], list[str | None]], cache: DataFrame | None = None, column: str = "raw_text", prompt: str = "extract") -> DataFrame:
+    """df with content_hash and response: the user's extractor runs once for each distinct text that the
+    cache (content_hash, response) does not know; the key hashes the text that it is given, all of it.
 
-    A text the extractor fails on has a null response; the parser's fields stay.
+    A null text is not asked for.  A text the extractor fails on has a null response.
     """
-    keyed = df.withColumn("content_hash", F.sha2(F.concat_ws(":", F.lit(prompt), F.col(column)), 256))
-    fresh = _call_once(keyed, "content_hash", column, cache, extractor)
+    ship(df.sparkSession)
+    keyed = df.withColumn("content_hash", content_hash(prompt, F.col(column)))
+    fresh = _call_once(keyed.where(F.col(column).isNotNull()), "content_hash", column, cache, extractor)
     known = fresh if cache is None else fresh.unionByName(cache.select("content_hash", "response"))
     return keyed.join(known, "content_hash", "left")
 
 
-def analyse(df: DataFrame, fn: Callable[[list[str]], list[str | None]], cache: DataFrame | None = None) -> DataFrame:
-    return enrich(df, fn, cache, "body_text", "analyze_email")
+def analyse(df: DataFrame, fn: Callable[[list[str]], list[str | None]], cache: DataFrame | None = None, column: str = "body_text") -> DataFrame:
+    """df with the response of the user's message analyser; see functions.text.analysis_text for the text it should read."""
+    return enrich(df, fn, cache, column, "analyze_email_v3")
 
 
 def embed(df: DataFrame, fn: Callable[[list[str]], list[list[float]]], column: str = "text") -> DataFrame:
+    """df with the embedding of the first 8000 characters of a column."""
+    ship(df.sparkSession)
+
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(fn(texts.fillna("").str.slice(0, 8000).tolist()))

@@ -24,11 +24,15 @@ def magic_format(content: Column) -> Column:
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, format, reason: landed files, with why a file is not taken.  Spark lists no empty files."""
+    """path, length, format, reason: landed files, with why a file is not taken.  Spark lists no empty files.
+
+    The content of files over the limit is not read: the filter on length reaches the source.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     kind = magic_format(F.col("content"))
-    reason = F.when(F.col("length") > MAX_BYTES, "too large").when(kind.isNull(), "unknown format")
-    return files.select("path", "length", kind.alias("format"), reason.alias("reason"))
+    read = files.where(F.col("length") <= MAX_BYTES).select("path", "length", kind.alias("format"), F.when(kind.isNull(), "unknown format").alias("reason"))
+    large = files.where(F.col("length") > MAX_BYTES).select("path", "length", F.lit(None).cast("string").alias("format"), F.lit("too large").alias("reason"))
+    return read.unionByName(large)
 
 
 def load_emails(raw: DataFrame) -> DataFrame:
@@ -49,12 +53,21 @@ def emails_from_graph_json(df: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(*(c for c in df.columns if c != column), F.coalesce("m.internetMessageId", "m.id").alias("uid"), F.coalesce("m.subject", F.lit("")).alias("subject"), F.coalesce("m.from.emailAddress.address", F.lit("")).alias("from_addr"), F.coalesce("m.bodyPreview", F.lit("")).alias("body_text"), F.try_to_timestamp("m.receivedDateTime", F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")).alias("received_at"))
 
 
-def emails_from_portal(pages: DataFrame) -> DataFrame:
-    """Invoice pages of a portal (portal_id, number, money, currency, date, bill_to) as messages."""
-    lines = [F.concat(F.lit(f"{label}: "), F.coalesce(F.col(c), F.lit(""))) for label, c in (("Invoice", "number"), ("Amount", "money"), ("Currency", "currency"), ("Date", "date"), ("Bill to", "bill_to"), ("Source", "portal_id"))]
+def emails_from_portal(pages: DataFrame, provider: str = "Portal", site: str = "portal.example", sender: str = "invoices@portal.example") -> DataFrame:
+    """Invoice pages of a portal (portal_id, url, money, date, bill_to, account_id) as messages with one link and one document."""
+    c = F.col
+    blank = lambda n: F.coalesce(c(n).cast("string"), F.lit(""))
+    paid = F.concat(blank("money"), F.lit(" USD"))
+    lines = [
+        F.concat(F.lit(f"{provider} subscription invoice "), c("portal_id")), F.lit(f"Provider: {provider} ({site})"), F.concat(F.lit("Bill-to: "), F.coalesce("bill_to", F.lit("Unknown"))),
+        F.concat(F.lit("Amount: "), paid), F.concat(F.lit("Date: "), blank("date")), F.concat(F.lit("URL: "), c("url")),
+    ]
+    headers = {"_scraper": F.lit("portal"), "_invoice_id": c("portal_id"), "_invoice_url": c("url"), "_currency": F.lit("USD"), "_amount_pretty": paid, "_account_id": blank("account_id")}
+    pairs = [x for k, v in headers.items() for x in (F.lit(k), v)]
     return pages.select(
-        F.concat(F.lit("portal:"), F.col("portal_id")).alias("uid"), F.concat(F.lit("Invoice "), F.col("number")).alias("subject"),
-        F.concat_ws("\n", *lines).alias("body_text"), F.create_map(F.lit("x-currency"), F.col("currency")).alias("headers"),
+        F.concat(F.lit("portal:"), c("portal_id")).alias("uid"), F.trim(F.concat(F.lit(f"{provider} Invoice "), c("portal_id"), F.lit(" — "), paid, F.lit(" "), blank("date"))).alias("subject"),
+        F.concat_ws("\n", *lines).alias("body_text"), F.lit("").alias("body_html"), F.lit(sender).alias("from_addr"), F.array(F.concat(F.lit("portal-invoice-"), c("portal_id"), F.lit(".pdf"))).alias("attachments"),
+        F.array("url").alias("links"), F.create_map(*pairs).alias("headers"), F.lit(f"{provider} Invoices").alias("folder"), F.concat(F.lit("portal-"), c("portal_id")).alias("message_id"),
     )
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspend.functions.state import is_newer, uid_order
+from docspend.shipping import ship
 
 
 def ingest_increment(messages: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,18 +35,59 @@ def skip_unchanged(status: DataFrame, state: DataFrame) -> DataFrame:
     return status.join(state, ["account_id", "folder"], "left").withColumn("skip", F.coalesce(same, F.lit(False)))
 
 
-def apply_change_feed(pages: DataFrame, most_pages: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Messages, last token of each folder, and overflow events of a change feed.
+def ingest_stream(messages: DataFrame) -> DataFrame:
+    """The streaming form of ingest_increment: each message newer than all of its folder before, with state kept by Spark.
 
-    pages: account_id, folder, page, token, removed, message_id, uid.  Removed items are never
-    deletions; a message in several folders comes once; a folder of more pages is read anew.
+    messages: account_id long, folder, uid, uidvalidity, any order within a batch.  A changed validity
+    starts a folder anew; messages of one batch are compared with the state before it.
+    """
+    ship(messages.sparkSession)
+
+    def step(key, frames, state):
+        import pandas as pd
+
+        rows = pd.concat(list(frames), ignore_index=True)
+        last, validity = state.get if state.exists else ("", "")
+        order = lambda u: (0, int(u), u) if u.isascii() and u.isdigit() else (1, 0, u)
+        newer = lambda u: bool(u) and (not last or (int(u) > int(last) if u.isascii() and u.isdigit() and last.isascii() and last.isdigit() else u > last))
+        now = max((v for v in rows["uidvalidity"].fillna("")), default="")
+        if now and validity and now != validity:
+            last = ""
+        kept = rows[[newer(u or "") for u in rows["uid"]]]
+        top = max((u for u in kept["uid"]), key=order, default=last)
+        state.update((top, now or validity))
+        yield kept
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema)
+    return messages.groupBy("account_id", "folder").applyInPandasWithState(step, fields, "last string, validity string", "append", "NoTimeout")
+
+
+def apply_change_feed(pages: DataFrame, state: DataFrame | None = None, most_pages: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Messages, last token of each folder, and events of a change feed.
+
+    pages: account_id, folder, page, token, removed, message_id, uid and, where the server refused a
+    token, expired; state: account_id, folder, delta_link, legacy (the time that an old state ended).
+    Removed items are never deletions; a message in several folders comes once.  A folder with a
+    token reads on from it, and a refused one is an event delta_resync; a folder with only an old
+    time is bridged, and one that needs more pages than most_pages is an event
+    delta_bridge_overflow.  Folders with an event give nothing else: they are read anew.
     """
-    live = pages.where("NOT removed")
+    keys = ["account_id", "folder"]
+    if "expired" not in pages.columns:
+        pages = pages.withColumn("expired", F.lit(False))
+    folders = pages.groupBy(*keys).agg(F.max_by("token", "page").alias("token"), F.max("page").alias("pages"), F.max("expired").alias("expired"))
+    if state is not None:
+        folders = folders.join(state.select(*keys, "delta_link", "legacy"), keys, "left")
+    else:
+        folders = folders.withColumns({"delta_link": F.lit(None).cast("string"), "legacy": F.lit(None).cast("string")})
+    given = lambda n: F.coalesce(F.col(n), F.lit("")) != ""
+    mode = F.when(given("delta_link"), "incremental").when(given("legacy"), "bridge").otherwise("initial")
+    event = F.when((mode == "incremental") & F.col("expired"), "delta_resync").when((mode == "bridge") & (F.col("pages") > most_pages), "delta_bridge_overflow")
+    folders = folders.select(*keys, "token", event.alias("outcome"))
+    live = pages.where("NOT removed").join(folders.where("outcome IS NULL").select(*keys), keys, "left_semi")
     first = live.groupBy("account_id", "message_id").agg(F.min(F.struct("folder", "page", "uid")).alias("m"))
     messages = first.select("account_id", "message_id", "m.folder", "m.uid")
-    tokens = pages.groupBy("account_id", "folder").agg(F.max_by("token", "page").alias("token"), F.max("page").alias("pages"))
-    over = tokens.where(F.col("pages") > most_pages).select("account_id", "folder", F.lit("delta_bridge_overflow").alias("outcome"))
-    return messages, tokens.where(F.col("pages") <= most_pages).select("account_id", "folder", "token"), over
+    return messages, folders.where("outcome IS NULL").drop("outcome"), folders.where("outcome IS NOT NULL").select(*keys, "outcome")
 
 
 def dedup_stream(df: DataFrame, horizon: str = "7 days", key: str = "message_id", time: str = "received_at") -> DataFrame:
@@ -58,18 +102,32 @@ def progress_stream(df: DataFrame, window: str = "1 day", late: str = "1 hour")
     return rows.groupBy(F.window("ts", window)).agg(F.count("*").alias("processed"), kind("purchase").alias("found"), kind("error").alias("errors")).select(F.col("window.start").alias("start"), "processed", "found", "errors")
 
 
-def run_stream(source: DataFrame, decide, out: str, checkpoint: str):
-    """Each micro-batch through decide(batch) -> rows with outcome; appended under its batch number.
+def run_stream(source: DataFrame, decide: Callable[[DataFrame, Callable[[str], DataFrame | None]], dict[str, DataFrame]], out: str, checkpoint: str):
+    """Each micro-batch through decide(batch, earlier) -> tables by name, appended under the batch's number.
 
-    Writing the same batch again overwrites its own folder, so a restart repeats nothing.
+    earlier(name) gives the rows of a table that batches before this one wrote, None without any,
+    so that decide can leave out what is there already.  Writing the same batch again overwrites its
+    own folder and does not see itself, so a restart repeats nothing.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        decide(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark = df.sparkSession
+
+        def earlier(name: str) -> DataFrame | None:
+            path = f"{out}/{name}"
+            return spark.read.parquet(path).where(F.col("batch") < number) if _exists(spark, path) else None
+
+        for name, rows in decide(df, earlier).items():
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def stream_of(spark: SparkSession, path: str, schema) -> DataFrame:
     """A stream of Parquet files as they land in a folder."""
     return spark.readStream.schema(schema).parquet(path)
