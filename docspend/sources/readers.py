@@ -12,9 +12,9 @@ from docspend.schemas import TABLES
 MAX_BYTES = 25 * 1024 * 1024
 
 
-def load_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The engine's tables below path, each with its fixed schema."""
-    return {name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()}
+def load_tables(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
+    """The engine's tables below path (all, or those named), each with its fixed schema."""
+    return {name: spark.read.schema(TABLES[name]).parquet(f"{path}/{name}") for name in names or TABLES}
 
 
 def magic_format(content: Column) -> Column:
