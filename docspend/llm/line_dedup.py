@@ -4,12 +4,15 @@ The key of a line is the line without white space at both ends and with A-Z in l
 of at least `least` code points count.  A key found in at least `holders` documents loses all its
 lines except in the document with the largest doc_id.
 
-Key hashes (128 bits), document and position are range-partitioned by (hash, document) and sorted
-within each partition, so a line that a third of all documents share is spread over many tasks.
-Each task streams its runs of equal hashes: a run inside the partition is decided at once; the
-first and the last run may go on in a neighbour and are decided after an aggregation over these
-open runs, of which there are two a partition at most.  The result of the search is a compressed
-keep bitmap for each document; texts are touched again only to apply it.
+Key hashes (128 bits), document and position are written once, then range-partitioned by (hash,
+document) and sorted within each partition, so a line that a third of all documents share is
+spread over many tasks.  Each task streams its runs of equal hashes.  A run that begins inside the
+partition begins with the document that keeps the line; its rows are held only until it has
+enough documents, from then on they are decided one by one, so a long run needs no memory.  The
+first and the last run of a partition may go on in a neighbour: each leaves a summary (documents,
+first and last of them), and the summaries, two a partition at most, decide its open rows.  The
+result of the search is a compressed keep bitmap for each document; texts are touched again only
+to apply it.
 
 Defined cases: a null or empty text is one empty line; a null doc_id is a document smaller than
 all others; rows that repeat a doc_id are one document for the count; line ends other than \\n are
@@ -28,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspend.llm.common import SPACE, partitions, text_or_empty, written
+from docspend.llm.common import SPACE, partitions, text_or_empty, unused, written
+from docspend.shipping import ship
 
 LEAST, HOLDERS = 40, 5
 NO_ID = -(2**63)
 
-MARKS = "h1 long, h2 long, id long, th long, n_lines int, pos int, open boolean"
+#: A line to drop, a line of an open run, or the summary of a run (docs is given; id is its first document, th its last).
+MARKS = "h1 long, h2 long, id long, th long, n_lines int, pos int, open boolean, docs long"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -49,40 +54,67 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _runs(holders: int):
-    """Rows sorted by (h1, h2, id descending): the lines to drop, and all lines of the open runs."""
+    """Rows sorted by (h1, h2, id descending): the lines to drop, all lines of the open runs, and their summaries."""
     names = ["h1", "h2", "id", "th", "n_lines", "pos"]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 2
 
-    def batch_of(columns, rows, is_open):
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+    def rows_of(columns, rows, is_open):
         arrays = [pa.array(c[rows], t) for c, t in zip(columns, kinds)]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(rows), is_open))], [*names, "open"])
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(len(rows), is_open)), pa.nulls(len(rows), pa.int64())], [*names, "open", "docs"])
+
+    def summary(run):
+        values = [*run["key"], run["first"], run["last"], None, None]
+        return pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(values, kinds)), pa.nulls(1, pa.bool_()), pa.array([run["docs"]], pa.int64())], [*names, "open", "docs"])
+
+    def more(run, ids):
+        """Count a run's next documents."""
+        if len(ids):
+            run["docs"] += int(ids[0] != run["last"]) + int((ids[1:] != ids[:-1]).sum())
+            run["last"] = int(ids[-1])
+
+    def begun(cols):
+        return {"key": (int(cols[0][0]), int(cols[1][0])), "first": int(cols[2][0]), "last": None, "docs": 0}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opening = None  # the key of the partition's first run while it lasts; then ()
-        held = None
+        opening = None  # the partition's first run while it lasts: its rows are open; then False
+        decided = None  # the last run, if it has enough documents
+        held = None  # the rows of the last run, if it has not
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [np.asarray(batch.column(c)) for c in names]
             if opening is None:
-                opening = (int(cols[0][0]), int(cols[1][0]))
-            if opening:
-                # the first run is open: its rows go on at once and need no memory
-                same = (cols[0] == opening[0]) & (cols[1] == opening[1])
+                opening = begun(cols)
+            now = opening or decided
+            if now:
+                same = (cols[0] == now["key"][0]) & (cols[1] == now["key"][1])
                 n = len(same) if same.all() else int(same.argmin())
-                yield batch_of(cols, np.arange(n), True)
+                mine = [c[:n] for c in cols]
+                more(now, mine[2])
+                yield rows_of(mine, np.arange(n) if opening else np.flatnonzero(mine[2] != now["first"]), bool(opening))
                 if n == len(same):
                     continue
-                opening, cols = (), [c[n:] for c in cols]
+                if opening:
+                    yield summary(opening)
+                opening, decided, cols = False, None, [c[n:] for c in cols]
             if held is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(held, cols)]
             change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
             last = int(change[-1]) + 1 if len(change) else 0
             if last:
-                yield batch_of(cols, _dropped([c[:last] for c in cols], holders), False)
+                yield rows_of(cols, _dropped([c[:last] for c in cols], holders), False)
             held = [c[last:] for c in cols]
-        if held is not None and len(held[0]):
-            yield batch_of(held, np.arange(len(held[0])), True)
+            tail = begun(held)
+            more(tail, held[2])
+            if tail["docs"] >= holders:
+                yield rows_of(held, np.flatnonzero(held[2] != tail["first"]), False)
+                decided, held = tail, None
+        if held is not None:
+            decided = begun(held)
+            more(decided, held[2])
+            yield rows_of(held, np.arange(len(held[0])), True)
+        if opening or decided:
+            yield summary(opening or decided)
 
     return run
 
@@ -112,12 +144,14 @@ def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_bitmaps(docs: DataFrame, least: int = LEAST, holders: int = HOLDERS) -> DataFrame:
     """id, th, n_lines, keep: a zlib-compressed bitmap for each document that loses a line."""
     order = ["h1", "h2", F.col("id").desc()]
-    dealt = _lines(docs, least).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "pos")
-    marks = written(dealt.mapInArrow(_runs(holders), MARKS), "lines")
-    open_ = marks.where("open")
-    shared = open_.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n"), F.max("id").alias("stays")).where(F.col("n") >= holders).drop("n")
-    # at most two keys a partition are open
-    late = open_.join(F.broadcast(shared), ["h1", "h2"]).where("id <> stays")
+    lines = written(_lines(docs, least), "lines")
+    dealt = lines.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "pos")
+    marks = written(dealt.mapInArrow(_runs(holders), MARKS), "marks")
+    # a document at a boundary of partitions is the last of one summary and the first of the next
+    parts = marks.where("docs IS NOT NULL").groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct(F.col("id").alias("first"), F.col("th").alias("last"), "docs")), asc=False).alias("p"))
+    twice = F.expr("size(filter(sequence(1, size(p)), i -> i > 1 AND p[i - 1].first = p[i - 2].last))")
+    shared = parts.where(F.expr("aggregate(p, 0L, (n, x) -> n + x.docs)") - twice >= holders).select("h1", "h2", F.expr("p[0].first").alias("stays"))
+    late = marks.where("open").join(F.broadcast(shared), ["h1", "h2"]).where("id <> stays")
     gone = marks.where("NOT open").select("id", "th", "n_lines", "pos").unionByName(late.select("id", "th", "n_lines", "pos"))
     sets = gone.groupBy("id", "th", "n_lines").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     return sets.mapInArrow(_bitmap, "id long, th long, n_lines int, keep binary")
@@ -158,7 +192,9 @@ def report(docs: DataFrame, least: int = LEAST, holders: int = HOLDERS) -> DataF
 
 def filtered(docs: DataFrame, least: int = LEAST, holders: int = HOLDERS) -> DataFrame:
     """docs with the kept lines as text; all columns stay."""
-    maps = keep_bitmaps(docs, least, holders).toDF("__id", "__th", "__bits", "__keep")
+    i, t, n, k = unused(docs, "id", "th", "bits", "keep")
+    maps = keep_bitmaps(docs, least, holders).toDF(i, t, n, k)
+    ship(docs.sparkSession)
 
     @F.pandas_udf("string")
     def applied(text, keep, bits):
@@ -166,9 +202,9 @@ def filtered(docs: DataFrame, least: int = LEAST, holders: int = HOLDERS) -> Dat
 
         return pd.Series(["\n".join(kept_lines(t, k, None if k is None else int(b))) for t, k, b in zip(text, keep, bits)])
 
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__th", F.xxhash64(text_or_empty()))
-    joined = keyed.join(maps, ["__id", "__th"], "left")
-    new = F.when(F.col("__keep").isNull(), F.col("text")).otherwise(applied(text_or_empty(), F.col("__keep"), F.col("__bits")))
+    keyed = docs.withColumn(i, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(t, F.xxhash64(text_or_empty()))
+    joined = keyed.join(maps, [i, t], "left")
+    new = F.when(F.col(k).isNull(), F.col("text")).otherwise(applied(text_or_empty(), F.col(k), F.col(n)))
     return joined.withColumn("text", new).select(*docs.columns)
 
 

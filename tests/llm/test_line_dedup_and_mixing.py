@@ -116,3 +116,42 @@ def test_mix_of_one_source_and_of_empty_texts(spark):
     assert {r.target for r in one} == {5.0} and all(r.copies == 1 for r in one)
     none = mixing.plan(spark.createDataFrame([(1, None, "x", None, None, None), (2, "", "y", None, None, None)], DOCS)).collect()
     assert [(r.size, r.target, r.taken) for r in none] == [(0, 0.0, 0)] * 2
+
+
+@pytest.mark.parametrize("cuts", [1, 3, 7, 40])
+def test_a_hot_line_over_many_batches_and_partitions(cuts):
+    """Runs that begin, go on and end in any partition, in batches of any size."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(cuts)
+    rows = []
+    for key, docs in ((1, 2), (2, 4), (3, 5), (4, 300), (5, 1), (6, 6), (7, 90)):
+        for d in range(docs, 0, -1):
+            rows += [(key, key, d, 0, 9, p) for p in range(rng.choice([1, 1, 2, 5]))]
+    places = sorted(rng.sample(range(1, len(rows)), cuts - 1)) if cuts > 1 else []
+    gone, open_, parts = [], [], defaultdict(list)
+    for a, b in zip([0, *places], [*places, len(rows)]):
+        inner = sorted({a, b, *(rng.randrange(a, b + 1) for _ in range(4))})
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[x:y]), [pa.int64()] * 4 + [pa.int32()] * 2)], ["h1", "h2", "id", "th", "n_lines", "pos"]) for x, y in zip(inner, inner[1:]) if y > x]
+        for out in line_dedup._runs(5)(iter(batches)):
+            for r in out.to_pylist():
+                if r["docs"] is not None:
+                    parts[r["h1"]].append((r["id"], r["th"], r["docs"]))
+                else:
+                    (open_ if r["open"] else gone).append((r["h1"], r["id"], r["pos"]))
+    for key, found in parts.items():
+        found.sort(reverse=True)
+        docs = sum(x[2] for x in found) - sum(x[0] == y[1] for x, y in zip(found[1:], found))
+        if docs >= 5:
+            gone += [r for r in open_ if r[0] == key and r[1] != found[0][0]]
+    assert sorted(gone) == sorted((r[0], r[2], r[5]) for r in rows if r[0] in (3, 4, 6, 7) and r[2] != max(x[2] for x in rows if x[0] == r[0]))
+    assert np.all([len(parts[k]) for k in parts])
+
+
+def test_columns_with_the_names_of_helpers_stay(spark):
+    shared = "a line that six documents of this table have in common"
+    rows = [(i, f"{shared}\nown {i}", "s", f"id{i}", f"th{i}", f"bits{i}", f"keep{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, id string, th string, bits string, keep string")
+    got = sorted(map(tuple, line_dedup.filtered(docs).collect()))
+    assert got == [(i, (t if i == 5 else f"own {i}"), *rest) for i, t, *rest in rows]
