@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspend.llm.common import text_or_empty, written
+from docspend.llm.common import text_or_empty, unused, written
 
 
 #: Hashes of groups that are broadcast at most, of 16 bytes each.
@@ -58,13 +58,14 @@ def classes(docs: DataFrame, hashed=content_hash, few: int = FEW_GROUPS) -> Data
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without rows whose text a row with a larger doc_id has too; all columns stay."""
+    i, sha, rows = unused(docs, "id", "sha", "rows")
     named = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    stays = classes(docs).where("kept").groupBy(named.alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.count("*").alias("__rows"))
+    stays = classes(docs).where("kept").groupBy(named.alias(i), F.col("text_sha256").alias(sha)).agg(F.count("*").alias(rows))
     stays = written(stays, "stays")
-    keyed = docs.withColumn("__id", named).withColumn("__sha", F.sha2(text_or_empty(), 256))
-    kept = keyed.join(stays, ["__id", "__sha"], "left_semi")
-    if not stays.where("__rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["__id", "__sha"])  # the same document in several rows
+    keyed = docs.withColumn(i, named).withColumn(sha, F.sha2(text_or_empty(), 256))
+    kept = keyed.join(stays, [i, sha], "left_semi")
+    if not stays.where(F.col(rows) > 1).isEmpty():
+        kept = kept.dropDuplicates([i, sha])  # the same document in several rows
     return kept.select(*docs.columns)
 
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspend.llm.common import WORD, text_name, text_or_empty, written
+from docspend.llm.common import WORD, text_name, text_or_empty, unused, written
 
 #: No document is repeated more often, and no target is above this many times its source.
 MOST = 3
@@ -40,7 +40,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
     Sharing the excess by weight until nothing is above its stop ends at one level L with
     target = min(stop, weight * L).  Sources in the order of stop / weight are stopped one after
-    the other, so L follows from running sums.
+    the other, so L follows from running sums.  The windows run in one task, over a row a source.
     """
     by_name, by_stop = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("ratio", F.col("source").asc_nulls_last())
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -89,7 +89,8 @@ def solved(histogram: DataFrame, goals: DataFrame, most: int = MOST) -> DataFram
         step = F.coalesce(inside, middle, (low + high) / 2)
         done = F.abs(F.col("off")) < CLOSE * F.col("target")
         state = written(totals.select(F.col("of").alias("source"), "mean", "target", F.when(done, at).otherwise(step).alias("l"), "lo", "hi", "off"), "dual")
-    s = state.select(F.col("source").alias("of"), F.col("l").alias("lambda"))
+    # sums of doubles depend on the order of rows in their last bits: rounded, so that reruns agree
+    s = state.select(F.col("source").alias("of"), F.round("l", 9).alias("lambda"))
     return goals.join(s, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "mean", "lambda")
 
 
@@ -116,7 +117,7 @@ def _planned(docs: DataFrame, weights, most: int) -> DataFrame:
     # of STARTS evenly spaced starts, each bucket takes the one whose words come nearest to its share
     extra = lambda start: F.floor(F.col("sum") + start) - F.floor(F.col("before") + start)
     starts = [(k + 0.5) / STARTS for k in range(STARTS)]
-    miss = [F.abs(F.sum(F.col("size") * (extra(F.lit(u)) - F.col("part")))) for u in starts]
+    miss = [F.round(F.abs(F.sum(F.col("size") * (extra(F.lit(u)) - F.col("part")))), 3) for u in starts]
     choice = F.array_min(F.array(*(F.struct(m.alias("miss"), F.lit(u).alias("start")) for m, u in zip(miss, starts))))
     chosen = rows.groupBy(F.col("source").alias("of"), F.col("bucket").alias("b")).agg(choice["start"].alias("start"))
     rows = rows.join(chosen, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b")))
@@ -136,16 +137,17 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
     Rows go by doc_id, source and text; each of several rows that are equal in these has the
     copies of one row of the plan.
     """
-    planned = _planned(docs, weights, most).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("name").alias("__name"))
-    copies = written(planned.agg(F.sort_array(F.collect_list("copies")).alias("__copies")), "copies")
-    named = docs.select(*docs.columns, text_name().alias("__text"))
-    same = named.doc_id.eqNullSafe(F.col("__id")) & named.source.eqNullSafe(F.col("__source")) & (F.col("__text") == F.col("__name"))
-    joined = named.join(copies.where("array_max(__copies) > 0"), same)
-    mine = F.col("__copies")[0]
-    if not copies.where("size(__copies) > 1").isEmpty():
-        once, more = joined.where("size(__copies) = 1"), joined.where("size(__copies) > 1")
-        turn = F.row_number().over(Window.partitionBy("__id", "__source", "__text").orderBy(F.lit(1)))
-        joined = once.withColumn("__turn", F.lit(1)).unionByName(more.withColumn("__turn", turn))
-        mine = F.element_at("__copies", F.col("__turn"))
-    joined = joined.withColumn("__mine", mine).where("__mine > 0")
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mine"))).alias("__copy")).drop("__copy")
+    i, src, name, copies, text, turn, mine, copy = unused(docs, "id", "of_source", "name", "copies", "text_name", "turn", "mine", "copy")
+    planned = _planned(docs, weights, most).groupBy(F.col("doc_id").alias(i), F.col("source").alias(src), F.col("name").alias(name))
+    plans = written(planned.agg(F.sort_array(F.collect_list("copies")).alias(copies)), "copies")
+    named = docs.select(*docs.columns, text_name().alias(text))
+    same = named.doc_id.eqNullSafe(F.col(i)) & named.source.eqNullSafe(F.col(src)) & (F.col(text) == F.col(name))
+    joined = named.join(plans.where(F.array_max(copies) > 0), same)
+    of = F.col(copies)[0]
+    if not plans.where(F.size(copies) > 1).isEmpty():
+        once, more = joined.where(F.size(copies) == 1), joined.where(F.size(copies) > 1)
+        nth = F.row_number().over(Window.partitionBy(i, src, text).orderBy(F.lit(1)))
+        joined = once.withColumn(turn, F.lit(1)).unionByName(more.withColumn(turn, nth))
+        of = F.element_at(copies, F.col(turn))
+    joined = joined.withColumn(mine, of).where(F.col(mine) > 0)
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(mine))).alias(copy)).drop(copy)

@@ -48,8 +48,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspend.llm.bytesops import LOWER, SpanHash, chunked, mixed, string_bytes, words
-from docspend.llm.common import WORD, partitions, text_name, text_or_empty, written
+from docspend.llm.common import WORD, partitions, text_name, text_or_empty, unused, written
 from docspend.llm.graph import components
+from docspend.shipping import ship
 
 U64 = np.uint64
 TREES, DEPTH, MIN_DEPTH = 13, 8, 3
@@ -144,6 +145,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     ["uid", "doc_id", "name", "n_shingles", "fp1", "fp2", "sketch", "keys", "shingles"],
                 )
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), text_name().alias("name")).mapInArrow(run, SIGNATURES)
 
 
@@ -468,13 +470,13 @@ def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFr
     Rows go by doc_id and text, so rows of one doc_id or of none stay where their texts are not
     linked; rows without a word are linked with nothing and stay.
     """
+    i, name, n, text, bare, own = unused(docs, "id", "name", "rows", "text_name", "bare", "own")
     rows = rooted(docs, shingle, percent).where("n_shingles > 0").groupBy("root", "doc_id", "name").agg(F.count("*").alias("rows"))
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "name", "rows")).alias("r"))
-    stays = written(first.select(F.col("r.doc_id").alias("__id"), F.col("r.name").alias("__name"), F.col("r.rows").alias("__rows")), "stays")
-    named = docs.select(*docs.columns, text_name().alias("__text"), (~text_or_empty().rlike(WORD)).alias("__bare"))
-    kept = named.join(stays, named.doc_id.cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__name")), "left")
-    kept = kept.where("__bare OR __rows IS NOT NULL")
-    if not stays.where("__rows > 1").isEmpty():  # of equal rows one stays; those without a word are each their own
-        own = F.when(F.col("__bare"), F.monotonically_increasing_id())
-        kept = kept.withColumn("__own", own).dropDuplicates(["__id", "__text", "__own"])
+    stays = written(first.select(F.col("r.doc_id").alias(i), F.col("r.name").alias(name), F.col("r.rows").alias(n)), "stays")
+    named = docs.select(*docs.columns, text_name().alias(text), (~text_or_empty().rlike(WORD)).alias(bare))
+    kept = named.join(stays, named.doc_id.cast("long").eqNullSafe(F.col(i)) & (F.col(text) == F.col(name)), "left")
+    kept = kept.where(F.col(bare) | F.col(n).isNotNull())
+    if not stays.where(F.col(n) > 1).isEmpty():  # of equal rows one stays; those without a word are each their own
+        kept = kept.withColumn(own, F.when(F.col(bare), F.monotonically_increasing_id())).dropDuplicates([i, text, own])
     return kept.select(*docs.columns)

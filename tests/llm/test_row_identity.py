@@ -1,6 +1,6 @@
 """Rows without a doc_id, or with one that other texts have too, are rows of their own."""
 
-from docspend.llm import mixing, near_dedup
+from docspend.llm import exact_dedup, mixing, near_dedup
 
 
 def test_near_dedup_keeps_unlinked_rows_of_one_or_no_id(spark):
@@ -17,3 +17,18 @@ def test_mixed_documents_take_what_the_plan_takes(spark):
     mixed = mixing.mixed_documents(docs).collect()
     assert len(mixed) == sum(r.copies for r in planned)
     assert sum(len(r.text.split()) for r in mixed) == sum(r.taken for r in planned)
+
+
+HELPERS = ("__id", "__sha", "__rows", "id", "sha", "rows", "name", "text_name", "bare", "own", "of_source", "copies", "turn", "mine", "copy", "root", "h", "Id2")
+
+
+def test_columns_with_the_names_of_helpers_stay(spark):
+    rows = [(i, f"text number {i // 2} of some words", "ab"[i % 2], *(f"{c}{i}" for c in HELPERS)) for i in range(12)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"`{c}` string" for c in HELPERS)]))
+    by_id = {r[0]: r for r in rows}
+    exact, near, mixed = exact_dedup.deduplicated(docs), near_dedup.deduplicated(docs, 2), mixing.mixed_documents(docs)
+    for out in (exact, near, mixed):
+        assert out.columns == docs.columns
+        assert all(tuple(r) == by_id[r.doc_id] for r in out.collect())
+    assert sorted(r.doc_id for r in exact.collect()) == list(range(1, 12, 2))
+    assert sorted(r.doc_id for r in near.collect()) == list(range(0, 12, 2))
