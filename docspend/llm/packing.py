@@ -15,6 +15,7 @@ end-of-document id alone; repeated rows are packed as often as they occur; no ro
 
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 from collections.abc import Iterator
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 
 from docspend.llm.bytesops import chunked, string_bytes
 from docspend.llm.common import text_or_empty, written
+from docspend.shipping import ship
 
 CAPACITY, END = 1024, 2
-SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS, ROUNDS = 4096, 3, 2, 5, 6, 4
+SHARD, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 3, 2, 5, 6
 #: A bin filled less than this fraction is dealt again.
 WELL_FILLED = 0.985
 
@@ -75,6 +77,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END) -> DataFra
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, PIECES)
 
 
@@ -210,13 +213,17 @@ def _placed(capacity: int):
     return run
 
 
-def packed(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, rounds: int = ROUNDS) -> DataFrame:
-    """uid, sequence_id, offset for every row of items (uid, length); lengths are 1 to capacity."""
+def packed(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """uid, sequence_id, offset for every row of items (uid, length); lengths are 1 to capacity.
+
+    What stands in poorly filled bins is dealt again until one shard holds it, or a round places
+    less than a tenth of it: then its bins can hardly be filled better.
+    """
     spark, width = items.sparkSession, 1 << 22
     done = items.where(F.col("length") >= capacity).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = items.where(F.col("length") < capacity).select("uid", "length")
-    n = rest.count()
-    for r in range(rounds):
+    n, before = rest.count(), None
+    for r in itertools.count():
         if not n:
             break
         shards = -(-n // shard)
@@ -233,14 +240,14 @@ def packed(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islan
         best = state.groupBy("shard").agg(F.max_by(F.struct(F.element_at("elites", 1).alias("best"), "lengths"), F.struct(-F.col("n_bins"), "fitness", "island")).alias("b"))
         solved = best.select("shard", "b.best", "b.lengths").join(base.select("shard", "uids"), "shard")
         placed = written(solved.mapInPandas(_placed(capacity), "uid long, length long, shard long, bin int, offset long, fill long"), "placed")
-        last = r + 1 == rounds or shards == 1
+        last = shards == 1 or before is not None and n > 0.9 * before
         good = F.lit(True) if last else F.col("fill") >= F.lit(int(capacity * WELL_FILLED))
         number = F.lit((r + 1) << 54) + F.col("shard") * F.lit(width) + F.col("bin")
         done = done.unionByName(placed.where(good).select("uid", number.alias("sequence_id"), "offset"))
         if last:
             break
         rest = placed.where(~good).select("uid", "length")
-        n = rest.count()
+        n, before = rest.count(), n
     return done
 
 
