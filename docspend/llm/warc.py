@@ -5,14 +5,17 @@ framing.  Of equal payloads of at least REVISIT bytes only the page with the sma
 response; the others are revisits that refer to it.  A block longer than SEGMENT is split: its
 first part is segment 1, the others are continuation records in another file.
 
-Reading: records of any archive; those without segments are whole, the others are grouped by the
-identifier of their origin, ordered by segment number, checked for gaps and against the total
-length, and joined.  Then the HTTP head is cut off and the chunked framing decoded.
+Reading: every archive is inflated and parsed once, and what was found is written once.  Whole
+records are decoded where they are read; segments are grouped by the identifier of their origin,
+ordered by segment number, checked for gaps and against the total length, and joined.  Then the
+HTTP head is cut off and the chunked framing decoded.
 
 Defined cases: a null html is an empty payload; a null page_id is larger than all others and is
 written as such; rows that repeat a page_id and html are records each, and none refers to the
-other; a record whose segments are not whole has its problem named and no payload; no rows give no
-rows; other columns are not used.
+other; a record whose segments are not whole has its problem named and no payload, and so has what
+is no record at all (no head, no length, a length or segment number that is no number, a cut
+record, a cut or broken gzip member): it is a row with a problem, and reading goes on with the next
+gzip member; no rows give no rows; other columns are not used.
 """
 
 from __future__ import annotations
@@ -27,15 +30,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspend.llm.common import scratch, written
+from docspend.shipping import ship
 
 REVISIT, SEGMENT, CHUNK, ROTATE, LEVEL = 100, 32_768, 4096, 32_000_000, 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
-RECORDS = "record_id string, warc_type string, segment int, origin string, total long, refers_to string, digest string, block binary"
+RECORDS = "record_id string, warc_type string, segment int, origin string, total long, refers_to string, digest string, block binary, problem string"
+READ = f"{RECORDS}, payload binary, n long, sha string"
 WHOLE = "record_id string, warc_type string, refers_to string, digest string, payload binary, problem string"
 
 
+#: Parts in which the rows of one payload are joined.
+SALT = 16
+
+
+def _part(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(SALT)).cast("int")
+
+
+def _parts():
+    return F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part")
+
+
 def chunk_framed(payload: bytes, size: int = CHUNK) -> bytes:
     out = [b"%x\r\n%b\r\n" % (len(part), part) for part in (payload[i : i + size] for i in range(0, len(payload), size))]
     return b"".join(out) + b"0\r\n\r\n"
@@ -70,35 +87,64 @@ def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of plain WARC bytes."""
+def _number(text: str | None) -> int | None:
+    """A field that is a number; anything else is an error."""
+    if text is None:
+        return None
+    if not (text.isascii() and text.isdigit()):
+        raise ValueError(f"no number: {text[:40]}")
+    return int(text)
+
+
+def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Header fields (names in lower case), block and problem of each record of plain WARC bytes.
+
+    After a record whose length is not known nothing more can be read.
+    """
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+        end = data.find(b"\r\n\r\n", at)
+        lines = data[at : end if end >= 0 else at + 4096].decode("utf-8", "replace").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(fields["content-length"])
-        yield fields, data[end + 4 : end + 4 + size]
+        if not lines[0].startswith("WARC/"):
+            yield {}, b"", "not a record"
+            return
+        if end < 0:
+            yield fields, b"", "the head is cut short"
+            return
+        try:
+            size = _number(fields.get("content-length"))
+        except ValueError:
+            size = None
+        if size is None:
+            yield fields, b"", "no length"
+            return
+        block = data[end + 4 : end + 4 + size]
+        yield fields, block, "the record is cut short" if len(block) < size else None
         at = end + 4 + size + 4
 
 
-def members(raw: bytes) -> Iterator[bytes]:
-    """The gzip members of a file, one at a time; bytes that are not gzip as they are."""
+def members(raw: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """The gzip members of a file and their problems, one at a time; bytes that are not gzip as they are."""
     if raw[:2] != b"\x1f\x8b":
-        yield raw
+        if raw:
+            yield raw, None
         return
     at, view = 0, memoryview(raw)
     while at < len(raw):
         one, parts = zlib.decompressobj(31), []
-        while not one.eof and at < len(raw):
-            # small steps: what is left over after a member's end is copied
-            step = view[at : at + 16_384]
-            parts.append(one.decompress(step))
-            at += len(step)
-        at -= len(one.unused_data)
-        yield b"".join(parts) + one.flush()
+        try:
+            while not one.eof and at < len(raw):
+                # small steps: what is left over after a member's end is copied
+                step = view[at : at + 16_384]
+                parts.append(one.decompress(step))
+                at += len(step)
+            at -= len(one.unused_data)
+            parts.append(one.flush())
+        except zlib.error:
+            yield b"".join(parts), "a gzip member is broken"
+            return
+        yield b"".join(parts), None if one.eof else "a gzip member is cut short"
 
 
 def identifier(page_id: int | None, digest: str) -> str:
@@ -130,11 +176,14 @@ class _Archive:
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> int:
     """Write a record for each page below path; gives the number of records."""
+    ship(pages.sparkSession)
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     small = keyed.select("page_id", "digest", F.octet_length("html").alias("n")).where(F.col("n") >= REVISIT)
     first = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 AND first IS NOT NULL").select("digest", "first")
-    again = small.join(first, "digest").where("NOT page_id <=> first").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first").distinct()
+    # a payload that very many pages have is joined in SALT parts
+    small, first = small.withColumn("part", _part("page_id")), first.select("*", _parts())
+    again = small.join(first, ["digest", "part"]).where("NOT page_id <=> first").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first").distinct()
     rows = keyed.join(again, keyed.page_id.eqNullSafe(again.p) & (keyed.digest == again.d), "left").select("page_id", "url", "html", "digest", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,14 +216,22 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> int:
 
 
 def _records(raw: bytes) -> Iterator[tuple]:
-    """The columns of RECORDS of the records of one file that matter here."""
-    number = lambda x: None if x is None else int(x)
-    for member in members(raw):
-        for f, block in parsed(member):
-            kind = f.get("warc-type")
-            if kind in ("response", "revisit", "continuation"):
-                digest = f.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                yield f.get("warc-record-id"), kind, number(f.get("warc-segment-number")), f.get("warc-segment-origin-id"), number(f.get("warc-segment-total-length")), f.get("warc-refers-to"), digest, block
+    """The columns of RECORDS of the records of one file that matter here, and rows of what can't be read."""
+    for member, broken in members(raw):
+        for f, block, problem in parsed(member):
+            kind, name = f.get("warc-type"), f.get("warc-record-id")
+            digest = f.get("warc-payload-digest", "").removeprefix("sha256:") or None
+            numbers = []
+            try:
+                numbers = [_number(f.get("warc-segment-number")), _number(f.get("warc-segment-total-length"))]
+            except ValueError as e:
+                problem = problem or str(e)
+            if problem:
+                yield name, kind, None, None, None, None, digest, None, problem
+            elif kind in ("response", "revisit", "continuation"):
+                yield name, kind, numbers[0], f.get("warc-segment-origin-id"), numbers[1], f.get("warc-refers-to"), digest, block, None
+        if broken:
+            yield None, None, None, None, None, None, None, None, broken
 
 
 KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
@@ -202,12 +259,13 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("content")
 
 
-def read_records(spark: SparkSession, path: str, segments_only: bool = False) -> DataFrame:
+def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below path, as they stand in the files."""
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for raw in batch.column("content") for r in _records(raw.as_py()) if not segments_only or r[2] is not None)
-        yield from _emitted(rows, RECORDS, lambda r: len(r[7]))
+        rows = (r for batch in batches for raw in batch.column("content") for r in _records(raw.as_py()))
+        yield from _emitted(rows, RECORDS, lambda r: len(r[7] or b""))
 
     return _files(spark, path).mapInArrow(run, RECORDS)
 
@@ -221,22 +279,40 @@ def _answer(kind: str, problem: str | None, block: bytes) -> tuple[bytes | None,
     return None, problem
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Every response and revisit of the archives with its payload: whole records are decoded where they
-    are read, and only segments are gathered."""
+def _measured(payload: bytes | None) -> tuple[int | None, str | None]:
+    return (None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest())
+
+
+def read_once(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """What all archives below path hold, parsed once and written: segments as they are, whole records with
+    the length and digest of their payload and, if wanted, the payload."""
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
                 for raw in batch.column("content"):
-                    for name, kind, segment, _, _, refers_to, digest, block in _records(raw.as_py()):
-                        if segment is None and kind != "continuation":
-                            yield name, kind, refers_to, digest, *_answer(kind, None, block)
+                    for r in _records(raw.as_py()):
+                        if r[8] is None and r[2] is None and r[1] != "continuation":
+                            payload, problem = _answer(r[1], None, r[7])
+                            yield *r[:7], None, problem, payload if payloads else None, *_measured(payload)
+                        else:
+                            yield *r, None, None, None
+
+        yield from _emitted(rows(), READ, lambda r: len(r[7] or b"") + len(r[9] or b""))
+
+    return written(_files(spark, path).mapInArrow(run, READ), "archive")
 
-        yield from _emitted(rows(), WHOLE, lambda r: len(r[4] or b""))
 
-    whole = _files(spark, path).mapInArrow(run, WHOLE)
-    return whole.unionByName(reassembled(read_records(spark, path, segments_only=True)))
+def read_pages(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """record_id, warc_type, refers_to, digest, payload, problem, n, sha of every response and revisit of the
+    archives, and of what can't be read: n and sha are the payload's length and SHA-256."""
+    read = read_once(spark, path, payloads)
+    segment = "problem IS NULL AND (segment IS NOT NULL OR warc_type = 'continuation')"
+    whole = read.where(f"NOT ({segment})").select(*(x.split()[0] for x in WHOLE.split(", ")), "n", "sha")
+    joined = reassembled(read.where(segment).select(*(x.split()[0] for x in RECORDS.split(", "))))
+    joined = joined.withColumns({"n": F.octet_length("payload").cast("long"), "sha": F.sha2("payload", 256)})
+    return whole.unionByName(joined)
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,8 +325,10 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def reassembled(records: DataFrame) -> DataFrame:
     """record_id, warc_type, refers_to, digest, payload, problem: one row for each response or revisit."""
-    whole = records.where("segment IS NULL AND warc_type <> 'continuation'").select("record_id", "warc_type", "refers_to", "digest", F.array("block").alias("blocks"), F.lit(None).cast("string").alias("problem"))
-    parts = records.where("segment IS NOT NULL").withColumn("origin", F.when(F.col("warc_type") == "continuation", F.col("origin")).otherwise(F.col("record_id")))
+    ship(records.sparkSession)
+    alone = "problem IS NOT NULL OR segment IS NULL AND warc_type <> 'continuation'"
+    whole = records.where(alone).select("record_id", "warc_type", "refers_to", "digest", F.array(F.coalesce("block", F.lit(b""))).alias("blocks"), "problem")
+    parts = records.where(f"NOT coalesce({alone}, true)").withColumn("origin", F.when(F.col("warc_type") == "continuation", F.col("origin")).otherwise(F.col("record_id")))
     first = F.col("segment") == 1
     # a record is bounded by its page; a segment read twice is the same segment
     grouped = parts.groupBy("origin").agg(
@@ -281,11 +359,12 @@ def round_trip(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     make_dir(path)
     write_archives(pages, path, segment)
     page = lambda c: F.expr(f"try_cast(split_part({c}, ':', 4) AS BIGINT)")
-    read = read_pages(spark, path)
-    read = written(read.select("record_id", "warc_type", "refers_to", "problem", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("sha")), "records")
+    read = written(read_pages(spark, path, payloads=False).select("record_id", "warc_type", "refers_to", "n", "sha"), "records")
     answers = read.where("warc_type = 'response'")
-    found = answers.groupBy(F.col("record_id").alias("refers_to")).agg(F.first("n").alias("n"), F.first("sha").alias("sha"))
-    visits = read.where("warc_type = 'revisit'").select("record_id", "warc_type", "refers_to").join(found, "refers_to", "left")
+    visits = read.where("warc_type = 'revisit'").select("record_id", "warc_type", "refers_to", _part("record_id").alias("part"))
+    found = answers.join(visits.select(F.col("refers_to").alias("record_id")).distinct(), "record_id", "left_semi")
+    found = found.groupBy(F.col("record_id").alias("refers_to")).agg(F.first("n").alias("n"), F.first("sha").alias("sha")).select("*", _parts())
+    visits = visits.join(found, ["refers_to", "part"], "left")
     names = ["record_id", "warc_type", "refers_to", "n", "sha"]
     rows = answers.select(*names).unionByName(visits.select(*names))
     return rows.select(page("record_id").alias("page_id"), F.col("n").alias("payload_bytes"), F.col("sha").alias("payload_digest"), F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to"))

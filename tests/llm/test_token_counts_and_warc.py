@@ -89,6 +89,27 @@ def test_segments_that_are_not_whole(spark):
     assert got == {"<gap>": (None, "segments missing or in conflict"), "<short>": (None, "total length differs"), "<lost>": (None, "no first segment"), "<open>": (None, "no last segment"), "<cut>": (None, "a chunk is cut short")}
 
 
+def test_odd_archives_are_rows_with_a_problem(spark):
+    fine = warc.record("response", [("WARC-Record-ID", "<fine>")], b"HTTP/1.1 200 OK\r\n\r\nyes")
+    no_length = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\n\r\nblock\r\n\r\n"
+    bad_length = no_length.replace(b"<a>", b"<b>\r\nContent-Length: many")
+    bad_segment = warc.record("response", [("WARC-Record-ID", "<c>"), ("WARC-Segment-Number", "one")], b"x")
+    bad_total = warc.record("continuation", [("WARC-Record-ID", "<d>"), ("WARC-Segment-Number", "2"), ("WARC-Segment-Origin-ID", "<o>"), ("WARC-Segment-Total-Length", "-5")], b"x")
+    cut_head, cut_block = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Rec", warc.record("response", [("WARC-Record-ID", "<e>")], b"HTTP/1.1 200 OK\r\n\r\nlong")[:-8]
+    path = tempfile.mkdtemp()
+    with open(f"{path}/one.warc.gz", "wb") as f:
+        f.write(b"".join(gzip.compress(x) for x in (no_length, fine, bad_length, bad_segment, bad_total, cut_head, b"junk", cut_block)) + gzip.compress(fine.replace(b"fine", b"last"))[:-20])
+    with open(f"{path}/two.warc.gz", "wb") as f:
+        f.write(gzip.compress(fine.replace(b"fine", b"two")) + b"\x1f\x8b\x08\x00" + b"\xff" * 40)
+    with open(f"{path}/three.warc", "wb") as f:
+        f.write(b"")
+    got = [(r.record_id, None if r.payload is None else bytes(r.payload), r.problem) for r in warc.read_pages(spark, path).collect()]
+    assert ("<fine>", b"yes", None) in got and ("<two>", b"yes", None) in got
+    problems = {(i, p) for i, _, p in got if p}
+    want = {("<a>", "no length"), ("<b>", "no length"), ("<c>", "no number: one"), ("<d>", "no number: -5"), (None, "not a record"), ("<e>", "the record is cut short"), (None, "a gzip member is cut short"), (None, "a gzip member is broken"), (None, "the head is cut short")}
+    assert want <= problems and all(b is None for _, b, p in got if p)
+
+
 def test_chunked_framing_round_trip():
     for n in (0, 1, 4095, 4096, 4097, 10_000):
         data = np.random.default_rng(n).bytes(n)
