@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from docspend.llm.bytesops import LOWER, SpanHash, chunked, code_points, string_bytes, sums, words
 from docspend.llm.common import text_or_empty
+from docspend.shipping import ship
 
 #: Labelled rows the model is fitted on at most.
 SAMPLE = 20_000
@@ -227,6 +228,7 @@ def _mapped(rows: DataFrame, schema: str, make):
                 x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], span)
                 yield make(batch.slice(lo, hi - lo), x)
 
+    ship(rows.sparkSession)
     return rows.mapInArrow(run, schema)
 
 

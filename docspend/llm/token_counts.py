@@ -57,7 +57,10 @@ def write_token_files(docs: DataFrame, path: str, end: int = END_OF_DOCUMENT) ->
                 data, offsets = string_bytes(batch.column("text"))
                 for lo, hi in chunked(offsets):
                     ids, ends = enc.batch(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    out.write(np.insert(ids, ends[1:], end).astype(ID).tobytes())
+                    ids = np.insert(ids, ends[1:], end)
+                    if len(ids) and int(ids.max()) > np.iinfo(ID).max:
+                        raise ValueError("the vocabulary has more ids than the files' numbers")
+                    out.write(ids.astype(ID).tobytes())
                 ids_of.append(batch.column("doc_id"))
         for x in ids_of:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), pa.array(np.arange(ordinal, ordinal + len(x))), x], ["file", "ordinal", "doc_id"])

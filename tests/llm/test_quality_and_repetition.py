@@ -105,3 +105,61 @@ def test_held_out_accuracy(spark):
     got = quality.scored(docs, quality.train(docs, labels)).where("held_out").join(labels, "doc_id").toPandas()
     assert ((got.predicted == got.quality).mean()) > 0.93
     assert got[got.quality == 1].predicted.mean() > 0.97
+
+
+def plain_features(text):
+    """The features of one text in plain Python, one word at a time."""
+    import math
+
+    raw = (text or "").encode()
+    lower = lambda b: bytes(x + 32 if 65 <= x <= 90 else x for x in b)
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    low = [lower(w) for w in words]
+    n, size = max(len(words), 1), max(len(raw), 1)
+    length = [len(w.decode()) for w in words]
+    lines = raw.split(b"\n")
+    filled = [lower(x) for x in lines if re.search(rb"[^\x20\x09-\x0D]", x)]
+    count = lambda chars: sum(x in chars for x in raw)
+    letter = lambda w: any(97 <= x <= 122 or 48 <= x <= 57 or x >= 0x80 for x in w)
+    return [
+        math.log1p(len(words)), sum(length) / n, sum(x >= 12 for x in length) / n, sum(x <= 3 for x in length) / n, sum(65 <= x <= 90 for x in raw) / size, count(b"0123456789") / size,
+        count(b"#*$%&<>@^~=+{}[]\\/_") / n, count(b"!?") / n, count(b"|") / n, count(b".,;:") / n, sum(x >= 0x80 for x in raw) / size,
+        len(set(low)) / n, max(map(low.count, low), default=0) / n, sum(a == b for a, b in zip(low, low[1:])) / n, len(words) / len(lines), (len(filled) - len(set(filled))) / len(lines),
+        sum(65 <= w[0] <= 90 for w in words) / n, sum(not letter(w) for w in low) / n,
+    ]
+
+
+def test_features_equal_plain_python():
+    some = [*texts(6), "ONE one One", "a\n\n a \nA\n", "é" * 15 + " x", "~~~ ### ab1", "word " * 3000]
+    data, offsets = string_bytes(pa.array(some))
+    got = quality.features(data, offsets, SpanHash())
+    want = np.array([plain_features(t) for t in some])
+    assert got.shape == want.shape and np.allclose(got, want, rtol=1e-5, atol=1e-6)
+
+
+def test_scores_equal_sums_of_table_entries(spark):
+    """Training through Spark, then every score as an explicit sum of looked-up entries of plain features."""
+    import bisect
+    import math
+
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(400):
+        good = i % 2
+        words = [rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"]) + ("" if good or rng.random() < 0.6 else "###") for _ in range(rng.randint(5, 60))]
+        rows.append((i, " ".join(words) + ("." if good else "!!"), None, None))
+        labels.append((i, good))
+    rows += [(1000, None, None, None), (None, "no id", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, quality int")
+    model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert model.pairs and len(model.tables) == len(quality.FEATURES)
+    got = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    for i, text, *_ in rows:
+        x = np.array(plain_features(text), np.float32)
+        bins = [bisect.bisect_right(e.tolist(), float(v)) for e, v in zip(model.edges, x)]
+        margin = model.intercept + sum(t[b] for t, b in zip(model.tables, bins))
+        coarse = [b * quality.PAIR_BINS // (len(e) + 1) for b, e in zip(bins, model.edges)]
+        margin += sum(g[coarse[j], coarse[k]] for (j, k), g in zip(model.pairs, model.grids))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-margin)), abs=2e-3)
+    right = [(got[i] >= 0.5) == bool(y) for i, y in labels]
+    assert np.mean(right) > 0.95
