@@ -19,6 +19,7 @@ from docspend.operators.filters import to_invoice_rows
 from docspend.operators.joins import seen_attachments
 from docspend.operators.windows import dedup_messages, is_document, prioritise, repeated_names
 from docspend.schemas import BULK_HEADER, UNKNOWN
+from docspend.scratch import written
 from docspend.sources.pluggable import enrich
 from docspend.streaming.ingest import ingest_increment
 
@@ -187,7 +188,7 @@ def _documents(rows: DataFrame, existing: DataFrame, policy: str, strict: bool,
     parsed = parse_documents(rows)
     parsed = parsed.withColumn("need", needs(parsed))
     asked = with_extraction(parsed.withColumn("text_in", enrichment_text(c("body_text"), c("raw_text"))), extractor, cache)
-    done = numbered(judged(asked, policy, strict), existing, policy, order)
+    done = written(numbered(judged(asked, policy, strict), existing, policy, order), "judged")  # rows and audit are made of it
     file_path = F.concat(F.lit("users/"), c("user_id"), F.lit("/invoices/"), P.canonical_name(c("buyer"), c("seller"), c("invoice_no"), c("invoice_date"), c("amount")))
     saved = to_invoice_rows(done.where("outcome = 'saved'").withColumn("file_path", file_path), as_of)
     audit = _audit(
@@ -223,7 +224,9 @@ def mail_intake(
         record = F.from_json("response", O.ANALYSIS)
         valid = record["is_invoice_related"].isNotNull() & record["invoice_confidence"].isNotNull() & (F.size(O.violations(record)) == 0)
         known = enrich(asked, analyser, cache, "text_in", "analyze_email_v3").withColumn("related", F.when(F.coalesce(valid, F.lit(False)), record["is_invoice_related"]))
+    known = known.select("email_id", "user_id", "account_id", "uid", "subject", "body_text", "received_at", "attachments", "is_invoice", "related")
     known = known.withColumns({"tier": F.when(c("is_invoice").isNotNull(), 1).otherwise(3), "wanted": F.coalesce("is_invoice", "related")})
+    known = written(known, "classified")
     others = known.where("wanted IS NULL OR NOT wanted")
     dropped = _audit(
         others, user_id=c("user_id"), email_uid=c("uid"), email_subject=F.substring("subject", 1, 500), outcome=F.when(c("wanted").isNull(), "error").otherwise("not_invoice"),
@@ -233,6 +236,7 @@ def mail_intake(
     held = prioritise(named.join(documents, ["email_id", "filename"]), "email_id", "position")
     held = held.join(seen_attachments(logs, "user_id").withColumn("before", F.lit(True)), ["user_id", "email_uid", "filename"], "left")
     held = repeated_names(held, "email_id", "turn").withColumn("skipped", c("skipped") | c("before").isNotNull()).drop("before")
+    held = written(held, "attachments")
     skipped = held.where("skipped")
     skipped = _audit(skipped, user_id=c("user_id"), email_uid=c("email_uid"), email_subject=F.substring("email_subject", 1, 500), attachment_filename=c("filename"), outcome=F.lit("skipped_seen"), classification_tier=c("tier"))
     saved, done = _documents(held.where("NOT skipped"), invoices, "mail", strict, extractor, cache, ["received_at", "email_uid", "email_id", "turn"], as_of)

@@ -11,7 +11,7 @@ from docspend.operators import windows as W
 from docspend.plans import expected as X
 from docspend.plans.registry import AS_OF, query
 
-LISTED = [7, 3, 51, 7, 108, 999999]
+LISTED = [7, 3, 51, 7, *range(100, 500), 3, 108, 999999]
 
 
 @query("flt_01_scoped", "SELECT id, invoice_no FROM {invoices} i WHERE user_id = 7")
@@ -29,7 +29,7 @@ def _(t):
     return L.in_categories(t.invoices, ["receipt", "proforma"]).select("id", "invoice_category")
 
 
-@query("flt_04_by_ids", "SELECT pos, i.id, invoice_no FROM (VALUES (0, 7), (1, 3), (2, 51), (3, 7), (4, 108), (5, 999999)) v(pos, id) JOIN {invoices} i ON i.id = v.id WHERE user_id = 4")
+@query("flt_04_by_ids", f"SELECT pos, i.id, invoice_no FROM (SELECT unnest({LISTED}) AS id, generate_subscripts({LISTED}, 1) - 1 AS pos) v JOIN {{invoices}} i ON i.id = v.id WHERE user_id = 4")
 def _(t):
     return L.by_ids(t.invoices, LISTED, 4).select("pos", "id", "invoice_no")
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspend.scratch import written
+
 COLUMNS = ("invoice_no", "buyer", "seller", "invoice_type", "invoice_category", "item_summary", "raw_text")
 #: Latin letters with one mark and the letters they stand for, by their canonical decomposition.
 MARKED = {chr(n): d[0] for n in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(d := unicodedata.normalize("NFD", chr(n))) == 2}
@@ -167,7 +169,7 @@ def similar_text(df: DataFrame, queries: DataFrame, k: int = 5, columns: tuple[s
     rows = df.select("id", _size(columns).alias("size"), F.inline(fields)).join(F.broadcast(lengths), "col").where(F.size("words") >= c("long"))
     grams = F.transform(F.sequence(F.lit(1), F.size("words") - c("long") + 1), lambda i: F.concat_ws(" ", c("col"), F.slice("words", i, c("long"))))
     hits = rows.select("id", "size", F.explode(grams).alias("phrase")).join(phrases, "phrase", "left_semi")
-    hits = hits.groupBy("phrase", "id", "size").agg(F.count("*").alias("tf"))
+    hits = written(hits.groupBy("phrase", "id", "size").agg(F.count("*").alias("tf")), "hits")
     held = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     hits = hits.join(held, "phrase").select("phrase", "id", (_idf(whole["docs"], c("df")) * _weight(c("tf"), c("size"), whole["mean"])).alias("score"))
 
