@@ -52,7 +52,9 @@ def qr_date(text: Column) -> Column:
     t = F.trim(text)
     eight = day(F.substring(t, 1, 4), F.substring(t, 5, 2), F.substring(t, 7, 2))
     dash, sign = r"^(\d{4})-(\d{1,2})-(\d{1,2})", r"^(\d{4})年(\d{1,2})月(\d{1,2})日"
-    return F.when(t.rlike(r"^\d{8}$"), eight).when(t.rlike(dash), day(*(found(t, dash, i) for i in (1, 2, 3)))).when(t.rlike(sign), day(*(found(t, sign, i) for i in (1, 2, 3))))
+    return F.when(t.rlike(r"^\d{8}$"), eight).when(
+        t.rlike(dash), day(*(found(t, dash, i) for i in (1, 2, 3)))
+    ).when(t.rlike(sign), day(*(found(t, sign, i) for i in (1, 2, 3))))
 
 
 def qr_fields(raw: Column) -> Column:
@@ -90,7 +92,9 @@ def given(text: Column) -> Column:
 def confidence(invoice_no: Column, buyer: Column, seller: Column, total: Column, date: Column, kind: Column) -> Column:
     """Evidence for the fields, 0 to 1, exact to two places."""
     part = lambda test, points: F.when(test, F.lit(points)).otherwise(F.lit(0)).cast("int")
-    points = part(given(invoice_no), 30) + part(F.coalesce(total > 0, F.lit(False)), 25) + part(date.isNotNull(), 15) + part(given(buyer), 10) + part(given(seller), 10) + part(given(kind) & is_valid_type(kind), 10)
+    points = part(given(invoice_no), 30) + part(
+        F.coalesce(total > 0, F.lit(False)), 25
+    ) + part(date.isNotNull(), 15) + part(given(buyer), 10) + part(given(seller), 10) + part(given(kind) & is_valid_type(kind), 10)
     return (F.least(points, F.lit(100)) / 100).cast("decimal(3,2)")
 
 
@@ -144,13 +148,20 @@ def clean_extension(extension: str) -> str:
 def canonical_name(buyer: Column, seller: Column, invoice_no: Column, date: Column, total: Column, extension: str = ".pdf") -> Column:
     stamp = F.coalesce(F.date_format(date, "yyyyMMdd"), F.lit("unknown"))
     money = F.coalesce(total, F.lit(0)).cast("decimal(12,2)").cast("string")
-    return F.concat(F.concat_ws("_", safe_component(buyer), safe_component(seller), safe_component(invoice_no), stamp, money), F.lit(clean_extension(extension)))
+    return F.concat(
+        F.concat_ws("_", safe_component(buyer), safe_component(seller), safe_component(invoice_no), stamp, money), F.lit(clean_extension(extension))
+    )
 
 
 def is_traversal(path: Column) -> Column:
     """Whether a relative path leaves its root on the way, or is absolute."""
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
-    depth = F.aggregate(parts, F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), lambda a, p: F.struct((a["d"] + F.when(p == "..", -1).otherwise(1)).alias("d"), F.least(a["low"], a["d"] + F.when(p == "..", -1).otherwise(1)).alias("low")))
+    depth = F.aggregate(
+        parts, F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), lambda a,
+        p: F.struct(
+            (a["d"] + F.when(p == "..", -1).otherwise(1)).alias("d"), F.least(a["low"], a["d"] + F.when(p == "..", -1).otherwise(1)).alias("low")
+        )
+    )
     return F.startswith(path, F.lit("/")) | (depth["low"] < 0)
 
 

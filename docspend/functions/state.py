@@ -53,7 +53,11 @@ def parse_delta_state(raw: Column) -> Column:
     empty = F.from_json(F.lit("{}"), f"map<string, {FOLDER_DELTA}>")
     tagged = F.from_json(raw, f"_format string, folders map<string, {FOLDER_DELTA}>")
     times = F.from_json(raw, "map<string, string>")
-    plain = raw.rlike(r"^\s*\{") & times.isNotNull() & ~F.map_contains_key(times, F.lit(LEGACY)) & F.forall(F.map_values(times), lambda v: v.isNotNull() & ~v.rlike(r"^\s*[\[{]"))
+    plain = raw.rlike(r"^\s*\{") & times.isNotNull() & ~F.map_contains_key(times, F.lit(LEGACY)) & F.forall(
+        F.map_values(times), lambda v: v.isNotNull() & ~v.rlike(r"^\s*[\[{]")
+    )
     bridge = F.transform_values(times, lambda _, v: F.struct(F.lit("").alias("delta_link"), F.lit("").alias("last_sync_at"), v.alias("_legacy_received_dt")))
     pack = lambda folders, bridged: F.struct(F.coalesce(folders, empty).alias("folders"), F.lit(bridged).alias("bridged"))
-    return F.when(F.coalesce(tagged["_format"] == DELTA, F.lit(False)), pack(tagged["folders"], False)).when(F.coalesce(plain, F.lit(False)), pack(bridge, True)).otherwise(pack(empty, False))
+    return F.when(
+        F.coalesce(tagged["_format"] == DELTA, F.lit(False)), pack(tagged["folders"], False)
+    ).when(F.coalesce(plain, F.lit(False)), pack(bridge, True)).otherwise(pack(empty, False))

@@ -38,7 +38,9 @@ def _code_point(number: Column) -> Column:
     known = F.element_at(F.from_json(F.lit(LATE), "map<string, string>"), number.cast("string"))
     plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
     none = number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
-    return F.when(none, "\ufffd").when(number.between(128, 159), known).when(number.isin(*NOTHING) | (number.bitwiseAND(0xFFFE) == 0xFFFE) | number.between(0xFDD0, 0xFDEF), "").otherwise(plain)
+    return F.when(none, "\ufffd").when(number.between(128, 159), known).when(
+        number.isin(*NOTHING) | (number.bitwiseAND(0xFFFE) == 0xFFFE) | number.between(0xFDD0, 0xFDEF), ""
+    ).otherwise(plain)
 
 
 def unescape(text: Column) -> Column:
@@ -125,7 +127,10 @@ def is_trusted(from_addr: Column, patterns: list[str]) -> Column:
 def account_kinds(kind: Column, host: Column, username: Column) -> dict[str, Column]:
     """personal: a mailbox of one of the personal domains; dedicated: a type or host with its own limits."""
     at = F.when(F.contains(username, F.lit("@")), F.lower(F.substring_index(username, "@", -1))).otherwise("")
-    return {"personal": at.isin(*PERSONAL_DOMAINS), "dedicated": F.lower(F.coalesce(kind, F.lit(""))).isin(*DEDICATED_TYPES) | F.lower(F.coalesce(host, F.lit(""))).isin(*DEDICATED_HOSTS)}
+    return {
+        "personal": at.isin(*PERSONAL_DOMAINS),
+        "dedicated": F.lower(F.coalesce(kind, F.lit(""))).isin(*DEDICATED_TYPES) | F.lower(F.coalesce(host, F.lit(""))).isin(*DEDICATED_HOSTS)
+    }
 
 
 def is_redirect(url: Column) -> Column:
@@ -159,7 +164,10 @@ def download_name(url: Column, content_type: Column) -> Column:
     suffix = F.regexp_extract(F.substring_index(url, "?", 1), r"[^/](\.(?:pdf|xml|ofd))$", 1)
     kind = F.lower(F.coalesce(content_type, F.lit("")))
     has = lambda x: F.contains(kind, F.lit(x))
-    return F.concat(F.lit("download"), F.when(suffix != "", suffix).when(has("pdf"), ".pdf").when(has("xml"), ".xml").when(has("ofd") | has("zip"), ".ofd").otherwise(".pdf"))
+    return F.concat(
+        F.lit("download"),
+        F.when(suffix != "", suffix).when(has("pdf"), ".pdf").when(has("xml"), ".xml").when(has("ofd") | has("zip"), ".ofd").otherwise(".pdf")
+    )
 
 
 def enrichment_text(body: Column, document: Column) -> Column:
@@ -172,7 +180,10 @@ def analysis_text(subject: Column, sender: Column, body: Column, links: Column)
     """What a message analyser reads: subject, sender, the first 2000 characters of the body and the links."""
     listed = F.concat_ws("\n", F.transform(links, lambda x: F.concat(F.lit("  <url>"), x, F.lit("</url>"))))
     block = F.when(listed == "", "  (none)").otherwise(listed)
-    return F.concat(F.lit("Subject: "), subject, F.lit("\nFrom: "), sender, F.lit("\nBody:\n"), F.substring(body, 1, 2000), F.lit("\n\n<links>\n"), block, F.lit("\n</links>"))
+    return F.concat(
+        F.lit("Subject: "), subject, F.lit("\nFrom: "), sender, F.lit("\nBody:\n"), F.substring(body, 1, 2000), F.lit("\n\n<links>\n"), block,
+        F.lit("\n</links>")
+    )
 
 
 def embedding_text(buyer: Column, seller: Column, summary: Column) -> Column:

@@ -85,7 +85,10 @@ def scan_headline(accounts: DataFrame, logs: DataFrame) -> DataFrame:
     """active_accounts, last_scan_at, last_scan_found of each tenant that has accounts."""
     active = accounts.groupBy("user_id").agg(F.count(F.when(F.col("is_active"), 1)).alias("active_accounts"))
     last = logs.groupBy("user_id").agg(F.max_by(F.struct("started_at", "invoices_found"), F.struct("started_at", "id")).alias("last"))
-    return active.join(last, "user_id", "full").select("user_id", F.coalesce("active_accounts", F.lit(0)).alias("active_accounts"), F.col("last.started_at").alias("last_scan_at"), F.col("last.invoices_found").alias("last_scan_found"))
+    return active.join(last, "user_id", "full").select(
+        "user_id", F.coalesce("active_accounts", F.lit(0)).alias("active_accounts"), F.col("last.started_at").alias("last_scan_at"),
+        F.col("last.invoices_found").alias("last_scan_found")
+    )
 
 
 def spend_stats(invoices: DataFrame, logs: DataFrame, accounts: DataFrame, as_of: str, user_id: int | None = None, k: int = 10) -> DataFrame:
@@ -101,7 +104,10 @@ def spend_stats(invoices: DataFrame, logs: DataFrame, accounts: DataFrame, as_of
     start = F.trunc(F.lit(as_of).cast("date"), "month")
     this = (c("invoice_date") >= start) & (c("invoice_date") < F.add_months(start, 1))
     none = F.lit(None).cast("string")
-    of = {"all": none, "month": month(), "seller": c("seller"), "type": c("invoice_type"), "category": c("invoice_category"), "method": c("extraction_method"), "currency": currency(), "both": currency()}
+    of = {
+        "all": none, "month": month(), "seller": c("seller"), "type": c("invoice_type"), "category": c("invoice_category"),
+        "method": c("extraction_method"), "currency": currency(), "both": currency()
+    }
     kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), key.alias("key"), (month() if kind == "both" else none).alias("sub")) for kind, key in of.items()))
     rows = invoices.select("user_id", "amount", "confidence", this.alias("this"), F.inline(kinds))
     sums = rows.groupBy("user_id", "kind", "key", "sub").agg(
@@ -115,10 +121,14 @@ def spend_stats(invoices: DataFrame, logs: DataFrame, accounts: DataFrame, as_of
     def listed(kind: str, key: str, order: list[Column], money: bool = True) -> Column:
         """The sorted list of a breakdown."""
         fields = [c("key").alias(key), *([c("total").alias("total")] if money else []), c("n").alias("count")]
-        rows = F.collect_list(F.when(c("kind") == kind, F.struct(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order))).alias("o"), F.struct(*fields).alias("v"))))
+        rows = F.collect_list(
+            F.when(c("kind") == kind, F.struct(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order))).alias("o"), F.struct(*fields).alias("v")))
+        )
         return F.transform(F.array_sort(rows), lambda x: x["v"])
 
-    by_month = F.array_sort(F.collect_list(F.when(c("kind") == "both", F.struct(c("key").alias("currency"), c("sub").alias("month"), "total", c("n").alias("count")))))
+    by_month = F.array_sort(
+        F.collect_list(F.when(c("kind") == "both", F.struct(c("key").alias("currency"), c("sub").alias("month"), "total", c("n").alias("count"))))
+    )
     doc = sums.groupBy("user_id").agg(
         one("all", c("n")).alias("total_invoices"), one("all", c("total")).alias("total_amount"), one("all", c("n_this")).alias("invoices_this_month"), one("all", c("total_this")).alias("amount_this_month"),
         listed("month", "month", [c("key")]).alias("monthly_spend"), listed("seller", "seller", [c("rank")]).alias("top_sellers"), F.reverse(listed("type", "type", [c("key")], False)).alias("by_type"),
@@ -126,7 +136,10 @@ def spend_stats(invoices: DataFrame, logs: DataFrame, accounts: DataFrame, as_of
         listed("currency", "currency", [-c("total"), c("key")]).alias("by_currency"), by_month.alias("both"), F.round(F.coalesce(one("all", c("confidence")), F.lit(0.0)), 6).alias("avg_confidence"),
     )
     currencies = F.array_distinct(F.transform("both", lambda x: x["currency"]))
-    months = lambda cur: F.transform(F.filter("both", lambda x: x["currency"] == cur), lambda x: F.struct(x["month"].alias("month"), x["total"].alias("total"), x["count"].alias("count")))
+    months = lambda cur: F.transform(
+        F.filter("both", lambda x: x["currency"] == cur),
+        lambda x: F.struct(x["month"].alias("month"), x["total"].alias("total"), x["count"].alias("count"))
+    )
     nested = F.transform(currencies, lambda cur: F.struct(cur.alias("currency"), months(cur).alias("monthly_spend")))
     doc = doc.withColumn("monthly_spend_by_currency", nested).drop("both").join(scan_headline(accounts, logs), "user_id", "left")
     return doc.select(
@@ -182,7 +195,10 @@ def scan_summary(logs: DataFrame) -> DataFrame:
 def run_rollup(results: DataFrame) -> DataFrame:
     """account_id, messages, found, errors, newest_uid of a run's results (account_id, uid, invoices_added, error)."""
     newest = F.max_by("uid", uid_order(F.col("uid"))).alias("newest_uid")
-    return results.groupBy("account_id").agg(F.count("*").alias("messages"), F.coalesce(F.sum("invoices_added"), F.lit(0)).alias("found"), F.count(F.when(F.coalesce("error", F.lit("")) != "", 1)).alias("errors"), newest)
+    return results.groupBy("account_id").agg(
+        F.count("*").alias("messages"), F.coalesce(F.sum("invoices_added"), F.lit(0)).alias("found"),
+        F.count(F.when(F.coalesce("error", F.lit("")) != "", 1)).alias("errors"), newest
+    )
 
 
 def admin_count(users: DataFrame) -> DataFrame:
@@ -202,4 +218,6 @@ def state_summary(accounts: DataFrame) -> DataFrame:
     total = F.aggregate(F.map_values("state"), F.lit(0).cast("long"), lambda n, s: n + F.coalesce(s["messages"].try_cast("long"), F.lit(0)))
     ordered = F.array_sort(F.transform(F.map_values("state"), lambda s: F.struct(uid_order(s["uid"]).alias("o"), s["uid"].alias("uid"))))
     top = F.when(F.size("state") > 0, F.element_at(ordered, -1)["uid"])
-    return states.select("id", F.coalesce(F.size("state"), F.lit(0)).alias("folders"), F.coalesce(total, F.lit(0).cast("long")).alias("messages"), top.alias("top_uid"))
+    return states.select(
+        "id", F.coalesce(F.size("state"), F.lit(0)).alias("folders"), F.coalesce(total, F.lit(0).cast("long")).alias("messages"), top.alias("top_uid")
+    )

@@ -29,7 +29,9 @@ def reconcile_paths(invoices: DataFrame, listing: DataFrame) -> DataFrame:
     done = F.startswith("file_path", F.lit("users/"))
     place = F.concat(F.lit("users/"), F.col("user_id"), F.lit("/invoices/"), F.substring_index("file_path", "/", -1))
     rows = invoices.withColumn("new_path", F.when(done, F.col("file_path")).otherwise(place)).join(old, "file_path", "left").join(new, "new_path", "left")
-    status = F.when(done, "already_migrated").when(F.col("new").isNotNull() & F.col("old").isNull(), "collision").when(F.col("old").isNull(), "missing").otherwise("moved")
+    status = F.when(done, "already_migrated").when(
+        F.col("new").isNotNull() & F.col("old").isNull(), "collision"
+    ).when(F.col("old").isNull(), "missing").otherwise("moved")
     return rows.withColumn("status", status).drop("old", "new")
 
 
@@ -60,7 +62,14 @@ def apply_corrections(invoices: DataFrame, edits: DataFrame) -> tuple[DataFrame,
         any_ = any_ | c
     fixed = {f: F.when(changed[f], F.col(f"new_{f}")).otherwise(F.col(f)) for f in names} | {"is_manually_corrected": F.col("is_manually_corrected") | any_}
     corrected = both.select(*(fixed.get(c, F.col(c)).alias(c) for c in invoices.columns))
-    rows = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("old_value"), F.col(f"new_{f}").cast("string").alias("new_value"), changed[f].alias("c")) for f in names))
+    rows = F.array(
+        *(
+            F.struct(
+                F.lit(f).alias("field_name"), F.col(f).cast("string").alias("old_value"), F.col(f"new_{f}").cast("string").alias("new_value"),
+                changed[f].alias("c")
+            ) for f in names
+        )
+    )
     log = both.select("id", "user_id", F.inline(rows)).where("c").select(F.col("id").alias("invoice_id"), "user_id", "field_name", "old_value", "new_value")
     return corrected, log, rejected
 
@@ -109,13 +118,20 @@ def reset_state(accounts: DataFrame, user_id: int, account_id: int | None = None
 def close_orphans(logs: DataFrame, at: str, message: str = "interrupted") -> DataFrame:
     """Runs that never finished and carry no error are stamped."""
     orphan = F.col("finished_at").isNull() & F.col("error_message").isNull()
-    return logs.withColumns({"finished_at": F.when(orphan, F.lit(at).cast("timestamp")).otherwise(F.col("finished_at")), "error_message": F.when(orphan, message).otherwise(F.col("error_message"))})
+    return logs.withColumns(
+        {
+            "finished_at": F.when(orphan, F.lit(at).cast("timestamp")).otherwise(F.col("finished_at")),
+            "error_message": F.when(orphan, message).otherwise(F.col("error_message"))
+        }
+    )
 
 
 def backfill_tenant(df: DataFrame, users: DataFrame) -> DataFrame:
     """Rows without a tenant go to user 1, if there is one."""
     first = users.where("id = 1").agg(F.count("*").alias("has"))
-    return df.join(F.broadcast(first)).withColumn("user_id", F.when(F.col("user_id").isNull() & (F.col("has") > 0), F.lit(1).cast("long")).otherwise(F.col("user_id"))).drop("has")
+    return df.join(F.broadcast(first)).withColumn(
+        "user_id", F.when(F.col("user_id").isNull() & (F.col("has") > 0), F.lit(1).cast("long")).otherwise(F.col("user_id"))
+    ).drop("has")
 
 
 def backfill_expiry(cache: DataFrame) -> DataFrame:

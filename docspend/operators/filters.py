@@ -47,7 +47,10 @@ def evaluate_views(views: DataFrame, invoices: DataFrame) -> DataFrame:
     c = F.col
     spec = F.from_json("filter_json", "q string, date_from string, date_to string")
     parsed = views.select("id", "user_id", spec.alias("f"))
-    parsed = parsed.select("id", "user_id", F.array_distinct(tokens(c("f.q"))).alias("words"), F.try_to_date("f.date_from").alias("lo"), F.try_to_date("f.date_to").alias("hi"))
+    parsed = parsed.select(
+        "id", "user_id", F.array_distinct(tokens(c("f.q"))).alias("words"), F.try_to_date("f.date_from").alias("lo"),
+        F.try_to_date("f.date_to").alias("hi")
+    )
     between = (c("lo").isNull() | (c("invoice_date") >= c("lo"))) & (c("hi").isNull() | (c("invoice_date") <= c("hi")))
     days = invoices.groupBy(c("user_id").alias("owner"), "invoice_date").agg(F.count("*").alias("n"))
     plain = parsed.where(F.size("words") == 0).join(days, (c("user_id") == c("owner")) & between).groupBy("id").agg(F.sum("n").alias("n"))
@@ -89,7 +92,9 @@ def is_blocked_url(url: Column) -> Column:
     rest = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1))
     query = F.lower(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1))
     path = F.concat(rest, F.lit("?"), query)
-    return _any([F.contains(host, F.lit(h)) for h in BLOCKED_HOSTS]) | _any([F.contains(path, F.lit(p)) for p in BLOCKED_PATHS]) | _any([F.endswith(F.lower(url), F.lit(s)) for s in IMAGE_SUFFIXES])
+    return _any([F.contains(host, F.lit(h)) for h in BLOCKED_HOSTS]) | _any([F.contains(path, F.lit(p)) for p in BLOCKED_PATHS]) | _any(
+        [F.endswith(F.lower(url), F.lit(s)) for s in IMAGE_SUFFIXES]
+    )
 
 
 def is_acceptable_type(content_type: Column) -> Column:
@@ -100,7 +105,10 @@ def is_acceptable_type(content_type: Column) -> Column:
 
 def invoice_view(df: DataFrame) -> DataFrame:
     """The response of an invoice: derived currency, ISO dates and times."""
-    before = ["id", "invoice_no", "buyer", "seller", F.col("amount").cast("double").alias("amount"), F.date_format("invoice_date", "yyyy-MM-dd").alias("invoice_date"), "invoice_type", "invoice_category"]
+    before = [
+        "id", "invoice_no", "buyer", "seller", F.col("amount").cast("double").alias("amount"),
+        F.date_format("invoice_date", "yyyy-MM-dd").alias("invoice_date"), "invoice_type", "invoice_category"
+    ]
     after = ["item_summary", "source_format", "extraction_method", "confidence", "is_manually_corrected"]
     return df.select(*before, currency().alias("currency"), *after, iso("created_at").alias("created_at"))
 
@@ -129,15 +137,24 @@ def log_view(df: DataFrame) -> DataFrame:
 
 def extraction_view(df: DataFrame) -> DataFrame:
     """The response of an extraction log."""
-    names = ["id", "scan_log_id", "email_uid", "email_subject", "attachment_filename", "outcome", "classification_tier", "parse_method", "parse_format", "download_outcome", "invoice_no", "confidence", "error_detail"]
+    names = [
+        "id", "scan_log_id", "email_uid", "email_subject", "attachment_filename", "outcome", "classification_tier", "parse_method", "parse_format",
+        "download_outcome", "invoice_no", "confidence", "error_detail"
+    ]
     return df.select(*names, iso("created_at").alias("created_at"))
 
 
 def account_view(df: DataFrame) -> DataFrame:
     """No secrets, only whether there are any."""
-    secrets = {"has_secondary_credential": "secondary_credential_encrypted", "has_secondary_password": "secondary_password_encrypted", "has_totp_secret": "totp_secret_encrypted", "has_playwright_storage_state": "playwright_storage_state"}
+    secrets = {
+        "has_secondary_credential": "secondary_credential_encrypted", "has_secondary_password": "secondary_password_encrypted",
+        "has_totp_secret": "totp_secret_encrypted", "has_playwright_storage_state": "playwright_storage_state"
+    }
     has = [(F.coalesce(c, F.lit("")) != "").alias(name) for name, c in secrets.items()]
-    return df.select("id", "name", "type", "host", "port", "username", "outlook_account_type", "is_active", "last_scan_uid", iso("created_at").alias("created_at"), *has)
+    return df.select(
+        "id", "name", "type", "host", "port", "username", "outlook_account_type", "is_active", "last_scan_uid", iso("created_at").alias("created_at"),
+        *has
+    )
 
 
 def progress(account_index: Column, accounts: Column, done: Column, total: Column) -> dict[str, Column]:

@@ -39,11 +39,19 @@ def classify(emails: DataFrame, trusted: list[str], extra: list[str] | None = No
     rows = rows.select("*", scam_reason(c("text")).alias("scam"))
     none = (F.coalesce(F.size("attachments"), F.lit(0)) <= 0) & (F.coalesce(F.size("links"), F.lit(0)) <= 0)
     bulk = F.coalesce(F.exists(F.map_keys("headers"), lambda k: F.lower(k) == BULK_HEADER), F.lit(False))
-    rule = F.when(bulk, 1).when(c("scam").isNotNull(), 2).when(F.size(names) > 0, 3).when(is_trusted(c("from_addr"), trusted), 4).when(none & ~has_keyword(c("text"), extra), 5)
+    rule = F.when(bulk, 1).when(c("scam").isNotNull(), 2).when(F.size(names) > 0, 3).when(is_trusted(c("from_addr"), trusted), 4).when(
+        none & ~has_keyword(c("text"), extra), 5
+    )
     rows = rows.select("email_id", "scam", F.get(names, F.lit(0)).alias("document"), rule.alias("rule"))
     pick = lambda *values: F.get(F.array(*values), c("rule") - 1)
-    reason = pick(F.lit("bulk header"), c("scam"), F.concat(F.lit("invoice attachment: "), c("document")), F.lit("trusted sender"), F.lit("no content or keywords"))
-    return rows.select("email_id", c("rule").isin(3, 4).alias("is_invoice"), pick(*map(F.lit, (0.98, 0.97, 0.95, 0.98, 0.90))).alias("confidence"), reason.alias("reason"))
+    reason = pick(
+        F.lit("bulk header"), c("scam"), F.concat(F.lit("invoice attachment: "), c("document")), F.lit("trusted sender"),
+        F.lit("no content or keywords")
+    )
+    return rows.select(
+        "email_id", c("rule").isin(3, 4).alias("is_invoice"), pick(*map(F.lit, (0.98, 0.97, 0.95, 0.98, 0.90))).alias("confidence"),
+        reason.alias("reason")
+    )
 
 
 def parse_documents(df: DataFrame) -> DataFrame:
@@ -125,7 +133,12 @@ def judged(cand: DataFrame, policy: str = "mail", strict: bool = False) -> DataF
     ticket = P.is_e_ticket(c("invoice_type"), c("invoice_no"), c("item_summary"), c("raw_text")) if policy == "upload" else F.lit(False)
     words = F.concat_ws(" ", F.nullif("buyer", F.lit("")), F.nullif("seller", F.lit("")), F.nullif("item_summary", F.lit("")))
     extracted = c("x_valid").isNotNull()
-    rows = rows.withColumns({"scam": scam_reason(words), "ticket": ticket, "type_known": P.is_valid_type(c("invoice_type")), "category": F.when(extracted, c("x_category")).otherwise("vat_invoice")})
+    rows = rows.withColumns(
+        {
+            "scam": scam_reason(words), "ticket": ticket, "type_known": P.is_valid_type(c("invoice_type")),
+            "category": F.when(extracted, c("x_category")).otherwise("vat_invoice")
+        }
+    )
     refused = extracted & ~c("x_valid") & ~c("strong") & ~c("ticket")
     unlike = ~extracted & ~c("is_vat_document") & ~c("type_known") & ~c("ticket")
     reject = (refused | unlike) if strict else (refused | unlike) & (c("category") == "vat_invoice")
@@ -136,7 +149,10 @@ def judged(cand: DataFrame, policy: str = "mail", strict: bool = False) -> DataF
         why, spam = F.when(c("sentinel"), "amount below sentinel").when(missing, "missing invoice_no").otherwise("low confidence"), "scam_detected"
     else:
         why, spam = F.when(c("sentinel"), "amount sentinel").when(missing, "invoice_no missing"), "not_vat_invoice"
-    verdict = F.concat(F.lit("type='"), F.coalesce("invoice_type", F.lit("")), F.lit("' category='"), c("category"), F.lit("' llm_rejected="), F.initcap(F.coalesce("refused", F.lit(False)).cast("string")))
+    verdict = F.concat(
+        F.lit("type='"), F.coalesce("invoice_type", F.lit("")), F.lit("' category='"), c("category"), F.lit("' llm_rejected="),
+        F.initcap(F.coalesce("refused", F.lit(False)).cast("string"))
+    )
     return rows.withColumns({
         "outcome": F.when(c("scam").isNotNull(), spam).when(c("reject"), "not_vat_invoice").when(low, "low_confidence"),
         "audit": F.when(c("scam").isNotNull() | c("reject"), "not_vat_invoice").when(low, "low_confidence"),
@@ -175,7 +191,10 @@ class Intake(NamedTuple):
     state: DataFrame | None
 
 
-AUDIT = ("user_id", "email_uid", "email_subject", "attachment_filename", "outcome", "classification_tier", "parse_method", "parse_format", "invoice_no", "confidence", "error_detail")
+AUDIT = (
+    "user_id", "email_uid", "email_subject", "attachment_filename", "outcome", "classification_tier", "parse_method", "parse_format", "invoice_no",
+    "confidence", "error_detail"
+)
 
 
 def _audit(df: DataFrame, **values: Column) -> DataFrame:
@@ -183,13 +202,18 @@ def _audit(df: DataFrame, **values: Column) -> DataFrame:
     return df.select(*((values[n] if n in values else F.lit(None)).cast(kinds.get(n, "string")).alias(n) for n in AUDIT))
 
 
-def _documents(rows: DataFrame, existing: DataFrame, policy: str, strict: bool, extractor: Extractor | None, cache: DataFrame | None, order: list[str], as_of: str) -> tuple[DataFrame, DataFrame]:
+def _documents(
+    rows: DataFrame, existing: DataFrame, policy: str, strict: bool, extractor: Extractor | None, cache: DataFrame | None, order: list[str],
+    as_of: str
+) -> tuple[DataFrame, DataFrame]:
     """Invoice rows and audit rows of documents (user_id, email_uid, email_subject, filename, tier, body_text, raw_text, qr, source_format)."""
     parsed = parse_documents(rows)
     parsed = parsed.withColumn("need", needs(parsed))
     asked = with_extraction(parsed.withColumn("text_in", enrichment_text(c("body_text"), c("raw_text"))), extractor, cache)
     done = written(numbered(judged(asked, policy, strict), existing, policy, order), "judged")  # rows and audit are made of it
-    file_path = F.concat(F.lit("users/"), c("user_id"), F.lit("/invoices/"), P.canonical_name(c("buyer"), c("seller"), c("invoice_no"), c("invoice_date"), c("amount")))
+    file_path = F.concat(
+        F.lit("users/"), c("user_id"), F.lit("/invoices/"), P.canonical_name(c("buyer"), c("seller"), c("invoice_no"), c("invoice_date"), c("amount"))
+    )
     saved = to_invoice_rows(done.where("outcome = 'saved'").withColumn("file_path", file_path), as_of)
     audit = _audit(
         done, user_id=c("user_id"), email_uid=c("email_uid"), email_subject=F.substring("email_subject", 1, 500), attachment_filename=c("filename"), outcome=c("audit"), classification_tier=c("tier"), parse_method=c("extraction_method"),
@@ -223,7 +247,9 @@ def mail_intake(
         asked = known.withColumn("text_in", F.when(c("is_invoice").isNull(), analysis_text(c("subject"), c("from_addr"), c("body_text"), c("links"))))
         record = F.from_json("response", O.ANALYSIS)
         valid = record["is_invoice_related"].isNotNull() & record["invoice_confidence"].isNotNull() & (F.size(O.violations(record)) == 0)
-        known = enrich(asked, analyser, cache, "text_in", "analyze_email_v3").withColumn("related", F.when(F.coalesce(valid, F.lit(False)), record["is_invoice_related"]))
+        known = enrich(asked, analyser, cache, "text_in", "analyze_email_v3").withColumn(
+            "related", F.when(F.coalesce(valid, F.lit(False)), record["is_invoice_related"])
+        )
     known = known.select("email_id", "user_id", "account_id", "uid", "subject", "body_text", "received_at", "attachments", "is_invoice", "related")
     known = known.withColumns({"tier": F.when(c("is_invoice").isNotNull(), 1).otherwise(3), "wanted": F.coalesce("is_invoice", "related")})
     known = written(known, "classified")
@@ -232,22 +258,35 @@ def mail_intake(
         others, user_id=c("user_id"), email_uid=c("uid"), email_subject=F.substring("subject", 1, 500), outcome=F.when(c("wanted").isNull(), "error").otherwise("not_invoice"),
         classification_tier=c("tier"), error_detail=F.when(c("wanted").isNull(), "no valid analysis"),
     )
-    named = known.where("wanted").select("email_id", "user_id", "account_id", "tier", "body_text", "received_at", c("uid").alias("email_uid"), c("subject").alias("email_subject"), F.posexplode("attachments").alias("position", "filename"))
+    named = known.where("wanted").select(
+        "email_id", "user_id", "account_id", "tier", "body_text", "received_at", c("uid").alias("email_uid"), c("subject").alias("email_subject"),
+        F.posexplode("attachments").alias("position", "filename")
+    )
     held = prioritise(named.join(documents, ["email_id", "filename"]), "email_id", "position")
     held = held.join(seen_attachments(logs, "user_id").withColumn("before", F.lit(True)), ["user_id", "email_uid", "filename"], "left")
     held = repeated_names(held, "email_id", "turn").withColumn("skipped", c("skipped") | c("before").isNotNull()).drop("before")
     held = written(held, "attachments")
     skipped = held.where("skipped")
-    skipped = _audit(skipped, user_id=c("user_id"), email_uid=c("email_uid"), email_subject=F.substring("email_subject", 1, 500), attachment_filename=c("filename"), outcome=F.lit("skipped_seen"), classification_tier=c("tier"))
+    skipped = _audit(
+        skipped, user_id=c("user_id"), email_uid=c("email_uid"), email_subject=F.substring("email_subject", 1, 500),
+        attachment_filename=c("filename"), outcome=F.lit("skipped_seen"), classification_tier=c("tier")
+    )
     saved, done = _documents(held.where("NOT skipped"), invoices, "mail", strict, extractor, cache, ["received_at", "email_uid", "email_id", "turn"], as_of)
     return Intake(saved, dropped.unionByName(skipped).unionByName(done), after)
 
 
-def upload_intake(uploads: DataFrame, invoices: DataFrame, as_of: str, extractor: Extractor | None = None, cache: DataFrame | None = None, strict: bool = False) -> Intake:
+def upload_intake(
+    uploads: DataFrame, invoices: DataFrame, as_of: str, extractor: Extractor | None = None, cache: DataFrame | None = None, strict: bool = False
+) -> Intake:
     """Uploaded documents (upload_id, user_id, account_id, filename, raw_text, qr, source_format) to invoice rows and audit rows.
 
     Every upload has a run of its own, which names the invoice's message: manual:upload_id.
     """
-    rows = uploads.withColumns({"email_uid": F.concat(F.lit("manual:"), c("upload_id")), "email_subject": F.concat(F.lit("Manual upload: "), c("filename")), "tier": F.lit(None).cast("int"), "body_text": F.lit(None).cast("string")})
+    rows = uploads.withColumns(
+        {
+            "email_uid": F.concat(F.lit("manual:"), c("upload_id")), "email_subject": F.concat(F.lit("Manual upload: "), c("filename")),
+            "tier": F.lit(None).cast("int"), "body_text": F.lit(None).cast("string")
+        }
+    )
     saved, audit = _documents(rows, invoices, "upload", strict, extractor, cache, ["upload_id", "filename"], as_of)
     return Intake(saved, audit, None)

@@ -114,7 +114,11 @@ def qr(source: str) -> str:
 
 def qr_day(x: str) -> str:
     eight = day(f"substring({x}, 1, 4)", f"substring({x}, 5, 2)", f"substring({x}, 7, 2)")
-    forms = " ".join(f"WHEN regexp_matches({x}, '{p}') THEN {day(*(f"regexp_extract({x}, '{p}', {i})" for i in (1, 2, 3)))}" for p in ("^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})", "^([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日"))
+    forms = " ".join(
+        f"WHEN regexp_matches({x}, '{p}') THEN {day(*(f"regexp_extract({x}, '{p}', {i})" for i in (1, 2, 3)))}" for p in (
+            "^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})", "^([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日"
+        )
+    )
     return f"CASE WHEN length({x}) = 8 AND regexp_matches({x}, '^[0-9]+$') THEN {eight} {forms} END"
 
 
@@ -133,7 +137,11 @@ USE = "(x_valid IS NOT NULL AND (x_valid OR x_category <> 'vat_invoice'))"
 def merged(policy: str) -> dict[str, str]:
     """The fields after the selective merge."""
     enough = "x_amount >= 0.10" if policy == "upload" else "x_amount <> 0"
-    over = {n: f"CASE WHEN {USE} AND COALESCE(x_{n}, '') NOT IN ('', '未知') THEN x_{n} ELSE {n} END" for n in ("buyer", "seller", "item_summary", "invoice_type")}
+    over = {
+        n: f"CASE WHEN {USE} AND COALESCE(x_{n}, '') NOT IN ('', '未知') THEN x_{n} ELSE {n} END" for n in (
+            "buyer", "seller", "item_summary", "invoice_type"
+        )
+    }
     return over | {
         "invoice_no": f"CASE WHEN {USE} AND NOT {FIRM} AND COALESCE(x_invoice_no, '') <> '' THEN x_invoice_no ELSE invoice_no END",
         "invoice_date": f"CASE WHEN {USE} AND invoice_date IS NULL THEN x_invoice_date ELSE invoice_date END",

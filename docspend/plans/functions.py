@@ -42,7 +42,10 @@ def _(t):
     return t.pages.select("page_id", F.size(T.urls(F.concat_ws(" ", "url", "html"))).cast("long").alias("n"))
 
 
-@query("fn_03_scam_reason", f"SELECT email_id, {X.scam('t')} AS reason FROM (SELECT email_id, subject || ' ' || substring(body_text, 1, 2000) AS t FROM {{emails}} e) x")
+@query(
+    "fn_03_scam_reason",
+    f"SELECT email_id, {X.scam('t')} AS reason FROM (SELECT email_id, subject || ' ' || substring(body_text, 1, 2000) AS t FROM {{emails}} e) x"
+)
 def _(t):
     return t.emails.select("email_id", T.scam_reason(F.concat_ws(" ", "subject", F.substring("body_text", 1, 2000))).alias("reason"))
 
@@ -53,7 +56,9 @@ WIDE = "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'QQ' || chr(12288
 @query("fn_03_wide_characters", f"SELECT id, {X.scam('t')} AS reason FROM ({WIDE}) w")
 def _(t):
     k = c("p_partkey")
-    text = F.when(k % 4 == 0, F.concat(F.lit("QQ\u3000abc"), k, F.lit("x"))).when(k % 4 == 1, F.concat(F.lit("１\u3000３ ８ ０ ０"), k)).when(k % 4 == 2, c("p_name")).otherwise("１３８００")
+    text = F.when(
+        k % 4 == 0, F.concat(F.lit("QQ\u3000abc"), k, F.lit("x"))
+    ).when(k % 4 == 1, F.concat(F.lit("１\u3000３ ８ ０ ０"), k)).when(k % 4 == 2, c("p_name")).otherwise("１３８００")
     return t.part.select(k.alias("id"), T.scam_reason(text).alias("reason"))
 
 
@@ -65,18 +70,27 @@ def _(t):
 BOX = X.MAILBOX
 
 
-@query("fn_05_mailbox", f"SELECT email_id, {BOX} AS mailbox, CASE WHEN contains({BOX}, '@') THEN split_part({BOX}, '@', -1) ELSE '' END AS domain FROM {{emails}} e")
+@query(
+    "fn_05_mailbox",
+    f"SELECT email_id, {BOX} AS mailbox, CASE WHEN contains({BOX}, '@') THEN split_part({BOX}, '@', -1) ELSE '' END AS domain FROM {{emails}} e"
+)
 def _(t):
     return t.emails.select("email_id", T.mailbox(c("from_addr")).alias("mailbox")).withColumn("domain", T.domain(c("mailbox")))
 
 
-@query("fn_06_comma_list", "SELECT event_id, list_filter(list_transform(string_split(event_type || ', ' || upper(event_type) || ',,' || props, ','), lambda x: lower(trim(x))), lambda x: x <> '')[2] AS second FROM events")
+@query(
+    "fn_06_comma_list",
+    "SELECT event_id, list_filter(list_transform(string_split(event_type || ', ' || upper(event_type) || ',,' || props, ','), lambda x: lower(trim(x))), lambda x: x <> '')[2] AS second FROM events"
+)
 def _(t):
     raw = F.concat(c("event_type"), F.lit(", "), F.upper("event_type"), F.lit(",,"), c("props"))
     return t.events.select("event_id", F.get(T.comma_list(raw), F.lit(1)).alias("second"))
 
 
-@query("fn_07_extension", "SELECT email_id, CASE WHEN contains(attachment, '.') THEN lower(split_part(attachment, '.', -1)) ELSE '' END AS ext FROM {emails} e WHERE attachment IS NOT NULL")
+@query(
+    "fn_07_extension",
+    "SELECT email_id, CASE WHEN contains(attachment, '.') THEN lower(split_part(attachment, '.', -1)) ELSE '' END AS ext FROM {emails} e WHERE attachment IS NOT NULL"
+)
 def _(t):
     return t.emails.where("attachment IS NOT NULL").select("email_id", W.extension(c("attachment")).alias("ext"))
 
@@ -101,9 +115,14 @@ def _(t):
     return t.parse_texts.select("id", *(v.alias(k) for k, v in P.fields(c("raw_text")).items()))
 
 
-@query("fn_10_amount", "SELECT p_partkey AS id, TRY_CAST(trim(replace(x, ',', '')) AS DECIMAL(12,2)) AS amount FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN ' 1,' || p_size || '00.50 ' WHEN p_partkey % 3 = 1 THEN p_name ELSE CAST(p_size AS VARCHAR) END AS x FROM part) y")
+@query(
+    "fn_10_amount",
+    "SELECT p_partkey AS id, TRY_CAST(trim(replace(x, ',', '')) AS DECIMAL(12,2)) AS amount FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN ' 1,' || p_size || '00.50 ' WHEN p_partkey % 3 = 1 THEN p_name ELSE CAST(p_size AS VARCHAR) END AS x FROM part) y"
+)
 def _(t):
-    x = F.when(c("p_partkey") % 3 == 0, F.concat(F.lit(" 1,"), c("p_size"), F.lit("00.50 "))).when(c("p_partkey") % 3 == 1, c("p_name")).otherwise(c("p_size").cast("string"))
+    x = F.when(
+        c("p_partkey") % 3 == 0, F.concat(F.lit(" 1,"), c("p_size"), F.lit("00.50 "))
+    ).when(c("p_partkey") % 3 == 1, c("p_name")).otherwise(c("p_size").cast("string"))
     return t.part.select(c("p_partkey").alias("id"), P.amount(x).alias("amount"))
 
 
@@ -124,7 +143,9 @@ def _(t):
 @query("fn_13_confidence", f"SELECT id, {X.CONFIDENCE} AS confidence FROM ({FIELDS}) x")
 def _(t):
     f = t.parse_texts.select("id", *(v.alias(k) for k, v in P.fields(c("raw_text")).items()))
-    return f.select("id", P.confidence(c("invoice_no"), c("buyer"), c("seller"), c("amount"), c("invoice_date"), F.lit(None).cast("string")).alias("confidence"))
+    return f.select(
+        "id", P.confidence(c("invoice_no"), c("buyer"), c("seller"), c("amount"), c("invoice_date"), F.lit(None).cast("string")).alias("confidence")
+    )
 
 
 @query("fn_14_vat_document", f"SELECT id, {X.vat_document()} AS vat FROM {{parse_texts}} p")
@@ -168,7 +189,10 @@ def _(t):
 MERGED = ["buyer", "seller", "item_summary", "invoice_type", "invoice_no", "invoice_date", "amount", "extraction_method", "confidence"]
 for _policy in ("upload", "mail"):
 
-    @query(f"fn_22_merge_{_policy}" if _policy == "mail" else "fn_22_merge", f"SELECT cand_id, filename, {', '.join(f'{v} AS {k}' for k, v in X.merged(_policy).items())} FROM {{candidates}} x")
+    @query(
+        f"fn_22_merge_{_policy}" if _policy == "mail" else "fn_22_merge",
+        f"SELECT cand_id, filename, {', '.join(f'{v} AS {k}' for k, v in X.merged(_policy).items())} FROM {{candidates}} x"
+    )
     def _(t, policy=_policy):
         return t.candidates.select("cand_id", "filename", *(v.alias(k) for k, v in I.merged(policy).items()))
 
@@ -179,27 +203,42 @@ for _policy in ("upload", "mail"):
 )
 def _(t):
     kind = F.when(c("p_partkey") % 3 == 0, "classify").when(c("p_partkey") % 3 == 1, "analyze_email_v3").otherwise("extract")
-    return t.part.select(c("p_partkey").alias("id"), P.content_hash("extract", c("p_name")).alias("content_hash"), P.expiry(kind, F.lit("2024-01-01").cast("timestamp")).alias("expires_at"))
+    return t.part.select(
+        c("p_partkey").alias("id"), P.content_hash("extract", c("p_name")).alias("content_hash"),
+        P.expiry(kind, F.lit("2024-01-01").cast("timestamp")).alias("expires_at")
+    )
 
 
-@query("fn_26_uid_newer", "SELECT event_id, CASE WHEN a = '' THEN FALSE WHEN COALESCE(b, '') = '' THEN TRUE WHEN regexp_matches(a, '^[0-9]+$') AND regexp_matches(b, '^[0-9]+$') THEN CAST(a AS BIGINT) > CAST(b AS BIGINT) ELSE a > b END AS newer FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 5 = 1 THEN 'x' || event_id ELSE CAST(event_id AS VARCHAR) END AS a, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN event_type ELSE CAST(user_id * 60 AS VARCHAR) END AS b FROM events) x")
+@query(
+    "fn_26_uid_newer",
+    "SELECT event_id, CASE WHEN a = '' THEN FALSE WHEN COALESCE(b, '') = '' THEN TRUE WHEN regexp_matches(a, '^[0-9]+$') AND regexp_matches(b, '^[0-9]+$') THEN CAST(a AS BIGINT) > CAST(b AS BIGINT) ELSE a > b END AS newer FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 5 = 1 THEN 'x' || event_id ELSE CAST(event_id AS VARCHAR) END AS a, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN event_type ELSE CAST(user_id * 60 AS VARCHAR) END AS b FROM events) x"
+)
 def _(t):
     a = F.when(c("event_id") % 5 == 0, "").when(c("event_id") % 5 == 1, F.concat(F.lit("x"), c("event_id"))).otherwise(c("event_id").cast("string"))
     b = F.when(c("event_id") % 3 == 0, F.lit(None).cast("string")).when(c("event_id") % 3 == 1, c("event_type")).otherwise((c("user_id") * 60).cast("string"))
     return t.events.select("event_id", a.alias("a"), b.alias("b")).select("event_id", ST.is_newer(c("a"), c("b")).alias("newer"))
 
 
-@query("fn_27_parse_state", """SELECT id, 'INBOX' AS folder, CASE WHEN last_scan_uid LIKE '{"INBOX%' THEN json_extract_string(last_scan_uid, '$.INBOX.uid') ELSE last_scan_uid END AS uid, CASE WHEN last_scan_uid LIKE '{"INBOX%' THEN '7' ELSE '' END AS uidvalidity FROM {email_accounts} a WHERE COALESCE(last_scan_uid, '') <> ''""")
+@query(
+    "fn_27_parse_state",
+    """SELECT id, 'INBOX' AS folder, CASE WHEN last_scan_uid LIKE '{"INBOX%' THEN json_extract_string(last_scan_uid, '$.INBOX.uid') ELSE last_scan_uid END AS uid, CASE WHEN last_scan_uid LIKE '{"INBOX%' THEN '7' ELSE '' END AS uidvalidity FROM {email_accounts} a WHERE COALESCE(last_scan_uid, '') <> ''"""
+)
 def _(t):
     return t.email_accounts.select("id", F.explode(ST.parse_state(c("last_scan_uid"))).alias("folder", "s")).select("id", "folder", "s.uid", "s.uidvalidity")
 
 
-@query("fn_29_canonical_name", f"SELECT id, {X.safe('buyer')} || '_' || {X.safe('item_summary')} || '_' || {X.safe('invoice_no')} || '_' || strftime(invoice_date, '%Y%m%d') || '_' || amount || '.pdf' AS name FROM {{invoices}} i")
+@query(
+    "fn_29_canonical_name",
+    f"SELECT id, {X.safe('buyer')} || '_' || {X.safe('item_summary')} || '_' || {X.safe('invoice_no')} || '_' || strftime(invoice_date, '%Y%m%d') || '_' || amount || '.pdf' AS name FROM {{invoices}} i"
+)
 def _(t):
     return t.invoices.select("id", P.canonical_name(c("buyer"), c("item_summary"), c("invoice_no"), c("invoice_date"), c("amount"), "p*df").alias("name"))
 
 
-@query("fn_30_traversal", "SELECT id, p, CASE WHEN id % 4 IN (1, 3) THEN TRUE ELSE FALSE END AS bad FROM (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'a/../b/' || p_partkey WHEN 1 THEN 'a/../../' || p_partkey WHEN 2 THEN './x/' || p_partkey ELSE '/etc/' || p_partkey END AS p FROM part) y")
+@query(
+    "fn_30_traversal",
+    "SELECT id, p, CASE WHEN id % 4 IN (1, 3) THEN TRUE ELSE FALSE END AS bad FROM (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'a/../b/' || p_partkey WHEN 1 THEN 'a/../../' || p_partkey WHEN 2 THEN './x/' || p_partkey ELSE '/etc/' || p_partkey END AS p FROM part) y"
+)
 def _(t):
     forms = F.array(*map(F.lit, ("a/../b/", "a/../../", "./x/", "/etc/")))
     rows = t.part.select(c("p_partkey").alias("id"), F.concat(F.get(forms, (c("p_partkey") % 4).cast("int")), c("p_partkey")).alias("p"))
@@ -212,16 +251,25 @@ def _(t):
 
 
 #: Forms of one instant: with Z, an offset, nothing, RFC 2822 with and without weekday; and no time at all.
-STAMPS = ("yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'+00:00'", "yyyy-MM-dd'T'HH:mm:ss", "dd MMM yyyy HH:mm:ss Z", "E, dd MMM yyyy HH:mm:ss Z", "E, dd MMM yyyy HH:mm:ss 'GMT'", "'soon'", "yyyy-MM-dd'T'HH:mm:ss'+08:00'")
+STAMPS = (
+    "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'+00:00'", "yyyy-MM-dd'T'HH:mm:ss", "dd MMM yyyy HH:mm:ss Z", "E, dd MMM yyyy HH:mm:ss Z",
+    "E, dd MMM yyyy HH:mm:ss 'GMT'", "'soon'", "yyyy-MM-dd'T'HH:mm:ss'+08:00'"
+)
 
 
-@query("fn_32_timestamps", "SELECT event_id, CASE event_id % 8 WHEN 6 THEN NULL WHEN 7 THEN date_trunc('second', ts) - INTERVAL 8 HOUR ELSE date_trunc('second', ts) END AS at FROM events")
+@query(
+    "fn_32_timestamps",
+    "SELECT event_id, CASE event_id % 8 WHEN 6 THEN NULL WHEN 7 THEN date_trunc('second', ts) - INTERVAL 8 HOUR ELSE date_trunc('second', ts) END AS at FROM events"
+)
 def _(t):
     text = F.get(F.array(*(F.date_format("ts", f) for f in STAMPS)), (c("event_id") % 8).cast("int"))
     return t.events.select("event_id", T.instant(text).alias("at"))
 
 
-@query("fn_33_account_kind", f"SELECT id, lower(split_part(username, '@', -1)) IN ({X.listed(*X.PERSONAL)}) AS personal, type = 'qq' OR lower(host) IN ('imap.qq.com', 'imap.exmail.qq.com') AS dedicated FROM {{email_accounts}} a")
+@query(
+    "fn_33_account_kind",
+    f"SELECT id, lower(split_part(username, '@', -1)) IN ({X.listed(*X.PERSONAL)}) AS personal, type = 'qq' OR lower(host) IN ('imap.qq.com', 'imap.exmail.qq.com') AS dedicated FROM {{email_accounts}} a"
+)
 def _(t):
     return t.email_accounts.select("id", *(v.alias(k) for k, v in T.account_kinds(c("type"), c("host"), c("username")).items()))
 
@@ -232,12 +280,18 @@ def _(t):
     return t.pages.select("page_id", T.is_redirect(url).alias("wrapped"))
 
 
-@query("fn_38_category", "SELECT id, CASE WHEN invoice_category IS NULL THEN 'vat_invoice' WHEN invoice_category = 'saas_invoice' THEN 'overseas_invoice' ELSE invoice_category END AS category FROM {invoices} i")
+@query(
+    "fn_38_category",
+    "SELECT id, CASE WHEN invoice_category IS NULL THEN 'vat_invoice' WHEN invoice_category = 'saas_invoice' THEN 'overseas_invoice' ELSE invoice_category END AS category FROM {invoices} i"
+)
 def _(t):
     return t.invoices.select("id", P.category(c("invoice_category")).alias("category"))
 
 
-@query("fn_39_priority", "SELECT outcome, MAX(CASE outcome WHEN 'saved' THEN 100 WHEN 'duplicate' THEN 80 WHEN 'skipped_seen' THEN 70 WHEN 'low_confidence' THEN 60 WHEN 'not_vat_invoice' THEN 55 WHEN 'parse_failed' THEN 40 WHEN 'error' THEN 30 WHEN 'not_invoice' THEN 10 ELSE 0 END) AS rank FROM {extraction_logs} l GROUP BY outcome")
+@query(
+    "fn_39_priority",
+    "SELECT outcome, MAX(CASE outcome WHEN 'saved' THEN 100 WHEN 'duplicate' THEN 80 WHEN 'skipped_seen' THEN 70 WHEN 'low_confidence' THEN 60 WHEN 'not_vat_invoice' THEN 55 WHEN 'parse_failed' THEN 40 WHEN 'error' THEN 30 WHEN 'not_invoice' THEN 10 ELSE 0 END) AS rank FROM {extraction_logs} l GROUP BY outcome"
+)
 def _(t):
     from docspend.operators.aggregates import priority
 
@@ -249,7 +303,10 @@ def _(t):
     return t.invoices.select("id", T.embedding_text(c("buyer"), c("seller"), c("item_summary")).alias("text"))
 
 
-@query("src_03_detect_format", "SELECT email_id, CASE WHEN e = 'ofd' THEN 'ofd' WHEN e = 'xml' OR starts_with(ltrim(h), '<?xml') THEN 'xml' WHEN e = 'pdf' OR starts_with(h, '%PDF') THEN 'pdf' WHEN contains(h, '<?xml') THEN 'xml' ELSE 'pdf' END AS format FROM (SELECT email_id, CASE WHEN contains(attachment, '.') THEN lower(split_part(attachment, '.', -1)) ELSE '' END AS e, CASE email_id % 3 WHEN 0 THEN '  <?xml?>' WHEN 1 THEN '%PDF-1' ELSE 'x <?xml' END AS h FROM {emails} x WHERE attachment IS NOT NULL) y")
+@query(
+    "src_03_detect_format",
+    "SELECT email_id, CASE WHEN e = 'ofd' THEN 'ofd' WHEN e = 'xml' OR starts_with(ltrim(h), '<?xml') THEN 'xml' WHEN e = 'pdf' OR starts_with(h, '%PDF') THEN 'pdf' WHEN contains(h, '<?xml') THEN 'xml' ELSE 'pdf' END AS format FROM (SELECT email_id, CASE WHEN contains(attachment, '.') THEN lower(split_part(attachment, '.', -1)) ELSE '' END AS e, CASE email_id % 3 WHEN 0 THEN '  <?xml?>' WHEN 1 THEN '%PDF-1' ELSE 'x <?xml' END AS h FROM {emails} x WHERE attachment IS NOT NULL) y"
+)
 def _(t):
     head = F.when(c("email_id") % 3 == 0, "  <?xml?>").when(c("email_id") % 3 == 1, "%PDF-1").otherwise("x <?xml")
     return t.emails.where("attachment IS NOT NULL").select("email_id", P.file_format(c("attachment"), head).alias("format"))
@@ -266,7 +323,10 @@ REJECTED = f"SELECT id FROM ({WANTED}) w WHERE id <> lowest OR EXISTS (SELECT 1
 def _edits(t):
     k = c("c_custkey")
     number = F.when(k % 5 == 0, (k % 40 + 10000000).cast("string")).when(k % 5 == 1, F.concat(F.lit("N"), k))
-    return t.customer.select(k.alias("id"), F.concat(F.lit("New "), c("c_mktsegment")).alias("buyer"), c("c_acctbal").cast("decimal(12,2)").alias("amount"), F.when(k % 2 == 0, F.lit("1999-09-09").cast("date")).alias("invoice_date"), number.alias("invoice_no"))
+    return t.customer.select(
+        k.alias("id"), F.concat(F.lit("New "), c("c_mktsegment")).alias("buyer"), c("c_acctbal").cast("decimal(12,2)").alias("amount"),
+        F.when(k % 2 == 0, F.lit("1999-09-09").cast("date")).alias("invoice_date"), number.alias("invoice_no")
+    )
 
 
 @query(
@@ -298,13 +358,19 @@ def _(t):
     return D.delete_invoices(t.invoices, t.events.select(c("event_id").alias("id")), 4)[1]
 
 
-@query("dml_04_insert_ignore", "SELECT content_hash, MIN(id) AS id FROM (SELECT content_hash, id FROM {llm_cache} c UNION ALL SELECT h, MIN(k) FROM (SELECT 'h' || (c_custkey * 3) AS h, c_custkey + 100000 AS k FROM customer) n WHERE h NOT IN (SELECT content_hash FROM {llm_cache} d) GROUP BY h) x GROUP BY 1")
+@query(
+    "dml_04_insert_ignore",
+    "SELECT content_hash, MIN(id) AS id FROM (SELECT content_hash, id FROM {llm_cache} c UNION ALL SELECT h, MIN(k) FROM (SELECT 'h' || (c_custkey * 3) AS h, c_custkey + 100000 AS k FROM customer) n WHERE h NOT IN (SELECT content_hash FROM {llm_cache} d) GROUP BY h) x GROUP BY 1"
+)
 def _(t):
     new = t.customer.select(F.concat(F.lit("h"), c("c_custkey") * 3).alias("content_hash"), (c("c_custkey") + 100000).alias("id"))
     return D.insert_ignore(t.llm_cache.select("content_hash", "id"), new)
 
 
-@query("dml_05_revoke_sessions", "SELECT id, CASE WHEN user_id = 3 AND revoked_at IS NULL THEN TIMESTAMP '2024-02-01 00:00:00' ELSE revoked_at END AS revoked_at FROM {sessions} s")
+@query(
+    "dml_05_revoke_sessions",
+    "SELECT id, CASE WHEN user_id = 3 AND revoked_at IS NULL THEN TIMESTAMP '2024-02-01 00:00:00' ELSE revoked_at END AS revoked_at FROM {sessions} s"
+)
 def _(t):
     return D.revoke_sessions(t.sessions, 3, "2024-02-01 00:00:00").select("id", "revoked_at")
 
@@ -314,12 +380,18 @@ def _(t):
     return D.reset_state(t.email_accounts, 8).select("id", "last_scan_uid")
 
 
-@query("stm_08_close_orphans", "SELECT id, CASE WHEN finished_at IS NULL AND error_message IS NULL THEN TIMESTAMP '2024-02-01 00:00:00' ELSE finished_at END AS finished_at, CASE WHEN finished_at IS NULL AND error_message IS NULL THEN 'interrupted' ELSE error_message END AS error_message FROM {scan_logs} s")
+@query(
+    "stm_08_close_orphans",
+    "SELECT id, CASE WHEN finished_at IS NULL AND error_message IS NULL THEN TIMESTAMP '2024-02-01 00:00:00' ELSE finished_at END AS finished_at, CASE WHEN finished_at IS NULL AND error_message IS NULL THEN 'interrupted' ELSE error_message END AS error_message FROM {scan_logs} s"
+)
 def _(t):
     return D.close_orphans(t.scan_logs, "2024-02-01 00:00:00").select("id", "finished_at", "error_message")
 
 
-@query("stm_09_cache_retention", "SELECT id FROM {llm_cache} c WHERE id NOT IN (SELECT id FROM {llm_cache} d WHERE expires_at <= TIMESTAMP '2024-01-20 00:00:00' ORDER BY id LIMIT 500)")
+@query(
+    "stm_09_cache_retention",
+    "SELECT id FROM {llm_cache} c WHERE id NOT IN (SELECT id FROM {llm_cache} d WHERE expires_at <= TIMESTAMP '2024-01-20 00:00:00' ORDER BY id LIMIT 500)"
+)
 def _(t):
     return W.retention_split(t.llm_cache, c("expires_at") <= F.lit("2024-01-20").cast("timestamp"), 500).select("id")
 
@@ -357,8 +429,14 @@ def _(t):
     return I.classify(_messages(t), TRUST)
 
 
-CAND = ["cand_id", "user_id", "invoice_no", "buyer", "seller", "amount", "invoice_date", "invoice_type", "item_summary", "raw_text", "extraction_method", "confidence", "is_vat_document"]
-CAND += ["x_valid", "x_category", "x_buyer", "x_seller", "x_item_summary", "x_invoice_type", "x_invoice_no", "x_invoice_date", "x_amount", "x_confidence", "received_at", "email_uid"]
+CAND = [
+    "cand_id", "user_id", "invoice_no", "buyer", "seller", "amount", "invoice_date", "invoice_type", "item_summary", "raw_text", "extraction_method",
+    "confidence", "is_vat_document"
+]
+CAND += [
+    "x_valid", "x_category", "x_buyer", "x_seller", "x_item_summary", "x_invoice_type", "x_invoice_no", "x_invoice_date", "x_amount", "x_confidence",
+    "received_at", "email_uid"
+]
 for _policy in ("mail", "upload"):
 
     @query(
@@ -379,7 +457,9 @@ def _answers(texts):
     out = []
     for n in map(len, texts):
         related = n % 2 == 0
-        record = {"is_invoice_related": related, "invoice_confidence": 0.5} | ({} if related else {"skip_reason": "odd"}) | ({"url_confidence": 0.7} if n % 7 == 0 else {})
+        record = {
+            "is_invoice_related": related, "invoice_confidence": 0.5
+        } | ({} if related else {"skip_reason": "odd"}) | ({"url_confidence": 0.7} if n % 7 == 0 else {})
         out.append(None if n % 11 == 0 else json.dumps(record))
     return out
 
@@ -388,8 +468,14 @@ def _extracted(texts):
     """An extractor whose answers follow from the length of the text."""
     out = []
     for n in map(len, texts):
-        record = {"buyer": "X Buyer", "seller": "未知" if n % 3 == 0 else "X Seller", "invoice_no": str(90000000 + n // 2), "invoice_date": "2024-02-03", "amount": str(n % 50), "item_summary": f"sum {n % 5}", "invoice_type": "数电专票" if n % 2 else "收据"}
-        record |= {"invoice_category": "receipt" if n % 5 == 0 else "vat_invoice", "confidence": 1.5 if n % 13 == 0 else (n % 10) / 10, "is_valid_tax_invoice": n % 4 < 2}
+        record = {
+            "buyer": "X Buyer", "seller": "未知" if n % 3 == 0 else "X Seller", "invoice_no": str(90000000 + n // 2), "invoice_date": "2024-02-03",
+            "amount": str(n % 50), "item_summary": f"sum {n % 5}", "invoice_type": "数电专票" if n % 2 else "收据"
+        }
+        record |= {
+            "invoice_category": "receipt" if n % 5 == 0 else "vat_invoice", "confidence": 1.5 if n % 13 == 0 else (n % 10) / 10,
+            "is_valid_tax_invoice": n % 4 < 2
+        }
         out.append(None if n % 7 == 0 else json.dumps(record))
     return out
 
@@ -429,7 +515,9 @@ LOG = "user_id, email_uid, attachment_filename, outcome, classification_tier, pa
 
 
 def _mail(t):
-    state = t.emails.where("received_at < TIMESTAMP '2024-01-02 00:00:00'").groupBy("account_id", "folder").agg(G.newest().alias("last_uid")).withColumn("validity", F.when(c("account_id") % 2 == 0, "old").otherwise("v1"))
+    state = t.emails.where("received_at < TIMESTAMP '2024-01-02 00:00:00'").groupBy("account_id", "folder").agg(G.newest().alias("last_uid")).withColumn(
+        "validity", F.when(c("account_id") % 2 == 0, "old").otherwise("v1")
+    )
     seen = t.emails.where("email_id % 60 IN (0, 26)").select("user_id", c("uid").alias("email_uid"), c("attachment").alias("attachment_filename"))
     documents = t.attachments.select("email_id", "filename", "raw_text", "qr", "source_format")
     return I.mail_intake(_messages(t), documents, state, seen, t.invoices, AS_OF[:10], TRUST, _answers, _extracted)
@@ -461,7 +549,10 @@ UPLOAD = "WITH " + X.gate(_asked(_parsed(f"({UPLOADS})"), "raw_text"), "{invoice
 
 
 def _upload(t):
-    uploads = t.parse_texts.select(c("id").alias("upload_id"), (c("id") % 7 + 1).alias("user_id"), F.concat(F.lit("up"), "id", F.lit(".pdf")).alias("filename"), "raw_text", "qr", F.lit("pdf").alias("source_format"))
+    uploads = t.parse_texts.select(
+        c("id").alias("upload_id"), (c("id") % 7 + 1).alias("user_id"), F.concat(F.lit("up"), "id", F.lit(".pdf")).alias("filename"), "raw_text",
+        "qr", F.lit("pdf").alias("source_format")
+    )
     return I.upload_intake(uploads, t.invoices, AS_OF[:10], _extracted)
 
 

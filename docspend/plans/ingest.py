@@ -21,19 +21,28 @@ def _state(t):
     return rows.withColumn("validity", F.when(c("account_id") % 7 == 0, "old").otherwise("v1"))
 
 
-@query("stm_01_increment", f"SELECT email_id FROM {{emails}} m LEFT JOIN ({STATE}) s USING (account_id, folder) WHERE s.last_uid IS NULL OR s.validity = 'old' OR CAST(m.uid AS BIGINT) > CAST(s.last_uid AS BIGINT)")
+@query(
+    "stm_01_increment",
+    f"SELECT email_id FROM {{emails}} m LEFT JOIN ({STATE}) s USING (account_id, folder) WHERE s.last_uid IS NULL OR s.validity = 'old' OR CAST(m.uid AS BIGINT) > CAST(s.last_uid AS BIGINT)"
+)
 def _(t):
     return G.ingest_increment(_messages(t), _state(t))[0].select("email_id")
 
 
-@query("stm_01_next_state", f"SELECT account_id, folder, COALESCE(CAST(MAX(CAST(m.uid AS BIGINT)) AS VARCHAR), MAX(s.last_uid)) AS last_uid FROM {{emails}} m LEFT JOIN ({STATE}) s USING (account_id, folder) GROUP BY 1, 2")
+@query(
+    "stm_01_next_state",
+    f"SELECT account_id, folder, COALESCE(CAST(MAX(CAST(m.uid AS BIGINT)) AS VARCHAR), MAX(s.last_uid)) AS last_uid FROM {{emails}} m LEFT JOIN ({STATE}) s USING (account_id, folder) GROUP BY 1, 2"
+)
 def _(t):
     return G.ingest_increment(_messages(t), _state(t))[1].select("account_id", "folder", "last_uid")
 
 
 @query("stm_02_skip_unchanged", "SELECT id, CAST(id % 3 = 0 AND uidvalidity = '7' AS BOOLEAN) AS skip FROM {folders} f")
 def _(t):
-    saved = t.folders.select("account_id", "folder", F.when(c("id") % 3 == 0, c("uidnext")).otherwise("1").alias("s_uidnext"), c("messages").alias("s_messages"), F.lit("7").alias("s_validity"))
+    saved = t.folders.select(
+        "account_id", "folder", F.when(c("id") % 3 == 0, c("uidnext")).otherwise("1").alias("s_uidnext"), c("messages").alias("s_messages"),
+        F.lit("7").alias("s_validity")
+    )
     return G.skip_unchanged(t.folders, saved).select("id", "skip")
 
 
@@ -41,7 +50,11 @@ FEED = "SELECT user_id AS account_id, event_type AS folder, CAST(event_id % 40 A
 
 
 def _feed(t):
-    return t.events.select(c("user_id").alias("account_id"), c("event_type").alias("folder"), ((c("event_id") % 40).cast("int") + 1).alias("page"), F.concat(F.lit("tok"), c("event_id")).alias("token"), (c("event_id") % 6 == 0).alias("removed"), F.concat(F.lit("msg"), c("event_id") % 3000).alias("message_id"), c("event_id").alias("uid"))
+    return t.events.select(
+        c("user_id").alias("account_id"), c("event_type").alias("folder"), ((c("event_id") % 40).cast("int") + 1).alias("page"),
+        F.concat(F.lit("tok"), c("event_id")).alias("token"), (c("event_id") % 6 == 0).alias("removed"),
+        F.concat(F.lit("msg"), c("event_id") % 3000).alias("message_id"), c("event_id").alias("uid")
+    )
 
 
 #: A folder's mode follows from what its state holds: a token, an old time, nothing.
@@ -52,7 +65,9 @@ EVENTS = f"SELECT account_id, folder, CASE WHEN m = 'incremental' AND x THEN 'de
 def _changes(t):
     feed = _feed(t).withColumn("expired", c("uid") % 97 == 0)
     a = c("account_id")
-    state = feed.select("account_id", "folder").distinct().select("account_id", "folder", F.when(a % 3 == 0, "d").alias("delta_link"), F.when(a % 3 == 1, "2024-01-01").alias("legacy"))
+    state = feed.select("account_id", "folder").distinct().select(
+        "account_id", "folder", F.when(a % 3 == 0, "d").alias("delta_link"), F.when(a % 3 == 1, "2024-01-01").alias("legacy")
+    )
     return G.apply_change_feed(feed, state)
 
 
@@ -74,12 +89,18 @@ def _(t):
     return _changes(t)[2]
 
 
-@query("stm_07_progress", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, COUNT(*) AS processed, COUNT(*) FILTER (event_type = 'purchase') AS found, COUNT(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1")
+@query(
+    "stm_07_progress",
+    "SELECT time_bucket(INTERVAL '1 day', ts) AS start, COUNT(*) AS processed, COUNT(*) FILTER (event_type = 'purchase') AS found, COUNT(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1"
+)
 def _(t):
     return G.progress_stream(t.events)
 
 
-@query("src_04_emails", "SELECT doc_id AS uid, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'Hi & bye' END AS body_text, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS n FROM documents")
+@query(
+    "src_04_emails",
+    "SELECT doc_id AS uid, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'Hi & bye' END AS body_text, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS n FROM documents"
+)
 def _(t):
     raw = t.documents.select(
         c("doc_id").alias("uid"), F.lit("s").alias("subject"), F.lit("f").alias("from_addr"), F.when(c("doc_id") % 2 == 0, c("text")).otherwise(" ").alias("body_text"), F.lit("<p>Hi</p> <b>&amp;</b> bye<br>").alias("body_html"),
@@ -88,12 +109,18 @@ def _(t):
     return R.load_emails(raw).select("uid", "body_text", F.size("attachments").alias("n"))
 
 
-@query("src_05_graph", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '<' || event_id || '@x>' ELSE 'g' || event_id END AS uid, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type || '@y.example' END AS from_addr, date_trunc('second', ts) AS received_at FROM events")
+@query(
+    "src_05_graph",
+    "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '<' || event_id || '@x>' ELSE 'g' || event_id END AS uid, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type || '@y.example' END AS from_addr, date_trunc('second', ts) AS received_at FROM events"
+)
 def _(t):
     q = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
     mid = F.when(c("event_id") % 2 == 0, q(F.concat(F.lit("<"), c("event_id"), F.lit("@x>")))).otherwise("null")
     sender = F.when(c("event_id") % 3 == 0, "null").otherwise(F.concat(F.lit('{"emailAddress": {"address": "'), c("event_type"), F.lit('@y.example"}}')))
-    item = F.concat(F.lit('{"internetMessageId": '), mid, F.lit(', "id": "g'), c("event_id"), F.lit('", "from": '), sender, F.lit(', "receivedDateTime": "'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('Z"}'))
+    item = F.concat(
+        F.lit('{"internetMessageId": '), mid, F.lit(', "id": "g'), c("event_id"), F.lit('", "from": '), sender, F.lit(', "receivedDateTime": "'),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('Z"}')
+    )
     return R.emails_from_graph_json(t.events.select("event_id", item.alias("value"))).select("event_id", "uid", "from_addr", "received_at")
 
 
@@ -105,13 +132,29 @@ def _(t):
 )
 def _(t):
     k = c("p_partkey").cast("string")
-    rows = t.part.select(k.alias("portal_id"), F.concat(F.lit("https://p.example/"), k).alias("url"), c("p_brand").alias("money"), F.when(c("p_size") % 2 == 0, "May 1, 2026").alias("date"), F.when(c("p_size") % 3 != 0, c("p_name")).alias("bill_to"), F.lit(1).alias("account_id"))
-    return R.emails_from_portal(rows).select("uid", "subject", "body_text", F.get("links", F.lit(0)).alias("link"), c("headers")["_currency"].alias("currency"), "message_id", "folder")
+    rows = t.part.select(
+        k.alias("portal_id"), F.concat(F.lit("https://p.example/"), k).alias("url"), c("p_brand").alias("money"),
+        F.when(c("p_size") % 2 == 0, "May 1, 2026").alias("date"), F.when(c("p_size") % 3 != 0, c("p_name")).alias("bill_to"),
+        F.lit(1).alias("account_id")
+    )
+    return R.emails_from_portal(rows).select(
+        "uid", "subject", "body_text", F.get("links", F.lit(0)).alias("link"), c("headers")["_currency"].alias("currency"), "message_id", "folder"
+    )
 
 
-@query("fn_16_xml_fields", "SELECT id, CASE WHEN id % 4 = 3 THEN NULL ELSE CAST(10000000 + id AS VARCHAR) END AS no, CASE WHEN id % 4 = 3 THEN NULL WHEN id % 4 = 1 THEN buyer END AS buyer FROM (SELECT p_partkey AS id, p_name AS buyer FROM part) p")
+@query(
+    "fn_16_xml_fields",
+    "SELECT id, CASE WHEN id % 4 = 3 THEN NULL ELSE CAST(10000000 + id AS VARCHAR) END AS no, CASE WHEN id % 4 = 3 THEN NULL WHEN id % 4 = 1 THEN buyer END AS buyer FROM (SELECT p_partkey AS id, p_name AS buyer FROM part) p"
+)
 def _(t):
     number = (c("p_partkey") + 10000000).cast("string")
-    doc = F.concat(F.lit('<?xml version="1.0"?><n:Invoice xmlns:n="urn:x">'), F.when(c("p_partkey") % 4 == 0, F.concat(F.lit("<n:Empty/><n:FPHM>"), number, F.lit("</n:FPHM>"))).otherwise(F.concat(F.lit("<InvoiceNo> "), number, F.lit(" </InvoiceNo>"))), F.when(c("p_partkey") % 4 == 1, F.concat(F.lit("<n:Buyer>"), c("p_name"), F.lit("</n:Buyer>"))).otherwise(""), F.when(c("p_partkey") % 4 == 3, "<broken").otherwise("</n:Invoice>"))
+    doc = F.concat(
+        F.lit('<?xml version="1.0"?><n:Invoice xmlns:n="urn:x">'),
+        F.when(
+            c("p_partkey") % 4 == 0, F.concat(F.lit("<n:Empty/><n:FPHM>"), number, F.lit("</n:FPHM>"))
+        ).otherwise(F.concat(F.lit("<InvoiceNo> "), number, F.lit(" </InvoiceNo>"))),
+        F.when(c("p_partkey") % 4 == 1, F.concat(F.lit("<n:Buyer>"), c("p_name"), F.lit("</n:Buyer>"))).otherwise(""),
+        F.when(c("p_partkey") % 4 == 3, "<broken").otherwise("</n:Invoice>")
+    )
     rows = t.part.select(c("p_partkey").alias("id"), doc.alias("x"))
     return rows.select("id", *(v.alias(k) for k, v in R.xml_fields(c("x"), {"no": ("InvoiceNo", "FPHM"), "buyer": ("Buyer",)}).items()))

@@ -29,7 +29,10 @@ def _(t):
     return L.in_categories(t.invoices, ["receipt", "proforma"]).select("id", "invoice_category")
 
 
-@query("flt_04_by_ids", f"SELECT pos, i.id, invoice_no FROM (SELECT unnest({LISTED}) AS id, generate_subscripts({LISTED}, 1) - 1 AS pos) v JOIN {{invoices}} i ON i.id = v.id WHERE user_id = 4")
+@query(
+    "flt_04_by_ids",
+    f"SELECT pos, i.id, invoice_no FROM (SELECT unnest({LISTED}) AS id, generate_subscripts({LISTED}, 1) - 1 AS pos) v JOIN {{invoices}} i ON i.id = v.id WHERE user_id = 4"
+)
 def _(t):
     return L.by_ids(t.invoices, LISTED, 4).select("pos", "id", "invoice_no")
 
@@ -55,7 +58,10 @@ def _(t):
     return L.apply_ingest_options(t.emails, since="2024-01-05 06:00:00").select("email_id", "received_at")
 
 
-@query("flt_08_scannable_folders", r"SELECT id, folder FROM {folders} f WHERE NOT (LOWER(flag) IN ('\noselect', '\drafts', '\trash', '\all') OR well_known IN ('drafts', 'deleteditems', 'outbox') OR is_search OR items = 0)")
+@query(
+    "flt_08_scannable_folders",
+    r"SELECT id, folder FROM {folders} f WHERE NOT (LOWER(flag) IN ('\noselect', '\drafts', '\trash', '\all') OR well_known IN ('drafts', 'deleteditems', 'outbox') OR is_search OR items = 0)"
+)
 def _(t):
     return L.scannable_folders(t.folders).select("id", "folder")
 
@@ -105,7 +111,10 @@ def _(t):
 STAMP = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond({c}) % 1000000 = 0 THEN '' ELSE strftime({c}, '.%f') END"
 
 
-@query("prj_03_log_view", f"SELECT id, email_account_id, {STAMP('started_at')} || '+00:00' AS started_at, {STAMP('finished_at')} || '+00:00' AS finished_at, emails_scanned, invoices_found, error_message FROM {{scan_logs}} s")
+@query(
+    "prj_03_log_view",
+    f"SELECT id, email_account_id, {STAMP('started_at')} || '+00:00' AS started_at, {STAMP('finished_at')} || '+00:00' AS finished_at, emails_scanned, invoices_found, error_message FROM {{scan_logs}} s"
+)
 def _(t):
     return L.log_view(t.scan_logs)
 
@@ -143,7 +152,10 @@ def _(t):
     return J.invoice_counts(t.users, t.invoices)
 
 
-@query("jon_02_mark_existing", "SELECT cand_id, MIN(i.id) AS existing_id FROM {candidates} c LEFT JOIN {invoices} i ON i.user_id = c.user_id AND i.invoice_no = c.invoice_no AND c.invoice_no <> '' GROUP BY cand_id")
+@query(
+    "jon_02_mark_existing",
+    "SELECT cand_id, MIN(i.id) AS existing_id FROM {candidates} c LEFT JOIN {invoices} i ON i.user_id = c.user_id AND i.invoice_no = c.invoice_no AND c.invoice_no <> '' GROUP BY cand_id"
+)
 def _(t):
     return J.mark_existing(t.candidates, t.invoices).groupBy("cand_id").agg(F.min("existing_id").alias("existing_id"))
 
@@ -166,7 +178,10 @@ def _(t):
     return J.hydrate(t.invoices, t.events.where("event_type = 'click'").select(F.col("event_id").alias("id")), 9).select("id", "invoice_no")
 
 
-@query("jon_05_hydrate_ranked", "SELECT row_number() OVER (ORDER BY e.value, e.event_id) AS place, i.id FROM events e JOIN {invoices} i ON i.id = e.event_id WHERE i.user_id = 9 AND i.invoice_date >= DATE '1997-01-01' ORDER BY 1 LIMIT 40")
+@query(
+    "jon_05_hydrate_ranked",
+    "SELECT row_number() OVER (ORDER BY e.value, e.event_id) AS place, i.id FROM events e JOIN {invoices} i ON i.id = e.event_id WHERE i.user_id = 9 AND i.invoice_date >= DATE '1997-01-01' ORDER BY 1 LIMIT 40"
+)
 def _(t):
     hits = t.events.select(F.col("event_id").alias("id"), "value")
     return J.hydrate_ranked(L.date_between(L.scoped(t.invoices, 9), "1997-01-01"), hits, [F.col("value"), F.col("id")], 40).select("place", "id")
@@ -186,17 +201,26 @@ def _(t):
     return _split(t)[0]
 
 
-@query("jon_06_cache_misses", f"SELECT r.k AS content_hash, r.n FROM {ASKED} r WHERE NOT EXISTS (SELECT 1 FROM {{llm_cache}} c WHERE c.content_hash = r.k AND ({LIVE}))")
+@query(
+    "jon_06_cache_misses",
+    f"SELECT r.k AS content_hash, r.n FROM {ASKED} r WHERE NOT EXISTS (SELECT 1 FROM {{llm_cache}} c WHERE c.content_hash = r.k AND ({LIVE}))"
+)
 def _(t):
     return _split(t)[1]
 
 
-@query("jon_07_active_sessions", "SELECT s.id, u.email FROM {sessions} s JOIN {users} u ON u.id = s.user_id WHERE revoked_at IS NULL AND expires_at > TIMESTAMP '2024-01-15 00:00:00' AND s.created_at <= TIMESTAMP '2024-01-15 00:00:00' AND is_active")
+@query(
+    "jon_07_active_sessions",
+    "SELECT s.id, u.email FROM {sessions} s JOIN {users} u ON u.id = s.user_id WHERE revoked_at IS NULL AND expires_at > TIMESTAMP '2024-01-15 00:00:00' AND s.created_at <= TIMESTAMP '2024-01-15 00:00:00' AND is_active"
+)
 def _(t):
     return J.active_sessions(t.sessions, t.users, "2024-01-15 00:00:00")
 
 
-@query("jon_08_drilldown", "SELECT l.id, l.outcome, l.created_at FROM {extraction_logs} l WHERE scan_log_id IN (SELECT id FROM {scan_logs} s WHERE user_id = (SELECT MIN(user_id) FROM {scan_logs} z))")
+@query(
+    "jon_08_drilldown",
+    "SELECT l.id, l.outcome, l.created_at FROM {extraction_logs} l WHERE scan_log_id IN (SELECT id FROM {scan_logs} s WHERE user_id = (SELECT MIN(user_id) FROM {scan_logs} z))"
+)
 def _(t):
     least = t.scan_logs.agg(F.min("user_id").alias("user_id"))
     return J.drilldown(t.extraction_logs, t.scan_logs.join(F.broadcast(least), "user_id")).select("id", "outcome", "created_at")
@@ -213,7 +237,9 @@ def _(t):
 def _(t):
     from docspend.functions.text import is_trusted
 
-    return t.emails.select("email_id", is_trusted(F.col("from_addr"), ["billing@src1.example", "@vendor.example", "src12", "pay.vendor.example"]).alias("trusted"))
+    return t.emails.select(
+        "email_id", is_trusted(F.col("from_addr"), ["billing@src1.example", "@vendor.example", "src12", "pay.vendor.example"]).alias("trusted")
+    )
 
 
 @query(
@@ -224,7 +250,10 @@ def _(t):
     return J.orphan_owners(t.listing, t.users)
 
 
-OWNED = {"correction_logs": "correction_logs", "extraction_logs": "extraction_logs", "webhook_logs": "webhook_logs", "saved_views": "saved_views", "invoices": "invoices", "scan_logs": "scan_logs", "email_accounts": "email_accounts", "user_sessions": "sessions"}
+OWNED = {
+    "correction_logs": "correction_logs", "extraction_logs": "extraction_logs", "webhook_logs": "webhook_logs", "saved_views": "saved_views",
+    "invoices": "invoices", "scan_logs": "scan_logs", "email_accounts": "email_accounts", "user_sessions": "sessions"
+}
 LEFT = " UNION ALL ".join(f"SELECT '{n}' AS tab, id FROM {{{f}}} x WHERE user_id <> 5" for n, f in OWNED.items())
 
 
@@ -247,17 +276,26 @@ def _(t):
     return D.reconcile_paths(t.invoices, t.listing).select("id", "status", "new_path")
 
 
-@query("jon_13_correction_history", "SELECT invoice_id, COUNT(DISTINCT field_name) AS fields, COUNT(*) AS n, arg_max(new_value, (corrected_at, id)) AS last_value FROM {correction_logs} x GROUP BY 1")
+@query(
+    "jon_13_correction_history",
+    "SELECT invoice_id, COUNT(DISTINCT field_name) AS fields, COUNT(*) AS n, arg_max(new_value, (corrected_at, id)) AS last_value FROM {correction_logs} x GROUP BY 1"
+)
 def _(t):
     return D.correction_history(t.correction_logs)
 
 
-@query("win_01_dedup_invoices", "SELECT cand_id, CASE WHEN row_number() OVER (PARTITION BY user_id, invoice_no ORDER BY received_at, email_uid, cand_id) = 1 THEN 'saved' ELSE 'duplicate' END AS outcome FROM (SELECT DISTINCT cand_id, user_id, invoice_no, received_at, email_uid FROM {candidates} y) c")
+@query(
+    "win_01_dedup_invoices",
+    "SELECT cand_id, CASE WHEN row_number() OVER (PARTITION BY user_id, invoice_no ORDER BY received_at, email_uid, cand_id) = 1 THEN 'saved' ELSE 'duplicate' END AS outcome FROM (SELECT DISTINCT cand_id, user_id, invoice_no, received_at, email_uid FROM {candidates} y) c"
+)
 def _(t):
     return W.dedup_invoices(t.candidates.select("cand_id", "user_id", "invoice_no", "received_at", "email_uid").distinct()).select("cand_id", "outcome")
 
 
-@query("win_02_dedup_messages", "SELECT email_id FROM (SELECT email_id, m, row_number() OVER (PARTITION BY account_id, m ORDER BY received_at, folder, email_id) AS rn FROM (SELECT *, trim(replace(replace(message_id, '<', ''), '>', '')) AS m FROM {emails} e) y) x WHERE rn = 1 OR m = ''")
+@query(
+    "win_02_dedup_messages",
+    "SELECT email_id FROM (SELECT email_id, m, row_number() OVER (PARTITION BY account_id, m ORDER BY received_at, folder, email_id) AS rn FROM (SELECT *, trim(replace(replace(message_id, '<', ''), '>', '')) AS m FROM {emails} e) y) x WHERE rn = 1 OR m = ''"
+)
 def _(t):
     return W.dedup_messages(t.emails).select("email_id")
 
@@ -270,7 +308,10 @@ HINTED = f"CASE WHEN NOT hinted THEN {BASIC} WHEN lower(filename) LIKE '%.xml' T
 def _names(t):
     ext = F.get(F.array(*map(F.lit, (".xml", ".OFD", ".pdf", ".txt"))), (F.col("l_partkey") % 4).cast("int"))
     hints = F.when(F.col("l_orderkey") % 2 == 0, F.array(F.lit("xml"), F.lit("OFD"))).alias("hints")
-    return t.lineitem.select(F.concat(F.lit("m"), "l_orderkey").alias("email_uid"), F.col("l_linenumber").alias("k"), F.concat(F.lit("f"), "l_linenumber", ext).alias("filename"), hints)
+    return t.lineitem.select(
+        F.concat(F.lit("m"), "l_orderkey").alias("email_uid"), F.col("l_linenumber").alias("k"),
+        F.concat(F.lit("f"), "l_linenumber", ext).alias("filename"), hints
+    )
 
 
 @query("win_03_prioritise", f"SELECT email_uid, k, filename, row_number() OVER (PARTITION BY email_uid ORDER BY {BASIC}, k, filename) AS turn FROM ({NAMES}) x")
@@ -278,44 +319,70 @@ def _(t):
     return W.prioritise(_names(t), "email_uid", "k").select("email_uid", "k", "filename", "turn")
 
 
-@query("win_03_prioritise_hinted", f"SELECT email_uid, k, filename, row_number() OVER (PARTITION BY email_uid ORDER BY {HINTED}, k, filename) AS turn FROM ({NAMES}) x")
+@query(
+    "win_03_prioritise_hinted",
+    f"SELECT email_uid, k, filename, row_number() OVER (PARTITION BY email_uid ORDER BY {HINTED}, k, filename) AS turn FROM ({NAMES}) x"
+)
 def _(t):
     return W.prioritise(_names(t), "email_uid", "k", hints="hints").select("email_uid", "k", "filename", "turn")
 
 
-@query("win_04_same_name_twice", "SELECT cand_id, row_number() OVER (PARTITION BY email_uid, filename ORDER BY cand_id, invoice_no) > 1 AS skipped FROM (SELECT DISTINCT cand_id, email_uid, filename, invoice_no FROM {candidates} y) c")
+@query(
+    "win_04_same_name_twice",
+    "SELECT cand_id, row_number() OVER (PARTITION BY email_uid, filename ORDER BY cand_id, invoice_no) > 1 AS skipped FROM (SELECT DISTINCT cand_id, email_uid, filename, invoice_no FROM {candidates} y) c"
+)
 def _(t):
-    return W.repeated_names(t.candidates.select("cand_id", "email_uid", "filename", "invoice_no").distinct(), "cand_id", "invoice_no").select("cand_id", "skipped")
+    return W.repeated_names(
+        t.candidates.select("cand_id", "email_uid", "filename", "invoice_no").distinct(), "cand_id", "invoice_no"
+    ).select("cand_id", "skipped")
 
 
-@query("win_05_latest_scan", "SELECT user_id, id, started_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, id DESC) AS rn FROM {scan_logs} s) x WHERE rn = 1")
+@query(
+    "win_05_latest_scan",
+    "SELECT user_id, id, started_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, id DESC) AS rn FROM {scan_logs} s) x WHERE rn = 1"
+)
 def _(t):
     top = t.scan_logs.groupBy("user_id").agg(F.max(F.struct("started_at", "id")).alias("m"))
     return top.select("user_id", "m.id", "m.started_at")
 
 
-@query("win_06_assign_paths", "SELECT id, seller || CASE WHEN rn = 1 THEN '' ELSE '_' || (rn - 1) END AS path FROM (SELECT id, seller, row_number() OVER (PARTITION BY user_id, seller ORDER BY id) AS rn FROM {invoices} i) x")
+@query(
+    "win_06_assign_paths",
+    "SELECT id, seller || CASE WHEN rn = 1 THEN '' ELSE '_' || (rn - 1) END AS path FROM (SELECT id, seller, row_number() OVER (PARTITION BY user_id, seller ORDER BY id) AS rn FROM {invoices} i) x"
+)
 def _(t):
     return W.assign_paths(t.invoices, "user_id", "seller", "id").select("id", "path")
 
 
-@query("win_07_cap_seen", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn <= 40")
+@query(
+    "win_07_cap_seen",
+    "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn <= 40"
+)
 def _(t):
     return W.cap_seen(t.events.withColumn("o", F.struct("ts", "event_id")), 40, "user_id", F.desc("o")).select("event_id")
 
 
-@query("win_08_retention", "SELECT id FROM {extraction_logs} l WHERE id NOT IN (SELECT id FROM {extraction_logs} m WHERE created_at < TIMESTAMP '2024-01-10 00:00:00' ORDER BY id LIMIT 1000)")
+@query(
+    "win_08_retention",
+    "SELECT id FROM {extraction_logs} l WHERE id NOT IN (SELECT id FROM {extraction_logs} m WHERE created_at < TIMESTAMP '2024-01-10 00:00:00' ORDER BY id LIMIT 1000)"
+)
 def _(t):
     return W.retention_split(t.extraction_logs, F.col("created_at") < F.lit("2024-01-10").cast("timestamp"), 1000).select("id")
 
 
-@query("win_09_after_last_known", "SELECT email_id FROM {emails} e LEFT JOIN (SELECT account_id, MAX(email_id) AS last FROM {emails} k WHERE folder = 'Archive' AND email_id % 4 < 3 GROUP BY 1) x USING (account_id) WHERE last IS NULL OR email_id > last")
+@query(
+    "win_09_after_last_known",
+    "SELECT email_id FROM {emails} e LEFT JOIN (SELECT account_id, MAX(email_id) AS last FROM {emails} k WHERE folder = 'Archive' AND email_id % 4 < 3 GROUP BY 1) x USING (account_id) WHERE last IS NULL OR email_id > last"
+)
 def _(t):
     known = t.emails.where("folder = 'Archive' AND email_id % 4 < 3").select("account_id", "uid")
     return W.after_last_known(t.emails, known, "email_id").select("email_id")
 
 
-@query("srt_01_page_invoices", "SELECT id, invoice_date, (SELECT COUNT(*) FROM {invoices} j WHERE user_id = 3) AS total FROM {invoices} i WHERE user_id = 3 ORDER BY invoice_date DESC, id DESC LIMIT 20 OFFSET 20")
+@query(
+    "srt_01_page_invoices",
+    "SELECT id, invoice_date, (SELECT COUNT(*) FROM {invoices} j WHERE user_id = 3) AS total FROM {invoices} i WHERE user_id = 3 ORDER BY invoice_date DESC, id DESC LIMIT 20 OFFSET 20"
+)
 def _(t):
     return L.page_invoices(L.scoped(t.invoices, 3), 2, 20).select("id", "invoice_date", "total")
 
@@ -335,12 +402,18 @@ def _(t):
     return L.order_messages(t.emails).select("email_id", "received_at")
 
 
-@query("set_02_pending_links", "SELECT DISTINCT link FROM {emails} e WHERE link IS NOT NULL AND link NOT IN (SELECT link FROM {emails} k WHERE folder = 'Archive' AND link IS NOT NULL)")
+@query(
+    "set_02_pending_links",
+    "SELECT DISTINCT link FROM {emails} e WHERE link IS NOT NULL AND link NOT IN (SELECT link FROM {emails} k WHERE folder = 'Archive' AND link IS NOT NULL)"
+)
 def _(t):
     return J.pending_links(t.emails, t.emails.where("folder = 'Archive' AND link IS NOT NULL"))
 
 
-@query("set_03_events_to_audit", "SELECT id, email_uid, outcome FROM {extraction_logs} l UNION ALL SELECT NULL, 'scanner:' || event_type || ':' || (event_id % 5), event_type FROM events WHERE event_type = 'error'")
+@query(
+    "set_03_events_to_audit",
+    "SELECT id, email_uid, outcome FROM {extraction_logs} l UNION ALL SELECT NULL, 'scanner:' || event_type || ':' || (event_id % 5), event_type FROM events WHERE event_type = 'error'"
+)
 def _(t):
     found = t.events.where("event_type = 'error'").select(F.col("event_type").alias("kind"), (F.col("event_id") % 5).cast("string").alias("folder"))
     return J.events_to_audit(t.extraction_logs.select("id", "email_uid", "outcome"), found)

@@ -27,12 +27,18 @@ def _(t):
     return X.match(X.build_index(t.invoices), all_=("seller", "machinery"), any_=("qr", "3", "5"), none_=("receipt",), prefix="cust")
 
 
-@query("txt_02_phrase", f"WITH x AS ({INDEX}) SELECT DISTINCT a.id FROM x a JOIN x b ON a.id = b.id AND a.col = b.col AND b.pos = a.pos + 1 JOIN x d ON a.id = d.id AND a.col = d.col AND d.pos = a.pos + 2 WHERE a.term = 'seller' AND b.term = 'furniture' AND d.term = '7'")
+@query(
+    "txt_02_phrase",
+    f"WITH x AS ({INDEX}) SELECT DISTINCT a.id FROM x a JOIN x b ON a.id = b.id AND a.col = b.col AND b.pos = a.pos + 1 JOIN x d ON a.id = d.id AND a.col = d.col AND d.pos = a.pos + 2 WHERE a.term = 'seller' AND b.term = 'furniture' AND d.term = '7'"
+)
 def _(t):
     return X.match(X.build_index(t.invoices), phrase="Seller, FURNITURE-7")
 
 
-@query("txt_02_folded", f"WITH x AS ({INDEX}) SELECT id FROM x GROUP BY id HAVING COUNT(*) FILTER (term = 'machinery') > 0 AND COUNT(*) FILTER (term = '5') = 0")
+@query(
+    "txt_02_folded",
+    f"WITH x AS ({INDEX}) SELECT id FROM x GROUP BY id HAVING COUNT(*) FILTER (term = 'machinery') > 0 AND COUNT(*) FILTER (term = '5') = 0"
+)
 def _(t):
     """Arguments are read as texts are: case, marks and signs do not matter."""
     return X.match(X.build_index(t.invoices), all_=("Máchinery!",), none_=("-5-",))
@@ -52,9 +58,14 @@ def _(t):
     return X.bm25(t.invoices, ["building", "11", "overseas"], 50)
 
 
-@query("txt_04_search", f"WITH x AS ({INDEX}) SELECT id, invoice_date FROM {{invoices}} v WHERE user_id = 12 AND invoice_date >= DATE '1996-01-01' AND invoice_category IN ('vat_invoice', 'receipt') AND id IN (SELECT id FROM x WHERE term = 'seller' INTERSECT SELECT id FROM x WHERE term = 'household')")
+@query(
+    "txt_04_search",
+    f"WITH x AS ({INDEX}) SELECT id, invoice_date FROM {{invoices}} v WHERE user_id = 12 AND invoice_date >= DATE '1996-01-01' AND invoice_category IN ('vat_invoice', 'receipt') AND id IN (SELECT id FROM x WHERE term = 'seller' INTERSECT SELECT id FROM x WHERE term = 'household')"
+)
 def _(t):
-    return X.search(t.invoices, X.build_index(t.invoices), ["seller", "household"], 12, lo="1996-01-01", categories=["vat_invoice", "receipt"]).select("id", "invoice_date")
+    return X.search(
+        t.invoices, X.build_index(t.invoices), ["seller", "household"], 12, lo="1996-01-01", categories=["vat_invoice", "receipt"]
+    ).select("id", "invoice_date")
 
 
 ALIKE = f"""w AS (SELECT COUNT(*) AS docs, AVG(size) AS mean FROM (SELECT {" + ".join(f"len({TOK(c)})" for c in COLUMNS)} AS size FROM {{invoices}} i) z WHERE size > 0),
@@ -75,7 +86,10 @@ def _(t):
 KNN = "SELECT q.vec_id AS query_id, v.vec_id AS id, ROUND(sqrt(list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS distance FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0"
 
 
-@query("vec_01_knn", f"SELECT query_id, id, distance, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM ({KNN}) x) y WHERE place <= 10")
+@query(
+    "vec_01_knn",
+    f"SELECT query_id, id, distance, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM ({KNN}) x) y WHERE place <= 10"
+)
 def _(t):
     rows = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
     return V.knn(rows, rows.where("id % 20 = 0"), 10)
@@ -125,7 +139,10 @@ def _(t):
     return sinks.csv_rows(X.search(t.invoices, None, [], 12, categories=["proforma"]))
 
 
-@query("snk_02_manifest", "SELECT i.id, i.file_path, l.path IS NOT NULL AS present FROM {invoices} i LEFT JOIN {listing} l ON l.path = i.file_path WHERE user_id = 6 AND i.id IN (SELECT event_id FROM events)")
+@query(
+    "snk_02_manifest",
+    "SELECT i.id, i.file_path, l.path IS NOT NULL AS present FROM {invoices} i LEFT JOIN {listing} l ON l.path = i.file_path WHERE user_id = 6 AND i.id IN (SELECT event_id FROM events)"
+)
 def _(t):
     return sinks.bundle_manifest(t.invoices, t.events.select(F.col("event_id").alias("id")), 6, t.listing).select("id", "file_path", "present")
 
@@ -146,13 +163,22 @@ def _(t):
     return sinks.invoice_events(t.invoices, "key")
 
 
-@query("snk_04_audit", "SELECT id, substring(email_subject || repeat('x', 3000), 1, 500) AS email_subject, substring(repeat('e', CAST(id % 3000 AS INT)), 1, 2000) AS error_detail FROM {extraction_logs} l")
+@query(
+    "snk_04_audit",
+    "SELECT id, substring(email_subject || repeat('x', 3000), 1, 500) AS email_subject, substring(repeat('e', CAST(id % 3000 AS INT)), 1, 2000) AS error_detail FROM {extraction_logs} l"
+)
 def _(t):
-    rows = t.extraction_logs.select("id", F.concat(F.col("email_subject"), F.repeat(F.lit("x"), F.lit(3000))).alias("email_subject"), F.repeat(F.lit("e"), (F.col("id") % 3000).cast("int")).alias("error_detail"))
+    rows = t.extraction_logs.select(
+        "id", F.concat(F.col("email_subject"), F.repeat(F.lit("x"), F.lit(3000))).alias("email_subject"),
+        F.repeat(F.lit("e"), (F.col("id") % 3000).cast("int")).alias("error_detail")
+    )
     return sinks.audit_rows(rows)
 
 
-@query("snk_06_delivery_log", "SELECT event_id, 200 + user_id * 3 BETWEEN 200 AND 299 AS success, CASE WHEN 200 + user_id * 3 BETWEEN 200 AND 299 THEN NULL ELSE substring(props, 1, 2000) END AS error_detail FROM events")
+@query(
+    "snk_06_delivery_log",
+    "SELECT event_id, 200 + user_id * 3 BETWEEN 200 AND 299 AS success, CASE WHEN 200 + user_id * 3 BETWEEN 200 AND 299 THEN NULL ELSE substring(props, 1, 2000) END AS error_detail FROM events"
+)
 def _(t):
     rows = t.events.select("event_id", (F.lit(200) + F.col("user_id") * 3).alias("status_code"), F.col("props").alias("error"))
     return sinks.delivery_log(rows).select("event_id", "success", "error_detail")

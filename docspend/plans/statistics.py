@@ -16,7 +16,10 @@ def _(t):
     return A.totals(t.invoices)
 
 
-@query("agg_02_month_totals", f"SELECT COUNT(*) AS n, {M} AS total FROM {{invoices}} i WHERE invoice_date >= DATE '2001-07-01' AND invoice_date < DATE '2001-08-01'")
+@query(
+    "agg_02_month_totals",
+    f"SELECT COUNT(*) AS n, {M} AS total FROM {{invoices}} i WHERE invoice_date >= DATE '2001-07-01' AND invoice_date < DATE '2001-08-01'"
+)
 def _(t):
     return A.month_totals(t.invoices, AS_OF)
 
@@ -60,7 +63,10 @@ def _(t):
     return A.by_currency(t.invoices).orderBy(F.desc("total"))
 
 
-@query("agg_10_monthly_by_currency", f"SELECT strftime(invoice_date, '%Y-%m') AS month, {CUR} AS currency, {M} AS total, COUNT(*) AS n FROM {{invoices}} i GROUP BY 1, 2")
+@query(
+    "agg_10_monthly_by_currency",
+    f"SELECT strftime(invoice_date, '%Y-%m') AS month, {CUR} AS currency, {M} AS total, COUNT(*) AS n FROM {{invoices}} i GROUP BY 1, 2"
+)
 def _(t):
     return A.monthly_by_currency(t.invoices)
 
@@ -109,17 +115,33 @@ def _(t):
     """The document, its lists written as text so that every entry is compared."""
     doc = A.spend_stats(t.invoices, t.scan_logs, t.email_accounts, AS_OF)
     text = lambda x: F.coalesce(x.cast("string"), F.lit("~"))
-    shown = {"monthly_spend": ("month", "total", "count"), "top_sellers": ("seller", "total", "count"), "by_type": ("type", "count"), "by_category": ("category", "count"), "by_method": ("method", "count"), "by_currency": ("currency", "total", "count")}
+    shown = {
+        "monthly_spend": ("month", "total", "count"), "top_sellers": ("seller", "total", "count"), "by_type": ("type", "count"),
+        "by_category": ("category", "count"), "by_method": ("method", "count"), "by_currency": ("currency", "total", "count")
+    }
     line = lambda fields: lambda x: F.concat_ws("/", *(text(x[n]) for n in fields))
     lists = {name: F.array_join(F.transform(name, line(fields)), ";") for name, fields in shown.items()}
-    nested = F.flatten(F.transform("monthly_spend_by_currency", lambda x: F.transform(x["monthly_spend"], lambda y: F.concat_ws("/", x["currency"], y["month"], text(y["total"]), text(y["count"])))))
+    nested = F.flatten(
+        F.transform(
+            "monthly_spend_by_currency",
+            lambda x: F.transform(x["monthly_spend"], lambda y: F.concat_ws("/", x["currency"], y["month"], text(y["total"]), text(y["count"])))
+        )
+    )
     return doc.withColumns(lists | {"monthly_spend_by_currency": F.array_join(nested, ";")})
 
 
-@query("agg_10_monthly_lists", f"SELECT currency, string_agg(month || '/' || total || '/' || n, ';' ORDER BY month) AS months FROM (SELECT strftime(invoice_date, '%Y-%m') AS month, {CUR} AS currency, {M} AS total, COUNT(*) AS n FROM {{invoices}} i GROUP BY 1, 2) x GROUP BY 1")
+@query(
+    "agg_10_monthly_lists",
+    f"SELECT currency, string_agg(month || '/' || total || '/' || n, ';' ORDER BY month) AS months FROM (SELECT strftime(invoice_date, '%Y-%m') AS month, {CUR} AS currency, {M} AS total, COUNT(*) AS n FROM {{invoices}} i GROUP BY 1, 2) x GROUP BY 1"
+)
 def _(t):
     rows = A.monthly_lists(t.invoices)
-    return rows.select("currency", F.array_join(F.transform("monthly_spend", lambda x: F.concat_ws("/", x["month"], x["total"].cast("string"), x["count"].cast("string"))), ";").alias("months"))
+    return rows.select(
+        "currency",
+        F.array_join(
+            F.transform("monthly_spend", lambda x: F.concat_ws("/", x["month"], x["total"].cast("string"), x["count"].cast("string"))), ";"
+        ).alias("months")
+    )
 
 
 @query(
@@ -164,7 +186,10 @@ def _(t):
     """SELECT account_id, COUNT(*) AS messages, COUNT(attachment) AS found, COUNT(*) FILTER (email_id % 9 = 0) AS errors, CAST(MAX(CAST(uid AS BIGINT)) AS VARCHAR) AS newest_uid FROM {emails} e GROUP BY 1""",
 )
 def _(t):
-    results = t.emails.select("account_id", "uid", F.when(F.col("attachment").isNotNull(), 1).otherwise(0).alias("invoices_added"), F.when(F.col("email_id") % 9 == 0, "failed").alias("error"))
+    results = t.emails.select(
+        "account_id", "uid", F.when(F.col("attachment").isNotNull(), 1).otherwise(0).alias("invoices_added"),
+        F.when(F.col("email_id") % 9 == 0, "failed").alias("error")
+    )
     return A.run_rollup(results)
 
 
@@ -174,7 +199,10 @@ def _(t):
     return one(t.invoices, F.count("*").alias("invoices")).join(one(t.scan_logs, F.max("finished_at").alias("last_finished")), "k").drop("k")
 
 
-@query("agg_20_admin_count", "SELECT COUNT(*) FILTER (is_admin AND is_active) AS admins, COUNT(*) FILTER (is_admin AND is_active) > 1 AS may_remove FROM {users} u")
+@query(
+    "agg_20_admin_count",
+    "SELECT COUNT(*) FILTER (is_admin AND is_active) AS admins, COUNT(*) FILTER (is_admin AND is_active) > 1 AS may_remove FROM {users} u"
+)
 def _(t):
     return A.admin_count(t.users)
 

@@ -34,7 +34,10 @@ def run(stream: DataFrame) -> DataFrame:
 BEFORE = "SELECT account_id, folder, MAX(CAST(uid AS BIGINT)) AS top FROM {emails} b WHERE email_id % 2 = 0 GROUP BY 1, 2"
 
 
-@query("stm_01_ingest_stream", f"SELECT uid FROM {{emails}} e LEFT JOIN ({BEFORE}) b USING (account_id, folder) WHERE email_id % 2 = 0 OR top IS NULL OR CAST(uid AS BIGINT) > top")
+@query(
+    "stm_01_ingest_stream",
+    f"SELECT uid FROM {{emails}} e LEFT JOIN ({BEFORE}) b USING (account_id, folder) WHERE email_id % 2 = 0 OR top IS NULL OR CAST(uid AS BIGINT) > top"
+)
 def _(t):
     """Two batches: of the second only what is newer than the first is new."""
     rows = t.emails.select("account_id", "folder", "uid", F.lit("v1").alias("uidvalidity"))
@@ -68,7 +71,10 @@ def _(t):
     return t.spark.read.parquet(f"{out}/audit").select(*LOG.split(", "))
 
 
-@query("src_01_typed_tables", "SELECT 'invoices' AS tab, COUNT(*) AS n, SUM(id) AS ids FROM {invoices} i UNION ALL SELECT 'saved_views', COUNT(*), SUM(id) FROM {saved_views} v UNION ALL SELECT 'scan_logs', COUNT(*), SUM(id) FROM {scan_logs} s")
+@query(
+    "src_01_typed_tables",
+    "SELECT 'invoices' AS tab, COUNT(*) AS n, SUM(id) AS ids FROM {invoices} i UNION ALL SELECT 'saved_views', COUNT(*), SUM(id) FROM {saved_views} v UNION ALL SELECT 'scan_logs', COUNT(*), SUM(id) FROM {scan_logs} s"
+)
 def _(t):
     """Tables written to a folder and loaded with their fixed schemas."""
     path, out = scratch(t.spark, "tables"), None

@@ -54,7 +54,9 @@ def _phrase(index: DataFrame, words: list[str]) -> DataFrame:
     return at.select("id").distinct()
 
 
-def match(index: DataFrame, all_=(), any_=(), none_=(), prefix: str | None = None, phrase: str | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+def match(
+    index: DataFrame, all_=(), any_=(), none_=(), prefix: str | None = None, phrase: str | None = None, columns: tuple[str, ...] | None = None
+) -> DataFrame:
     """Ids of the documents that hold all, at least one and none of the given texts, a prefix and a phrase.
 
     Every argument is read as the index reads texts; one of several words is a phrase, one without
@@ -129,12 +131,21 @@ def bm25(df: DataFrame, terms: list[str], k: int | None = None, key: str = "id",
     at = lambda i: F.get("tf", F.lit(i))
     counts = F.array(*(F.count(F.when(at(i) > 0, 1)) for i in range(len(words))))
     whole = rows.where("size > 0").agg(F.struct(F.count("*").alias("docs"), F.avg("size").alias("mean"), counts.alias("df")).alias("w")).scalar()
-    score = reduce(lambda a, b: a + b, (F.when(at(i) > 0, _idf(whole["docs"], F.get(whole["df"], F.lit(i))) * _weight(at(i), F.col("size"), whole["mean"])).otherwise(0.0) for i in range(len(words))))
+    score = reduce(
+        lambda a, b: a + b,
+        (
+            F.when(
+                at(i) > 0, _idf(whole["docs"], F.get(whole["df"], F.lit(i))) * _weight(at(i), F.col("size"), whole["mean"])
+            ).otherwise(0.0) for i in range(len(words))
+        )
+    )
     found = rows.where(F.exists("tf", lambda x: x > 0)).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), F.desc("id"))
     return found.limit(k) if k else found
 
 
-def search(df: DataFrame, index: DataFrame, terms: list[str], user_id: int, lo: str | None = None, hi: str | None = None, categories: list[str] | None = None) -> DataFrame:
+def search(
+    df: DataFrame, index: DataFrame, terms: list[str], user_id: int, lo: str | None = None, hi: str | None = None, categories: list[str] | None = None
+) -> DataFrame:
     """A tenant's invoices with all terms, within dates and categories, newest first; no terms, no match filter."""
     from docspend.operators.filters import date_between, in_categories, scoped
 

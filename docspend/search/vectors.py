@@ -28,7 +28,10 @@ def _blocks(df: DataFrame, size: int, prefix: str) -> DataFrame:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
                 matrix = np.array(part.column("embedding").to_pylist(), "<f8")
-                yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary())], [f"{prefix}_ids", f"{prefix}_data"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary())],
+                    [f"{prefix}_ids", f"{prefix}_data"]
+                )
 
     rows = df.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>"))
     return rows.mapInArrow(run, f"{prefix}_ids array<long>, {prefix}_data binary")

@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from docspend.functions.text import iso
 
-CSV_COLUMNS = ("invoice_no", "buyer", "seller", "amount", "invoice_date", "invoice_category", "invoice_type", "item_summary", "extraction_method", "confidence", "created_at")
+CSV_COLUMNS = (
+    "invoice_no", "buyer", "seller", "amount", "invoice_date", "invoice_category", "invoice_type", "item_summary", "extraction_method", "confidence",
+    "created_at"
+)
 
 
 def csv_rows(df: DataFrame) -> DataFrame:
     """The columns of the export: no nulls in the summary, ISO dates and times."""
-    special = {"invoice_date": F.date_format("invoice_date", "yyyy-MM-dd"), "item_summary": F.coalesce("item_summary", F.lit("")), "created_at": iso("created_at")}
+    special = {
+        "invoice_date": F.date_format("invoice_date", "yyyy-MM-dd"), "item_summary": F.coalesce("item_summary", F.lit("")),
+        "created_at": iso("created_at")
+    }
     return df.select(*(special.get(c, F.col(c)).alias(c) for c in CSV_COLUMNS))
 
 
@@ -48,8 +54,14 @@ def hmac_sha256(secret: str, message: Column) -> Column:
 
 def invoice_events(df: DataFrame, secret: str) -> DataFrame:
     """id, body, signature: compact JSON in fixed key order and its signature."""
-    parts = {"event": F.lit("invoice.created"), "invoice_no": F.col("invoice_no"), "buyer": F.col("buyer"), "seller": F.col("seller"), "amount": F.col("amount").cast("string")}
-    parts |= {"invoice_date": F.date_format("invoice_date", "yyyy-MM-dd"), "invoice_type": F.col("invoice_type"), "confidence": F.col("confidence").cast("double")}
+    parts = {
+        "event": F.lit("invoice.created"), "invoice_no": F.col("invoice_no"), "buyer": F.col("buyer"), "seller": F.col("seller"),
+        "amount": F.col("amount").cast("string")
+    }
+    parts |= {
+        "invoice_date": F.date_format("invoice_date", "yyyy-MM-dd"), "invoice_type": F.col("invoice_type"),
+        "confidence": F.col("confidence").cast("double")
+    }
     body = F.to_json(F.struct(*(v.alias(k) for k, v in parts.items())), {"ignoreNullFields": "false"})
     return df.select("id", body.alias("body")).withColumn("signature", F.concat(F.lit("sha256="), hmac_sha256(secret, F.col("body"))))
 

@@ -86,7 +86,10 @@ def _call_once(df: DataFrame, key: str, column: str, cache: DataFrame | None, fn
     return misses.mapInPandas(run, f"{key} string, response string")
 
 
-def enrich(df: DataFrame, extractor: Callable[[list[str]], list[str | None]], cache: DataFrame | None = None, column: str = "raw_text", prompt: str = "extract") -> DataFrame:
+def enrich(
+    df: DataFrame, extractor: Callable[[list[str]], list[str | None]], cache: DataFrame | None = None, column: str = "raw_text",
+    prompt: str = "extract"
+) -> DataFrame:
     """df with content_hash and response: the user's extractor runs once for each distinct text that the
     cache (content_hash, response) does not know; the key hashes the text that it is given, all of it.
 

@@ -20,7 +20,9 @@ def load_tables(spark: SparkSession, path: str, *names: str) -> dict[str, DataFr
 def magic_format(content: Column) -> Column:
     """pdf, xml or ofd by the first bytes; null for others."""
     head = F.hex(F.substring(content, 1, 8))
-    return F.when(head.startswith("25504446"), "pdf").when(head.startswith("3C3F786D6C") | head.startswith("EFBBBF3C3F786D6C"), "xml").when(head.startswith("504B0304"), "ofd")
+    return F.when(head.startswith("25504446"), "pdf").when(
+        head.startswith("3C3F786D6C") | head.startswith("EFBBBF3C3F786D6C"), "xml"
+    ).when(head.startswith("504B0304"), "ofd")
 
 
 def scan_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -50,7 +52,12 @@ GRAPH = "internetMessageId string, id string, subject string, bodyPreview string
 def emails_from_graph_json(df: DataFrame, column: str = "value") -> DataFrame:
     item = F.from_json(column, GRAPH)
     rows = df.select(*(c for c in df.columns if c != column), item.alias("m"))
-    return rows.select(*(c for c in df.columns if c != column), F.coalesce("m.internetMessageId", "m.id").alias("uid"), F.coalesce("m.subject", F.lit("")).alias("subject"), F.coalesce("m.from.emailAddress.address", F.lit("")).alias("from_addr"), F.coalesce("m.bodyPreview", F.lit("")).alias("body_text"), F.try_to_timestamp("m.receivedDateTime", F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")).alias("received_at"))
+    return rows.select(
+        *(c for c in df.columns if c != column), F.coalesce("m.internetMessageId", "m.id").alias("uid"),
+        F.coalesce("m.subject", F.lit("")).alias("subject"), F.coalesce("m.from.emailAddress.address", F.lit("")).alias("from_addr"),
+        F.coalesce("m.bodyPreview", F.lit("")).alias("body_text"),
+        F.try_to_timestamp("m.receivedDateTime", F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")).alias("received_at")
+    )
 
 
 def emails_from_portal(pages: DataFrame, provider: str = "Portal", site: str = "portal.example", sender: str = "invoices@portal.example") -> DataFrame:
@@ -62,7 +69,10 @@ def emails_from_portal(pages: DataFrame, provider: str = "Portal", site: str = "
         F.concat(F.lit(f"{provider} subscription invoice "), c("portal_id")), F.lit(f"Provider: {provider} ({site})"), F.concat(F.lit("Bill-to: "), F.coalesce("bill_to", F.lit("Unknown"))),
         F.concat(F.lit("Amount: "), paid), F.concat(F.lit("Date: "), blank("date")), F.concat(F.lit("URL: "), c("url")),
     ]
-    headers = {"_scraper": F.lit("portal"), "_invoice_id": c("portal_id"), "_invoice_url": c("url"), "_currency": F.lit("USD"), "_amount_pretty": paid, "_account_id": blank("account_id")}
+    headers = {
+        "_scraper": F.lit("portal"), "_invoice_id": c("portal_id"), "_invoice_url": c("url"), "_currency": F.lit("USD"), "_amount_pretty": paid,
+        "_account_id": blank("account_id")
+    }
     pairs = [x for k, v in headers.items() for x in (F.lit(k), v)]
     return pages.select(
         F.concat(F.lit("portal:"), c("portal_id")).alias("uid"), F.trim(F.concat(F.lit(f"{provider} Invoice "), c("portal_id"), F.lit(" — "), paid, F.lit(" "), blank("date"))).alias("subject"),

@@ -31,7 +31,9 @@ def ingest_increment(messages: DataFrame, state: DataFrame) -> tuple[DataFrame,
 
 def skip_unchanged(status: DataFrame, state: DataFrame) -> DataFrame:
     """Folders to read: those whose next uid, message count or validity differs from the saved ones."""
-    same = (F.col("uidnext") == F.col("s_uidnext")) & (F.col("messages") == F.col("s_messages")) & ((F.coalesce("s_validity", F.lit("")) == "") | (F.col("uidvalidity") == F.col("s_validity")))
+    same = (F.col("uidnext") == F.col("s_uidnext")) & (F.col("messages") == F.col("s_messages")) & (
+        (F.coalesce("s_validity", F.lit("")) == "") | (F.col("uidvalidity") == F.col("s_validity"))
+    )
     return status.join(state, ["account_id", "folder"], "left").withColumn("skip", F.coalesce(same, F.lit(False)))
 
 
@@ -49,7 +51,9 @@ def ingest_stream(messages: DataFrame) -> DataFrame:
         rows = pd.concat(list(frames), ignore_index=True)
         last, validity = state.get if state.exists else ("", "")
         order = lambda u: (0, int(u), u) if u.isascii() and u.isdigit() else (1, 0, u)
-        newer = lambda u: bool(u) and (not last or (int(u) > int(last) if u.isascii() and u.isdigit() and last.isascii() and last.isdigit() else u > last))
+        newer = lambda u: bool(u) and (
+            not last or (int(u) > int(last) if u.isascii() and u.isdigit() and last.isascii() and last.isdigit() else u > last)
+        )
         now = max((v for v in rows["uidvalidity"].fillna("")), default="")
         if now and validity and now != validity:
             last = ""
@@ -99,7 +103,9 @@ def progress_stream(df: DataFrame, window: str = "1 day", late: str = "1 hour")
     """Processed, found and failed by run window."""
     kind = lambda k: F.sum(F.when(F.col("event_type") == k, 1).otherwise(0))
     rows = df.withWatermark("ts", late) if df.isStreaming else df
-    return rows.groupBy(F.window("ts", window)).agg(F.count("*").alias("processed"), kind("purchase").alias("found"), kind("error").alias("errors")).select(F.col("window.start").alias("start"), "processed", "found", "errors")
+    return rows.groupBy(F.window("ts", window)).agg(
+        F.count("*").alias("processed"), kind("purchase").alias("found"), kind("error").alias("errors")
+    ).select(F.col("window.start").alias("start"), "processed", "found", "errors")
 
 
 def run_stream(source: DataFrame, decide: Callable[[DataFrame, Callable[[str], DataFrame | None]], dict[str, DataFrame]], out: str, checkpoint: str):

@@ -42,7 +42,13 @@ def test_trusted_senders(spark, sender, trusted):
     assert one(spark, T.is_trusted(c("s"), ["billing@x.com", "@d.com", "legacy", "plain.org"]), s=sender) is trusted
 
 
-@pytest.mark.parametrize(("raw", "day"), [("20240115", datetime.date(2024, 1, 15)), ("2024-1-5 x", datetime.date(2024, 1, 5)), ("2024年03月04日", datetime.date(2024, 3, 4)), ("2024-02-30", None), ("soon", None)])
+@pytest.mark.parametrize(
+    ("raw", "day"),
+    [
+        ("20240115", datetime.date(2024, 1, 15)), ("2024-1-5 x", datetime.date(2024, 1, 5)), ("2024年03月04日", datetime.date(2024, 3, 4)),
+        ("2024-02-30", None), ("soon", None)
+    ]
+)
 def test_qr_dates(spark, raw, day):
     assert one(spark, P.qr_date(c("d")), d=raw) == day
 
@@ -51,7 +57,10 @@ def test_fields_of_a_document(spark):
     text = "电子发票\n发票号码：12345678\n开票日期：2024年5月6日\n购 买 方信息 名称：Buyer Ltd\n销售方 名称: Seller Inc 纳税人\n价税合计（大写）壹仟 ￥1,234.50"
     f = P.fields(c("t"))
     got = one(spark, F.struct(*(v.alias(k) for k, v in f.items())), t=text)
-    assert got.asDict() == {"invoice_no": "12345678", "invoice_date": datetime.date(2024, 5, 6), "buyer": "Buyer Ltd", "seller": "Seller Inc", "amount": Decimal("1234.50")}
+    assert got.asDict() == {
+        "invoice_no": "12345678", "invoice_date": datetime.date(2024, 5, 6), "buyer": "Buyer Ltd", "seller": "Seller Inc",
+        "amount": Decimal("1234.50")
+    }
     score = P.confidence(f["invoice_no"], f["buyer"], f["seller"], f["amount"], f["invoice_date"], F.lit(None).cast("string"))
     assert one(spark, score, t=text) == Decimal("0.90")
 
@@ -61,14 +70,23 @@ def test_safe_component(spark, name, clean):
     assert one(spark, P.safe_component(c("n")), n=name) == clean
 
 
-@pytest.mark.parametrize(("raw", "folders"), [(None, []), ("", []), ("42", [("INBOX", "42")]), ("[1]", [("INBOX", "[1]")]), ('{"A": {"uid": "5"}, "B": {}}', [("A", "5"), ("B", "")]), ('{"A": "x"}', [("INBOX", '{"A": "x"}')])])
+@pytest.mark.parametrize(
+    ("raw", "folders"),
+    [
+        (None, []), ("", []), ("42", [("INBOX", "42")]), ("[1]", [("INBOX", "[1]")]), ('{"A": {"uid": "5"}, "B": {}}', [("A", "5"), ("B", "")]),
+        ('{"A": "x"}', [("INBOX", '{"A": "x"}')])
+    ]
+)
 def test_saved_state(spark, raw, folders):
     state = one(spark, ST.parse_state(c("s")), s=raw)
     assert sorted((k, v.uid) for k, v in state.items()) == folders
 
 
 def test_corrections(spark):
-    rows = spark.createDataFrame([(1, 9, "a", "s", Decimal("1.00"), False), (2, 9, "b", "s", Decimal("2.00"), False)], "id long, user_id long, buyer string, seller string, amount decimal(12,2), is_manually_corrected boolean")
+    rows = spark.createDataFrame(
+        [(1, 9, "a", "s", Decimal("1.00"), False), (2, 9, "b", "s", Decimal("2.00"), False)],
+        "id long, user_id long, buyer string, seller string, amount decimal(12,2), is_manually_corrected boolean"
+    )
     edits = spark.createDataFrame([(1, "new", Decimal("1.00")), (3, "none", None)], "id long, buyer string, amount decimal(12,2)")
     after, log, rejected = D.apply_corrections(rows, edits)
     assert rejected.count() == 0
@@ -122,8 +140,13 @@ def test_plugged_source_and_extractor(spark):
 
 
 def test_validity_change_reads_a_folder_again(spark):
-    messages = spark.createDataFrame([(1, "A", "5", "v2"), (1, "A", "9", "v2"), (1, "B", "3", "v1"), (1, "B", "10", "v1")], "account_id long, folder string, uid string, uidvalidity string")
-    state = spark.createDataFrame([(1, "A", "9", "v1"), (1, "B", "9", "v1"), (1, "C", "7", "v1")], "account_id long, folder string, last_uid string, validity string")
+    messages = spark.createDataFrame(
+        [(1, "A", "5", "v2"), (1, "A", "9", "v2"), (1, "B", "3", "v1"), (1, "B", "10", "v1")],
+        "account_id long, folder string, uid string, uidvalidity string"
+    )
+    state = spark.createDataFrame(
+        [(1, "A", "9", "v1"), (1, "B", "9", "v1"), (1, "C", "7", "v1")], "account_id long, folder string, last_uid string, validity string"
+    )
     fresh, seen = G.ingest_increment(messages, state)
     assert sorted((r.folder, r.uid) for r in fresh.collect()) == [("A", "5"), ("A", "9"), ("B", "10")]
     assert sorted((r.folder, r.last_uid, r.validity) for r in seen.collect()) == [("A", "9", "v2"), ("B", "10", "v1"), ("C", "7", "v1")]
@@ -172,12 +195,20 @@ def test_fields_with_wide_characters(spark):
     assert got.asDict() == {"invoice_no": "12345678", "invoice_date": datetime.date(2024, 1, 5), "buyer": "甲公司", "seller": "乙", "amount": Decimal("1234.50")}
 
 
-@pytest.mark.parametrize(("text", "reason"), [(f"微信{WIDE_SPACE}abcde1", "wechat/qq contact inline"), (f"１{WIDE_SPACE}３ ８ ０ ０", "obfuscated phone/contact digits")])
+@pytest.mark.parametrize(
+    ("text", "reason"), [(f"微信{WIDE_SPACE}abcde1", "wechat/qq contact inline"), (f"１{WIDE_SPACE}３ ８ ０ ０", "obfuscated phone/contact digits")]
+)
 def test_scam_with_wide_characters(spark, text, reason):
     assert one(spark, T.scam_reason(c("t")), t=text) == reason
 
 
-@pytest.mark.parametrize("text", ["&#8364;&#x4E2D;&eacute; &amp;lt; &ampx &notit; &copy2", "&#0;&#128;&#xD800;&#1114112;&#99999999999;", "&unknown; & &; a&b &nbsp;z", "&ngE;&#38;amp;", "&#x;&#;", "&#x1F600;&#65"])
+@pytest.mark.parametrize(
+    "text",
+    [
+        "&#8364;&#x4E2D;&eacute; &amp;lt; &ampx &notit; &copy2", "&#0;&#128;&#xD800;&#1114112;&#99999999999;", "&unknown; & &; a&b &nbsp;z",
+        "&ngE;&#38;amp;", "&#x;&#;", "&#x1F600;&#65"
+    ]
+)
 def test_references_decode_as_in_browsers(spark, text):
     import html
 
@@ -198,7 +229,10 @@ def test_instants(spark, text, at):
 
 
 def test_a_corrected_number_must_be_free(spark):
-    rows = spark.createDataFrame([(1, 9, "A", False), (2, 9, "B", False), (3, 9, "C", False), (4, 8, "D", False)], "id long, user_id long, invoice_no string, is_manually_corrected boolean")
+    rows = spark.createDataFrame(
+        [(1, 9, "A", False), (2, 9, "B", False), (3, 9, "C", False), (4, 8, "D", False)],
+        "id long, user_id long, invoice_no string, is_manually_corrected boolean"
+    )
     edits = spark.createDataFrame([(1, "B"), (2, "N"), (3, "N"), (4, "A")], "id long, invoice_no string")
     after, log, rejected = D.apply_corrections(rows, edits)
     assert [(r.id, r.invoice_no) for r in after.orderBy("id").collect()] == [(1, "A"), (2, "N"), (3, "C"), (4, "A")]  # another tenant's A is no collision
@@ -221,8 +255,15 @@ EXTRACTED = "x_valid boolean, x_category string, x_buyer string, x_seller string
 
 
 def judged_one(spark, policy, given=(), answer=()):
-    plain = {"cand_id": 1, "user_id": 1, "invoice_no": None, "buyer": None, "seller": None, "amount": None, "invoice_date": None, "invoice_type": None, "item_summary": None, "raw_text": "text", "extraction_method": "regex", "confidence": 0.7, "is_vat_document": False, "received_at": None, "email_uid": "m"}
-    extracted = {"x_valid": True, "x_category": "vat_invoice", "x_buyer": "XB", "x_seller": "未知", "x_item_summary": "XS", "x_invoice_type": "数电专票", "x_invoice_no": "X1", "x_invoice_date": datetime.date(2024, 5, 6), "x_amount": Decimal("5.00"), "x_confidence": 0.8}
+    plain = {
+        "cand_id": 1, "user_id": 1, "invoice_no": None, "buyer": None, "seller": None, "amount": None, "invoice_date": None, "invoice_type": None,
+        "item_summary": None, "raw_text": "text", "extraction_method": "regex", "confidence": 0.7, "is_vat_document": False, "received_at": None,
+        "email_uid": "m"
+    }
+    extracted = {
+        "x_valid": True, "x_category": "vat_invoice", "x_buyer": "XB", "x_seller": "未知", "x_item_summary": "XS", "x_invoice_type": "数电专票",
+        "x_invoice_no": "X1", "x_invoice_date": datetime.date(2024, 5, 6), "x_amount": Decimal("5.00"), "x_confidence": 0.8
+    }
     row = plain | dict(given) | extracted | dict(answer)
     from docspend.operators import intake as I
 
@@ -231,7 +272,9 @@ def judged_one(spark, policy, given=(), answer=()):
 
 def test_the_merge_takes_over_what_the_parser_lacks(spark):
     r = judged_one(spark, "upload", {"buyer": "B", "seller": "S", "amount": Decimal("0.01")})
-    assert (r.buyer, r.seller, r.item_summary, r.invoice_type, r.invoice_no, r.invoice_date, r.amount, r.extraction_method, r.confidence) == ("XB", "S", "XS", "数电专票", "X1", datetime.date(2024, 5, 6), Decimal("5.00"), "llm", 0.8)
+    assert (
+        r.buyer, r.seller, r.item_summary, r.invoice_type, r.invoice_no, r.invoice_date, r.amount, r.extraction_method, r.confidence
+    ) == ("XB", "S", "XS", "数电专票", "X1", datetime.date(2024, 5, 6), Decimal("5.00"), "llm", 0.8)
     assert r.outcome is None and r.category == "vat_invoice"
 
 
@@ -288,7 +331,9 @@ def test_incremental_stream_keeps_state(spark, tmp_path):
     stream = G.ingest_stream(G.stream_of(spark, f"{tmp_path}/in", spark.createDataFrame([], kinds).schema))
     for rows in ([(1, "A", "5", "v1"), (1, "A", "9", "v1")], [(1, "A", "9", "v1"), (1, "A", "10", "v1"), (1, "B", "1", "v1")], [(1, "A", "3", "v2")]):
         spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(60)
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+            "checkpointLocation", f"{tmp_path}/ck"
+        ).trigger(availableNow=True).start().awaitTermination(60)
     got = sorted((r.folder, r.uid, r.uidvalidity) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [("A", "10", "v1"), ("A", "3", "v2"), ("A", "5", "v1"), ("A", "9", "v1"), ("B", "1", "v1")]
 
@@ -298,7 +343,9 @@ def test_intake_stream_knows_earlier_batches(spark, tmp_path):
 
     kinds = "email_id long, user_id long, account_id long, folder string, uid string, uidvalidity string, message_id string, subject string, from_addr string, body_text string, received_at timestamp, attachments array<string>, links array<string>, headers map<string,string>"
     text = "电子发票（普通发票）税率 价税合计 发票号码：12345678\n开票日期：2024年5月6日\n购买方 名称：B 纳税人\n销售方 名称: S 纳税人\n价税合计（大写）壹 ￥1,234.50"
-    documents = spark.createDataFrame([(i, "a.pdf", text, "", "pdf") for i in (1, 2)], "email_id long, filename string, raw_text string, qr string, source_format string")
+    documents = spark.createDataFrame(
+        [(i, "a.pdf", text, "", "pdf") for i in (1, 2)], "email_id long, filename string, raw_text string, qr string, source_format string"
+    )
     logs = spark.createDataFrame([], "user_id long, email_uid string, attachment_filename string")
     stored = spark.createDataFrame([], "user_id long, invoice_no string")
     for i in (1, 2):
