@@ -50,18 +50,30 @@ NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'
 #: What stands in these is not markup.
 RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "object", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
-BLOCKS = {"address", "article", "aside", "blockquote", "center", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+INLINE = {
+    "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "object", "q", "s", "samp",
+    "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"
+}
+BLOCKS = {
+    "address", "article", "aside", "blockquote", "center", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+    "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"
+}
 #: An opening tag of the key closes an open element of these kinds.
 CLOSES = {k: {"p", "svg", "math"} for k in BLOCKS}
-CLOSES |= {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head"}}
+CLOSES |= {
+    "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"},
+    "th": {"td", "th", "p"}, "option": {"option"}, "body": {"head"}
+}
 #: Closing stops at these.
 SCOPES = {"table", "ul", "ol", "dl", "div", "section", "article", "main", "aside", "nav", "body", "html", "blockquote"}
 #: Bare elements of these kinds are told apart by their place among their like, the first PLACES of them.
 PLACED, PLACES = {"div", "section", "td", "center"}, 8
 
 #: Never text of an article.
-BESIDE = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "template", "noscript", "svg", "math", "canvas", "audio", "video", "map"}
+BESIDE = {
+    "head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "template", "noscript", "svg", "math", "canvas", "audio", "video",
+    "map"
+}
 #: What a reading may descend into.
 CONTAINERS = {"page", "html", "body", "div", "section", "article", "main", "center", "form", "table", "tbody", "tr", "td", "header"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -73,7 +85,9 @@ def _names(words: str) -> re.Pattern:
 
 
 #: Names of what stands beside an article, and names that may also be of its own text.
-STRONG = _names(r"ads?|advert\w*|adsense|banners?|promo\w*|sponsor\w*|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|popups?|modals?|newsletter|subscribe|signup|login|pagination|pager|skip")
+STRONG = _names(
+    r"ads?|advert\w*|adsense|banners?|promo\w*|sponsor\w*|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|popups?|modals?|newsletter|subscribe|signup|login|pagination|pager|skip"
+)
 WEAK = _names(r"notices?|alerts?|overlay|share|sharing|social|related|recommended|widgets?|footer|header|masthead|toolbar|search")
 FAVOURED = _names(r"article|story|post|entry|content|articlebody|main")
 
@@ -553,14 +567,19 @@ def read_through(pages: DataFrame, plans: DataFrame) -> DataFrame:
                         ready.clear()
                     ready[plan] = Reading(json.loads(plan))
                 texts.append("\n".join(main_blocks(page_tree(page), ready[plan])))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                ["page_id", "url", "text", "n_chars"]
+            )
 
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     if (plans.agg(F.sum(F.octet_length("plan") + F.octet_length("host"))).first()[0] or 0) <= BROADCAST:
         joined = rows.join(F.broadcast(plans), "host")
     else:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(plans.select("host", "plan", salts), ["host", "salt"])
+        joined = rows.withColumn(
+            "salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")
+        ).join(plans.select("host", "plan", salts), ["host", "salt"])
     return joined.select("page_id", "url", "html", "plan").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

@@ -64,7 +64,10 @@ def _runs(holders: int):
 
     def summary(run):
         values = [*run["key"], run["first"], run["last"], None, None]
-        return pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(values, kinds)), pa.nulls(1, pa.bool_()), pa.array([run["docs"]], pa.int64())], [*names, "open", "docs"])
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array([v], t) for v, t in zip(values, kinds)), pa.nulls(1, pa.bool_()), pa.array([run["docs"]], pa.int64())],
+            [*names, "open", "docs"]
+        )
 
     def more(run, ids):
         """Count a run's next documents."""
@@ -138,7 +141,9 @@ def _bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.ones(n, bool)
             keep[gone] = False
             maps.append(zlib.compress(np.packbits(keep).tobytes(), 1))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), batch.column("n_lines"), pa.array(maps, pa.binary())], ["id", "th", "n_lines", "keep"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("th"), batch.column("n_lines"), pa.array(maps, pa.binary())], ["id", "th", "n_lines", "keep"]
+        )
 
 
 def keep_bitmaps(docs: DataFrame, least: int = LEAST, holders: int = HOLDERS) -> DataFrame:
@@ -148,7 +153,9 @@ def keep_bitmaps(docs: DataFrame, least: int = LEAST, holders: int = HOLDERS) ->
     dealt = lines.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "pos")
     marks = written(dealt.mapInArrow(_runs(holders), MARKS), "marks")
     # a document at a boundary of partitions is the last of one summary and the first of the next
-    parts = marks.where("docs IS NOT NULL").groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct(F.col("id").alias("first"), F.col("th").alias("last"), "docs")), asc=False).alias("p"))
+    parts = marks.where("docs IS NOT NULL").groupBy("h1", "h2").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("id").alias("first"), F.col("th").alias("last"), "docs")), asc=False).alias("p")
+    )
     twice = F.expr("size(filter(sequence(1, size(p)), i -> i > 1 AND p[i - 1].first = p[i - 2].last))")
     shared = parts.where(F.expr("aggregate(p, 0L, (n, x) -> n + x.docs)") - twice >= holders).select("h1", "h2", F.expr("p[0].first").alias("stays"))
     late = marks.where("open").join(F.broadcast(shared), ["h1", "h2"]).where("id <> stays")
@@ -184,7 +191,10 @@ def report(docs: DataFrame, least: int = LEAST, holders: int = HOLDERS) -> DataF
                     lines = kept_lines(text, keep, bits)
                     left, new = len(lines), "\n".join(lines)
                 n.append(total), less.append(total - left), sha.append(hashlib.sha256(new.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(less, pa.int64()), pa.array(sha)], ["id", "n_lines", "n_dropped", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(n, pa.int64()), pa.array(less, pa.int64()), pa.array(sha)],
+                ["id", "n_lines", "n_dropped", "kept_sha256"]
+            )
 
     out = _joined(docs, least, holders).select("id", "text", "keep", "bits").mapInArrow(run, "id long, n_lines long, n_dropped long, kept_sha256 string")
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")

@@ -63,7 +63,10 @@ def solved(histogram: DataFrame, goals: DataFrame, most: int = MOST) -> DataFram
     means = histogram.groupBy("source").agg((F.sum(F.col("size") * F.col("c")) / F.sum("c")).alias("mean"))
     goals = goals.join(means, goals.source.eqNullSafe(means.source)).select(goals.source, "source_size", "target", "mean")
     free = (F.col("target") < most * F.col("source_size")) & (F.col("target") > 0)
-    state = goals.where(free).select("source", "mean", "target", F.log(F.col("target") / F.col("source_size")).alias("l"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("double").alias("off"))
+    state = goals.where(free).select(
+        "source", "mean", "target", F.log(F.col("target") / F.col("source_size")).alias("l"), F.lit(None).cast("double").alias("lo"),
+        F.lit(None).cast("double").alias("hi"), F.lit(None).cast("double").alias("off")
+    )
     state = written(state, "dual")
     x = F.col("size") / F.col("mean")
     raw = F.exp(F.least(F.col("l") * x, F.lit(50.0)))

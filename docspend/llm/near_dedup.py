@@ -137,7 +137,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     key = trees
                     for k in range(MIN_DEPTH):
                         key = mixed(key * U64(0xE7037ED1A0B428DB) + v[:, k])
-                    rows.append((uid, len(s), int(name[0]), int(name[1]), (v & U64(255)).astype(np.uint8).tobytes(), key.astype(np.int64) if len(s) else [], packed48(s)))
+                    rows.append(
+                        (
+                            uid, len(s), int(name[0]), int(name[1]), (v & U64(255)).astype(np.uint8).tobytes(),
+                            key.astype(np.int64) if len(s) else [], packed48(s)
+                        )
+                    )
                     uid += 1
                 u, n, f1, f2, sketch, keys, full = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
@@ -238,7 +243,9 @@ def _blocks(percent: int, whole: bool):
             a, b, f = (joined([x[k] for x in pairs], t) for k, t in ((0, np.int64), (1, np.int64), (2, bool)))
             mu, mb = joined([x for x, _ in members], np.int64), joined([np.full(len(x), k) for x, k in members], np.int64)
             lk, ll, lu, ln, ls = zip(*leaders) if leaders else ((),) * 5
-            su, sn, sk = joined([x for x, _, _ in spread], np.int64), joined([n for _, n, _ in spread], np.int64), joined([np.full(len(x), k) for x, _, k in spread], np.int64)
+            su, sn, sk = joined([x for x, _, _ in spread], np.int64), joined([n for _, n, _ in spread], np.int64), joined(
+                [np.full(len(x), k) for x, _, k in spread], np.int64
+            )
             sizes = (len(a), len(mu), len(lu), len(su))
             pairs.clear(), members.clear(), leaders.clear(), spread.clear()
 
@@ -384,10 +391,17 @@ def across_blocks(regions: DataFrame, roots: DataFrame, percent: int) -> DataFra
     rows = regions.join(roots, regions.uid == roots.node, "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("root"))
     rows = written(rows, "regions")
     parts = rows.groupBy("key", "root").agg(F.count("*").alias("rows"))
-    open_ = parts.groupBy("key").agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("key", "largest")
+    open_ = parts.groupBy("key").agg(
+        F.max_by("root", F.struct("rows", "root")).alias("largest"), F.count("*").alias("parts")
+    ).where("parts > 1").select("key", "largest")
     # sets of classes that are not neighbours differ too much in size for a link
     size_class = F.floor(F.log("n") / (float(np.log(100 / percent)) + 1e-9))
-    rows = written(rows.join(open_, "key").select("key", "uid", "n", "root", F.struct((c("root") == c("largest")).alias("own"), size_class.alias("size")).alias("cell")), "cells")
+    rows = written(
+        rows.join(open_, "key").select(
+            "key", "uid", "n", "root", F.struct((c("root") == c("largest")).alias("own"), size_class.alias("size")).alias("cell")
+        ),
+        "cells"
+    )
     cells = written(rows.groupBy("key", "cell").agg(F.ceil(F.count("*") / CELL).alias("k")), "cells")
     first, second = cells.select("key", c("cell").alias("c1"), c("k").alias("k1")), cells.select("key", c("cell").alias("c2"), c("k").alias("k2"))
     near = (c("c1") <= c("c2")) & (F.abs(c("c1.size") - c("c2.size")) <= 1) & ~(c("c1.own") & c("c2.own"))
@@ -428,7 +442,9 @@ def rooted(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             roots = written(components(links), "roots")
 
     def rooted_as(rows: DataFrame, uid: str, root: str) -> DataFrame:
-        return rows.join(roots.select(F.col("node").alias(uid), F.col("root").alias("found")), uid, "left").withColumn(root, F.coalesce("found", uid)).drop("found")
+        return rows.join(
+            roots.select(F.col("node").alias(uid), F.col("root").alias("found")), uid, "left"
+        ).withColumn(root, F.coalesce("found", uid)).drop("found")
 
     rest = rooted_as(rooted_as(pairs.where("NOT first"), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
     joined(written(confirmed(rest, sets, percent), "links"))
@@ -444,9 +460,14 @@ def rooted(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     # the smallest id of each component, given to its rows in SALT parts
     linked = roots.join(reps.select(F.col("rep").alias("node"), "rep_doc"), "node")
     least = linked.groupBy("root").agg(F.min("rep_doc").alias("least")).select("root", "least", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part"))
-    linked = roots.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")).join(least, ["root", "part"]).select(F.col("node").alias("rep"), "root", "least")
+    linked = roots.withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int")
+    ).join(least, ["root", "part"]).select(F.col("node").alias("rep"), "root", "least")
     labelled = reps.join(linked, "rep", "left")
-    labelled = labelled.select(*names, F.when(F.col("root").isNull(), F.col("rep_doc")).otherwise(F.col("least")).alias("component_id"), F.coalesce("root", "rep").alias("root"))
+    labelled = labelled.select(
+        *names, F.when(F.col("root").isNull(), F.col("rep_doc")).otherwise(F.col("least")).alias("component_id"),
+        F.coalesce("root", "rep").alias("root")
+    )
     out = sig.select("doc_id", "name", "n_shingles", *names).join(labelled, names)
     return out.select("doc_id", "name", "n_shingles", "component_id", "root")
 

@@ -208,7 +208,12 @@ def _placed(capacity: int):
                 head = np.searchsorted(bin_of[order], np.arange(bin_of.max(initial=-1) + 2))
                 fill = np.diff(total[head])
                 b = bin_of[order]
-                yield pd.DataFrame({"uid": np.asarray(row.uids, np.int64)[order], "length": sizes[order], "shard": row.shard, "bin": b, "offset": total[:-1] - total[head[b]], "fill": fill[b]})
+                yield pd.DataFrame(
+                    {
+                        "uid": np.asarray(row.uids, np.int64)[order], "length": sizes[order], "shard": row.shard, "bin": b,
+                        "offset": total[:-1] - total[head[b]], "fill": fill[b]
+                    }
+                )
 
     return run
 
@@ -228,8 +233,15 @@ def packed(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islan
             break
         shards = -(-n // shard)
         dealt = rest.groupBy(F.pmod(F.xxhash64("uid", F.lit(r)), F.lit(shards)).alias("shard"))
-        base = written(dealt.agg(F.sort_array(F.collect_list(F.struct("length", "uid")), asc=False).alias("x")).select("shard", F.col("x.uid").alias("uids"), F.expr("transform(x.length, y -> int(y))").alias("lengths")), "shards")
-        state = base.select("shard", "lengths", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), F.lit(None).cast("array<binary>").alias("seeds"))
+        base = written(
+            dealt.agg(F.sort_array(F.collect_list(F.struct("length", "uid")), asc=False).alias("x")).select(
+                "shard", F.col("x.uid").alias("uids"), F.expr("transform(x.length, y -> int(y))").alias("lengths")
+            ),
+            "shards"
+        )
+        state = base.select(
+            "shard", "lengths", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), F.lit(None).cast("array<binary>").alias("seeds")
+        )
         for epoch in range(epochs):
             # a task per few islands, however small the rows are
             spread = state.repartition(min(shards * islands, 4096), "shard", "island")
@@ -237,7 +249,9 @@ def packed(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islan
             if epoch + 1 < epochs:
                 migrant = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.slice("elites", 1, 1).alias("migrant"))
                 state = state.join(migrant, ["shard", "island"]).select("shard", "lengths", "island", F.concat("migrant", "elites").alias("seeds"))
-        best = state.groupBy("shard").agg(F.max_by(F.struct(F.element_at("elites", 1).alias("best"), "lengths"), F.struct(-F.col("n_bins"), "fitness", "island")).alias("b"))
+        best = state.groupBy("shard").agg(
+            F.max_by(F.struct(F.element_at("elites", 1).alias("best"), "lengths"), F.struct(-F.col("n_bins"), "fitness", "island")).alias("b")
+        )
         solved = best.select("shard", "b.best", "b.lengths").join(base.select("shard", "uids"), "shard")
         placed = written(solved.mapInPandas(_placed(capacity), "uid long, length long, shard long, bin int, offset long, fill long"), "placed")
         last = shards == 1 or before is not None and n > 0.9 * before

@@ -47,7 +47,10 @@ def op10_mixing(spark, sf_dir):
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_exact_dedup, op2_best_fit_packing, op3_minhash_near_dedup, op4_line_dedup, op5_token_counts, op6_quality_classifier, op7_warc, op8_html_extraction, op9_quality_rules, op10_mixing)
+OPERATORS = (
+    op1_exact_dedup, op2_best_fit_packing, op3_minhash_near_dedup, op4_line_dedup, op5_token_counts, op6_quality_classifier, op7_warc,
+    op8_html_extraction, op9_quality_rules, op10_mixing
+)
 
 
 def pipeline(spark, sf_dir):

@@ -63,7 +63,9 @@ def write_token_files(docs: DataFrame, path: str, end: int = END_OF_DOCUMENT) ->
                     out.write(ids.astype(ID).tobytes())
                 ids_of.append(batch.column("doc_id"))
         for x in ids_of:
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), pa.array(np.arange(ordinal, ordinal + len(x))), x], ["file", "ordinal", "doc_id"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(x), pa.string()), pa.array(np.arange(ordinal, ordinal + len(x))), x], ["file", "ordinal", "doc_id"]
+            )
             ordinal += len(x)
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
@@ -110,7 +112,10 @@ def counted(scan: DataFrame) -> DataFrame:
     rows = scan.join(carried, ["file", "block"])
     inside = rows.select("file", "start", "first", "open", "ends", F.posexplode("ends").alias("i", "at"))
     begin = F.when(F.col("i") == 0, F.col("open")).otherwise(F.col("start") + F.get("ends", F.col("i") - 1) + 1)
-    whole = inside.select("file", (F.col("first") + F.col("i")).alias("ordinal"), begin.alias("start"), (F.col("start") + F.col("at") - begin).alias("n_tokens"), F.lit(True).alias("complete"))
+    whole = inside.select(
+        "file", (F.col("first") + F.col("i")).alias("ordinal"), begin.alias("start"), (F.col("start") + F.col("at") - begin).alias("n_tokens"),
+        F.lit(True).alias("complete")
+    )
     ends = summary.groupBy("file").agg(F.sum("n").alias("ordinal"), F.sum("length").alias("total"), F.coalesce(F.max("after"), F.lit(0)).alias("start"))
     rest = ends.where("total > start").select("file", "ordinal", "start", (F.col("total") - F.col("start")).alias("n_tokens"), F.lit(False).alias("complete"))
     return whole.unionByName(rest)

@@ -168,7 +168,15 @@ class _Archive:
 
         if self.parts:
             with atomic(f"{self.stem}-{self.n:04d}.warc.gz") as out:
-                out.write(gzip.compress(record("warcinfo", [("WARC-Record-ID", f"<urn:docspend:file:{self.stem.rpartition('/')[2]}-{self.n}>")], b"software: docspend\r\n"), LEVEL, mtime=0))
+                out.write(
+                    gzip.compress(
+                        record(
+                            "warcinfo", [("WARC-Record-ID", f"<urn:docspend:file:{self.stem.rpartition('/')[2]}-{self.n}>")],
+                            b"software: docspend\r\n"
+                        ),
+                        LEVEL, mtime=0
+                    )
+                )
                 for x in self.parts:
                     out.write(x)
         self.n, self.parts, self.size = self.n + 1, [], 0
@@ -180,10 +188,14 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> int:
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     small = keyed.select("page_id", "digest", F.octet_length("html").alias("n")).where(F.col("n") >= REVISIT)
-    first = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 AND first IS NOT NULL").select("digest", "first")
+    first = small.groupBy("digest").agg(
+        F.min("page_id").alias("first"), F.count("*").alias("copies")
+    ).where("copies > 1 AND first IS NOT NULL").select("digest", "first")
     # a payload that very many pages have is joined in SALT parts
     small, first = small.withColumn("part", _part("page_id")), first.select("*", _parts())
-    again = small.join(first, ["digest", "part"]).where("NOT page_id <=> first").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first").distinct()
+    again = small.join(first, ["digest", "part"]).where("NOT page_id <=> first").select(
+        F.col("page_id").alias("p"), F.col("digest").alias("d"), "first"
+    ).distinct()
     rows = keyed.join(again, keyed.page_id.eqNullSafe(again.p) & (keyed.digest == again.d), "left").select("page_id", "url", "html", "digest", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +207,10 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> int:
             for page, url, html, digest, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "first"))):
                 name = identifier(page, digest)
                 uri = "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
-                fields = [("WARC-Record-ID", name), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response")]
+                fields = [
+                    ("WARC-Record-ID", name), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha256:{digest}"),
+                    ("Content-Type", "application/http;msgtype=response")
+                ]
                 n += 1
                 if first is not None:
                     main.add(record("revisit", [*fields, ("WARC-Refers-To", identifier(first, digest)), ("WARC-Profile", PROFILE)], HEAD))
@@ -208,7 +223,12 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> int:
                 main.add(record("response", [*fields, ("WARC-Segment-Number", "1")], cuts[0]))
                 for i, cut in enumerate(cuts[1:], 2):
                     last = [("WARC-Segment-Total-Length", str(len(block)))] * (i == len(cuts))
-                    more.add(record("continuation", [("WARC-Record-ID", f"{name[:-1]}:{i}>"), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(i)), *last], cut))
+                    more.add(
+                        record(
+                            "continuation",
+                            [("WARC-Record-ID", f"{name[:-1]}:{i}>"), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(i)), *last], cut
+                        )
+                    )
         main.close(), more.close()
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
@@ -320,7 +340,13 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined = zip(*(batch.column(c).to_pylist() for c in ("warc_type", "problem", "blocks")))
         found = [_answer(kind, problem, b"".join(blocks)) for kind, problem, blocks in joined]
         payloads, problems = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("record_id", "warc_type", "refers_to", "digest")), pa.array(payloads, pa.binary()), pa.array(problems, pa.string())], ["record_id", "warc_type", "refers_to", "digest", "payload", "problem"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(c) for c in ("record_id", "warc_type", "refers_to", "digest")), pa.array(payloads, pa.binary()),
+                pa.array(problems, pa.string())
+            ],
+            ["record_id", "warc_type", "refers_to", "digest", "payload", "problem"]
+        )
 
 
 def reassembled(records: DataFrame) -> DataFrame:
@@ -328,7 +354,9 @@ def reassembled(records: DataFrame) -> DataFrame:
     ship(records.sparkSession)
     alone = "problem IS NOT NULL OR segment IS NULL AND warc_type <> 'continuation'"
     whole = records.where(alone).select("record_id", "warc_type", "refers_to", "digest", F.array(F.coalesce("block", F.lit(b""))).alias("blocks"), "problem")
-    parts = records.where(f"NOT coalesce({alone}, true)").withColumn("origin", F.when(F.col("warc_type") == "continuation", F.col("origin")).otherwise(F.col("record_id")))
+    parts = records.where(f"NOT coalesce({alone}, true)").withColumn(
+        "origin", F.when(F.col("warc_type") == "continuation", F.col("origin")).otherwise(F.col("record_id"))
+    )
     first = F.col("segment") == 1
     # a record is bounded by its page; a segment read twice is the same segment
     grouped = parts.groupBy("origin").agg(
@@ -344,7 +372,10 @@ def reassembled(records: DataFrame) -> DataFrame:
         .when(F.expr("exists(parts, x -> x.segment < 1) OR size(parts) <> element_at(parts, -1).segment OR size(parts) <> size(array_distinct(parts.segment))"), "segments missing or in conflict")
         .when(F.expr("aggregate(parts, 0L, (n, x) -> n + octet_length(x.block))") != F.col("total"), "total length differs")
     )
-    many = joined.select(F.col("origin").alias("record_id"), F.coalesce("warc_type", F.lit("response")).alias("warc_type"), "refers_to", "digest", "blocks", problem.alias("problem"), F.greatest("copies", F.lit(1)).alias("copies"))
+    many = joined.select(
+        F.col("origin").alias("record_id"), F.coalesce("warc_type", F.lit("response")).alias("warc_type"), "refers_to", "digest", "blocks",
+        problem.alias("problem"), F.greatest("copies", F.lit(1)).alias("copies")
+    )
     # the same record stored several times is several rows
     many = many.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).drop("copies")
     return whole.unionByName(many).mapInArrow(_decoded, WHOLE)
@@ -367,7 +398,10 @@ def round_trip(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     visits = visits.join(found, ["refers_to", "part"], "left")
     names = ["record_id", "warc_type", "refers_to", "n", "sha"]
     rows = answers.select(*names).unionByName(visits.select(*names))
-    return rows.select(page("record_id").alias("page_id"), F.col("n").alias("payload_bytes"), F.col("sha").alias("payload_digest"), F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to"))
+    return rows.select(
+        page("record_id").alias("page_id"), F.col("n").alias("payload_bytes"), F.col("sha").alias("payload_digest"),
+        F.col("warc_type").alias("record_type"), page("refers_to").alias("refers_to")
+    )
 
 
 ORACLE = """

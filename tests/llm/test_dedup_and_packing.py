@@ -25,7 +25,10 @@ def expected(rows):
     return sorted(((i, top[t or ""], len(groups[t or ""]), i == top[t or ""], hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in rows), key=repr)
 
 
-ROWS = [(1, "a", "en", "x"), (2, "a", None, None), (3, None, "en", "x"), (4, "", "en", "x"), (5, "ü", "en", "x"), (5, "ü", "en", "x"), (None, "a", None, None), (None, "lone", None, None), (7, "x" * 300_000, "en", "x")]
+ROWS = [
+    (1, "a", "en", "x"), (2, "a", None, None), (3, None, "en", "x"), (4, "", "en", "x"), (5, "ü", "en", "x"), (5, "ü", "en", "x"),
+    (None, "a", None, None), (None, "lone", None, None), (7, "x" * 300_000, "en", "x")
+]
 
 
 @pytest.mark.parametrize("few", [0, 100])
@@ -50,7 +53,10 @@ def test_empty_table(spark):
 
 def test_encoder_equals_the_library_on_odd_texts():
     rng, enc = random.Random(5), Encoder()
-    parts = ["a", "s", "t", "re", "ll", "'", "'s", " ", "  ", "\n", "\t", "é", "1", "²", "ª", "\xa0", "\x85", "!", "#", "I'll", "'ve", "“", "中", "<|endoftext|>", "", "\x1c"]
+    parts = [
+        "a", "s", "t", "re", "ll", "'", "'s", " ", "  ", "\n", "\t", "é", "1", "²", "ª", "\xa0", "\x85", "!", "#", "I'll", "'ve", "“", "中",
+        "<|endoftext|>", "", "\x1c"
+    ]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(800)]
     texts += [chr(i) + "a " + chr(i) * 2 + " b" for i in range(0x250)]
     for _ in range(2):  # the second time from the table

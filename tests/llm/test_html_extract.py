@@ -31,7 +31,9 @@ def test_groups_options_slots_and_template_text():
 
 def test_merging_is_associative_and_commutative():
     rng = random.Random(4)
-    pages = [f"<body><nav>m</nav><article>{'<p>a</p>' * (i % 3)}{'<h2>b</h2>' * (i % 2)}<div>{'<ul><li>c' * (i % 4 > 1)}</div></article>{''.join(f'<div class=k{chr(97 + (i * 7 + j) % 26)}{chr(97 + j)}>{j}</div>' for j in range(5))}</body>" for i in range(60)]
+    pages = [
+        f"<body><nav>m</nav><article>{'<p>a</p>' * (i % 3)}{'<h2>b</h2>' * (i % 2)}<div>{'<ul><li>c' * (i % 4 > 1)}</div></article>{''.join(f'<div class=k{chr(97 + (i * 7 + j) % 26)}{chr(97 + j)}>{j}</div>' for j in range(5))}</body>" for i in range(60)
+    ]
     whole = he.dumped(he.wrapper_of(*pages))
     for _ in range(6):
         rng.shuffle(pages)
@@ -45,7 +47,11 @@ def test_merging_is_associative_and_commutative():
 
 
 def test_wrappers_do_not_depend_on_how_rows_are_dealt(spark):
-    rows = [(i, f"http://h{i % 3}.example/", f"<body><div>menu</div><div><p>text {i}</p>{'<p>more</p>' * (i % 4)}</div></body>", None, None, None, None) for i in range(300)]
+    rows = [
+        (
+            i, f"http://h{i % 3}.example/", f"<body><div>menu</div><div><p>text {i}</p>{'<p>more</p>' * (i % 4)}</div></body>", None, None, None, None
+        ) for i in range(300)
+    ]
     docs = spark.createDataFrame(rows, PAGES)
     one = {r.host: r.wrapper for r in he.infer(docs.coalesce(1)).collect()}
     many = {r.host: r.wrapper for r in he.infer(docs.repartition(150)).collect()}
@@ -109,7 +115,9 @@ def test_a_foreign_wrapper_changes_the_text():
 
 def test_names_are_only_a_tie_break():
     rng = random.Random(3)
-    varied = [f"<article><h1>{_prose(rng, 4)}</h1><p>{_prose(rng, 30)}</p><div class=related><p>{_prose(rng, 30)}</p></div><div class=share>Tell others</div><div class=box7>Read all of it now</div></article>" for _ in range(12)]
+    varied = [
+        f"<article><h1>{_prose(rng, 4)}</h1><p>{_prose(rng, 30)}</p><div class=related><p>{_prose(rng, 30)}</p></div><div class=share>Tell others</div><div class=box7>Read all of it now</div></article>" for _ in range(12)
+    ]
     w = he.wrapper_of(*varied)
     for p in varied:  # prose that changes stays, a box that repeats goes whatever its name
         want = [html.unescape(x) for x in re.findall(r"<(?:h1|p)>(.*?)</", p)]
@@ -136,7 +144,11 @@ def test_deep_and_alternating_pages():
 
 
 def test_odd_rows_and_empty_table(spark):
-    rows = [(1, None, None, "h", "w"), (2, "http://a.b/", "", None, None), (2, "http://a.b/", "<article>x", None, None), (None, "not a url", "<<<>>> & <p", None, None), (3, "http://a.b/", "<p>" * 4000 + "deep", None, None), (4, "http://A.b:80/x", "<article><p>" + "long " * 100_000, None, None), (5, "u", "<script>never closed <article>x</article>", None, None)]
+    rows = [
+        (1, None, None, "h", "w"), (2, "http://a.b/", "", None, None), (2, "http://a.b/", "<article>x", None, None),
+        (None, "not a url", "<<<>>> & <p", None, None), (3, "http://a.b/", "<p>" * 4000 + "deep", None, None),
+        (4, "http://A.b:80/x", "<article><p>" + "long " * 100_000, None, None), (5, "u", "<script>never closed <article>x</article>", None, None)
+    ]
     rows = [(*r, "p", 3) for r in rows]
     got = he.main_text(spark.createDataFrame(rows, PAGES)).collect()
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)

@@ -43,7 +43,10 @@ def lines_corpus(seed, n):
 @pytest.mark.parametrize("n", [60, 700])
 def test_lines_equal_brute_force(spark, n):
     rows = lines_corpus(n, n)
-    rows += [(None, rows[3][1], None, None, None, None), (None, None, None, None, None, None), (n, "", None, None, None, None), (5, rows[5][1], None, None, None, None), (6, rows[1][1], None, None, None, None), (n + 1, rows[2][1] * 3000, None, None, None, None)]
+    rows += [
+        (None, rows[3][1], None, None, None, None), (None, None, None, None, None, None), (n, "", None, None, None, None),
+        (5, rows[5][1], None, None, None, None), (6, rows[1][1], None, None, None, None), (n + 1, rows[2][1] * 3000, None, None, None, None)
+    ]
     docs = spark.createDataFrame(rows, DOCS)
     got = sorted(map(tuple, line_dedup.report(docs).collect()), key=repr)
     assert got == brute(rows)
@@ -112,7 +115,9 @@ def test_mix_meets_its_targets(spark):
 
 
 def test_mix_of_one_source_and_of_empty_texts(spark):
-    one = mixing.plan(spark.createDataFrame([(1, "a b", None, None, None, None), (1, "a b", None, None, None, None), (None, "c", None, None, None, None)], DOCS)).collect()
+    one = mixing.plan(
+        spark.createDataFrame([(1, "a b", None, None, None, None), (1, "a b", None, None, None, None), (None, "c", None, None, None, None)], DOCS)
+    ).collect()
     assert {r.target for r in one} == {5.0} and all(r.copies == 1 for r in one)
     none = mixing.plan(spark.createDataFrame([(1, None, "x", None, None, None), (2, "", "y", None, None, None)], DOCS)).collect()
     assert [(r.size, r.target, r.taken) for r in none] == [(0, 0.0, 0)] * 2
@@ -133,7 +138,12 @@ def test_a_hot_line_over_many_batches_and_partitions(cuts):
     gone, open_, parts = [], [], defaultdict(list)
     for a, b in zip([0, *places], [*places, len(rows)]):
         inner = sorted({a, b, *(rng.randrange(a, b + 1) for _ in range(4))})
-        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[x:y]), [pa.int64()] * 4 + [pa.int32()] * 2)], ["h1", "h2", "id", "th", "n_lines", "pos"]) for x, y in zip(inner, inner[1:]) if y > x]
+        batches = [
+            pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows[x:y]), [pa.int64()] * 4 + [pa.int32()] * 2)], ["h1", "h2", "id", "th", "n_lines", "pos"]
+            ) for x,
+            y in zip(inner, inner[1:]) if y > x
+        ]
         for out in line_dedup._runs(5)(iter(batches)):
             for r in out.to_pylist():
                 if r["docs"] is not None:

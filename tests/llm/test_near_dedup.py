@@ -59,7 +59,11 @@ def corpus(seed, n=150, words=60):
     return rows
 
 
-ODD = [(1, None, "x", "y"), (2, "", None, None), (3, " \n\t", None, None), (4, "one", None, None), (5, "ONE", None, None), (6, "é", None, None), (7, "É", None, None), (8, "a b", None, None), (8, "a b", None, None), (None, "a b", None, None), (None, "never seen", None, None), (9, "word " * 40_000, None, None), (10, "word " * 30_000, None, None)]
+ODD = [
+    (1, None, "x", "y"), (2, "", None, None), (3, " \n\t", None, None), (4, "one", None, None), (5, "ONE", None, None), (6, "é", None, None),
+    (7, "É", None, None), (8, "a b", None, None), (8, "a b", None, None), (None, "a b", None, None), (None, "never seen", None, None),
+    (9, "word " * 40_000, None, None), (10, "word " * 30_000, None, None)
+]
 
 
 @pytest.mark.parametrize("size", [2, 5])

@@ -63,7 +63,9 @@ def texts(seed):
 def test_repetition_equals_brute_force(spark):
     rows = [(i, t, None, None) for i, t in enumerate(texts(1))] + [(3, "x", None, None), (None, "x y", None, None)]
     got = repetition.judged(spark.createDataFrame(rows, DOCS)).collect()
-    assert sorted((tuple(r) for r in got), key=lambda r: (r[0] is None, r[0] or 0, r)) == sorted(((i, *brute(t)) for i, t, *_ in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert sorted((tuple(r) for r in got), key=lambda r: (r[0] is None, r[0] or 0, r)) == sorted(
+        ((i, *brute(t)) for i, t, *_ in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])
+    )
 
 
 def test_a_very_long_text_of_one_word():
@@ -146,7 +148,11 @@ def test_scores_equal_sums_of_table_entries(spark):
     rows, labels = [], []
     for i in range(400):
         good = i % 2
-        words = [rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"]) + ("" if good or rng.random() < 0.6 else "###") for _ in range(rng.randint(5, 60))]
+        words = [
+            rng.choice(
+                ["alpha", "beta", "gamma", "delta", "of", "the"]
+            ) + ("" if good or rng.random() < 0.6 else "###") for _ in range(rng.randint(5, 60))
+        ]
         rows.append((i, " ".join(words) + ("." if good else "!!"), None, None))
         labels.append((i, good))
     rows += [(1000, None, None, None), (None, "no id", None, None)]

@@ -4,9 +4,15 @@ from docspend.llm import exact_dedup, mixing, near_dedup
 
 
 def test_near_dedup_keeps_unlinked_rows_of_one_or_no_id(spark):
-    rows = [(None, "alpha beta gamma"), (None, "delta epsilon zeta"), (None, "alpha beta gamma"), (1, "one two three"), (1, "four five six"), (2, "one two three"), (3, None), (3, " "), (None, ""), (4, "four five six"), (4, "seven eight nine")]
+    rows = [
+        (None, "alpha beta gamma"), (None, "delta epsilon zeta"), (None, "alpha beta gamma"), (1, "one two three"), (1, "four five six"),
+        (2, "one two three"), (3, None), (3, " "), (None, ""), (4, "four five six"), (4, "seven eight nine")
+    ]
     got = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
-    kept = [(None, "alpha beta gamma"), (None, "delta epsilon zeta"), (1, "one two three"), (1, "four five six"), (3, None), (3, " "), (None, ""), (4, "seven eight nine")]
+    kept = [
+        (None, "alpha beta gamma"), (None, "delta epsilon zeta"), (1, "one two three"), (1, "four five six"), (3, None), (3, " "), (None, ""),
+        (4, "seven eight nine")
+    ]
     assert sorted(map(tuple, got), key=repr) == sorted(kept, key=repr)
 
 
@@ -19,7 +25,10 @@ def test_mixed_documents_take_what_the_plan_takes(spark):
     assert sum(len(r.text.split()) for r in mixed) == sum(r.taken for r in planned)
 
 
-HELPERS = ("__id", "__sha", "__rows", "id", "sha", "rows", "name", "text_name", "bare", "own", "of_source", "copies", "turn", "mine", "copy", "root", "h", "Id2")
+HELPERS = (
+    "__id", "__sha", "__rows", "id", "sha", "rows", "name", "text_name", "bare", "own", "of_source", "copies", "turn", "mine", "copy", "root", "h",
+    "Id2"
+)
 
 
 def test_columns_with_the_names_of_helpers_stay(spark):

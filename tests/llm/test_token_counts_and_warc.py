@@ -34,7 +34,10 @@ def test_scan_of_given_files(spark):
             f.write(np.array(ids, "<u2").tobytes() + b"\x01" * (name == "c"))
     for block in (1, 2, 3, 100):
         got = token_counts.counted(token_counts.blocks(spark, f"file://{path}", end=9, block=block)).collect()
-        assert sorted(map(tuple, got)) == [("a.bin", 0, 0, 2, True), ("a.bin", 1, 3, 0, True), ("a.bin", 2, 4, 7, True), ("a.bin", 3, 12, 1, False), ("b.bin", 0, 0, 0, True), ("c.bin", 0, 0, 6, False)]
+        assert sorted(map(tuple, got)) == [
+            ("a.bin", 0, 0, 2, True), ("a.bin", 1, 3, 0, True), ("a.bin", 2, 4, 7, True), ("a.bin", 3, 12, 1, False), ("b.bin", 0, 0, 0, True),
+            ("c.bin", 0, 0, 6, False)
+        ]
 
 
 def test_empty_tables(spark):
@@ -60,7 +63,11 @@ def expected(rows):
 @pytest.mark.parametrize("segment", [50, 300, 1 << 20])
 def test_round_trip(spark, segment):
     long = "<p>é\r\n\r\n0\r\n\r\nWARC/1.1\r\n</p>" * 40
-    rows = [(3, "http://a/ b", long, None), (1, "http://b", long, "x"), (2, None, long, "x"), (4, "u", "short", None), (5, "u", "short", None), (6, "u", None, None), (7, "u", "", None), (7, "u", "", None), (8, "u", "y" * 100, None), (9, "u", "y" * 100, None), (9, "u", "y" * 100, None), (None, "u", "y" * 100, None), (None, "u", "q" * 200, None), (10, "u", "z" * 20_000, None), (10, "u", "z" * 20_000, None)]
+    rows = [
+        (3, "http://a/ b", long, None), (1, "http://b", long, "x"), (2, None, long, "x"), (4, "u", "short", None), (5, "u", "short", None),
+        (6, "u", None, None), (7, "u", "", None), (7, "u", "", None), (8, "u", "y" * 100, None), (9, "u", "y" * 100, None), (9, "u", "y" * 100, None),
+        (None, "u", "y" * 100, None), (None, "u", "q" * 200, None), (10, "u", "z" * 20_000, None), (10, "u", "z" * 20_000, None)
+    ]
     got = warc.round_trip(spark.createDataFrame(rows, PAGES).repartition(3), segment).collect()
     assert sorted(map(tuple, got), key=repr) == expected(rows)
 
@@ -86,7 +93,10 @@ def test_segments_that_are_not_whole(spark):
         f.write(b"".join(lost + open_ + cut + plain))
     got = {r.record_id: (bytes(r.payload) if r.payload is not None else None, r.problem) for r in warc.reassembled(warc.read_records(spark, path)).collect()}
     assert got.pop("<g>") == (b"hello", None) and got.pop("<plain>") == (b"abc", None)
-    assert got == {"<gap>": (None, "segments missing or in conflict"), "<short>": (None, "total length differs"), "<lost>": (None, "no first segment"), "<open>": (None, "no last segment"), "<cut>": (None, "a chunk is cut short")}
+    assert got == {
+        "<gap>": (None, "segments missing or in conflict"), "<short>": (None, "total length differs"), "<lost>": (None, "no first segment"),
+        "<open>": (None, "no last segment"), "<cut>": (None, "a chunk is cut short")
+    }
 
 
 def test_odd_archives_are_rows_with_a_problem(spark):
@@ -94,11 +104,20 @@ def test_odd_archives_are_rows_with_a_problem(spark):
     no_length = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\n\r\nblock\r\n\r\n"
     bad_length = no_length.replace(b"<a>", b"<b>\r\nContent-Length: many")
     bad_segment = warc.record("response", [("WARC-Record-ID", "<c>"), ("WARC-Segment-Number", "one")], b"x")
-    bad_total = warc.record("continuation", [("WARC-Record-ID", "<d>"), ("WARC-Segment-Number", "2"), ("WARC-Segment-Origin-ID", "<o>"), ("WARC-Segment-Total-Length", "-5")], b"x")
-    cut_head, cut_block = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Rec", warc.record("response", [("WARC-Record-ID", "<e>")], b"HTTP/1.1 200 OK\r\n\r\nlong")[:-8]
+    bad_total = warc.record(
+        "continuation",
+        [("WARC-Record-ID", "<d>"), ("WARC-Segment-Number", "2"), ("WARC-Segment-Origin-ID", "<o>"), ("WARC-Segment-Total-Length", "-5")], b"x"
+    )
+    cut_head, cut_block = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Rec", warc.record(
+        "response", [("WARC-Record-ID", "<e>")], b"HTTP/1.1 200 OK\r\n\r\nlong"
+    )[:-8]
     path = tempfile.mkdtemp()
     with open(f"{path}/one.warc.gz", "wb") as f:
-        f.write(b"".join(gzip.compress(x) for x in (no_length, fine, bad_length, bad_segment, bad_total, cut_head, b"junk", cut_block)) + gzip.compress(fine.replace(b"fine", b"last"))[:-20])
+        f.write(
+            b"".join(
+                gzip.compress(x) for x in (no_length, fine, bad_length, bad_segment, bad_total, cut_head, b"junk", cut_block)
+            ) + gzip.compress(fine.replace(b"fine", b"last"))[:-20]
+        )
     with open(f"{path}/two.warc.gz", "wb") as f:
         f.write(gzip.compress(fine.replace(b"fine", b"two")) + b"\x1f\x8b\x08\x00" + b"\xff" * 40)
     with open(f"{path}/three.warc", "wb") as f:
@@ -106,7 +125,10 @@ def test_odd_archives_are_rows_with_a_problem(spark):
     got = [(r.record_id, None if r.payload is None else bytes(r.payload), r.problem) for r in warc.read_pages(spark, path).collect()]
     assert ("<fine>", b"yes", None) in got and ("<two>", b"yes", None) in got
     problems = {(i, p) for i, _, p in got if p}
-    want = {("<a>", "no length"), ("<b>", "no length"), ("<c>", "no number: one"), ("<d>", "no number: -5"), (None, "not a record"), ("<e>", "the record is cut short"), (None, "a gzip member is cut short"), (None, "a gzip member is broken"), (None, "the head is cut short")}
+    want = {
+        ("<a>", "no length"), ("<b>", "no length"), ("<c>", "no number: one"), ("<d>", "no number: -5"), (None, "not a record"),
+        ("<e>", "the record is cut short"), (None, "a gzip member is cut short"), (None, "a gzip member is broken"), (None, "the head is cut short")
+    }
     assert want <= problems and all(b is None for _, b, p in got if p)
 
 
