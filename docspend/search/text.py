@@ -16,13 +16,16 @@ MARKED = {chr(n): d[0] for n in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if
 ACCENTS = ("".join(MARKED), "".join(MARKED.values()))
 #: Marks that stand alone.
 MARKS = "[\\u0300-\\u0331]"
+SOME_MARK = "[\\u00c0-\\u024f\\u1e00-\\u1eff\\u0300-\\u0331]"
 SPLIT = r"[^\p{L}\p{N}]+"
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, in lower case, without marks; a run of Chinese is one token."""
-    plain = F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), *ACCENTS), MARKS, "")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    # few texts have such letters; only those are translated letter by letter
+    plain = F.when(low.rlike(SOME_MARK), F.regexp_replace(F.translate(low, *ACCENTS), MARKS, "")).otherwise(low)
     return F.filter(F.split(plain, SPLIT), lambda x: x != "")
 
 
@@ -119,27 +122,22 @@ def _size(columns: tuple[str, ...]) -> Column:
 def bm25(df: DataFrame, terms: list[str], k: int | None = None, key: str = "id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """id, score of the rows with any of the terms, best first, then the higher id.
 
-    Lengths and term counts are taken from a row's own tokens, so nothing is exploded or shuffled:
-    one pass gives the counts of the whole table, one the scores.
+    Lengths and term counts are taken from a row's own tokens in one pass, so nothing is exploded or shuffled.
     """
     words = list(dict.fromkeys(w for t in terms for w in terms_of(t)))
     if not words:
         return df.select(F.col(key).alias("id"), F.lit(0.0).alias("score")).limit(0)
     rows = df.select(F.col(key).alias("id"), F.flatten(F.array(*(tokens(F.col(c)) for c in columns))).alias("all"))
     is_ = lambda w: lambda x: x == F.lit(w)
-    rows = rows.select("id", F.size("all").alias("size"), F.array(*(F.size(F.filter("all", is_(w))) for w in words)).alias("tf"))
+    # written, as a filter on what is made of the tokens would make them again
+    rows = written(rows.select("id", F.size("all").alias("size"), F.array(*(F.size(F.filter("all", is_(w))) for w in words)).alias("tf")), "counts")
     at = lambda i: F.get("tf", F.lit(i))
     counts = F.array(*(F.count(F.when(at(i) > 0, 1)) for i in range(len(words))))
-    whole = rows.where("size > 0").agg(F.struct(F.count("*").alias("docs"), F.avg("size").alias("mean"), counts.alias("df")).alias("w")).scalar()
-    score = reduce(
-        lambda a, b: a + b,
-        (
-            F.when(
-                at(i) > 0, _idf(whole["docs"], F.get(whole["df"], F.lit(i))) * _weight(at(i), F.col("size"), whole["mean"])
-            ).otherwise(0.0) for i in range(len(words))
-        )
-    )
-    found = rows.where(F.exists("tf", lambda x: x > 0)).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), F.desc("id"))
+    whole = rows.where("size > 0").agg(F.count("*").alias("docs"), F.avg("size").alias("mean"), counts.alias("df"))  # one row
+    part = lambda i: _idf(F.col("docs"), F.get("df", F.lit(i))) * _weight(at(i), F.col("size"), F.col("mean"))
+    score = reduce(lambda a, b: a + b, (F.when(at(i) > 0, part(i)).otherwise(0.0) for i in range(len(words))))
+    hits = rows.where(F.exists("tf", lambda x: x > 0)).join(F.broadcast(whole))
+    found = hits.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), F.desc("id"))
     return found.limit(k) if k else found
 
 
@@ -170,19 +168,21 @@ def similar_text(df: DataFrame, queries: DataFrame, k: int = 5, columns: tuple[s
     best of it is behind k others.  So the work grows with rows, not with pairs.
     """
     c = F.col
-    whole = df.select(_size(columns).alias("size")).where("size > 0").agg(F.struct(F.count("*").alias("docs"), F.avg("size").alias("mean")).alias("w")).scalar()
+    fields = F.array(*(F.struct(F.lit(f).alias("col"), tokens(c(f)).alias("words")) for f in ALIKE))
+    sized = written(df.select("id", _size(columns).alias("size"), fields.alias("fields")), "tokens")
+    whole = sized.where("size > 0").agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))  # one row
     name = lambda col, words: F.when(F.size(words) > 0, F.concat_ws(" ", F.lit(col), words))
     asked = queries.select(c("id").alias("query_id"), *(name(f, tokens(c(f))).alias(f"p_{f}") for f in ALIKE))
     kinds = asked.select(*(f"p_{f}" for f in ALIKE)).distinct()
     phrases = reduce(DataFrame.unionByName, (kinds.select(c(f"p_{f}").alias("phrase")) for f in ALIKE)).where("phrase IS NOT NULL").distinct()
     lengths = phrases.select(F.split_part("phrase", F.lit(" "), F.lit(1)).alias("col"), (F.size(F.split("phrase", " ")) - 1).alias("long")).distinct()
-    fields = F.array(*(F.struct(F.lit(f).alias("col"), tokens(c(f)).alias("words")) for f in ALIKE))
-    rows = df.select("id", _size(columns).alias("size"), F.inline(fields)).join(F.broadcast(lengths), "col").where(F.size("words") >= c("long"))
+    rows = sized.select("id", "size", F.inline("fields")).join(F.broadcast(lengths), "col").where(F.size("words") >= c("long"))
     grams = F.transform(F.sequence(F.lit(1), F.size("words") - c("long") + 1), lambda i: F.concat_ws(" ", c("col"), F.slice("words", i, c("long"))))
     hits = rows.select("id", "size", F.explode(grams).alias("phrase")).join(phrases, "phrase", "left_semi")
     hits = written(hits.groupBy("phrase", "id", "size").agg(F.count("*").alias("tf")), "hits")
     held = hits.groupBy("phrase").agg(F.count("*").alias("df"))
-    hits = hits.join(held, "phrase").select("phrase", "id", (_idf(whole["docs"], c("df")) * _weight(c("tf"), c("size"), whole["mean"])).alias("score"))
+    score = _idf(c("docs"), c("df")) * _weight(c("tf"), c("size"), c("mean"))
+    hits = written(hits.join(held, "phrase").join(F.broadcast(whole)).select("phrase", "id", score.alias("score")), "hits")
 
     def best(found: DataFrame, *by: str) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("id")))
