@@ -79,17 +79,20 @@ def urls(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(URL), 0))
 
 
-def scam_reason(text: Column) -> Column:
-    """Why a text looks like an offer of fake invoices; null if it doesn't.  The first rule wins."""
-    low = F.lower(text)
+def scam_reason(text: Column, low: Column | None = None) -> Column:
+    """Why a text looks like an offer of fake invoices; null if it doesn't.  The first rule wins.
+
+    low: a column with the text in lower case, so that it is not made anew for each phrase.
+    """
+    low = F.lower(text) if low is None else low
     # phrases come in a fixed order; the rest of the chain is only reached without any
     phrase = F.get(F.filter(F.array(*map(F.lit, SCAM_PHRASES)), lambda p: F.contains(low, p)), F.lit(0))
     signs = F.when(text.rlike(SCAM_CONTACT), "wechat/qq contact inline").when(text.rlike(SCAM_DIGITS), "obfuscated phone/contact digits")
     return F.when(F.coalesce(text, F.lit("")) != "", F.coalesce(F.concat(F.lit("scam phrase: "), phrase), signs))
 
 
-def has_keyword(text: Column, extra: list[str] | None = None) -> Column:
-    return contains_any(F.lower(text), [*KEYWORDS, *(extra or [])])
+def has_keyword(text: Column, extra: list[str] | None = None, low: Column | None = None) -> Column:
+    return contains_any(F.lower(text) if low is None else low, [*KEYWORDS, *(extra or [])])
 
 
 def mailbox(from_addr: Column) -> Column:

@@ -36,11 +36,12 @@ def classify(emails: DataFrame, trusted: list[str], extra: list[str] | None = No
     """
     names = F.filter("attachments", is_document)
     rows = emails.select("*", F.concat(c("subject"), F.lit(" "), F.substring("body_text", 1, 2000)).alias("text"))
-    rows = rows.select("*", scam_reason(c("text")).alias("scam"))
+    rows = rows.select("*", F.lower("text").alias("low"))
+    rows = rows.select("*", scam_reason(c("text"), c("low")).alias("scam"))
     none = (F.coalesce(F.size("attachments"), F.lit(0)) <= 0) & (F.coalesce(F.size("links"), F.lit(0)) <= 0)
     bulk = F.coalesce(F.exists(F.map_keys("headers"), lambda k: F.lower(k) == BULK_HEADER), F.lit(False))
     rule = F.when(bulk, 1).when(c("scam").isNotNull(), 2).when(F.size(names) > 0, 3).when(is_trusted(c("from_addr"), trusted), 4).when(
-        none & ~has_keyword(c("text"), extra), 5
+        none & ~has_keyword(c("text"), extra, c("low")), 5
     )
     rows = rows.select("email_id", "scam", F.get(names, F.lit(0)).alias("document"), rule.alias("rule"))
     pick = lambda *values: F.get(F.array(*values), c("rule") - 1)
@@ -132,10 +133,11 @@ def judged(cand: DataFrame, policy: str = "mail", strict: bool = False) -> DataF
     rows = rows.select(*(changed.get(n, c(n)).alias(n) for n in rows.columns))
     ticket = P.is_e_ticket(c("invoice_type"), c("invoice_no"), c("item_summary"), c("raw_text")) if policy == "upload" else F.lit(False)
     words = F.concat_ws(" ", F.nullif("buyer", F.lit("")), F.nullif("seller", F.lit("")), F.nullif("item_summary", F.lit("")))
+    rows = rows.withColumn("words", words).withColumn("low", F.lower("words"))
     extracted = c("x_valid").isNotNull()
     rows = rows.withColumns(
         {
-            "scam": scam_reason(words), "ticket": ticket, "type_known": P.is_valid_type(c("invoice_type")),
+            "scam": scam_reason(c("words"), c("low")), "ticket": ticket, "type_known": P.is_valid_type(c("invoice_type")),
             "category": F.when(extracted, c("x_category")).otherwise("vat_invoice")
         }
     )
@@ -157,7 +159,7 @@ def judged(cand: DataFrame, policy: str = "mail", strict: bool = False) -> DataF
         "outcome": F.when(c("scam").isNotNull(), spam).when(c("reject"), "not_vat_invoice").when(low, "low_confidence"),
         "audit": F.when(c("scam").isNotNull() | c("reject"), "not_vat_invoice").when(low, "low_confidence"),
         "detail": F.when(c("scam").isNotNull(), F.concat(F.lit("scam signal: "), c("scam"))).when(c("reject"), verdict).when(low, why),
-    }).drop("strong", "scam", "ticket", "type_known", "refused", "reject", "sentinel")
+    }).drop("strong", "words", "low", "scam", "ticket", "type_known", "refused", "reject", "sentinel")
 
 
 def numbered(rows: DataFrame, existing: DataFrame, policy: str, order: list[str]) -> DataFrame:
