@@ -6,6 +6,7 @@ bytes of a whole batch at once with numpy.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,11 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+#: Bytes of words of letters (ASCII, and all beyond), and of letters and digits.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+ALNUM = LETTERS.copy()
+ALNUM[0x30:0x3A] = True
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -54,34 +60,82 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Bytes of a lane; spans of more than LONG bytes are hashed and compared one by one.
+LANE, LONG = 8, 512
+#: Masks that leave the first k bytes of a lane.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(LANE + 1)], U64)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on, as little-endian numbers (zeros follow its end)."""
+    padded = np.concatenate([data, np.zeros(LANE, np.uint8)])
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), padded, strides=(1,))
+
+
 class SpanHash:
-    """64-bit hashes of many spans of one array: differences of one running polynomial sum."""
-
-    def __init__(self, base: int = 0x9E3779B97F4A7C15):
-        self.base, self.inverse = base | 1, pow(base | 1, -1, 1 << 64)
-        self.powers = self.inverses = np.ones(1, U64)
-
-    def _grown(self, n: int) -> None:
-        if n > len(self.powers):
-            n = max(n, 2 * CHUNK_BYTES)
-            for name, base in (("powers", self.base), ("inverses", self.inverse)):
-                x = np.full(n, base, U64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-
-    def __call__(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._grown(len(symbols) + 1)
-        total = np.zeros(len(symbols) + 1, U64)
-        terms = symbols.astype(U64)
-        terms += U64(1)
-        terms *= self.powers[: len(symbols)]
-        np.cumsum(terms, out=total[1:])
-        return mixed((total[ends] - total[starts]) * self.inverses[starts])
-
-
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs without ASCII white space), and n+1 bounds of each document's words."""
-    word = ~SPACES[data]
+    """64-bit hashes of many byte spans, eight bytes at a time, each followed by a bijective finaliser.
+
+    Different spans of the same length up to eight bytes never agree; others only by chance, so
+    whoever must not mistake two spans compares them too (`span_ids`, `same_spans`).
+    """
+
+    def __init__(self, seed: int = 0x9E3779B97F4A7C15):
+        self.seed = seed
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        out = mixed(size.astype(U64) + U64(self.seed))
+        rows = np.flatnonzero((size > 0) & (size <= LONG))
+        at, left, eight = starts[rows], size[rows], lanes(data)
+        while len(rows):
+            out[rows] = mixed((out[rows] ^ (eight[at] & FIRST[np.minimum(left, LANE)])) * U64(0xD6E8FEB86659FD93))
+            more = left > LANE
+            rows, at, left = rows[more], at[more] + LANE, left[more] - LANE
+        key = self.seed.to_bytes(8, "little")
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
+        return out
+
+
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Whether the size bytes of data from a on are those of other (data itself if None) from b on."""
+    other = data if other is None else other
+    same = np.ones(len(a), bool)
+    rows = np.flatnonzero((size > 0) & (size <= LONG) & ((a != b) | (other is not data)))
+    x, y, left, mine, theirs = a[rows], b[rows], size[rows], lanes(data), lanes(other)
+    while len(rows):
+        same[rows] &= ((mine[x] ^ theirs[y]) & FIRST[np.minimum(left, LANE)]) == 0
+        more = left > LANE
+        rows, x, y, left = rows[more], x[more] + LANE, y[more] + LANE, left[more] - LANE
+    for i in np.flatnonzero(size > LONG).tolist():
+        same[i] = np.array_equal(data[a[i] : a[i] + size[i]], other[b[i] : b[i] + size[i]])
+    return same
+
+
+def span_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: SpanHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Dense ids that are equal for equal spans only, for each id one of its spans, and its hash."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64)
+    hashes, first, ids = np.unique(span(data, starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    agree = size == size[first[ids]]
+    agree[agree] = same_spans(data, starts[agree], starts[first[ids[agree]]], size[agree])
+    if not agree.all():  # different spans under one hash
+        names, extra = {}, []
+        for i in np.flatnonzero(~agree).tolist():
+            name = data[starts[i] : ends[i]].tobytes()
+            if name not in names:
+                names[name] = len(first) + len(extra)
+                extra.append(i)
+            ids[i] = names[name]
+        first = np.concatenate([first, extra])
+        hashes = span(data, starts[first], ends[first])
+    return ids, first, hashes
+
+
+def words(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = ~SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of these bytes; without more, of all but ASCII white space), and n+1 bounds of each document's words."""
+    word = letters[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets[:-1]] = True
     starts = word.copy()

@@ -28,6 +28,11 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def clean_text(column: str = "text"):
+    """The text, null as empty, each broken UTF-8 sequence as U+FFFD: how every operator reads texts that looks into them."""
+    return F.make_valid_utf8(text_or_empty(column))
+
+
 def text_name(column: str = "text"):
     """A 128-bit name of the text; with doc_id it tells rows of one doc_id, or of none, apart."""
     return F.unhex(F.md5(text_or_empty(column)))
