@@ -10,7 +10,7 @@ where that occurs (checked, not assumed) the join also compares the text.
 
 Defined cases: a null text counts as empty; an empty text is a text like any other; a null
 doc_id is smaller than all others; rows that repeat the same doc_id and text are one document
-(`classes` marks each of them, `deduplicated` returns one); no rows give no rows.  Columns beside
+(`classes` marks each of them, `deduplicated` returns one); bytes that are no UTF-8 are compared as they are; no rows give no rows.  Columns beside
 doc_id and text are carried by `deduplicated` and otherwise ignored.
 """
 

@@ -24,8 +24,9 @@ what does not match it gives no text.
 
 Defined cases: a null html is an empty page with empty text; broken markup is closed as browsers
 do for paragraphs and list items, and at the end of the page; a null or odd url is of the host '';
-rows that repeat are extracted each; no rows give no rows; other columns are not used.  A level
-with more than KINDS kinds of one tag has one kind for that tag.
+rows that repeat are extracted each; broken UTF-8 is read as U+FFFD; no rows give no
+rows; other columns are not used.  A level with more than KINDS kinds of one tag has one kind for
+that tag.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspend.llm.common import partitions, written
+from docspend.llm.common import clean_text, partitions, written
 from docspend.shipping import ship
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -527,7 +528,7 @@ FEW = 64
 def infer(pages: DataFrame) -> DataFrame:
     """host, wrapper: the wrapper of each host of pages (url, html)."""
     ship(pages.sparkSession)
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = pages.select(host_of(F.col("url")).alias("host"), clean_text("html").alias("html"))
     found = written(wrappers(rows), "wrappers")
     while True:
         sizes = found.groupBy("host").agg(F.count("*").alias("n"))
@@ -572,7 +573,7 @@ def read_through(pages: DataFrame, plans: DataFrame) -> DataFrame:
                 ["page_id", "url", "text", "n_chars"]
             )
 
-    rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
+    rows = pages.select(F.col("page_id").cast("long"), "url", clean_text("html").alias("html"), host_of(F.col("url")).alias("host"))
     if (plans.agg(F.sum(F.octet_length("plan") + F.octet_length("host"))).first()[0] or 0) <= BROADCAST:
         joined = rows.join(F.broadcast(plans), "host")
     else:

@@ -16,7 +16,7 @@ to apply it.
 
 Defined cases: a null or empty text is one empty line; a null doc_id is a document smaller than
 all others; rows that repeat a doc_id are one document for the count; line ends other than \\n are
-ordinary characters; no rows give no rows.  Other columns are carried by `filtered` only.
+ordinary characters; broken UTF-8 is read as U+FFFD; no rows give no rows.  Other columns are carried by `filtered` only.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspend.llm.common import SPACE, partitions, text_or_empty, unused, written
+from docspend.llm.common import SPACE, clean_text, partitions, unused, written
 from docspend.shipping import ship
 
 LEAST, HOLDERS = 40, 5
@@ -42,7 +42,7 @@ MARKS = "h1 long, h2 long, id long, th long, n_lines int, pos int, open boolean,
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty().alias("text")).withColumn("th", F.xxhash64("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), clean_text().alias("text")).withColumn("th", F.xxhash64("text"))
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
@@ -212,9 +212,9 @@ def filtered(docs: DataFrame, least: int = LEAST, holders: int = HOLDERS) -> Dat
 
         return pd.Series(["\n".join(kept_lines(t, k, None if k is None else int(b))) for t, k, b in zip(text, keep, bits)])
 
-    keyed = docs.withColumn(i, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(t, F.xxhash64(text_or_empty()))
+    keyed = docs.withColumn(i, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(t, F.xxhash64(clean_text()))
     joined = keyed.join(maps, [i, t], "left")
-    new = F.when(F.col(k).isNull(), F.col("text")).otherwise(applied(text_or_empty(), F.col(k), F.col(n)))
+    new = F.when(F.col(k).isNull(), F.col("text")).otherwise(applied(clean_text(), F.col(k), F.col(n)))
     return joined.withColumn("text", new).select(*docs.columns)
 
 

@@ -34,7 +34,8 @@ are a filter only: at 0.8 a pair misses the limit of 64 of 104 matches with a pr
 Defined cases: null and empty texts and texts of white space have an empty set, are linked with
 nothing and are their own component; with fewer words than a shingle has, the whole sequence is
 the one shingle; rows that repeat a doc_id are separate rows in one component if their texts are
-linked; a component of null doc_ids alone has a null id.  Other columns are not used.
+linked; a component of null doc_ids alone has a null id.  Broken UTF-8 is read as U+FFFD.  Other
+columns are not used.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspend.llm.bytesops import LOWER, SpanHash, chunked, mixed, string_bytes, words
-from docspend.llm.common import WORD, partitions, text_name, text_or_empty, unused, written
+from docspend.llm.common import WORD, clean_text, partitions, text_name, text_or_empty, unused, written
 from docspend.llm.graph import components
 from docspend.shipping import ship
 
@@ -75,7 +76,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int, span: SpanH
     starts, ends, bounds = words(data, offsets)
     h = span(low, starts, ends)
     many = h.copy()
-    for k in range(1, size):
+    for k in range(1, min(size, len(h))):
         many[: len(h) - k] = mixed(many[: len(h) - k] * U64(0xD6E8FEB86659FD93) + h[k:])
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -151,7 +152,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 )
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), text_name().alias("name")).mapInArrow(run, SIGNATURES)
+    return docs.select(F.col("doc_id").cast("long"), clean_text().alias("text"), text_name().alias("name")).mapInArrow(run, SIGNATURES)
 
 
 def matches(sketches: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:

@@ -10,7 +10,8 @@ stay poorly filled are pooled over all shards and dealt again, until one shard h
 Every stage is written to the shared folder; a shard is bounded whatever the input.
 
 Defined cases: a null text counts as empty, and an empty text is one piece that holds the
-end-of-document id alone; repeated rows are packed as often as they occur; no rows, no pieces.
+end-of-document id alone; repeated rows are packed as often as they occur; broken UTF-8
+is read as U+FFFD; no rows, no pieces.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspend.llm.bytesops import chunked, string_bytes
-from docspend.llm.common import text_or_empty, written
+from docspend.llm.common import clean_text, written
 from docspend.shipping import ship
 
 CAPACITY, END = 1024, 2
@@ -78,7 +79,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), clean_text().alias("text")).mapInArrow(run, PIECES)
 
 
 class Packing:

@@ -13,7 +13,7 @@ from whole texts on the executors, for all rows.
 Defined cases: a null text counts as empty and has all features 0; a label that is null, or that
 belongs to no document, is not used; of contradicting labels of a doc_id the smaller counts; with
 no labels, or labels of one kind, the score is the smoothed share of label 1 for every text; rows
-that repeat are scored each; no rows give no rows; other columns are never inputs.
+that repeat are scored each; broken UTF-8 is read as U+FFFD; no rows give no rows; other columns are never inputs.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspend.llm.bytesops import LOWER, SpanHash, chunked, code_points, string_bytes, sums, words
-from docspend.llm.common import text_or_empty
+from docspend.llm.common import clean_text
 from docspend.shipping import ship
 
 #: Labelled rows the model is fitted on at most.
@@ -237,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min("quality").cast("int").alias("__y"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     # at most `sample` rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean_text().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
 
     def make(batch, x):
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__y"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "y", "x"])
@@ -255,7 +255,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def make(batch, x):
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
 
-    out = _mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), "doc_id long, score double", make)
+    out = _mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), clean_text().alias("text")), "doc_id long, score double", make)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 

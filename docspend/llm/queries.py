@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspend.llm import divergence, exact_dedup, html_extract, line_dedup, manifest, mixing, near_dedup, packing, quality, repetition, token_counts, warc
+from docspend.llm import decontaminate, divergence, exact_dedup, html_extract, line_dedup, manifest, mixing, near_dedup, packing, quality, repetition, token_counts, warc
 from docspend.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op10_mixing(spark, sf_dir):
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+def op11_decontamination(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op12_merkle_manifest(spark, sf_dir):
     return manifest.audit(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op13_source_divergence(spark, sf_dir):
 
 OPERATORS = (
     op1_exact_dedup, op2_best_fit_packing, op3_minhash_near_dedup, op4_line_dedup, op5_token_counts, op6_quality_classifier, op7_warc,
-    op8_html_extraction, op9_quality_rules, op10_mixing, op12_merkle_manifest, op13_source_divergence
+    op8_html_extraction, op9_quality_rules, op10_mixing, op11_decontamination, op12_merkle_manifest, op13_source_divergence
 )
 
 
@@ -72,4 +76,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op7_warc": warc.ORACLE, "op12_merkle_manifest": manifest.ORACLE, "op13_source_divergence": divergence.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op7_warc": warc.ORACLE, "op11_decontamination": decontaminate.ORACLE, "op12_merkle_manifest": manifest.ORACLE, "op13_source_divergence": divergence.ORACLE}

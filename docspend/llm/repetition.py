@@ -11,7 +11,8 @@ word), so suffixes of different texts never meet, and only suffixes that still s
 another are sorted again.
 
 Defined cases: a null text has no words; a text without words fails the basic rule; line ends are
-\\n only; rows that repeat are measured each; no rows give no rows; other columns are not used.
+\\n only; rows that repeat are measured each; broken UTF-8 is read as U+FFFD; no rows give no rows;
+other columns are not used.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspend.llm.bytesops import SpanHash, chunked, code_points, string_bytes, sums, words
-from docspend.llm.common import text_or_empty
+from docspend.llm.bytesops import SpanHash, chunked, code_points, span_ids, string_bytes, sums, words
+from docspend.llm.common import clean_text
 from docspend.shipping import ship
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -41,7 +42,7 @@ OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines l
 def longest_repeats(word: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """For each word, the length of the longest substring that starts there and occurs elsewhere in its text too.
 
-    word: a 64-bit hash for each word; bounds: the n+1 bounds of the texts.
+    word: a number for each word, equal for equal words only; bounds: the n+1 bounds of the texts.
     """
     m = len(word)
     out = np.zeros(m, np.int64)
@@ -103,7 +104,7 @@ def measured(data: np.ndarray, offsets: np.ndarray, span: SpanHash) -> dict[str,
     starts, ends, bounds = words(data, offsets)
     n_words = np.diff(bounds)
     chars = code_points(data, starts, ends)
-    lengths = longest_repeats(span(data, starts, ends), bounds)
+    lengths = longest_repeats(span_ids(data, starts, ends, span)[0], bounds)
     # lines: each text ends one, each \n another
     breaks = np.flatnonzero(data == 10)
     line_starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
@@ -112,7 +113,7 @@ def measured(data: np.ndarray, offsets: np.ndarray, span: SpanHash) -> dict[str,
     inner = np.append(line_text[1:] == line_text[:-1], False)
     line_ends = np.where(inner, line_ends - 1, offsets[1:][line_text])
     filled = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
-    h, t = span(data, line_starts[filled], line_ends[filled]), line_text[filled]
+    h, t = span_ids(data, line_starts[filled], line_ends[filled], span)[0], line_text[filled]
     order = np.lexsort((h, t))
     again = (h[order][1:] == h[order][:-1]) & (t[order][1:] == t[order][:-1])
     dup_lines = np.bincount(t[order][1:][again], minlength=n)
@@ -145,4 +146,4 @@ def judged(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *found])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, OUT)
+    return docs.select(F.col("doc_id").cast("long"), clean_text().alias("text")).mapInArrow(run, OUT)

@@ -9,7 +9,7 @@ documents that cross block boundaries, be they many blocks long.
 
 Defined cases: a null or empty text is a document of 0 tokens; ids after the last separator of a
 file are a document marked incomplete; an odd last byte is ignored; empty files and no rows give
-no rows; rows that repeat are documents each; the other columns are not used.
+no rows; rows that repeat are documents each; broken UTF-8 is read as U+FFFD; the other columns are not used.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspend.llm.bytesops import chunked, string_bytes
-from docspend.llm.common import scratch, text_or_empty, written
+from docspend.llm.common import clean_text, scratch, written
 
 #: Tokens in a block.
 BLOCK = 1 << 20
@@ -68,7 +68,7 @@ def write_token_files(docs: DataFrame, path: str, end: int = END_OF_DOCUMENT) ->
             )
             ordinal += len(x)
 
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), clean_text().alias("text"))
     return written(rows.mapInArrow(run, "file string, ordinal long, doc_id long"), "manifest")
 
 

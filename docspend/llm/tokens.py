@@ -2,7 +2,8 @@
 
 The library splits a text by a fixed pattern and encodes each piece on its own, so a piece has
 the same ids wherever it stands.  `Encoder` finds the pieces of a batch with numpy, asks the
-library only for pieces that are not in a bounded table, and gathers the ids.  Documents with
+library only for pieces that are not in a bounded table, and gathers the ids.  A piece is taken
+for one of the table only where their bytes are equal.  Documents with
 characters beyond Latin, or with the string of a special token, go through the library whole.
 """
 
@@ -13,7 +14,7 @@ from pathlib import Path
 
 import numpy as np
 
-from docspend.llm.bytesops import SpanHash
+from docspend.llm.bytesops import SpanHash, same_spans, span_ids
 
 LATIN = 0x250
 LETTER, NUMBER, OTHER, BLANK = range(4)
@@ -70,6 +71,10 @@ class Encoder:
         self.at = np.zeros(self.SLOTS, np.int32)
         self.size = np.zeros(self.SLOTS, np.int32)
         self.arena, self.used = np.zeros(1 << 20, np.int32), 0
+        # the bytes of the piece of each slot
+        self.place = np.zeros(self.SLOTS, np.int64)
+        self.length = np.full(self.SLOTS, -1, np.int32)
+        self.letters, self.filled = np.zeros(1 << 20, np.uint8), 0
 
     def _kept(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
@@ -81,9 +86,20 @@ class Encoder:
         self.used += n
         return at, sizes
 
-    def _piece(self, piece: str) -> list[int]:
+    def _kept_bytes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        upto = np.cumsum(size)
+        n = int(upto[-1])
+        if self.filled + n > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros(max(n, len(self.letters)), np.uint8)])
+        self.letters[self.filled : self.filled + n] = data[np.repeat(starts - (upto - size), size) + np.arange(n)]
+        at = self.filled + upto - size
+        self.filled += n
+        return at
+
+    def _piece(self, piece: bytes) -> list[int]:
         """The library's model alone: a piece needs no splitting."""
-        return [x.id for x in self.model.tokenize(piece.encode().decode("latin-1").translate(self.visible))]
+        return [x.id for x in self.model.tokenize(piece.decode("latin-1").translate(self.visible))]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
@@ -103,14 +119,15 @@ class Encoder:
         for word in self.special:
             if word in text:
                 slow |= np.fromiter((word in text[a:b] for a, b in zip(bounds[:-1], bounds[1:])), bool, n)
-        ids, sizes = self._pieces(text, points, bounds)
+        at_byte = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        ids, sizes = self._pieces(data, at_byte, points, bounds)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         if not slow.any():
             return ids, ends
         parts = [self.whole(text[bounds[i] : bounds[i + 1]]) if slow[i] else ids[ends[i] : ends[i + 1]] for i in range(n)]
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
-    def _pieces(self, text: str, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _pieces(self, data: np.ndarray, at_byte: np.ndarray, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = len(points)
         if m == 0:
             return np.zeros(0, np.int32), np.zeros(len(bounds) - 1, np.int64)
@@ -126,24 +143,29 @@ class Encoder:
         self._contractions(points, kind, begin, first)
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], m)
-        h = self.hash(points, starts, ends)
-        h[h == 0] = 1
+        s, e = at_byte[starts], at_byte[ends]
+        h = self.hash(data, s, e)
         slot = (h >> np.uint64(43)).astype(np.int64)
-        miss = np.flatnonzero(self.keys[slot] != h)
+        hit = (self.keys[slot] == h) & (self.length[slot] == e - s)
+        hit[hit] = same_spans(data, s[hit], self.place[slot[hit]], (e - s)[hit], self.letters)
         at, size = self.at[slot], self.size[slot]
+        miss = np.flatnonzero(~hit)
         if len(miss):
-            if self.used > self.ARENA:
+            if max(self.used, self.filled) > self.ARENA:
                 self._emptied()
                 miss = np.arange(len(h))
-            new, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            s, e = starts[miss[where]], ends[miss[where]]
-            new_at, new_size = self._kept([self._piece(text[a:b]) for a, b in zip(s.tolist(), e.tolist())])
-            at[miss], size[miss] = new_at[back], new_size[back]
+            ids, where, new = span_ids(data, s[miss], e[miss], self.hash)
+            s, e = s[miss[where]], e[miss[where]]
+            raw = data.tobytes()
+            new_at, new_size = self._kept([self._piece(raw[a:b]) for a, b in zip(s.tolist(), e.tolist())])
+            at[miss], size[miss] = new_at[ids], new_size[ids]
             slots = (new >> np.uint64(43)).astype(np.int64)
-            # two new pieces may share a slot: the later one stays, in all three arrays alike
+            # two new pieces may share a slot: the later one stays, in all arrays alike
             _, keep = np.unique(slots[::-1], return_index=True)
             keep = len(slots) - 1 - keep
-            self.keys[slots[keep]], self.at[slots[keep]], self.size[slots[keep]] = new[keep], new_at[keep], new_size[keep]
+            to = slots[keep]
+            self.keys[to], self.at[to], self.size[to] = new[keep], new_at[keep], new_size[keep]
+            self.place[to], self.length[to] = self._kept_bytes(data, s[keep], e[keep]), e[keep] - s[keep]
         total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         ids = self.arena[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
         piece = np.searchsorted(starts, bounds)

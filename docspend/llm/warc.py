@@ -15,7 +15,8 @@ written as such; rows that repeat a page_id and html are records each, and none
 other; a record whose segments are not whole has its problem named and no payload, and so has what
 is no record at all (no head, no length, a length or segment number that is no number, a cut
 record, a cut or broken gzip member): it is a row with a problem, and reading goes on with the next
-gzip member; no rows give no rows; other columns are not used.
+gzip member; broken UTF-8 is read as U+FFFD; no rows give no rows; other columns
+are not used.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspend.llm.common import scratch, written
+from docspend.llm.common import clean_text, scratch, written
 from docspend.shipping import ship
 
 REVISIT, SEGMENT, CHUNK, ROTATE, LEVEL = 100, 32_768, 4096, 32_000_000, 3
@@ -185,7 +186,7 @@ class _Archive:
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> int:
     """Write a record for each page below path; gives the number of records."""
     ship(pages.sparkSession)
-    html = F.coalesce("html", F.lit(""))
+    html = clean_text("html")
     keyed = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     small = keyed.select("page_id", "digest", F.octet_length("html").alias("n")).where(F.col("n") >= REVISIT)
     first = small.groupBy("digest").agg(
