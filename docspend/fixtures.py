@@ -89,6 +89,18 @@ SELECT o.o_orderkey AS id,
     CASE WHEN o.o_orderkey % 25 = 0 THEN ' (cid:1)(cid:22)(cid:3)(cid:4)(cid:5)(cid:6)' ELSE '' END) AS raw_text,
   CASE o.o_orderkey % 6 WHEN 0 THEN CONCAT('01,04,1234567890,', CAST(10000000 + o.o_orderkey AS STRING), ',', CAST(CAST(o.o_totalprice AS DECIMAL(12,2)) AS STRING), ',20240', CAST(o.o_orderkey % 10 AS STRING), '15,x')
     WHEN 1 THEN CONCAT('12345678901|', CAST(o.o_orderkey AS STRING), '| 88.10 |2024-2-30|z') WHEN 2 THEN 'https://example.org/a,b,c,d,e' WHEN 3 THEN '01,99,a,b,c,d,e' WHEN 4 THEN CONCAT(' 1234567890,', CAST(o.o_orderkey AS STRING), ',9.5,2024年3月4日,q') ELSE '' END AS qr
+FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey""",
+    "xml_texts": """
+SELECT o.o_orderkey AS id,
+  CONCAT('<?xml version="1.0" encoding="UTF-8"?><n:Invoice xmlns:n="urn:x">', CASE WHEN o.o_orderkey % 3 = 2 THEN '' ELSE '<Note>税率 税额</Note>' END,
+    CASE o.o_orderkey % 4 WHEN 0 THEN '<InvoiceNo> ' WHEN 1 THEN '<n:fpHm>' WHEN 2 THEN '<InvoiceNo/><FPHM>' ELSE '<n:InvoiceNo>1</n:InvoiceNo><InvoiceNo>' END, CAST(10000000 + o.o_orderkey AS STRING),
+    CASE o.o_orderkey % 4 WHEN 0 THEN ' </InvoiceNo>' WHEN 1 THEN '</n:fpHm>' WHEN 2 THEN '</FPHM>' ELSE '</InvoiceNo>' END,
+    CASE o.o_orderkey % 3 WHEN 0 THEN CONCAT('<BuyerName>', c.c_name, ' &amp; Co</BuyerName>') WHEN 1 THEN CONCAT('<n:GMF_MC>', c.c_name, '</n:GMF_MC>') ELSE '' END,
+    '<XSFMC>Seller ', c.c_mktsegment, '</XSFMC>', CASE o.o_orderkey % 5 WHEN 0 THEN '<InvoiceType>增值税专用发票</InvoiceType>' WHEN 1 THEN '<fplx>数电普票</fplx>' WHEN 2 THEN '<KPLX>收据</KPLX>' ELSE '' END,
+    CASE o.o_orderkey % 6 WHEN 0 THEN '<jshj>1,234.50</jshj>' WHEN 5 THEN CONCAT('<价税合计>', CAST(CAST(o.o_totalprice AS DECIMAL(12,2)) AS STRING), '</价税合计>') ELSE CONCAT('<n:TotalAmount>', CAST(CAST(o.o_totalprice AS DECIMAL(12,2)) AS STRING), '</n:TotalAmount>') END,
+    CASE o.o_orderkey % 4 WHEN 0 THEN '<kprq>20240105</kprq>' WHEN 1 THEN '<IssueDateTime>2024-02-30T10:00</IssueDateTime>' WHEN 2 THEN '<n:开票日期>2024年3月4日</n:开票日期>' ELSE '' END,
+    CASE WHEN o.o_orderkey % 2 = 0 THEN CONCAT('<xmmc>pen</xmmc><n:xmmc>ink</n:xmmc><GoodsName>desk ', CAST(o.o_orderkey % 3 AS STRING), '</GoodsName>') ELSE '' END,
+    CASE WHEN o.o_orderkey % 16 = 0 THEN '<ItemName>a</ItemName><ItemName>b</ItemName><ItemName>c</ItemName>' ELSE '' END, CASE WHEN o.o_orderkey % 11 = 0 THEN '' ELSE '</n:Invoice>' END) AS raw_text
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey""",
     "candidates": """
 SELECT l_orderkey * 10 + l_linenumber AS cand_id, l_suppkey % 50 + 1 AS user_id,
@@ -115,7 +127,8 @@ SELECT path, COUNT(*) AS n, SUM(size) AS size FROM (
   UNION ALL SELECT CONCAT('users/', CAST(p_partkey % 60 + 1 AS STRING), '/invoices/', CAST(p_partkey % 350 AS STRING), '.pdf'), p_size FROM {part}
   UNION ALL SELECT CONCAT('users/', CAST(p_partkey * 7 AS STRING), CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE '' END, '/invoices/a.pdf'), p_size FROM {part}) f GROUP BY path""",
     "attachments": """
-SELECT e.email_id, e.attachment AS filename, 0 AS position, p.raw_text, p.qr, 'pdf' AS source_format FROM ({emails}) e JOIN ({parse_texts}) p ON p.id = e.email_id WHERE e.attachment IS NOT NULL
+SELECT e.email_id, e.attachment AS filename, 0 AS position, p.raw_text, p.qr, 'pdf' AS source_format FROM ({emails}) e JOIN ({parse_texts}) p ON p.id = e.email_id WHERE e.attachment IS NOT NULL AND e.attachment <> 'data.xml'
+UNION ALL SELECT e.email_id, e.attachment, 0, x.raw_text, '', 'xml' FROM ({emails}) e JOIN ({xml_texts}) x ON x.id = e.email_id WHERE e.attachment = 'data.xml'
 UNION ALL SELECT e.email_id, e.attachment2, 1, CONCAT('copy ', p.raw_text), '', 'ofd' FROM ({emails}) e JOIN ({parse_texts}) p ON p.id = e.email_id WHERE e.attachment2 IS NOT NULL AND e.attachment2 <> e.attachment""",
     "correction_logs": """
 SELECT event_id AS id, user_id % 50 + 1 AS user_id, event_id % 1000 + 1 AS invoice_id, event_type AS field_name, CAST(event_id AS STRING) AS new_value, ts AS corrected_at FROM {events}""",

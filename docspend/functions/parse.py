@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,18 +137,21 @@ def safe_component(text: Column, most: int = 40) -> Column:
     return F.when(clean == "", "unknown").otherwise(clean)
 
 
-def clean_extension(extension: str) -> str:
+def clean_extension(extension: Column) -> Column:
     """Letters, digits, dots, _ and - only, with a dot in front; a PDF's if nothing is left."""
-    clean = re.sub(r"[^A-Za-z0-9._-]", "", extension.strip())
-    return clean if clean.startswith(".") else f".{clean}" if clean else ".pdf"
+    clean = F.regexp_replace(F.coalesce(extension, F.lit("")), r"[^A-Za-z0-9._-]", "")
+    return F.when(clean == "", ".pdf").when(F.startswith(clean, F.lit(".")), clean).otherwise(F.concat(F.lit("."), clean))
 
 
-def canonical_name(buyer: Column, seller: Column, invoice_no: Column, date: Column, total: Column, extension: str = ".pdf") -> Column:
+def canonical_stem(buyer: Column, seller: Column, invoice_no: Column, date: Column, total: Column) -> Column:
     stamp = F.coalesce(F.date_format(date, "yyyyMMdd"), F.lit("unknown"))
     money = F.coalesce(total, F.lit(0)).cast("decimal(12,2)").cast("string")
-    return F.concat(
-        F.concat_ws("_", safe_component(buyer), safe_component(seller), safe_component(invoice_no), stamp, money), F.lit(clean_extension(extension))
-    )
+    return F.concat_ws("_", safe_component(buyer), safe_component(seller), safe_component(invoice_no), stamp, money)
+
+
+def canonical_name(buyer: Column, seller: Column, invoice_no: Column, date: Column, total: Column, extension: str | Column = ".pdf") -> Column:
+    suffix = clean_extension(F.lit(extension) if isinstance(extension, str) else extension)
+    return F.concat(canonical_stem(buyer, seller, invoice_no, date, total), suffix)
 
 
 def is_traversal(path: Column) -> Column:

@@ -104,6 +104,12 @@ def insert_ignore(cache: DataFrame, new: DataFrame, key: str = "content_hash") -
     return cache.unionByName(first.join(cache.select(key), key, "left_anti"))
 
 
+def remember_answers(cache: DataFrame, learned: DataFrame, now: str) -> DataFrame:
+    """The cache with newly learned answers (one a hash), without the entries that have expired."""
+    live = cache.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp")))
+    return live.unionByName(learned.join(live.select("content_hash"), "content_hash", "left_anti"), allowMissingColumns=True)
+
+
 def revoke_sessions(df: DataFrame, user_id: int, at: str) -> DataFrame:
     open_ = (F.col("user_id") == user_id) & F.col("revoked_at").isNull()
     return df.withColumn("revoked_at", F.when(open_, F.lit(at).cast("timestamp")).otherwise(F.col("revoked_at")))

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from docspend.functions import parse as P
 from docspend.functions import portal as O
 from docspend.functions.text import analysis_text, enrichment_text, has_keyword, is_trusted, scam_reason
+from docspend.functions.xml import xml_fields, xml_invoice
 from docspend.operators.filters import to_invoice_rows
 from docspend.operators.joins import seen_attachments
-from docspend.operators.windows import dedup_messages, is_document, prioritise, repeated_names
+from docspend.operators.windows import dedup_messages, free_paths, is_document, prioritise, repeated_names
 from docspend.schemas import BULK_HEADER, UNKNOWN
 from docspend.scratch import written
-from docspend.sources.pluggable import enrich
+from docspend.sources.pluggable import Answers, ask
 from docspend.streaming.ingest import ingest_increment
 
 c = F.col
@@ -56,11 +57,18 @@ def classify(emails: DataFrame, trusted: list[str], extra: list[str] | None = No
 
 
 def parse_documents(df: DataFrame) -> DataFrame:
-    """df (raw_text, qr) with the parsed fields: those of a QR payload first, else of the text.
+    """df (raw_text, qr, and if there are any source_format and content) with the parsed fields.
 
-    A text without a payload whose fields are worth less than 0.6 keeps none of them.
+    A structured document (source_format xml) gives those of its tags; it is read from content, the
+    file's bytes, where there are any, else from raw_text.  For others a QR payload comes first, else
+    the text; a text without a payload whose fields are worth less than 0.6 keeps none of them.
     """
-    found = df.withColumns({f"t_{k}": v for k, v in P.fields(c("raw_text")).items()} | {"q": P.qr_fields(c("qr"))})
+    structured = c("source_format") == "xml" if "source_format" in df.columns else F.lit(False)
+    content = F.when(structured, c("content")) if "content" in df.columns else None
+    found = df.withColumn("structured", F.coalesce(structured, F.lit(False)))
+    found = found.withColumn("x", xml_fields(F.when(c("structured"), c("raw_text")), content) if "source_format" in df.columns else F.lit(None).cast("string"))
+    plain = F.when(~c("structured"), c("raw_text"))
+    found = found.withColumns({f"t_{k}": v for k, v in P.fields(plain).items()} | {"q": P.qr_fields(F.when(~c("structured"), c("qr")))})
     conf = P.confidence(c("t_invoice_no"), c("t_buyer"), c("t_seller"), c("t_amount"), c("t_invoice_date"), F.lit(None).cast("string")).cast("double")
     found = found.withColumn("t_confidence", conf)
     qr, text = c("q").isNotNull(), c("q").isNotNull() | (c("t_confidence") >= 0.6)
@@ -69,8 +77,11 @@ def parse_documents(df: DataFrame) -> DataFrame:
         "invoice_no": F.when(qr, c("q.invoice_no")).when(text, c("t_invoice_no")), "invoice_date": F.coalesce(P.qr_date(c("q.date")), F.when(text, c("t_invoice_date"))),
         "buyer": F.when(text, c("t_buyer")), "seller": F.when(text, c("t_seller")), "amount": F.coalesce(F.when(total != 0, total), F.when(text, c("t_amount")), total),
         "invoice_type": F.lit(None).cast("string"), "item_summary": F.lit(None).cast("string"), "extraction_method": F.when(qr, "qr").when(text, "regex").otherwise("llm"),
-        "confidence": F.when(qr, 0.95).when(text, c("t_confidence")).otherwise(0.0), "is_vat_document": F.coalesce(P.is_vat_document(c("raw_text")), F.lit(False)),
+        "confidence": F.when(qr, 0.95).when(text, c("t_confidence")).otherwise(0.0), "is_vat_document": F.coalesce(P.is_vat_document(plain), F.lit(False)),
     }
+    if "source_format" in df.columns:
+        of_tags = xml_invoice(c("x"), c("raw_text"))
+        out = {k: F.when(c("structured"), of_tags[k]).otherwise(v) for k, v in out.items()}
     return found.select(*df.columns, *(v.alias(k) for k, v in out.items()))
 
 
@@ -90,12 +101,13 @@ def extraction(response: Column) -> dict[str, Column]:
     return {f"x_{k}": F.when(F.coalesce(valid, F.lit(False)), v) for k, v in fields.items()}
 
 
-def with_extraction(df: DataFrame, extractor: Extractor | None, cache: DataFrame | None = None) -> DataFrame:
-    """df with x_ columns of the user's extractor, asked once for each distinct text (text_in) that is wanted (need)."""
+def with_extraction(df: DataFrame, extractor: Extractor | None, now: str, cache: DataFrame | None = None) -> Answers:
+    """df with x_ columns of the user's extractor, asked once for each distinct text (text_in) that is wanted (need) and not in the cache."""
     if extractor is None:
-        return df.withColumns(extraction(F.lit(None).cast("string")))
+        return Answers(df.withColumns(extraction(F.lit(None).cast("string"))), None)
     asked = df.withColumn("text_in", F.when(c("need"), F.substring("text_in", 1, 5000)))
-    return enrich(asked, extractor, cache, "text_in", "extract").withColumns(extraction(c("response"))).drop("response", "content_hash")
+    found = ask(asked, extractor, now, cache, "text_in", "extract", lambda r: extraction(r)["x_valid"].isNotNull())
+    return Answers(found.rows.withColumns(extraction(c("response"))).drop("response", "content_hash"), found.learned)
 
 
 def merged(policy: str) -> dict[str, Column]:
@@ -186,11 +198,12 @@ def decide(cand: DataFrame, existing: DataFrame, policy: str = "mail", strict: b
 
 
 class Intake(NamedTuple):
-    """What an intake gives: rows of invoices, rows of the audit log and the next state."""
+    """What an intake gives: rows of invoices, rows of the audit log, the next state, and new rows of the cache of answers."""
 
     invoices: DataFrame
     audit: DataFrame
     state: DataFrame | None
+    cache: DataFrame | None = None
 
 
 AUDIT = (
@@ -207,64 +220,88 @@ def _audit(df: DataFrame, **values: Column) -> DataFrame:
 def _documents(
     rows: DataFrame, existing: DataFrame, policy: str, strict: bool, extractor: Extractor | None, cache: DataFrame | None, order: list[str],
     as_of: str
-) -> tuple[DataFrame, DataFrame]:
-    """Invoice rows and audit rows of documents (user_id, email_uid, email_subject, filename, tier, body_text, raw_text, qr, source_format)."""
+) -> Intake:
+    """Invoice rows and audit rows of documents (user_id, email_uid, email_subject, filename, tier, body_text, raw_text, qr, source_format).
+
+    log_uid, where there is one, stands in the audit rows instead of email_uid.
+    """
     parsed = parse_documents(rows)
     parsed = parsed.withColumn("need", needs(parsed))
-    asked = with_extraction(parsed.withColumn("text_in", enrichment_text(c("body_text"), c("raw_text"))), extractor, cache)
-    done = written(numbered(judged(asked, policy, strict), existing, policy, order), "judged")  # rows and audit are made of it
-    file_path = F.concat(
-        F.lit("users/"), c("user_id"), F.lit("/invoices/"), P.canonical_name(c("buyer"), c("seller"), c("invoice_no"), c("invoice_date"), c("amount"))
-    )
-    saved = to_invoice_rows(done.where("outcome = 'saved'").withColumn("file_path", file_path), as_of)
+    asked = with_extraction(parsed.withColumn("text_in", enrichment_text(c("body_text"), c("raw_text"))), extractor, as_of, cache)
+    done = written(numbered(judged(asked.rows, policy, strict), existing, policy, order), "judged")  # rows and audit are made of it
+    suffix = P.clean_extension(F.when(F.contains("filename", F.lit(".")), F.lower(F.substring_index("filename", ".", -1))))
+    named = done.where("outcome = 'saved'").withColumns({
+        "folder": F.concat(F.lit("users/"), c("user_id"), F.lit("/invoices/")), "stem": P.canonical_stem(c("buyer"), c("seller"), c("invoice_no"), c("invoice_date"), c("amount")), "suffix": suffix
+    })
+    stored = existing.select("file_path") if "file_path" in existing.columns else existing.select(F.lit("").alias("file_path")).limit(0)
+    saved = to_invoice_rows(free_paths(named, stored, *order), as_of)
     audit = _audit(
-        done, user_id=c("user_id"), email_uid=c("email_uid"), email_subject=F.substring("email_subject", 1, 500), attachment_filename=c("filename"), outcome=c("audit"), classification_tier=c("tier"), parse_method=c("extraction_method"),
+        done, user_id=c("user_id"), email_uid=c("log_uid" if "log_uid" in done.columns else "email_uid"), email_subject=F.substring("email_subject", 1, 500), attachment_filename=c("filename"), outcome=c("audit"), classification_tier=c("tier"), parse_method=c("extraction_method"),
         parse_format=c("source_format"), invoice_no=c("invoice_no"), confidence=F.when(c("audit") != "duplicate", c("confidence")), error_detail=F.substring("detail", 1, 2000),
     )
-    return saved, audit
+    return Intake(saved, audit, None, asked.learned)
+
+
+def _both(a: DataFrame | None, b: DataFrame | None) -> DataFrame | None:
+    return b if a is None else a if b is None else a.unionByName(b)
+
+
+def analysed(known: DataFrame, analyser: Extractor | None, now: str, cache: DataFrame | None = None) -> Answers:
+    """Messages after the rules (is_invoice null: undecided) with tier, wanted (null: no valid analysis) and hints, the formats that come first.
+
+    The analyser reads messages that the rules leave open, and accepted ones with links: there its
+    verdict changes nothing, but its hints count, and a message it fails on is not taken.
+    """
+    asked = c("is_invoice").isNull() | (c("is_invoice") & (F.coalesce(F.size("links"), F.lit(0)) > 0))
+    known = known.withColumn("asked", asked)
+    learned = None
+    if analyser is None:
+        known = known.withColumns({"wanted": c("is_invoice"), "hints": F.lit(None).cast("array<string>")})
+    else:
+        text = analysis_text(c("subject"), c("from_addr"), c("body_text"), c("links"))
+        found = ask(known.withColumn("text_in", F.when(c("asked"), text)), analyser, now, cache, "text_in", "analyze_email_v3", lambda r: O.is_valid(F.from_json(r, O.ANALYSIS)))
+        learned = found.learned
+        known = found.rows.withColumn("record", F.from_json("response", O.ANALYSIS))
+        valid = O.is_valid(c("record"))
+        known = known.withColumns({
+            "wanted": F.when(~c("asked"), c("is_invoice")).when(valid, F.coalesce("is_invoice", c("record.is_invoice_related"))),
+            "hints": F.when(c("asked") & valid, c("record.extraction_hints.likely_formats")),
+        })
+    return Answers(known.withColumn("tier", F.when(c("is_invoice").isNotNull(), 1).otherwise(3)), learned)
 
 
 def mail_intake(
     emails: DataFrame, documents: DataFrame, state: DataFrame, logs: DataFrame, invoices: DataFrame, as_of: str, trusted: list[str],
     analyser: Extractor | None = None, extractor: Extractor | None = None, cache: DataFrame | None = None, extra: list[str] | None = None, strict: bool = False,
 ) -> Intake:
-    """New messages to invoice rows, audit rows and the next state.
+    """New messages to invoice rows, audit rows, the next state and new rows of the cache.
 
     emails: email_id, user_id, account_id, folder, uid, uidvalidity, message_id, subject, from_addr,
     body_text, received_at, attachments, links, headers; documents: email_id, filename, raw_text,
-    qr, source_format of the attachments that could be read; logs: earlier audit rows.
+    qr, source_format, and content where files are kept as bytes, of the attachments that could be
+    read; logs: earlier audit rows; invoices: user_id, invoice_no, file_path; cache: see sources.pluggable.ask.
 
     Increment by saved state -> first of each message id -> rules -> the analyser where they leave
-    it open -> attachments in processing order -> those seen before dropped -> parsed -> extracted
-    where wanted -> merged, scam, rejection, gate -> first of each number.  Messages that stay
-    undecided, for want of an analyser or of a valid answer, are recorded as errors.
+    it open or accept a message with links -> attachments in the order of its hints -> those seen
+    before dropped -> parsed -> extracted where wanted -> merged, scam, rejection, gate -> first of
+    each number.  Messages without a valid analysis are recorded as errors; without an analyser
+    those that the rules decide are taken as they say.
     """
     fresh, after = ingest_increment(emails, state)
     fresh = dedup_messages(fresh).drop("mid")
     rules = classify(fresh, trusted, extra).select("email_id", "is_invoice")
-    known = fresh.join(rules, "email_id")
-    if analyser is None:
-        known = known.withColumn("related", F.lit(None).cast("boolean"))
-    else:
-        asked = known.withColumn("text_in", F.when(c("is_invoice").isNull(), analysis_text(c("subject"), c("from_addr"), c("body_text"), c("links"))))
-        record = F.from_json("response", O.ANALYSIS)
-        valid = record["is_invoice_related"].isNotNull() & record["invoice_confidence"].isNotNull() & (F.size(O.violations(record)) == 0)
-        known = enrich(asked, analyser, cache, "text_in", "analyze_email_v3").withColumn(
-            "related", F.when(F.coalesce(valid, F.lit(False)), record["is_invoice_related"])
-        )
-    known = known.select("email_id", "user_id", "account_id", "uid", "subject", "body_text", "received_at", "attachments", "is_invoice", "related")
-    known = known.withColumns({"tier": F.when(c("is_invoice").isNotNull(), 1).otherwise(3), "wanted": F.coalesce("is_invoice", "related")})
-    known = written(known, "classified")
+    known, analyses = analysed(fresh.join(rules, "email_id"), analyser, as_of, cache)
+    known = written(known.select("email_id", "user_id", "account_id", "uid", "subject", "body_text", "received_at", "attachments", "tier", "wanted", "hints"), "classified")
     others = known.where("wanted IS NULL OR NOT wanted")
     dropped = _audit(
         others, user_id=c("user_id"), email_uid=c("uid"), email_subject=F.substring("subject", 1, 500), outcome=F.when(c("wanted").isNull(), "error").otherwise("not_invoice"),
         classification_tier=c("tier"), error_detail=F.when(c("wanted").isNull(), "no valid analysis"),
     )
     named = known.where("wanted").select(
-        "email_id", "user_id", "account_id", "tier", "body_text", "received_at", c("uid").alias("email_uid"), c("subject").alias("email_subject"),
+        "email_id", "user_id", "account_id", "tier", "hints", "body_text", "received_at", c("uid").alias("email_uid"), c("subject").alias("email_subject"),
         F.posexplode("attachments").alias("position", "filename")
     )
-    held = prioritise(named.join(documents, ["email_id", "filename"]), "email_id", "position")
+    held = prioritise(named.join(documents, ["email_id", "filename"]), "email_id", "position", hints="hints").drop("hints")
     held = held.join(seen_attachments(logs, "user_id").withColumn("before", F.lit(True)), ["user_id", "email_uid", "filename"], "left")
     held = repeated_names(held, "email_id", "turn").withColumn("skipped", c("skipped") | c("before").isNotNull()).drop("before")
     held = written(held, "attachments")
@@ -273,22 +310,22 @@ def mail_intake(
         skipped, user_id=c("user_id"), email_uid=c("email_uid"), email_subject=F.substring("email_subject", 1, 500),
         attachment_filename=c("filename"), outcome=F.lit("skipped_seen"), classification_tier=c("tier")
     )
-    saved, done = _documents(held.where("NOT skipped"), invoices, "mail", strict, extractor, cache, ["received_at", "email_uid", "email_id", "turn"], as_of)
-    return Intake(saved, dropped.unionByName(skipped).unionByName(done), after)
+    done = _documents(held.where("NOT skipped"), invoices, "mail", strict, extractor, cache, ["received_at", "email_uid", "email_id", "turn"], as_of)
+    return Intake(done.invoices, dropped.unionByName(skipped).unionByName(done.audit), after, _both(analyses, done.cache))
 
 
 def upload_intake(
     uploads: DataFrame, invoices: DataFrame, as_of: str, extractor: Extractor | None = None, cache: DataFrame | None = None, strict: bool = False
 ) -> Intake:
-    """Uploaded documents (upload_id, user_id, account_id, filename, raw_text, qr, source_format) to invoice rows and audit rows.
+    """Uploaded documents (upload_id, user_id, account_id, filename, raw_text, qr, source_format, content if there is any) to invoice rows and audit rows.
 
-    Every upload has a run of its own, which names the invoice's message: manual:upload_id.
+    Every upload has a run of its own, which names the invoice's message: manual:upload_id; its
+    audit rows belong to no message.
     """
     rows = uploads.withColumns(
         {
             "email_uid": F.concat(F.lit("manual:"), c("upload_id")), "email_subject": F.concat(F.lit("Manual upload: "), c("filename")),
-            "tier": F.lit(None).cast("int"), "body_text": F.lit(None).cast("string")
+            "tier": F.lit(None).cast("int"), "body_text": F.lit(None).cast("string"), "log_uid": F.lit(None).cast("string")
         }
     )
-    saved, audit = _documents(rows, invoices, "upload", strict, extractor, cache, ["upload_id", "filename"], as_of)
-    return Intake(saved, audit, None)
+    return _documents(rows, invoices, "upload", strict, extractor, cache, ["upload_id", "filename"], as_of)

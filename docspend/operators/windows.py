@@ -23,8 +23,10 @@ def processing_order(name: Column, hints: Column | None = None) -> Column:
     plain = format_priority(name)
     if hints is None:
         return plain
-    place = F.array_position(F.transform(hints, lambda x: F.lower(x)), extension(name))
-    return F.when(F.coalesce(F.size(hints), F.lit(0)) <= 0, plain).when(place > 0, place - 1).otherwise(F.size(hints) + plain)
+    # a format that is hinted twice counts at its last place
+    back = F.array_position(F.reverse(F.transform(hints, lambda x: F.lower(x))), extension(name))
+    kinds = F.size(F.array_distinct(F.transform(hints, lambda x: F.lower(x))))
+    return F.when(F.coalesce(F.size(hints), F.lit(0)) <= 0, plain).when(back > 0, F.size(hints) - back).otherwise(kinds + plain)
 
 
 def prioritise(attachments: DataFrame, key: str, position: str, name: str = "filename", hints: str | None = None) -> DataFrame:
@@ -63,6 +65,26 @@ def assign_paths(df: DataFrame, owner: str, base: str, order: str) -> DataFrame:
     return df.withColumn("path", F.concat(F.col(base), F.when(turn == 0, "").otherwise(F.concat(F.lit("_"), turn))))
 
 
+#: A stored invoice's path: its owner's folder, the stem that ends in an amount, the number of a repeated name, the suffix.
+STORED = r"^(users/\d+/invoices/)(.*_-?\d+\.\d{2})(?:_([1-9]\d*))?(\.[^./]*)$"
+
+
+def free_paths(df: DataFrame, stored: DataFrame, *order: str) -> DataFrame:
+    """df with file_path, folder + stem + suffix: names that an owner has already, stored or earlier in df, get _1, _2 ... before the suffix, the first that is free.
+
+    df: folder, stem, suffix; stored: file_path.
+    """
+    keys = ["folder", "stem", "suffix"]
+    part = lambda i: F.regexp_extract("file_path", STORED, i)
+    taken = stored.where(F.col("file_path").rlike(STORED)).select(part(1).alias("folder"), part(2).alias("stem"), part(4).alias("suffix"), F.coalesce(F.nullif(part(3), F.lit("")), F.lit("0")).cast("long").alias("n"))
+    taken = taken.groupBy(*keys).agg(F.array_sort(F.collect_set("n")).alias("taken"))
+    turn = (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long")
+    rows = df.withColumn("n", turn).join(taken, keys, "left")
+    free = F.aggregate(F.coalesce("taken", F.array().cast("array<bigint>")), F.col("n"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+    name = F.concat("folder", "stem", F.when(free == 0, "").otherwise(F.concat(F.lit("_"), free)), "suffix")
+    return rows.withColumn("file_path", name).drop(*keys, "n", "taken")
+
+
 def cap_seen(df: DataFrame, n: int, partition: str, order: Column) -> DataFrame:
     """The newest n of each partition."""
     turn = F.row_number().over(Window.partitionBy(partition).orderBy(order))

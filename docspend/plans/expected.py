@@ -97,6 +97,34 @@ def vat_document(t: str = "raw_text") -> str:
     return f"(NOT {any_of(t, *NO_INVOICE)} AND {any_of(t, *VAT_WORDS)} AND {marks} >= 2)"
 
 
+# Tag names by field.
+TAGS = {
+    "invoice_no": ("InvoiceNo", "fpHm", "invoiceNumber", "InvoiceNumber", "FPHM", "EInvoiceNumber"),
+    "buyer": ("BuyerName", "gmfMc", "buyerName", "GMF_MC", "Gfmc", "GMFMC", "PayingPartyName"),
+    "seller": ("SellerName", "xsfMc", "sellerName", "XSF_MC", "XSFMC", "InvoicingPartyName"),
+    "invoice_type": ("InvoiceType", "fplx", "invoiceType", "FPLX", "KPLX", "EInvoiceName"),
+    "amount": ("TaxInclusiveTotalAmount", "jshj", "totalAmount", "TotalAmount", "JSHJ", "TotalIncludingTax", "PriceTaxTotal", "价税合计"),
+    "invoice_date": ("InvoiceDate", "kprq", "invoiceDate", "IssueDate", "KPRQ", "IssueDateTime", "开票日期"),
+}
+ITEMS = ("GoodsName", "xmmc", "goodsName", "Spmc", "XMMC", "ItemName")
+
+
+def xml_text(field: str) -> str:
+    """The first text by tag, one without a prefix before others; these documents have no markup inside the fields."""
+    forms = (f"NULLIF(regexp_extract(raw_text, '<{prefix}{tag}>([^<]+)', 1), '')" for tag in TAGS[field] for prefix in ("", "n:"))
+    return f"CASE WHEN whole THEN replace({strip(f'COALESCE({', '.join(forms)})')}, '&amp;', '&') END"
+
+
+def xml_invoice(source: str) -> str:
+    """Documents (raw_text, XML) with their fields."""
+    items = "list_concat(" + ", ".join(f"regexp_extract_all(raw_text, '<(?:n:)?{tag}>([^<]+)', 1)" for tag in ITEMS) + ")"
+    texts = ", ".join(f"{xml_text(f)} AS {f}" for f in TAGS)
+    points = "CASE WHEN COALESCE(invoice_no, '') <> '' THEN 30 ELSE 0 END + CASE WHEN amount > 0 THEN 25 ELSE 0 END + CASE WHEN invoice_date IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN COALESCE(buyer, '') <> '' THEN 10 ELSE 0 END + CASE WHEN COALESCE(seller, '') <> '' THEN 10 ELSE 0 END"
+    return f"""SELECT * EXCLUDE (whole, found), CASE WHEN whole AND len(found) > 0 THEN array_to_string(found[1:5], '; ') END AS item_summary, 'xml_xpath' AS extraction_method,
+      CASE WHEN whole THEN ({points} + CASE WHEN {known_type('invoice_type')} THEN 10 ELSE 0 END) / 100.0 ELSE 0.0 END::DOUBLE AS confidence, whole AND {vat_document()} AS is_vat_document
+      FROM (SELECT * REPLACE ({money('amount')} AS amount, {qr_day('invoice_date')} AS invoice_date) FROM (SELECT *, {texts}, {items} AS found FROM (SELECT *, ends_with(raw_text, '</n:Invoice>') AS whole FROM {source}) y0) y1) y2"""
+
+
 CONFIDENCE = "CAST((CASE WHEN invoice_no IS NOT NULL THEN 30 ELSE 0 END + CASE WHEN amount > 0 THEN 25 ELSE 0 END + CASE WHEN invoice_date IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN buyer <> '' THEN 10 ELSE 0 END + CASE WHEN seller <> '' THEN 10 ELSE 0 END) / 100.0 AS DECIMAL(3,2))"
 
 

@@ -459,7 +459,9 @@ def _answers(texts):
         related = n % 2 == 0
         record = {
             "is_invoice_related": related, "invoice_confidence": 0.5
-        } | ({} if related else {"skip_reason": "odd"}) | ({"url_confidence": 0.7} if n % 7 == 0 else {})
+        } | ({} if related else {"skip_reason": "odd"}) | ({"url_confidence": 0.7} if n % 7 == 0 else {}) | ({"url_kind": "direct_file"} if n % 17 == 0 else {})
+        hints = {0: ["xml", "ofd", "pdf"], 1: ["ofd"]}.get(n % 3)
+        record |= {"extraction_hints": {"likely_formats": hints, "platform": "jd" if n % 13 else "nobody"}} if hints else {}
         out.append(None if n % 11 == 0 else json.dumps(record))
     return out
 
@@ -481,14 +483,16 @@ def _extracted(texts):
 
 
 def _parsed(source: str) -> str:
-    """Documents (id, raw_text, qr and more) with what the parser keeps."""
+    """Documents (id, raw_text, qr, source_format and more) with what the parser keeps."""
     q = X.qr(f"(SELECT id, qr FROM {source} a0)")
-    return f"""SELECT d.* EXCLUDE (invoice_no, invoice_date, buyer, seller, amount, conf), CASE WHEN q.id IS NOT NULL THEN q.invoice_no WHEN conf >= 0.6 THEN d.invoice_no END AS invoice_no,
+    text = f"(SELECT * FROM {source} a2 WHERE source_format <> 'xml')"
+    return f"""SELECT d.* EXCLUDE (invoice_no, invoice_date, buyer, seller, amount, conf, keep), CASE WHEN q.id IS NOT NULL THEN q.invoice_no WHEN conf >= 0.6 THEN d.invoice_no END AS invoice_no,
       COALESCE({X.qr_day('trim(q.date)')}, CASE WHEN keep THEN d.invoice_date END) AS invoice_date, CASE WHEN keep THEN d.buyer END AS buyer, CASE WHEN keep THEN d.seller END AS seller,
       COALESCE(NULLIF({X.money('q.amount')}, 0), CASE WHEN keep THEN d.amount END, {X.money('q.amount')}) AS amount, CAST(NULL AS VARCHAR) AS invoice_type, CAST(NULL AS VARCHAR) AS item_summary,
       CASE WHEN q.id IS NOT NULL THEN 'qr' WHEN conf >= 0.6 THEN 'regex' ELSE 'llm' END AS extraction_method, CASE WHEN q.id IS NOT NULL THEN 0.95 WHEN conf >= 0.6 THEN CAST(conf AS DOUBLE) ELSE 0.0 END AS confidence,
       {X.vat_document('d.raw_text')} AS is_vat_document
-      FROM (SELECT *, conf >= 0.6 OR id IN (SELECT id FROM ({q}) q1) AS keep FROM (SELECT *, {X.CONFIDENCE} AS conf FROM ({X.fields(source)}) f0) f1) d LEFT JOIN ({q}) q ON q.id = d.id"""
+      FROM (SELECT *, conf >= 0.6 OR id IN (SELECT id FROM ({q}) q1) AS keep FROM (SELECT *, {X.CONFIDENCE} AS conf FROM ({X.fields(text)} a3) f0) f1) d LEFT JOIN ({q}) q ON q.id = d.id
+      UNION ALL BY NAME {X.xml_invoice(f"(SELECT * FROM {source} a4 WHERE source_format = 'xml')")}"""
 
 
 def _asked(source: str, text: str) -> str:
@@ -504,9 +508,11 @@ CONTEXT = "CASE WHEN body_text <> '' THEN '[Email context]' || chr(10) || body_t
 MAIL = f"""WITH fresh AS (SELECT m.* FROM {{emails}} m LEFT JOIN ({STATE}) s USING (account_id, folder) WHERE s.last_uid IS NULL OR s.validity = 'old' OR CAST(m.uid AS BIGINT) > CAST(s.last_uid AS BIGINT)),
     firsts AS (SELECT * EXCLUDE (rn, m) FROM (SELECT *, row_number() OVER (PARTITION BY account_id, m ORDER BY received_at, folder, email_id) AS rn FROM (SELECT *, trim(replace(replace(message_id, '<', ''), '>', '')) AS m FROM fresh) y) x WHERE rn = 1 OR m = ''),
     ruled AS (SELECT *, {PICK('FALSE', 'FALSE', 'TRUE', 'TRUE', 'FALSE')} AS sure, length({LETTER}) AS k FROM ({X.rules('firsts')}) r),
-    known AS (SELECT *, CASE WHEN sure IS NOT NULL THEN 1 ELSE 3 END AS tier, COALESCE(sure, CASE WHEN k % 11 <> 0 AND k % 7 <> 0 THEN k % 2 = 0 END) AS wanted FROM ruled),
+    known AS (SELECT *, CASE WHEN sure IS NOT NULL THEN 1 ELSE 3 END AS tier, CASE WHEN NOT asked THEN sure WHEN valid THEN COALESCE(sure, k % 2 = 0) END AS wanted, CASE WHEN asked AND valid THEN k % 3 END AS hinted
+      FROM (SELECT *, sure IS NULL OR (sure AND link IS NOT NULL) AS asked, k % 11 <> 0 AND k % 7 <> 0 AND k % 17 <> 0 AND (k % 13 <> 0 OR k % 3 = 2) AS valid FROM ruled) r1),
     held AS (SELECT k.email_id, k.user_id, k.tier, k.body_text, k.received_at, k.uid AS email_uid, k.subject AS email_subject, a.filename, a.raw_text, a.qr, a.source_format, k.email_id * 2 + a.position AS id,
-      row_number() OVER (PARTITION BY k.email_id ORDER BY CASE lower(split_part(a.filename, '.', -1)) WHEN 'pdf' THEN 0 WHEN 'ofd' THEN 1 WHEN 'xml' THEN 2 ELSE 3 END, a.position, a.filename) AS turn,
+      row_number() OVER (PARTITION BY k.email_id ORDER BY CASE hinted WHEN 0 THEN CASE lower(split_part(a.filename, '.', -1)) WHEN 'xml' THEN 0 WHEN 'ofd' THEN 1 WHEN 'pdf' THEN 2 ELSE 6 END WHEN 1 THEN CASE lower(split_part(a.filename, '.', -1)) WHEN 'ofd' THEN 0 WHEN 'pdf' THEN 1 WHEN 'xml' THEN 3 ELSE 4 END
+        ELSE CASE lower(split_part(a.filename, '.', -1)) WHEN 'pdf' THEN 0 WHEN 'ofd' THEN 1 WHEN 'xml' THEN 2 ELSE 3 END END, a.position, a.filename) AS turn,
       EXISTS (SELECT 1 FROM ({SEEN}) l WHERE l.user_id = k.user_id AND l.email_uid = k.uid AND l.attachment_filename = a.filename) AS skipped
       FROM known k JOIN ({{attachments}}) a USING (email_id) WHERE k.wanted AND a.filename IN (k.attachment, k.attachment2)),
     open_ AS (SELECT * EXCLUDE (skipped) FROM held WHERE NOT skipped),
@@ -534,36 +540,50 @@ def _(t):
     return _mail(t).audit.select(*LOG.split(", "))
 
 
-ROWS = "user_id, invoice_no, buyer, seller, invoice_type, amount, invoice_date, item_summary, raw_text, email_uid, source_format, extraction_method, confidence, invoice_category"
+ROWS = "user_id, invoice_no, buyer, seller, invoice_type, amount, invoice_date, item_summary, raw_text, email_uid, source_format, extraction_method, confidence, invoice_category, file_path"
 STORED = """user_id, invoice_no, COALESCE(NULLIF(buyer, ''), '未知') AS buyer, COALESCE(NULLIF(seller, ''), '未知') AS seller, COALESCE(NULLIF(invoice_type, ''), '未知') AS invoice_type, CAST(COALESCE(amount, 0) AS DECIMAL(12,2)) AS amount,
-    COALESCE(invoice_date, DATE '2001-07-15') AS invoice_date, COALESCE(item_summary, '') AS item_summary, substring(raw_text, 1, 10000) AS raw_text, email_uid, source_format, extraction_method, confidence, category AS invoice_category"""
+    COALESCE(invoice_date, DATE '2001-07-15') AS invoice_date, COALESCE(item_summary, '') AS item_summary, substring(raw_text, 1, 10000) AS raw_text, email_uid, source_format, extraction_method, confidence, category AS invoice_category, file_path"""
 
 
-@query("pip_02_invoice_rows", f"{MAIL} SELECT {STORED} FROM done WHERE outcome = 'saved'")
+def _filed(done: str, order: str) -> str:
+    """Saved documents with the paths of their files; no stored file has such a name."""
+    stem = f"{X.safe('buyer')} || '_' || {X.safe('seller')} || '_' || {X.safe('invoice_no')} || '_' || COALESCE(strftime(invoice_date, '%Y%m%d'), 'unknown') || '_' || CAST(COALESCE(amount, 0) AS DECIMAL(12,2))"
+    suffix = "CASE WHEN contains(filename, '.') THEN '.' || lower(split_part(filename, '.', -1)) ELSE '.pdf' END"
+    return f"""(SELECT *, 'users/' || user_id || '/invoices/' || stem || CASE WHEN again = 1 THEN '' ELSE '_' || (again - 1) END || suffix AS file_path
+      FROM (SELECT *, row_number() OVER (PARTITION BY user_id, stem, suffix ORDER BY {order}) AS again FROM (SELECT *, {stem} AS stem, {suffix} AS suffix FROM {done} WHERE outcome = 'saved') p0) p1) p2"""
+
+
+@query("pip_02_invoice_rows", f"{MAIL} SELECT {STORED} FROM {_filed('done', 'received_at, email_uid, email_id, turn')}")
 def _(t):
     return _mail(t).invoices.select(*ROWS.split(", "))
 
 
-UPLOADS = "SELECT id, id AS upload_id, id % 7 + 1 AS user_id, 'manual:' || id AS email_uid, 'up' || id || '.pdf' AS filename, raw_text, qr, 'pdf' AS source_format FROM {parse_texts} u0"
+UPLOADS = """SELECT p.id, p.id AS upload_id, p.id % 7 + 1 AS user_id, 'manual:' || p.id AS email_uid, 'up' || p.id || CASE p.id % 10 WHEN 3 THEN '.XML' WHEN 7 THEN '' ELSE '.pdf' END AS filename,
+    CASE WHEN p.id % 10 = 3 THEN x.raw_text ELSE p.raw_text END AS raw_text, p.qr, CASE WHEN p.id % 10 = 3 THEN 'xml' ELSE 'pdf' END AS source_format FROM {parse_texts} p JOIN {xml_texts} x ON x.id = p.id"""
 UPLOAD = "WITH " + X.gate(_asked(_parsed(f"({UPLOADS})"), "raw_text"), "{invoices}", "upload", "upload_id, filename")
 
 
+def _uploads(t):
+    k = c("id") % 10
+    texts = t.parse_texts.join(t.xml_texts.select("id", c("raw_text").alias("xml")), "id")
+    return texts.select(
+        c("id").alias("upload_id"), (c("id") % 7 + 1).alias("user_id"), F.concat(F.lit("up"), "id", F.when(k == 3, ".XML").when(k == 7, "").otherwise(".pdf")).alias("filename"),
+        F.when(k == 3, c("xml")).otherwise(c("raw_text")).alias("raw_text"), "qr", F.when(k == 3, "xml").otherwise("pdf").alias("source_format")
+    )
+
+
 def _upload(t):
-    uploads = t.parse_texts.select(
-        c("id").alias("upload_id"), (c("id") % 7 + 1).alias("user_id"), F.concat(F.lit("up"), "id", F.lit(".pdf")).alias("filename"), "raw_text",
-        "qr", F.lit("pdf").alias("source_format")
-    )
-    return I.upload_intake(uploads, t.invoices, AS_OF[:10], _extracted)
+    return I.upload_intake(_uploads(t), t.invoices, AS_OF[:10], _extracted)
 
 
 @query(
     "pip_03_upload_intake",
-    f"""{UPLOAD} SELECT user_id, email_uid, filename AS attachment_filename, audit AS outcome, CAST(NULL AS INT) AS classification_tier, extraction_method AS parse_method, source_format AS parse_format, invoice_no, CASE WHEN audit <> 'duplicate' THEN confidence END AS confidence, detail AS error_detail FROM done""",
+    f"""{UPLOAD} SELECT user_id, CAST(NULL AS VARCHAR) AS email_uid, filename AS attachment_filename, audit AS outcome, CAST(NULL AS INT) AS classification_tier, extraction_method AS parse_method, source_format AS parse_format, invoice_no, CASE WHEN audit <> 'duplicate' THEN confidence END AS confidence, detail AS error_detail FROM done""",
 )
 def _(t):
     return _upload(t).audit.select(*LOG.split(", "))
 
 
-@query("pip_03_invoice_rows", f"{UPLOAD} SELECT {STORED} FROM done WHERE outcome = 'saved'")
+@query("pip_03_invoice_rows", f"{UPLOAD} SELECT {STORED} FROM {_filed('done', 'upload_id, filename')}")
 def _(t):
     return _upload(t).invoices.select(*ROWS.split(", "))

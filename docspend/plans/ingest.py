@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docspend.functions.xml import xml_fields, xml_invoice
+from docspend.plans import expected as X
 from docspend.plans.registry import query
 from docspend.sources import readers as R
 from docspend.streaming import ingest as G
@@ -157,4 +159,14 @@ def _(t):
         F.when(c("p_partkey") % 4 == 3, "<broken").otherwise("</n:Invoice>")
     )
     rows = t.part.select(c("p_partkey").alias("id"), doc.alias("x"))
-    return rows.select("id", *(v.alias(k) for k, v in R.xml_fields(c("x"), {"no": ("InvoiceNo", "FPHM"), "buyer": ("Buyer",)}).items()))
+    x = rows.select("id", xml_fields(c("x"), tags={"no": ("InvoiceNo", "FPHM"), "buyer": ("Buyer",)}).alias("x"))
+    return x.select("id", "x.no", "x.buyer")
+
+
+@query(
+    "fn_16_xml_invoice",
+    f"""SELECT id, invoice_no, buyer, seller, invoice_type, amount, invoice_date, item_summary, confidence, is_vat_document FROM ({X.xml_invoice('(SELECT * FROM {xml_texts} x0)')}) x1""",
+)
+def _(t):
+    rows = t.xml_texts.withColumn("x", xml_fields(c("raw_text")))
+    return rows.select("id", *(v.alias(k) for k, v in xml_invoice(c("x"), c("raw_text")).items() if k != "extraction_method"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from docspend.functions.parse import content_hash
+from docspend.functions.parse import content_hash, expiry
+from docspend.scratch import written
 from docspend.shipping import ship
 
 EMAIL = "uid string, subject string, from_addr string, body_text string, state string"
@@ -64,11 +66,8 @@ def split_state(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("state IS NULL").drop("state"), rows.where("state IS NOT NULL").select("state")
 
 
-def _call_once(df: DataFrame, key: str, column: str, cache: DataFrame | None, fn: Callable[[list[str]], list[str | None]]) -> DataFrame:
-    """key, response of every distinct text that the cache (key, response) does not know."""
-    misses = df.select(key, column).dropDuplicates([key])
-    if cache is not None:
-        misses = misses.join(cache.select(key).distinct(), key, "left_anti")
+def _call_once(misses: DataFrame, column: str, fn: Callable[[list[str]], list[str | None]]) -> DataFrame:
+    """content_hash, response of rows (content_hash and the text in column)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -81,25 +80,63 @@ def _call_once(df: DataFrame, key: str, column: str, cache: DataFrame | None, fn
                         out += list(fn([text]))
                     except Exception:  # noqa: BLE001
                         out.append(None)
-            yield pd.DataFrame({key: frame[key], "response": out})
+            yield pd.DataFrame({"content_hash": frame["content_hash"], "response": out})
 
-    return misses.mapInPandas(run, f"{key} string, response string")
+    return misses.mapInPandas(run, "content_hash string, response string")
 
 
-def enrich(
-    df: DataFrame, extractor: Callable[[list[str]], list[str | None]], cache: DataFrame | None = None, column: str = "raw_text",
-    prompt: str = "extract"
-) -> DataFrame:
-    """df with content_hash and response: the user's extractor runs once for each distinct text that the
-    cache (content_hash, response) does not know; the key hashes the text that it is given, all of it.
+class Answers(NamedTuple):
+    """rows with content_hash and response, and what the user's function newly answered, as rows of the cache."""
+
+    rows: DataFrame
+    learned: DataFrame
+
+
+def live_answers(cache: DataFrame, now: str) -> DataFrame:
+    """content_hash, response of the entries of a cache that have not expired; of several of one hash the newest."""
+    age = [F.col(n) for n in ("created_at", "id") if n in cache.columns]
+    live = cache.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp"))) if "expires_at" in cache.columns else cache
+    text = F.col("response_json" if "response_json" in cache.columns else "response")
+    return live.groupBy("content_hash").agg(F.max_by(text, F.struct(*age, text)).alias("response"))
+
 
-    A null text is not asked for.  A text the extractor fails on has a null response.
+def ask(
+    df: DataFrame, fn: Callable[[list[str]], list[str | None]], now: str, cache: DataFrame | None = None, column: str = "raw_text", prompt: str = "extract",
+    valid: Callable[[Column], Column] | None = None
+) -> Answers:
+    """df with content_hash and response: the user's function runs once for each distinct text that the
+    cache does not know at the time now; the key hashes the text that it is given, all of it.
+
+    cache: content_hash, response_json, created_at, expires_at (null: for ever).  What is newly
+    answered, and is valid, comes as such rows too, with the prompt's expiry: merged into the cache
+    they spare the next run the question.  A null text is not asked for; a text the function fails
+    on has a null response and is asked for again next time.  df, and the answers, are written, so
+    nothing above is computed twice and no text is asked for twice.
     """
     ship(df.sparkSession)
-    keyed = df.withColumn("content_hash", content_hash(prompt, F.col(column)))
-    fresh = _call_once(keyed.where(F.col(column).isNotNull()), "content_hash", column, cache, extractor)
-    known = fresh if cache is None else fresh.unionByName(cache.select("content_hash", "response"))
-    return keyed.join(known, "content_hash", "left")
+    keyed = written(df.withColumn("content_hash", content_hash(prompt, F.col(column))), "keyed")
+    misses = keyed.where(F.col(column).isNotNull()).groupBy("content_hash").agg(F.min(column).alias(column))
+    known = None if cache is None else live_answers(cache, now)
+    if known is not None:
+        wanted = keyed.select("content_hash").distinct()
+        known = written(known.join(wanted, "content_hash", "left_semi"), "known")
+        misses = misses.join(known.select("content_hash"), "content_hash", "left_anti")
+    fresh = written(_call_once(misses, column, fn), "answers")
+    made, lasts = F.lit(now).cast("timestamp"), expiry(F.lit(prompt), F.lit(now).cast("timestamp"))
+    kept = F.col("response").isNotNull() if valid is None else F.col("response").isNotNull() & F.coalesce(valid(F.col("response")), F.lit(False))
+    learned = fresh.where(kept).select(
+        "content_hash", F.lit(prompt).alias("prompt_type"), F.col("response").alias("response_json"), made.alias("created_at"), lasts.alias("expires_at")
+    )
+    answers = fresh if known is None else fresh.unionByName(known)
+    return Answers(keyed.join(answers, "content_hash", "left"), learned)
+
+
+def enrich(
+    df: DataFrame, extractor: Callable[[list[str]], list[str | None]], cache: DataFrame | None = None, column: str = "raw_text",
+    prompt: str = "extract", now: str = "1970-01-01"
+) -> DataFrame:
+    """The rows of `ask`, for a cache that is not kept."""
+    return ask(df, extractor, now, cache, column, prompt).rows
 
 
 def analyse(df: DataFrame, fn: Callable[[list[str]], list[str | None]], cache: DataFrame | None = None, column: str = "body_text") -> DataFrame:

@@ -79,14 +79,3 @@ def emails_from_portal(pages: DataFrame, provider: str = "Portal", site: str = "
         F.concat_ws("\n", *lines).alias("body_text"), F.lit("").alias("body_html"), F.lit(sender).alias("from_addr"), F.array(F.concat(F.lit("portal-invoice-"), c("portal_id"), F.lit(".pdf"))).alias("attachments"),
         F.array("url").alias("links"), F.create_map(*pairs).alias("headers"), F.lit(f"{provider} Invoices").alias("folder"), F.concat(F.lit("portal-"), c("portal_id")).alias("message_id"),
     )
-
-
-def xml_fields(text: Column, aliases: dict[str, tuple[str, ...]]) -> dict[str, Column]:
-    """First non-empty text by tag name, whatever the namespace; null for broken documents."""
-    broken = F.from_xml(text, "_bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})["_bad"].isNotNull()
-    safe = F.when(F.coalesce(text, F.lit("")).rlike(r"^\s*<") & ~F.coalesce(broken, F.lit(False)), text)
-    out = {}
-    for name, tags in aliases.items():
-        found = [F.nullif(F.trim(F.xpath_string(safe, F.lit(f"(//*[local-name()='{t}'][normalize-space(.)!=''])[1]"))), F.lit("")) for t in tags]
-        out[name] = F.coalesce(*found)
-    return out
