@@ -162,9 +162,13 @@ def email_key() -> Column:
 
 
 def rollup_by_email(logs: DataFrame) -> DataFrame:
-    """One row for each message of a scan: best outcome (the first wins ties), first number, highest tier."""
+    """One row for each message of a scan: best outcome (the first wins ties), first number, highest tier.
+
+    email_uid and email_subject are those of its first row.
+    """
     named = F.nullif(F.col("invoice_no"), F.lit(""))
     return logs.groupBy("scan_log_id", email_key().alias("key")).agg(
+        *(F.min_by(n, F.struct("id")).alias(n) for n in ("email_uid", "email_subject")),
         F.max_by("outcome", F.struct(priority(), -F.col("id"))).alias("best_outcome"),
         F.min_by(named, F.when(named.isNotNull(), F.col("id"))).alias("invoice_no"),
         F.max("classification_tier").alias("tier"),
@@ -172,6 +176,22 @@ def rollup_by_email(logs: DataFrame) -> DataFrame:
     )
 
 
+#: What a nested extraction keeps of its row of the log.
+EXTRACTION = ("id", "attachment_filename", "outcome", "classification_tier", "parse_method", "invoice_no", "confidence", "error_detail")
+
+
+def with_extractions(logs: DataFrame, most: int = 200) -> DataFrame:
+    """The rows of rollup_by_email with extractions, the message's first `most` rows of the log in their order; n counts all.
+
+    Rows beyond `most` are ranked but not gathered, so a message with a great many stays bounded.
+    """
+    keys = ["scan_log_id", "key"]
+    ranked = logs.select("scan_log_id", email_key().alias("key"), F.struct(*EXTRACTION).alias("e"))
+    ranked = ranked.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy("e.id"))).where(F.col("turn") <= most)
+    nested = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("extractions"))
+    return rollup_by_email(logs).join(nested, keys)
+
+
 def email_breakdown(rollup: DataFrame) -> DataFrame:
     best = F.col("best_outcome")
     kinds = {"saved": ("saved", "success"), "duplicates": ("duplicate",), "skipped": ("skipped_seen",), "errors": ("error", "failed", "parse_failed")}
@@ -212,6 +232,17 @@ def colliding_numbers(invoices: DataFrame) -> DataFrame:
     return invoices.groupBy("invoice_no").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def time_state_summary(accounts: DataFrame) -> DataFrame:
+    """id, folders, latest: of accounts whose state maps folders to times, how many there are and the newest time that is one.
+
+    A state that is no map has no folders.
+    """
+    known = F.from_json("last_scan_uid", "map<string, string>")
+    state = F.when(F.col("last_scan_uid").rlike(r"^\s*\{"), known)
+    times = F.transform(F.map_values("state"), lambda v: F.coalesce(v.try_cast("timestamp"), F.try_to_timestamp(v, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))))
+    return accounts.select("id", state.alias("state")).select("id", F.coalesce(F.size("state"), F.lit(0)).alias("folders"), F.array_max(times).alias("latest"))
+
+
 def state_summary(accounts: DataFrame) -> DataFrame:
     """id, folders, messages, top_uid of each account's saved state."""
     states = accounts.withColumn("state", parse_state(F.col("last_scan_uid")))

@@ -17,7 +17,7 @@ from docspend.functions import portal as O
 from docspend.functions.text import analysis_text, enrichment_text, has_keyword, is_trusted, scam_reason
 from docspend.functions.xml import xml_fields, xml_invoice
 from docspend.operators.filters import to_invoice_rows
-from docspend.operators.joins import seen_attachments
+from docspend.operators.joins import match_trusted, seen_attachments
 from docspend.operators.windows import dedup_messages, free_paths, is_document, prioritise, repeated_names
 from docspend.schemas import BULK_HEADER, UNKNOWN
 from docspend.scratch import written
@@ -28,20 +28,26 @@ c = F.col
 Extractor = Callable[[list[str]], list[str | None]]
 
 
-def classify(emails: DataFrame, trusted: list[str], extra: list[str] | None = None) -> DataFrame:
+def classify(emails: DataFrame, trusted: list[str] | DataFrame, extra: list[str] | None = None) -> DataFrame:
     """email_id, is_invoice, confidence, reason; the first rule wins, undecided messages have nulls.
 
     Bulk header, scam, document attached, trusted sender, nothing to go by; only the first 2000
     characters of a body count.  emails has attachments (array of names), links (array) and headers
-    (map).  The rules are one CASE that gives a number, everything else follows from the number.
+    (map).  trusted: patterns for all, or a table (user_id, pattern) of each tenant's, see
+    joins.match_trusted.  The rules are one CASE that gives a number, everything else follows from the number.
     """
     names = F.filter("attachments", is_document)
-    rows = emails.select("*", F.concat(c("subject"), F.lit(" "), F.substring("body_text", 1, 2000)).alias("text"))
+    if isinstance(trusted, DataFrame):
+        rows = emails.join(match_trusted(emails, trusted).select("email_id", c("trusted").alias("in_table")), "email_id")
+        sure = c("in_table")
+    else:
+        rows, sure = emails, is_trusted(c("from_addr"), trusted)
+    rows = rows.select("*", F.concat(c("subject"), F.lit(" "), F.substring("body_text", 1, 2000)).alias("text"))
     rows = rows.select("*", F.lower("text").alias("low"))
     rows = rows.select("*", scam_reason(c("text"), c("low")).alias("scam"))
     none = (F.coalesce(F.size("attachments"), F.lit(0)) <= 0) & (F.coalesce(F.size("links"), F.lit(0)) <= 0)
     bulk = F.coalesce(F.exists(F.map_keys("headers"), lambda k: F.lower(k) == BULK_HEADER), F.lit(False))
-    rule = F.when(bulk, 1).when(c("scam").isNotNull(), 2).when(F.size(names) > 0, 3).when(is_trusted(c("from_addr"), trusted), 4).when(
+    rule = F.when(bulk, 1).when(c("scam").isNotNull(), 2).when(F.size(names) > 0, 3).when(sure, 4).when(
         none & ~has_keyword(c("text"), extra, c("low")), 5
     )
     rows = rows.select("email_id", "scam", F.get(names, F.lit(0)).alias("document"), rule.alias("rule"))
@@ -271,7 +277,7 @@ def analysed(known: DataFrame, analyser: Extractor | None, now: str, cache: Data
 
 
 def mail_intake(
-    emails: DataFrame, documents: DataFrame, state: DataFrame, logs: DataFrame, invoices: DataFrame, as_of: str, trusted: list[str],
+    emails: DataFrame, documents: DataFrame, state: DataFrame, logs: DataFrame, invoices: DataFrame, as_of: str, trusted: list[str] | DataFrame,
     analyser: Extractor | None = None, extractor: Extractor | None = None, cache: DataFrame | None = None, extra: list[str] | None = None, strict: bool = False,
 ) -> Intake:
     """New messages to invoice rows, audit rows, the next state and new rows of the cache.

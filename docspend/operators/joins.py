@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspend.functions.text import domain, mailbox, strip
 from docspend.operators.filters import scoped
 
 
@@ -59,6 +60,42 @@ def active_sessions(sessions: DataFrame, users: DataFrame, as_of: str) -> DataFr
     return live.join(users.where("is_active").select(F.col("id").alias("user_id"), "email"), "user_id").select("id", "email")
 
 
+#: Characters of a pattern that are looked up before it is compared as a whole.
+GRAM = 4
+
+
+def match_trusted(emails: DataFrame, patterns: DataFrame) -> DataFrame:
+    """email_id, trusted, pattern (the first by its characters) of every message; emails: email_id, user_id, from_addr; patterns: user_id, pattern.
+
+    A pattern x@y is the whole mailbox, @d a domain or what it is under; any other is either of these
+    or a part of the sender.  Patterns count for their tenant, or for all where user_id is null.
+    Every kind is an equality join over the distinct senders: by mailbox, by each suffix of the domain,
+    and for parts by the first characters of the pattern at each place of the sender, of which those
+    found are compared; so neither side need be small.
+    """
+    c = F.col
+    every = F.lit(-1).cast("long")
+    rules = patterns.select(F.coalesce(c("user_id").cast("long"), every).alias("scope"), F.lower(strip(c("pattern"))).alias("p")).where("p <> ''").distinct()
+    kind = F.when(F.startswith("p", F.lit("@")), "domain").when(F.contains("p", F.lit("@")), "mailbox").otherwise("part")
+    rules = rules.withColumn("kind", kind)
+    senders = emails.select("user_id", "from_addr").distinct()
+    known = senders.select("user_id", "from_addr", F.lower("from_addr").alias("low"), mailbox(c("from_addr")).alias("box"), F.explode(F.array(c("user_id").cast("long"), every)).alias("scope"))
+    what = ["user_id", "from_addr", "p"]
+    boxes = known.join(rules.where("kind = 'mailbox'").withColumnRenamed("p", "box"), ["scope", "box"]).withColumn("p", c("box")).select(*what)
+    labels = F.split(domain(c("box")), r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
+    under = known.withColumn("labels", labels).where("contains(box, '@')").select("user_id", "from_addr", "scope", F.explode(suffixes).alias("d"))
+    under = under.join(rules.where("kind <> 'mailbox'").withColumn("d", F.regexp_replace("p", "^@", "")), ["scope", "d"]).select(*what)
+    parts = rules.where("kind = 'part'").withColumn("gram", F.substring("p", 1, GRAM))
+    places = F.explode(F.sequence(F.lit(1), F.length("low")))
+    grams = known.where("low <> ''").select("user_id", "from_addr", "low", "scope", places.alias("at"))
+    grams = grams.select("user_id", "from_addr", "low", "scope", F.explode(F.array_distinct(F.array(*(F.substr("low", c("at"), F.lit(n)) for n in range(1, GRAM + 1))))).alias("gram")).distinct()
+    inside = grams.join(parts, ["scope", "gram"]).where("contains(low, p)").select(*what)
+    found = boxes.unionByName(under).unionByName(inside).groupBy("user_id", "from_addr").agg(F.min("p").alias("pattern"))
+    rows = emails.alias("e").join(found.alias("f"), c("e.user_id").eqNullSafe(c("f.user_id")) & c("e.from_addr").eqNullSafe(c("f.from_addr")), "left")
+    return rows.select("e.email_id", c("f.pattern").isNotNull().alias("trusted"), "f.pattern")
+
+
 def drilldown(logs: DataFrame, scans: DataFrame) -> DataFrame:
     """The extraction rows of the given scans in the order they were made."""
     own = scans.select(F.col("id").alias("scan_log_id"))

@@ -505,7 +505,12 @@ def _asked(source: str, text: str) -> str:
 
 LETTER = "'Subject: ' || subject || chr(10) || 'From: ' || from_addr || chr(10) || 'Body:' || chr(10) || substring(body_text, 1, 2000) || chr(10) || chr(10) || '<links>' || chr(10) || COALESCE('  <url>' || link || '</url>', '  (none)') || chr(10) || '</links>'"
 CONTEXT = "CASE WHEN body_text <> '' THEN '[Email context]' || chr(10) || body_text || chr(10) || '[/Email context]' || chr(10) || chr(10) || '[Attachment text]' || chr(10) || raw_text || chr(10) || '[/Attachment text]' ELSE raw_text END"
-MAIL = f"""WITH fresh AS (SELECT m.* FROM {{emails}} m LEFT JOIN ({STATE}) s USING (account_id, folder) WHERE s.last_uid IS NULL OR s.validity = 'old' OR CAST(m.uid AS BIGINT) > CAST(s.last_uid AS BIGINT)),
+FRESH = f"SELECT m.* FROM {{emails}} m LEFT JOIN ({STATE}) s USING (account_id, folder) WHERE s.last_uid IS NULL OR s.validity = 'old' OR CAST(m.uid AS BIGINT) > CAST(s.last_uid AS BIGINT)"
+
+
+def mail_sql(fresh: str = FRESH, seen: str = SEEN, stored: str = "{invoices}") -> str:
+    """The intake of fresh messages as a chain of CTEs: known (messages), held (attachments), done (documents)."""
+    return f"""WITH fresh AS ({fresh}),
     firsts AS (SELECT * EXCLUDE (rn, m) FROM (SELECT *, row_number() OVER (PARTITION BY account_id, m ORDER BY received_at, folder, email_id) AS rn FROM (SELECT *, trim(replace(replace(message_id, '<', ''), '>', '')) AS m FROM fresh) y) x WHERE rn = 1 OR m = ''),
     ruled AS (SELECT *, {PICK('FALSE', 'FALSE', 'TRUE', 'TRUE', 'FALSE')} AS sure, length({LETTER}) AS k FROM ({X.rules('firsts')}) r),
     known AS (SELECT *, CASE WHEN sure IS NOT NULL THEN 1 ELSE 3 END AS tier, CASE WHEN NOT asked THEN sure WHEN valid THEN COALESCE(sure, k % 2 = 0) END AS wanted, CASE WHEN asked AND valid THEN k % 3 END AS hinted
@@ -513,10 +518,13 @@ MAIL = f"""WITH fresh AS (SELECT m.* FROM {{emails}} m LEFT JOIN ({STATE}) s USI
     held AS (SELECT k.email_id, k.user_id, k.tier, k.body_text, k.received_at, k.uid AS email_uid, k.subject AS email_subject, a.filename, a.raw_text, a.qr, a.source_format, k.email_id * 2 + a.position AS id,
       row_number() OVER (PARTITION BY k.email_id ORDER BY CASE hinted WHEN 0 THEN CASE lower(split_part(a.filename, '.', -1)) WHEN 'xml' THEN 0 WHEN 'ofd' THEN 1 WHEN 'pdf' THEN 2 ELSE 6 END WHEN 1 THEN CASE lower(split_part(a.filename, '.', -1)) WHEN 'ofd' THEN 0 WHEN 'pdf' THEN 1 WHEN 'xml' THEN 3 ELSE 4 END
         ELSE CASE lower(split_part(a.filename, '.', -1)) WHEN 'pdf' THEN 0 WHEN 'ofd' THEN 1 WHEN 'xml' THEN 2 ELSE 3 END END, a.position, a.filename) AS turn,
-      EXISTS (SELECT 1 FROM ({SEEN}) l WHERE l.user_id = k.user_id AND l.email_uid = k.uid AND l.attachment_filename = a.filename) AS skipped
+      EXISTS (SELECT 1 FROM ({seen}) l WHERE l.user_id = k.user_id AND l.email_uid = k.uid AND l.attachment_filename = a.filename) AS skipped
       FROM known k JOIN ({{attachments}}) a USING (email_id) WHERE k.wanted AND a.filename IN (k.attachment, k.attachment2)),
     open_ AS (SELECT * EXCLUDE (skipped) FROM held WHERE NOT skipped),
-    """ + X.gate(_asked(_parsed("open_"), CONTEXT), "{invoices}", "mail", "received_at, email_uid, email_id, turn")
+    """ + X.gate(_asked(_parsed("open_"), CONTEXT), stored, "mail", "received_at, email_uid, email_id, turn")
+
+
+MAIL = mail_sql()
 LOG = "user_id, email_uid, attachment_filename, outcome, classification_tier, parse_method, parse_format, invoice_no, confidence, error_detail"
 
 
@@ -529,13 +537,13 @@ def _mail(t):
     return I.mail_intake(_messages(t), documents, state, seen, t.invoices, AS_OF[:10], TRUST, _answers, _extracted)
 
 
-@query(
-    "pip_02_mail_intake",
-    f"""{MAIL} SELECT user_id, email_uid, filename AS attachment_filename, audit AS outcome, tier AS classification_tier, extraction_method AS parse_method, source_format AS parse_format, invoice_no, CASE WHEN audit <> 'duplicate' THEN confidence END AS confidence, detail AS error_detail FROM done
+AUDIT = """SELECT user_id, email_uid, filename AS attachment_filename, audit AS outcome, tier AS classification_tier, extraction_method AS parse_method, source_format AS parse_format, invoice_no, CASE WHEN audit <> 'duplicate' THEN confidence END AS confidence, detail AS error_detail FROM done
     UNION ALL SELECT user_id, email_uid, filename, 'skipped_seen', tier, NULL, NULL, NULL, NULL, NULL FROM held WHERE skipped
-    UNION ALL SELECT user_id, uid, attachment2, 'skipped_seen', tier, NULL, NULL, NULL, NULL, NULL FROM known WHERE wanted AND attachment2 = attachment AND email_id IN (SELECT email_id FROM {{attachments}} d)
-    UNION ALL SELECT user_id, uid, NULL, CASE WHEN wanted IS NULL THEN 'error' ELSE 'not_invoice' END, tier, NULL, NULL, NULL, NULL, CASE WHEN wanted IS NULL THEN 'no valid analysis' END FROM known WHERE wanted IS NULL OR NOT wanted""",
-)
+    UNION ALL SELECT user_id, uid, attachment2, 'skipped_seen', tier, NULL, NULL, NULL, NULL, NULL FROM known WHERE wanted AND attachment2 = attachment AND email_id IN (SELECT email_id FROM {attachments} d)
+    UNION ALL SELECT user_id, uid, NULL, CASE WHEN wanted IS NULL THEN 'error' ELSE 'not_invoice' END, tier, NULL, NULL, NULL, NULL, CASE WHEN wanted IS NULL THEN 'no valid analysis' END FROM known WHERE wanted IS NULL OR NOT wanted"""
+
+
+@query("pip_02_mail_intake", f"{MAIL} {AUDIT}")
 def _(t):
     return _mail(t).audit.select(*LOG.split(", "))
 

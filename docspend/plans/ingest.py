@@ -108,7 +108,7 @@ def _(t):
         c("doc_id").alias("uid"), F.lit("s").alias("subject"), F.lit("f").alias("from_addr"), F.when(c("doc_id") % 2 == 0, c("text")).otherwise(" ").alias("body_text"), F.lit("<p>Hi</p> <b>&amp;</b> bye<br>").alias("body_html"),
         F.when(c("doc_id") % 3 == 0, F.array(F.lit("a.PDF"), F.lit("b.ofd"), F.lit("c.jpg"))).otherwise(F.array(F.lit("x.xml"), F.lit("noext"))).alias("attachments"),
     )
-    return R.load_emails(raw).select("uid", "body_text", F.size("attachments").alias("n"))
+    return R.load_emails(raw).select(c("uid").cast("long").alias("uid"), "body_text", F.size("attachments").alias("n"))
 
 
 @query(
@@ -123,7 +123,35 @@ def _(t):
         F.lit('{"internetMessageId": '), mid, F.lit(', "id": "g'), c("event_id"), F.lit('", "from": '), sender, F.lit(', "receivedDateTime": "'),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('Z"}')
     )
-    return R.emails_from_graph_json(t.events.select("event_id", item.alias("value"))).select("event_id", "uid", "from_addr", "received_at")
+    rows = R.emails_from_graph_json(t.events.select(c("event_id").alias("email_id"), item.alias("value")))
+    return rows.select(c("email_id").cast("long").alias("event_id"), "uid", "from_addr", "received_at")
+
+
+@query(
+    "src_message_table",
+    """WITH m AS (
+      SELECT NULL AS id, doc_id % 120 + 1 AS account_id, 'INBOX' AS folder, CAST(doc_id AS VARCHAR) AS uid, '<' || doc_id || '@x>' AS message_id, 's' AS subject, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS documents, 1 AS links, 0 AS headers, TIMESTAMP '2024-01-01' AS received_at FROM documents
+      UNION ALL SELECT NULL, event_id % 120 + 1, 'Feed', 'g' || event_id, 'g' || event_id, event_type, 0, 0, 3, date_trunc('second', ts) FROM events
+      UNION ALL SELECT NULL, p_partkey % 120 + 1, 'Portal Invoices', 'portal:' || p_partkey, 'portal-' || p_partkey, 'Portal Invoice ' || p_partkey || ' — ' || p_brand || ' USD', 1, 1, 6, TIMESTAMP '2024-02-01' FROM part)
+    SELECT account_id || '/' || folder || '/' || uid AS email_id, a.user_id, account_id, folder, uid, message_id, m.subject, documents, links, headers, received_at FROM m LEFT JOIN {email_accounts} a ON a.id = m.account_id""",
+)
+def _(t):
+    """Landed records, listed items and portal pages as one table of messages."""
+    raw = t.documents.select(
+        (c("doc_id") % 120 + 1).alias("account_id"), F.lit("INBOX").alias("folder"), c("doc_id").alias("uid"), F.concat(F.lit("<"), "doc_id", F.lit("@x>")).alias("message_id"), F.lit("s").alias("subject"), F.lit("f").alias("from_addr"),
+        F.lit("see https://x.example/a").alias("body_text"), F.lit("").alias("body_html"), F.lit("2024-01-01").cast("timestamp").alias("received_at"),
+        F.when(c("doc_id") % 3 == 0, F.array(F.lit("a.PDF"), F.lit("b.ofd"), F.lit("c.jpg"))).otherwise(F.array(F.lit("x.xml"), F.lit("noext"))).alias("attachments"),
+    )
+    item = F.to_json(F.struct(F.concat(F.lit("g"), "event_id").alias("id"), c("event_type").alias("subject"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("receivedDateTime")))
+    feed = t.events.select((c("event_id") % 120 + 1).alias("account_id"), F.lit("Feed").alias("folder"), item.alias("value"))
+    pages = t.part.select(
+        c("p_partkey").cast("string").alias("portal_id"), F.concat(F.lit("https://p.example/"), "p_partkey").alias("url"), c("p_brand").alias("money"), F.lit(None).cast("string").alias("date"),
+        F.lit(None).cast("string").alias("bill_to"), (c("p_partkey") % 120 + 1).alias("account_id")
+    )
+    accounts = t.email_accounts
+    rows = R.load_emails(raw, accounts).unionByName(R.emails_from_graph_json(feed, accounts=accounts)).unionByName(R.emails_from_portal(pages, seen_at="2024-02-01", accounts=accounts))
+    size = lambda n: F.size(n).alias({"attachments": "documents"}.get(n, n))
+    return rows.select("email_id", "user_id", "account_id", "folder", "uid", "message_id", "subject", size("attachments"), size("links"), size("headers"), "received_at")
 
 
 @query(

@@ -242,6 +242,29 @@ def _(t):
     )
 
 
+@query(
+    "jon_09_pattern_table",
+    """WITH p AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey % 50 + 1 END AS user_id, CASE p_partkey % 8 WHEN 0 THEN 'Billing@src' || p_partkey % 40 || '.example' WHEN 1 THEN '@src' || p_partkey % 40 || '.example' WHEN 2 THEN '@example' || p_partkey WHEN 3 THEN ' no-reply@src1' || p_partkey % 9
+        WHEN 4 THEN 'vendor.x' || p_partkey WHEN 5 THEN 'c' || p_partkey % 90 || '@' WHEN 6 THEN '' ELSE 'pay.vendor.example' || p_partkey END AS pattern FROM part),
+      r AS (SELECT DISTINCT user_id, lower(trim(pattern)) AS p FROM p WHERE trim(pattern) <> ''),
+      e AS (SELECT email_id, user_id, lower(from_addr) AS f, CASE WHEN from_addr LIKE '%<%>%' THEN regexp_extract(lower(from_addr), '<([^<>]*)>[^>]*$', 1) ELSE lower(from_addr) END AS mailbox FROM {emails} x)
+    SELECT e.email_id, COUNT(r.p) > 0 AS trusted, MIN(r.p) AS pattern FROM e LEFT JOIN r ON (r.user_id IS NULL OR r.user_id = e.user_id) AND
+      CASE WHEN contains(p, '@') AND NOT starts_with(p, '@') THEN p = mailbox
+           WHEN starts_with(p, '@') THEN contains(mailbox, '@') AND (split_part(mailbox, '@', -1) = p[2:] OR ends_with(split_part(mailbox, '@', -1), '.' || p[2:]))
+           ELSE contains(f, p) OR (contains(mailbox, '@') AND (split_part(mailbox, '@', -1) = p OR ends_with(split_part(mailbox, '@', -1), '.' || p))) END GROUP BY e.email_id""",
+)
+def _(t):
+    """Patterns of fifty tenants and of all."""
+    k = F.col("p_partkey")
+    join = lambda *v: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in v))
+    kinds = [
+        join("Billing@src", k % 40, ".example"), join("@src", k % 40, ".example"), join("@example", k), join(" no-reply@src1", k % 9), join("vendor.x", k), join("c", k % 90, "@"), F.lit(""),
+        join("pay.vendor.example", k)
+    ]
+    patterns = t.part.select(F.when(k % 3 != 0, k % 50 + 1).alias("user_id"), F.get(F.array(*kinds), (k % 8).cast("int")).alias("pattern"))
+    return J.match_trusted(t.emails, patterns)
+
+
 @query(
     "jon_10_orphan_owners",
     "SELECT DISTINCT split_part(path, '/', 2) AS owner FROM {listing} l WHERE path LIKE 'users/%' AND TRY_CAST(split_part(path, '/', 2) AS BIGINT) IS NOT NULL AND TRY_CAST(split_part(path, '/', 2) AS BIGINT) NOT IN (SELECT id FROM {users} u)",

@@ -169,7 +169,19 @@ ROLLUP = f"""SELECT scan_log_id, CASE WHEN COALESCE(email_uid, '') = '' THEN 'ro
 
 @query("agg_16_rollup_by_email", ROLLUP)
 def _(t):
-    return A.rollup_by_email(t.extraction_logs)
+    return A.rollup_by_email(t.extraction_logs).drop("email_uid", "email_subject")
+
+
+@query(
+    "agg_16_extractions",
+    """SELECT scan_log_id, key, arg_min(u, id) AS email_uid, arg_min(email_subject, id) AS email_subject, COUNT(*) AS n, string_agg(id || ':' || outcome || ':' || COALESCE(attachment_filename, ''), ',' ORDER BY id) FILTER (turn <= 2) AS extractions
+    FROM (SELECT *, COALESCE(email_uid, chr(0)) AS u, row_number() OVER (PARTITION BY scan_log_id, key ORDER BY id) AS turn FROM (SELECT *, CASE WHEN COALESCE(email_uid, '') = '' THEN 'row-' || id ELSE email_uid END AS key FROM {extraction_logs} e) e1) e2 GROUP BY 1, 2""",
+)
+def _(t):
+    """The first two rows of each message; a null uid is written as the sign 0."""
+    rows = A.with_extractions(t.extraction_logs, most=2)
+    text = F.transform("extractions", lambda x: F.concat(x["id"], F.lit(":"), x["outcome"], F.lit(":"), F.coalesce(x["attachment_filename"], F.lit(""))))
+    return rows.select("scan_log_id", "key", F.coalesce("email_uid", F.lit("\0")).alias("email_uid"), "email_subject", "n", F.array_join(text, ",").alias("extractions"))
 
 
 @query(
@@ -219,3 +231,17 @@ def _(t):
 )
 def _(t):
     return A.state_summary(t.email_accounts)
+
+
+TIMES = """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'bare' WHEN 2 THEN '{"A": "2024-01-0' || (p_size % 9 + 1) || 'T10:00:00+00:00", "B": "2024-01-05T09:00:00+00:00"}' ELSE '{"A": "never"}' END AS last_scan_uid FROM part"""
+
+
+@query(
+    "agg_22_time_state",
+    f"SELECT id, CASE id % 4 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS folders, CASE WHEN id % 4 = 2 THEN greatest(CAST(substring(json_extract_string(last_scan_uid, '$.A'), 1, 19) AS TIMESTAMP), TIMESTAMP '2024-01-05 09:00:00') END AS latest FROM ({TIMES}) x",
+)
+def _(t):
+    k = F.col("p_partkey")
+    two = F.concat(F.lit('{"A": "2024-01-0'), F.col("p_size") % 9 + 1, F.lit('T10:00:00+00:00", "B": "2024-01-05T09:00:00+00:00"}'))
+    raw = F.when(k % 4 == 0, "").when(k % 4 == 1, "bare").when(k % 4 == 2, two).otherwise('{"A": "never"}')
+    return A.time_state_summary(t.part.select(k.alias("id"), raw.alias("last_scan_uid")))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspend.plans.functions import LOG, MAIL, STATE, TRUST, _answers, _extracted, _messages
+from docspend.plans.functions import AUDIT, FRESH, LOG, SEEN, STATE, TRUST, _answers, _extracted, _messages, mail_sql
 from docspend.plans.registry import AS_OF, query
-from docspend.scratch import scratch
+from docspend.scratch import scratch, written
 from docspend.sources.readers import load_tables
 from docspend.streaming import ingest as G
-from docspend.streaming.intake import intake_stream
+from docspend.streaming.intake import committed, intake_stream
 
 c = F.col
 
@@ -51,24 +51,71 @@ def _(t):
     return run(G.dedup_stream(landed(rows, "true"), "400 days")).select("message_id")
 
 
-ALL = MAIL.replace(f"({STATE}) s", f"(SELECT * FROM ({STATE}) s0 WHERE FALSE) s")
+TOPS = "SELECT account_id, folder, MAX(CAST(uid AS BIGINT)) AS top FROM {emails} b WHERE received_at < TIMESTAMP '2024-01-05 00:00:00' GROUP BY 1, 2"
 
 
 @query(
-    "stm_06_intake_stream",
-    f"""{ALL} SELECT user_id, email_uid, filename AS attachment_filename, audit AS outcome, tier AS classification_tier, extraction_method AS parse_method, source_format AS parse_format, invoice_no, CASE WHEN audit <> 'duplicate' THEN confidence END AS confidence, detail AS error_detail FROM done
-    UNION ALL SELECT user_id, email_uid, filename, 'skipped_seen', tier, NULL, NULL, NULL, NULL, NULL FROM held WHERE skipped
-    UNION ALL SELECT user_id, uid, attachment2, 'skipped_seen', tier, NULL, NULL, NULL, NULL, NULL FROM known WHERE wanted AND attachment2 = attachment AND email_id IN (SELECT email_id FROM {{attachments}} d)
-    UNION ALL SELECT user_id, uid, NULL, CASE WHEN wanted IS NULL THEN 'error' ELSE 'not_invoice' END, tier, NULL, NULL, NULL, NULL, CASE WHEN wanted IS NULL THEN 'no valid analysis' END FROM known WHERE wanted IS NULL OR NOT wanted""",
+    "stm_01_resumed_stream",
+    f"SELECT uid FROM {{emails}} e LEFT JOIN ({TOPS}) b USING (account_id, folder) WHERE received_at >= TIMESTAMP '2024-01-05 00:00:00' AND (top IS NULL OR CAST(uid AS BIGINT) > top)"
 )
+def _(t):
+    """A batch run over the first days, and a stream over the others that starts from its state."""
+    rows = t.emails.select("account_id", "folder", "uid", F.lit("v1").alias("uidvalidity"), "received_at")
+    first = F.col("received_at") < F.lit("2024-01-05").cast("timestamp")
+    none = t.spark.createDataFrame([], "account_id long, folder string, last_uid string, validity string")
+    state = written(G.ingest_increment(rows.where(first), none)[1], "state")
+    return run(G.ingest_stream(landed(rows.where(~first), "true"), state)).select("uid")
+
+
+OPTIONS = {"trusted": TRUST, "analyser": _answers, "extractor": _extracted}
+START = f"SELECT * FROM ({FRESH}) f0".replace(f"({STATE}) s", f"(SELECT * FROM ({STATE}) s0 WHERE FALSE) s")
+
+
+def _seen(t):
+    return t.emails.where("email_id % 60 IN (0, 26)").select("user_id", c("uid").alias("email_uid"), c("attachment").alias("attachment_filename"))
+
+
+@query("stm_06_intake_stream", f"{mail_sql(START)} {AUDIT}")
 def _(t):
     """All messages as one batch of a stream, from an empty state."""
-    seen = t.emails.where("email_id % 60 IN (0, 26)").select("user_id", c("uid").alias("email_uid"), c("attachment").alias("attachment_filename"))
     documents = t.attachments.select("email_id", "filename", "raw_text", "qr", "source_format")
     out, checkpoint = scratch(t.spark, "intake"), scratch(t.spark, "checkpoint")
-    options = {"trusted": TRUST, "analyser": _answers, "extractor": _extracted}
-    intake_stream(landed(_messages(t), "true"), documents, seen, t.invoices, AS_OF[:10], out, checkpoint, **options).awaitTermination()
-    return t.spark.read.parquet(f"{out}/audit").select(*LOG.split(", "))
+    intake_stream(landed(_messages(t), "true"), documents, _seen(t), t.invoices, AS_OF[:10], out, checkpoint, **OPTIONS).awaitTermination()
+    return committed(t.spark, out, "audit").select(*LOG.split(", "))
+
+
+EARLY = "email_id % 480 < 240"
+ONE = mail_sql(f"SELECT * FROM {{emails}} m0 WHERE {EARLY}")
+TWO = mail_sql(
+    f"SELECT m.* FROM {{emails}} m LEFT JOIN (SELECT account_id, folder, MAX(CAST(uid AS BIGINT)) AS top FROM {{emails}} b0 WHERE {EARLY} GROUP BY 1, 2) s USING (account_id, folder) WHERE NOT ({EARLY}) AND (top IS NULL OR CAST(uid AS BIGINT) > top)",
+    f"{SEEN} UNION ALL SELECT user_id, email_uid, attachment_filename FROM one WHERE attachment_filename IS NOT NULL",
+    "(SELECT user_id, invoice_no FROM {invoices} i0 UNION ALL SELECT user_id, invoice_no FROM one WHERE outcome = 'saved')",
+)
+
+
+@query("stm_06_intake_batches", f"WITH one AS ({ONE} {AUDIT}) SELECT * FROM one UNION ALL SELECT * FROM ({TWO} {AUDIT}) two")
+def _(t):
+    """Two batches, and a restart between them; some of the messages of the first land again with the second."""
+    documents = t.attachments.select("email_id", "filename", "raw_text", "qr", "source_format")
+    out, checkpoint, path = (scratch(t.spark, x) for x in ("intake", "checkpoint", "landed"))
+    mail = _messages(t)
+    for part in (EARLY, f"NOT ({EARLY}) OR email_id % 5 = 0"):
+        mail.where(part).coalesce(1).write.mode("append").parquet(path)
+        source = t.spark.readStream.schema(mail.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        intake_stream(source, documents, _seen(t), t.invoices, AS_OF[:10], out, checkpoint, **OPTIONS).awaitTermination()
+    return committed(t.spark, out, "audit").select(*LOG.split(", "))
+
+
+@query(
+    "stm_07_run_progress",
+    "SELECT scan_log_id, COUNT(*) AS processed, COUNT(*) FILTER (outcome IN ('saved', 'success')) AS found, COUNT(*) FILTER (outcome IN ('error', 'failed', 'parse_failed')) AS errors, MAX(created_at) AS touched FROM {extraction_logs} e GROUP BY 1"
+)
+def _(t):
+    """Counters of each run, kept up to date over three batches of its log."""
+    logs = t.extraction_logs.select("id", "scan_log_id", "outcome", "created_at")
+    out, checkpoint = scratch(t.spark, "progress"), scratch(t.spark, "checkpoint")
+    G.progress_table(landed(logs, *(f"id % 3 = {k}" for k in range(3))), out, checkpoint).awaitTermination()
+    return G.progress_at(t.spark, out, G.run_progress(logs)).read(before=1 << 62)
 
 
 @query(

@@ -16,6 +16,12 @@ TABLES = {
     "app_settings": "key STRING, value STRING, updated_at TIMESTAMP",
 }
 
+#: A message of any source, as the intake takes it.
+MESSAGE = {
+    "email_id": "string", "user_id": "bigint", "account_id": "bigint", "folder": "string", "uid": "string", "uidvalidity": "string", "message_id": "string", "subject": "string",
+    "from_addr": "string", "body_text": "string", "body_html": "string", "received_at": "timestamp", "attachments": "array<string>", "links": "array<string>", "headers": "map<string,string>",
+}
+
 #: White space of Unicode, for use inside a character class.
 SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 

@@ -101,13 +101,14 @@ def live_answers(cache: DataFrame, now: str) -> DataFrame:
 
 
 def ask(
-    df: DataFrame, fn: Callable[[list[str]], list[str | None]], now: str, cache: DataFrame | None = None, column: str = "raw_text", prompt: str = "extract",
+    df: DataFrame, fn: Callable[[list[str]], list[str | None]], now: str, cache: DataFrame | Callable[[DataFrame], DataFrame] | None = None, column: str = "raw_text", prompt: str = "extract",
     valid: Callable[[Column], Column] | None = None
 ) -> Answers:
     """df with content_hash and response: the user's function runs once for each distinct text that the
     cache does not know at the time now; the key hashes the text that it is given, all of it.
 
-    cache: content_hash, response_json, created_at, expires_at (null: for ever).  What is newly
+    cache: content_hash, response_json, created_at, expires_at (null: for ever), or a function that
+    gives such rows for the hashes it is given.  What is newly
     answered, and is valid, comes as such rows too, with the prompt's expiry: merged into the cache
     they spare the next run the question.  A null text is not asked for; a text the function fails
     on has a null response and is asked for again next time.  df, and the answers, are written, so
@@ -116,9 +117,10 @@ def ask(
     ship(df.sparkSession)
     keyed = written(df.withColumn("content_hash", content_hash(prompt, F.col(column))), "keyed")
     misses = keyed.where(F.col(column).isNotNull()).groupBy("content_hash").agg(F.min(column).alias(column))
-    known = None if cache is None else live_answers(cache, now)
-    if known is not None:
-        wanted = keyed.select("content_hash").distinct()
+    known = None
+    if cache is not None:
+        wanted = keyed.where(F.col(column).isNotNull()).select("content_hash").distinct()
+        known = live_answers(cache(wanted) if callable(cache) else cache, now)
         known = written(known.join(wanted, "content_hash", "left_semi"), "known")
         misses = misses.join(known.select("content_hash"), "content_hash", "left_anti")
     fresh = written(_call_once(misses, column, fn), "answers")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docspend.functions.state import is_newer, uid_order
 from docspend.shipping import ship
+from docspend.streaming.keyed import KeyedTable
 
 
 def ingest_increment(messages: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,33 +38,62 @@ def skip_unchanged(status: DataFrame, state: DataFrame) -> DataFrame:
     return status.join(state, ["account_id", "folder"], "left").withColumn("skip", F.coalesce(same, F.lit(False)))
 
 
-def ingest_stream(messages: DataFrame) -> DataFrame:
+SEEN = "last string, validity string"
+
+
+def _folder_state():
+    """The processor of ingest_stream: one value a folder, its high-water uid and validity."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class FolderState(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.seen = handle.getValueState("seen", SEEN)
+
+        def handleInitialState(self, key, initial, timers) -> None:
+            for last, validity in zip(initial["last_uid"], initial["validity"]):
+                self.seen.update((last or "", validity or ""))
+
+        def handleInputRows(self, key, rows, timers):
+            rows = pd.concat(list(rows), ignore_index=True)
+            last, validity = self.seen.get() if self.seen.exists() else ("", "")
+            digits = lambda u: u.isascii() and u.isdigit()
+            order = lambda u: (0, int(u), u) if digits(u) else (1, 0, u)
+            now = max((v for v in rows["uidvalidity"].fillna("")), default="")
+            if now and validity and now != validity:
+                last = ""
+            newer = lambda u: bool(u) and (not last or (int(u) > int(last) if digits(u) and digits(last) else u > last))
+            kept = rows[[newer(u or "") for u in rows["uid"]]]
+            self.seen.update((max((u for u in kept["uid"]), key=order, default=last), now or validity))
+            yield kept
+
+        def close(self) -> None:
+            pass
+
+    return FolderState()
+
+
+def ingest_stream(messages: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """The streaming form of ingest_increment: each message newer than all of its folder before, with state kept by Spark.
 
-    messages: account_id long, folder, uid, uidvalidity, any order within a batch.  A changed validity
-    starts a folder anew; messages of one batch are compared with the state before it.
+    messages: account_id, folder, uid, uidvalidity, any order within a batch.  A changed validity
+    starts a folder anew; messages of one batch are compared with the state before it.  state
+    (account_id, folder, last_uid, validity), the outcome of a batch run, is what the first batch
+    starts from; a restarted stream goes on from its checkpoint.  The session's state store must
+    be RocksDB's, which this sets.
     """
-    ship(messages.sparkSession)
-
-    def step(key, frames, state):
-        import pandas as pd
+    spark = messages.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keys = ["account_id", "folder"]
+    started = None if state is None else state.select(*keys, "last_uid", "validity").groupBy(*keys)
+    return messages.groupBy(*keys).transformWithStateInPandas(_folder_state(), messages.schema, "append", "None", initialState=started)
 
-        rows = pd.concat(list(frames), ignore_index=True)
-        last, validity = state.get if state.exists else ("", "")
-        order = lambda u: (0, int(u), u) if u.isascii() and u.isdigit() else (1, 0, u)
-        newer = lambda u: bool(u) and (
-            not last or (int(u) > int(last) if u.isascii() and u.isdigit() and last.isascii() and last.isdigit() else u > last)
-        )
-        now = max((v for v in rows["uidvalidity"].fillna("")), default="")
-        if now and validity and now != validity:
-            last = ""
-        kept = rows[[newer(u or "") for u in rows["uid"]]]
-        top = max((u for u in kept["uid"]), key=order, default=last)
-        state.update((top, now or validity))
-        yield kept
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in messages.schema)
-    return messages.groupBy("account_id", "folder").applyInPandasWithState(step, fields, "last string, validity string", "append", "NoTimeout")
+def stream_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """account_id, folder, last_uid, validity: where a stream of ingest_stream stands, as a batch run takes it."""
+    rows = spark.read.format("statestore").option("stateVarName", "seen").load(checkpoint)
+    return rows.select("key.account_id", "key.folder", F.col("value.last").alias("last_uid"), "value.validity")
 
 
 def apply_change_feed(pages: DataFrame, state: DataFrame | None = None, most_pages: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -108,6 +138,30 @@ def progress_stream(df: DataFrame, window: str = "1 day", late: str = "1 hour")
     ).select(F.col("window.start").alias("start"), "processed", "found", "errors")
 
 
+FOUND, FAILED = ("saved", "success"), ("error", "failed", "parse_failed")
+
+
+def run_progress(logs: DataFrame, run: str = "scan_log_id") -> DataFrame:
+    """Counters of each run: rows processed, invoices found, errors, and when the run last did something; for a table or a stream of audit rows."""
+    among = lambda kinds: F.sum(F.when(F.col("outcome").isin(*kinds), 1).otherwise(0))
+    return logs.groupBy(run).agg(F.count("*").alias("processed"), among(FOUND).alias("found"), among(FAILED).alias("errors"), F.max("created_at").alias("touched"))
+
+
+def progress_table(logs: DataFrame, out: str, checkpoint: str, run: str = "scan_log_id"):
+    """Start a stream that keeps run_progress of a stream of audit rows up to date below out: each batch writes the runs it changes."""
+    counters = run_progress(logs, run)
+    table = progress_at(logs.sparkSession, out, counters, run)
+
+    def batch(changed: DataFrame, number: int) -> None:
+        table.write(number, changed)
+
+    return counters.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def progress_at(spark: SparkSession, out: str, counters: DataFrame, run: str = "scan_log_id") -> KeyedTable:
+    return KeyedTable(spark, out, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counters.schema), [run], latest=True)
+
+
 def run_stream(source: DataFrame, decide: Callable[[DataFrame, Callable[[str], DataFrame | None]], dict[str, DataFrame]], out: str, checkpoint: str):
     """Each micro-batch through decide(batch, earlier) -> tables by name, appended under the batch's number.
 
