@@ -35,12 +35,13 @@ def by_ids(df: DataFrame, ids: list[int], user_id: int) -> DataFrame:
     return scoped(df, user_id).join(F.broadcast(wanted), "id").orderBy("pos")
 
 
-def evaluate_views(views: DataFrame, invoices: DataFrame) -> DataFrame:
+def evaluate_views(views: DataFrame, invoices: DataFrame, index=None) -> DataFrame:
     """Matches of every saved view, all at once: within its dates, and with all words of its q where it has one.
 
     Views without words: invoices are folded to a count for each (tenant, day) first, so the range
     join meets a view with days, not with invoices.  Views with words: only postings of words that
-    some view asks for are shuffled, and meet the views by (tenant, word).
+    some view asks for are shuffled, and meet the views by (tenant, word).  index: a stored
+    TextIndex of the invoices that keeps user_id and invoice_date; without one the words are made anew.
     """
     from docspend.search.text import build_index, tokens
 
@@ -55,7 +56,10 @@ def evaluate_views(views: DataFrame, invoices: DataFrame) -> DataFrame:
     days = invoices.groupBy(c("user_id").alias("owner"), "invoice_date").agg(F.count("*").alias("n"))
     plain = parsed.where(F.size("words") == 0).join(days, (c("user_id") == c("owner")) & between).groupBy("id").agg(F.sum("n").alias("n"))
     asked = parsed.where(F.size("words") > 0).select("id", "user_id", "lo", "hi", F.size("words").alias("many"), F.explode("words").alias("term"))
-    hits = build_index(invoices, keep=("user_id", "invoice_date")).join(asked.select("term").distinct(), "term", "left_semi")
+    if index is None:
+        hits = build_index(invoices, keep=("user_id", "invoice_date")).join(asked.select("term").distinct(), "term", "left_semi")
+    else:
+        hits = index.postings(asked.select("term"))
     hits = hits.select("term", c("id").alias("invoice"), "user_id", "invoice_date").distinct()
     worded = asked.join(hits, ["user_id", "term"]).where(between).groupBy("id", "invoice", "many").agg(F.count("*").alias("found"))
     worded = worded.where("found = many").groupBy("id").agg(F.count("*").alias("n"))

@@ -26,6 +26,20 @@ class Tables:
         return fixtures.load(self.spark, self.sf_dir, name)
 
 
+_indexes: dict[tuple[str, str], object] = {}
+
+
+def stored_index(t: Tables):
+    """The stored index of the invoices of a folder, built where a session first asks for it."""
+    from docspend.scratch import scratch
+    from docspend.search.index import TextIndex
+
+    at = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if at not in _indexes:
+        _indexes[at] = TextIndex.build(t.invoices, scratch(t.spark, "index"), keep=("user_id", "invoice_date"))
+    return _indexes[at]
+
+
 def query(name: str, oracle: str | None = None):
     """Register f(tables) -> DataFrame under a name."""
 

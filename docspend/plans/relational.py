@@ -9,7 +9,7 @@ from docspend.operators import filters as L
 from docspend.operators import joins as J
 from docspend.operators import windows as W
 from docspend.plans import expected as X
-from docspend.plans.registry import AS_OF, query
+from docspend.plans.registry import AS_OF, query, stored_index
 
 LISTED = [7, 3, 51, 7, *range(100, 500), 3, 108, 999999]
 
@@ -45,7 +45,7 @@ def _(t):
        GROUP BY v.id""".replace("\\\\", "\\"),
 )
 def _(t):
-    return L.evaluate_views(t.saved_views, t.invoices)
+    return L.evaluate_views(t.saved_views, t.invoices, stored_index(t))
 
 
 @query("flt_06_active_accounts", "SELECT id, name FROM {email_accounts} a WHERE is_active")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspend import sinks
-from docspend.plans.registry import query
+from docspend.plans.registry import query, stored_index
+from docspend.scratch import scratch
 from docspend.search import text as X
 from docspend.search import vectors as V
+from docspend.search.index import TextIndex
 
 COLUMNS = ("invoice_no", "buyer", "seller", "invoice_type", "invoice_category", "item_summary", "raw_text")
 TOK = lambda c: f"list_filter(regexp_split_to_array(strip_accents(lower(COALESCE({c}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
@@ -16,7 +18,7 @@ INDEX = " UNION ALL ".join(f"SELECT id, '{c}' AS col, unnest({TOK(c)}) AS term,
 
 @query("txt_01_index", f"SELECT term, COUNT(DISTINCT id) AS docs, COUNT(*) AS n FROM ({INDEX}) x GROUP BY term")
 def _(t):
-    return X.term_stats(X.build_index(t.invoices))
+    return stored_index(t).term_stats()
 
 
 @query(
@@ -24,7 +26,7 @@ def _(t):
     f"""WITH x AS ({INDEX}) SELECT id FROM x GROUP BY id HAVING COUNT(DISTINCT term) FILTER (term IN ('seller', 'machinery')) = 2 AND COUNT(*) FILTER (term IN ('qr', '3', '5')) > 0 AND COUNT(*) FILTER (term = 'receipt') = 0 AND COUNT(*) FILTER (term LIKE 'cust%') > 0""",
 )
 def _(t):
-    return X.match(X.build_index(t.invoices), all_=("seller", "machinery"), any_=("qr", "3", "5"), none_=("receipt",), prefix="cust")
+    return X.match(stored_index(t), all_=("seller", "machinery"), any_=("qr", "3", "5"), none_=("receipt",), prefix="cust")
 
 
 @query(
@@ -32,7 +34,7 @@ def _(t):
     f"WITH x AS ({INDEX}) SELECT DISTINCT a.id FROM x a JOIN x b ON a.id = b.id AND a.col = b.col AND b.pos = a.pos + 1 JOIN x d ON a.id = d.id AND a.col = d.col AND d.pos = a.pos + 2 WHERE a.term = 'seller' AND b.term = 'furniture' AND d.term = '7'"
 )
 def _(t):
-    return X.match(X.build_index(t.invoices), phrase="Seller, FURNITURE-7")
+    return X.match(stored_index(t), phrase="Seller, FURNITURE-7")
 
 
 @query(
@@ -41,12 +43,12 @@ def _(t):
 )
 def _(t):
     """Arguments are read as texts are: case, marks and signs do not matter."""
-    return X.match(X.build_index(t.invoices), all_=("Máchinery!",), none_=("-5-",))
+    return X.match(stored_index(t), all_=("Máchinery!",), none_=("-5-",))
 
 
 @query("txt_02_none", f"WITH x AS ({INDEX}) SELECT id FROM x GROUP BY id HAVING COUNT(*) FILTER (term = 'machinery') = 0")
 def _(t):
-    return X.match(X.build_index(t.invoices), none_=("MACHINERY",))
+    return X.match(stored_index(t), none_=("MACHINERY",))
 
 
 BM = f"""WITH x AS ({INDEX}), s AS (SELECT id, COUNT(*) AS size FROM x GROUP BY id), w AS (SELECT COUNT(*) AS docs, AVG(size) AS mean FROM s), tf AS (SELECT term, id, COUNT(*) AS tf FROM x WHERE term IN ('building', '11', 'overseas') GROUP BY 1, 2), df AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY 1)
@@ -55,7 +57,7 @@ BM = f"""WITH x AS ({INDEX}), s AS (SELECT id, COUNT(*) AS size FROM x GROUP BY
 
 @query("txt_03_bm25", BM)
 def _(t):
-    return X.bm25(t.invoices, ["building", "11", "overseas"], 50)
+    return X.ranked(stored_index(t), ["building", "11", "overseas"], 50)
 
 
 @query(
@@ -64,10 +66,30 @@ def _(t):
 )
 def _(t):
     return X.search(
-        t.invoices, X.build_index(t.invoices), ["seller", "household"], 12, lo="1996-01-01", categories=["vat_invoice", "receipt"]
+        t.invoices, stored_index(t), ["seller", "household"], 12, lo="1996-01-01", categories=["vat_invoice", "receipt"]
     ).select("id", "invoice_date")
 
 
+@query("txt_03_bm25_scan", BM)
+def _(t):
+    """Without an index: the rows' own tokens in one pass."""
+    return X.bm25(t.invoices, ["building", "11", "overseas"], 50)
+
+
+HALF = " UNION ALL ".join(f"SELECT id, '{c}' AS col, unnest({TOK(c)}) AS term FROM {{invoices}} i WHERE id % 7 <> 3" for c in COLUMNS)
+
+
+@query("txt_01_kept_up", f"SELECT term, COUNT(DISTINCT id) AS docs, COUNT(*) AS n FROM ({HALF}) x GROUP BY term")
+def _(t):
+    """An index built of some invoices in another wording, then brought up to date: added, replaced and removed rows."""
+    old = t.invoices.where("id % 3 > 0").withColumn("seller", F.lit("former name"))
+    index = TextIndex.build(old, scratch(t.spark, "index"))
+    index.add(t.invoices.where("id % 3 <> 1"))
+    index.add(t.invoices.where("id % 3 = 1"))
+    index.remove(t.invoices.where("id % 7 = 3").select("id"))
+    return index.term_stats()
+
+
 ALIKE = f"""w AS (SELECT COUNT(*) AS docs, AVG(size) AS mean FROM (SELECT {" + ".join(f"len({TOK(c)})" for c in COLUMNS)} AS size FROM {{invoices}} i) z WHERE size > 0),
     r AS (SELECT id, ' ' || array_to_string({TOK("seller")}, ' ') || ' ' AS s, ' ' || array_to_string({TOK("item_summary")}, ' ') || ' ' AS m, {" + ".join(f"len({TOK(c)})" for c in COLUMNS)} AS size FROM {{invoices}} i),
     p AS (SELECT DISTINCT 's' AS col, s AS phrase FROM r WHERE id % 20 = 0 AND trim(s) <> '' UNION SELECT DISTINCT 'm', m FROM r WHERE id % 20 = 0 AND trim(m) <> ''),

@@ -62,10 +62,12 @@ def match(
 ) -> DataFrame:
     """Ids of the documents that hold all, at least one and none of the given texts, a prefix and a phrase.
 
-    Every argument is read as the index reads texts; one of several words is a phrase, one without
-    a word asks for nothing.  With none_ alone all other indexed documents match.
+    index: the rows of build_index, or a stored TextIndex, of which only the buckets of the words are
+    read.  Every argument is read as the index reads texts; one of several words is a phrase, one
+    without a word asks for nothing.  With none_ alone all other indexed documents match.
     """
-    if columns:
+    stored = not isinstance(index, DataFrame)
+    if columns and not stored:
         index = index.where(F.col("col").isin(*columns))
     split = lambda texts: [t for t in map(terms_of, texts) if t]
     all_, any_, none_ = split(all_), split(any_), split(none_)
@@ -73,11 +75,12 @@ def match(
         all_.append(terms_of(phrase))
     begin = terms_of(prefix)[-1:] if prefix else []
     wanted = sorted({w for texts in (all_, any_, none_) for words in texts for w in words})
-    near = F.col("term").isin(*wanted) if wanted else F.lit(False)
-    if begin:
-        near = near | F.startswith("term", F.lit(begin[0]))
     # only the postings of the query's terms are shuffled
-    rows = index.where(near)
+    if stored:
+        rows = index.postings(wanted, begin[0] if begin else None, columns).select("term", "id", "col", F.explode("positions").alias("pos"))
+    else:
+        near = F.col("term").isin(*wanted) if wanted else F.lit(False)
+        rows = index.where(near | F.startswith("term", F.lit(begin[0])) if begin else near)
     single = lambda texts: sorted({words[0] for words in texts if len(words) == 1})
     several = lambda texts: [words for words in texts if len(words) > 1]
     has = lambda terms: F.count_distinct(F.when(F.col("term").isin(*terms), F.col("term")))
@@ -93,7 +96,7 @@ def match(
     elif any_:
         kept = rows.where(F.col("term").isin(*{w for words in any_ for w in words})).select("id").distinct()
     else:
-        kept = index.select("id").distinct()
+        kept = index.ids(columns) if stored else index.select("id").distinct()
     for words in several(all_):
         kept = kept.join(_phrase(rows, words), "id", "left_semi")
     if several(any_):
@@ -141,6 +144,19 @@ def bm25(df: DataFrame, terms: list[str], k: int | None = None, key: str = "id",
     return found.limit(k) if k else found
 
 
+def ranked(index, terms: list[str], k: int | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """bm25 over a stored TextIndex: only the postings of the terms are read, and folded to a row for each (term, row)."""
+    words = list(dict.fromkeys(w for t in terms for w in terms_of(t)))
+    hits = index.postings(words, columns=columns).groupBy("term", "id").agg(F.sum(F.size("positions")).alias("tf"), F.first("size").alias("size"))
+    hits = written(hits, "hits")
+    held = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row a word
+    whole = index.totals().select("docs", (F.col("total") / F.col("docs")).alias("mean"))  # one row
+    part = _idf(F.col("docs"), F.col("df")) * _weight(F.col("tf"), F.col("size"), F.col("mean"))
+    scored = hits.join(F.broadcast(held), "term").join(F.broadcast(whole)).groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
+    found = scored.orderBy(F.desc("score"), F.desc("id"))
+    return found.limit(k) if k else found
+
+
 def search(
     df: DataFrame, index: DataFrame, terms: list[str], user_id: int, lo: str | None = None, hi: str | None = None, categories: list[str] | None = None
 ) -> DataFrame:
