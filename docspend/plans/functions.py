@@ -12,8 +12,10 @@ from docspend.functions import text as T
 from docspend.operators import dml as D
 from docspend.operators import intake as I
 from docspend.operators import windows as W
+from docspend.operators.bucketed import BucketedTable
 from docspend.plans import expected as X
 from docspend.plans.registry import AS_OF, query
+from docspend.scratch import scratch
 from docspend.streaming import ingest as G
 
 c = F.col
@@ -405,6 +407,31 @@ def _(t):
     return D.upsert_latest(t.part.select(c("p_partkey").alias("id"), F.lit("base").alias("v")), delta, "id", "event_id")
 
 
+@query(
+    "snk_05_bucketed",
+    "SELECT p_partkey AS id, 'base' AS v FROM part WHERE p_partkey NOT IN (SELECT event_id % 500 FROM events) UNION ALL SELECT event_id % 500, arg_max(event_type || event_id, event_id) FROM events GROUP BY 1",
+)
+def _(t):
+    """The same on a table in buckets."""
+    delta = t.events.select((c("event_id") % 500).alias("id"), F.concat("event_type", "event_id").alias("v"), "event_id")
+    table = BucketedTable.create(t.part.select(c("p_partkey").alias("id"), F.lit("base").alias("v")), scratch(t.spark, "table"))
+    table.upsert(delta, "event_id")
+    return table.read()
+
+
+@query(
+    "dml_01_bucketed",
+    f"""SELECT i.id, CASE WHEN ok THEN COALESCE(e.invoice_no, i.invoice_no) ELSE i.invoice_no END AS invoice_no, CASE WHEN ok THEN COALESCE(e.buyer, i.buyer) ELSE i.buyer END AS buyer
+        FROM (SELECT *, id NOT IN ({REJECTED}) AS ok FROM {{invoices}} z WHERE NOT (user_id = 4 AND id IN (SELECT event_id FROM events))) i LEFT JOIN ({EDITS}) e USING (id)""",
+)
+def _(t):
+    """Corrections, then the deletion of a tenant's invoices, in a table in buckets."""
+    table = BucketedTable.create(t.invoices, scratch(t.spark, "table"))
+    table.correct(_edits(t))
+    table.delete(t.events.select(c("event_id").alias("id")), 4)
+    return table.read().select("id", "invoice_no", "buyer")
+
+
 TRUST = ["@pay.vendor.example", "src4"]
 
 

@@ -121,6 +121,16 @@ def _(t):
 NEAR = KNN.replace("q.vec_id % 20 = 0", "q.vec_id % 20 = 0 AND q.vec_id IN (SELECT id FROM {invoices} i)")
 
 
+@query(
+    "vec_01_pruned",
+    f"SELECT query_id, id, distance, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS place FROM ({KNN}) x) y WHERE place <= 10"
+)
+def _(t):
+    """The same by the triangle inequality, over blocks that are met only where they may hold a nearer row."""
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    return V.Pruned(rows, rows=256).knn(rows.where("id % 20 = 0"), 10)
+
+
 @query(
     "vec_02_similar",
     f"""WITH {ALIKE}, v AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id DESC) AS place, 'vector' AS by FROM ({NEAR}) x)

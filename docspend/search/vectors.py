@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspend.scratch import written
 from docspend.search.text import similar_text
 from docspend.shipping import ship
 
@@ -41,14 +42,8 @@ def _blocks(df: DataFrame, size: int, prefix: str) -> DataFrame:
 BROADCAST = 64 << 20
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, higher_first: bool = False) -> DataFrame:
-    """query_id, id, distance, place: the k nearest of vectors (id, embedding) for each query.
-
-    A block of queries meets a block of rows in one matrix product, by |x|^2 - 2xq + |q|^2; what
-    lies within rounding of the k-th is measured again exactly, and a block keeps its k best for
-    each query.  Equal distances are ordered by id, the lower first or the higher_first.
-    """
-    ship(vectors.sparkSession)
+def _meeting(k: int, exclude_self: bool, higher_first: bool):
+    """The k best of each block of rows (r_ids, r_data) for each query of a block (q_ids, q_data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -76,6 +71,164 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Tru
                 columns = [np.concatenate(c) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "id", "distance"])
 
+    return run
+
+
+def _best(found: DataFrame, k: int, higher_first: bool) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", F.desc("id") if higher_first else "id"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+#: Pivots at most, and blocks of rows at most: their places and bounds go to every task (some 10 MB).
+PIVOTS, BLOCKS = 256, 250_000
+
+
+class Pruned:
+    """Vectors (id, embedding) in blocks around pivots, written once, for exact searches that meet few of them.
+
+    Every vector belongs to its nearest pivot; those of a pivot are cut into blocks by their distance
+    from it.  A query's distance to the pivot then bounds its distance to the block from below (the
+    triangle inequality).  The nearest blocks give a first k-th distance; only blocks that may hold a
+    nearer row are met after that, so the result is that of meeting all.  The pivots are the vectors
+    with the smallest hashes of their ids; they decide how many blocks are met, never the result.
+    visited: after a search, the share of (block, query) pairs that met.
+    """
+
+    def __init__(self, vectors: DataFrame, rows: int = ROWS, pivots: int = PIVOTS):
+        import numpy as np
+
+        self.spark = vectors.sparkSession
+        ship(self.spark)
+        data = vectors.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>"))
+        n = data.count()
+        rows = max(rows, -(-n // BLOCKS))
+        chosen = data.orderBy(F.xxhash64("id"), "id").limit(min(pivots, -(-n // rows) if n else 1)).collect()
+        self.pivots = pivot = np.array([r.embedding for r in chosen], "<f8")
+        self.visited = None
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.array(batch.column("embedding").to_pylist(), "<f8").reshape(batch.num_rows, -1)
+                if not len(x):
+                    continue
+                near = _distances(x, pivot)
+                p = near.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.array(p), pa.array(near[np.arange(len(p)), p])], ["id", "embedding", "p", "d"])
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            block = TaskContext.get().partitionId() << 33
+            held = None
+            for batch in batches:
+                rest = pa.Table.from_batches([batch])
+                held = rest if held is None else pa.concat_tables([held, rest]).combine_chunks()
+                while len(held):
+                    of = np.asarray(held.column("p").combine_chunks())
+                    end = int(np.searchsorted(of, of[0], "right"))  # rows are sorted by pivot
+                    if end == len(held) and end < rows:
+                        break  # the pivot may go on in the next batch
+                    yield _block(held.slice(0, min(end, rows)), block)
+                    held, block = held.slice(min(end, rows)), block + 1
+            if held is not None and len(held):
+                yield _block(held, block)
+
+        placed = data.mapInArrow(assign, "id long, embedding array<double>, p long, d double")
+        dealt = placed.repartitionByRange("p", "d").sortWithinPartitions("p", "d")
+        self.blocks = written(dealt.mapInArrow(cut, "block long, p long, lo double, hi double, n long, r_ids array<long>, r_data binary"), "vectors")
+        self.bounds = [np.array(x) for x in zip(*((r.block, r.p, r.lo, r.hi, r.n) for r in self.blocks.select("block", "p", "lo", "hi", "n").collect()))]
+
+    def knn(self, queries: DataFrame, k: int, exclude_self: bool = True, higher_first: bool = False) -> DataFrame:
+        """query_id, id, distance, place: as `knn` gives them."""
+        asked = written(queries.select(F.col("id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(None).cast("double").alias("limit")), "queries")
+        first = written(self._route(asked, k), "first")
+        found = written(self._met(first, k, exclude_self, higher_first), "near")
+        limit = _best(found, k, higher_first).groupBy("query_id").agg(F.when(F.count("*") == k, F.max("distance")).otherwise(float("inf")).alias("limit"))
+        again = asked.drop("limit").join(limit, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+        second = written(self._route(again, k), "second")
+        found = found.unionByName(self._met(second, k, exclude_self, higher_first))
+        pairs = asked.count() * (len(self.bounds[0]) if self.bounds else 0)
+        self.visited = (first.count() + second.count()) / pairs if pairs else 0.0
+        return _best(found, k, higher_first)
+
+    def _route(self, asked: DataFrame, k: int) -> DataFrame:
+        """block, query_id, embedding: the nearest blocks with more than k rows, or with a limit all others that may hold a row within it."""
+        import numpy as np
+
+        pivot, bounds = self.pivots, self.bounds
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 32):
+                    batch = whole.slice(at, 32)
+                    if not bounds:
+                        continue
+                    block, p, lo, hi, n = bounds
+                    q = np.array(batch.column("embedding").to_pylist(), "<f8").reshape(batch.num_rows, -1)
+                    away = _distances(q, pivot)[:, p]
+                    least = np.maximum(np.maximum(away - hi, lo - away), 0)
+                    least -= 1e-9 * (1 + away)  # rounding of the products
+                    order = np.argsort(least, axis=1, kind="stable")
+                    enough = np.cumsum(n[order], axis=1) - n[order] <= k  # one row may be the query itself
+                    near = np.zeros(least.shape, bool)
+                    np.put_along_axis(near, order, enough, axis=1)
+                    limit = batch.column("limit")
+                    if not limit.null_count:
+                        near = ~near & (least <= np.asarray(limit)[:, None] + 2e-6)
+                    row, to = np.nonzero(near)
+                    at_row = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(block[to]), batch.column("query_id").take(at_row), batch.column("embedding").take(at_row)], ["block", "query_id", "embedding"])
+
+        return asked.mapInArrow(run, "block long, query_id long, embedding array<double>")
+
+    def _met(self, routed: DataFrame, k: int, exclude_self: bool, higher_first: bool) -> DataFrame:
+        """The queries of a block meet it in groups of QUERIES at most on average."""
+        groups = routed.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).alias("groups"))
+        dealt = routed.join(groups, "block").withColumn("group", F.expr("pmod(xxhash64(query_id), groups)"))
+        together = dealt.groupBy("block", "group").agg(F.collect_list(F.struct("query_id", "embedding")).alias("q"))
+        pairs = together.join(self.blocks.select("block", "r_ids", "r_data"), "block").select("r_ids", "r_data", F.col("q.query_id").alias("q_ids"), F.col("q.embedding").alias("q_rows"))
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import numpy as np
+
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    one = batch.slice(i, 1)
+                    data = np.array(one.column("q_rows")[0].as_py(), "<f8").tobytes()
+                    yield pa.RecordBatch.from_arrays([one.column("r_ids"), one.column("r_data"), one.column("q_ids"), pa.array([data], pa.binary())], ["r_ids", "r_data", "q_ids", "q_data"])
+
+        meet = _meeting(k, exclude_self, higher_first)
+        return pairs.mapInArrow(lambda batches: meet(packed(batches)), "query_id long, id long, distance double")
+
+
+def _distances(x, y):
+    """Distances of all rows of x from all rows of y."""
+    import numpy as np
+
+    square = (x * x).sum(axis=1)[:, None] - 2 * (x @ y.T) + (y * y).sum(axis=1)
+    return np.sqrt(np.maximum(square, 0))
+
+
+def _block(rows: pa.Table, number: int) -> pa.RecordBatch:
+    import numpy as np
+
+    d = np.asarray(rows.column("d").combine_chunks())
+    matrix = np.array(rows.column("embedding").to_pylist(), "<f8")
+    # the distances come from products: the bounds leave room for their rounding
+    lo, hi = d.min() * (1 - 1e-9) - 1e-7, d.max() * (1 + 1e-9) + 1e-7
+    columns = [pa.array([number]), pa.array([rows.column("p")[0].as_py()]), pa.array([lo]), pa.array([hi]), pa.array([len(rows)]), pa.array([rows.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["block", "p", "lo", "hi", "n", "r_ids", "r_data"])
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = True, higher_first: bool = False) -> DataFrame:
+    """query_id, id, distance, place: the k nearest of vectors (id, embedding) for each query.
+
+    A block of queries meets a block of rows in one matrix product, by |x|^2 - 2xq + |q|^2; what
+    lies within rounding of the k-th is measured again exactly, and a block keeps its k best for
+    each query.  Equal distances are ordered by id, the lower first or the higher_first.
+    """
+    ship(vectors.sparkSession)
+
     rows, asked = _blocks(vectors, ROWS, "r"), _blocks(queries, QUERIES, "q")
     size = queries.agg(F.sum(F.size("embedding") * 8)).first()[0] or 0
     if size <= BROADCAST:
@@ -84,9 +237,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Tru
         groups = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         deal = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
         pairs = rows.withColumn("group", F.pmod(F.xxhash64("r_ids"), F.lit(groups)).cast("int")).join(asked.select("*", deal), "group").drop("group")
-    found = pairs.mapInArrow(run, "query_id long, id long, distance double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", F.desc("id") if higher_first else "id"))
-    return found.withColumn("place", place).where(F.col("place") <= k)
+    found = pairs.mapInArrow(_meeting(k, exclude_self, higher_first), "query_id long, id long, distance double")
+    return _best(found, k, higher_first)
 
 
 def similar(df: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
