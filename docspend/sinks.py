@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docspend.functions.text import iso
 
+# The columns of the export, in their order.
 CSV_COLUMNS = (
     "invoice_no", "buyer", "seller", "amount", "invoice_date", "invoice_category", "invoice_type", "item_summary", "extraction_method", "confidence",
     "created_at"
