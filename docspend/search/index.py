@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from docspend.scratch import written
 from docspend.search.text import COLUMNS, build_index, tokens
 
-BUCKETS = 64
+BUCKETS, SALT = 64, 4
 
 
 def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Postings by bucket, each bucket over SALT tasks as a term may be in most rows, sorted by term."""
+    return rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SALT))).sortWithinPartitions("bucket", "term", "id")
+
+
 class TextIndex:
     """Postings of rows below path.
 
@@ -52,10 +57,10 @@ class TextIndex:
             sized = sized.select("id", "sizes", F.aggregate(F.map_values("sizes"), F.lit(0), lambda n, x: n + x).alias("size"))
             sized.write.mode("overwrite").parquet(f"{self.path}/lengths/segment={number}")
             docs, total = self.spark.read.parquet(f"{self.path}/lengths/segment={number}").where("size > 0").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-            rows = build_index(df, key, columns, keep).groupBy("term", "id", "col", *keep).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-            sizes = self.spark.read.parquet(f"{self.path}/lengths/segment={number}").select("id", "size")
-            rows = rows.join(sizes, "id").withColumn("bucket", bucket_of(F.col("term")))
-            dealt = rows.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id")
+            sized = df.withColumn("size", sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0)))
+            carried = ("size", *keep)
+            rows = build_index(sized, key, columns, carried).groupBy("term", "id", "col", *carried).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+            dealt = _dealt(rows.withColumn("bucket", bucket_of(F.col("term"))))
             dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={number}")
         if buried is not None:
             dead = written(self.lengths().join(buried, "id", "left_semi").where("size > 0").select("id", "size"), "dead")
@@ -76,7 +81,7 @@ class TextIndex:
     def compacted(self, path: str) -> TextIndex:
         other = TextIndex(self.spark, path)
         whole = self._live(self._read("postings"))
-        whole.drop("segment").repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings/segment=0")
+        _dealt(whole.drop("segment")).write.partitionBy("bucket").parquet(f"{path}/postings/segment=0")
         self.lengths().write.parquet(f"{path}/lengths/segment=0")
         self.totals().select("docs", "total").write.parquet(f"{path}/stats/segment=0")
         return other
