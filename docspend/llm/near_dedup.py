@@ -4,16 +4,23 @@ A document is the set of its distinct word shingles; two documents are linked if
 similarity of their full sets reaches the threshold, and a group is a connected component.
 
 1. One pass over the texts makes, for each document, the number of shingles, a 128-bit name of
-   the set, a sketch of one byte for each of TREES x DEPTH minhashes, and for each tree the key of
-   its first MIN_DEPTH minhashes.  Documents with equal sets are folded into one representative.
-2. Each tree is a sorted order of signatures, key first, then the label of its deeper minhashes.
-   All trees share one range partitioning by (key, label, id), so a dense region is spread over
-   many tasks by itself.  A run of equal keys is a region.  A region of at most BLOCK rows stays
-   at MIN_DEPTH; a larger one is cut where neighbours have the shortest common prefix, so that
-   the rows of a block are those of longest common prefix and the depth adapts to the region.
-3. A small block gives all pairs whose sketches allow a link, those of its spanning forest first.
-   A larger one gives a maximum spanning forest and the two nearest of each row; one leader of
-   each cluster goes to a next order over leaders, which joins the blocks of a region.
+   the set, a sketch of one byte for each of TREES x DEPTH minhashes, and for each tree a head (its
+   first two minhashes) and the key of its first MIN_DEPTH minhashes.  Documents with equal sets
+   are folded into one representative.
+2. Each tree is a sorted order of signatures: head, key, then the label of the deeper minhashes.
+   All trees share one range partitioning by that order and id, so a dense region is spread over
+   many tasks by itself.  In each order a row meets its NEAR predecessors, which are those of
+   longest common prefix with it, down to one common minhash: where rows are sparse that prefix is
+   short, where they are dense it is long, so the depth follows from the region.  Those whose
+   sketches allow a link are candidates; of each row the one of longest common prefix (then of most
+   matches) goes first.
+3. Completion of regions, the runs of equal keys: rows of a region are all candidates of each
+   other, so that a link is missed only where all trees differ in their first MIN_DEPTH minhashes.
+   A region of more than BLOCK rows is cut where neighbours have the shortest common prefix.  A
+   small block gives all pairs whose sketches allow a link, those of its spanning forest (longest
+   common prefix, then most matches) first.  A larger one gives that forest and the two nearest of
+   each row; one leader of each cluster goes to a next order over leaders, which joins the blocks
+   of a region.  A region of at most NEAR + 1 rows needs none of this.
 4. First pairs are confirmed on the full sets, then those others that still lie between
    components; components of the confirmed links follow.  Only sets of candidates are shuffled.
 5. Completion: a large block whose rows are still in different components is compared as a whole:
@@ -57,6 +64,8 @@ U64 = np.uint64
 TREES, DEPTH, MIN_DEPTH = 13, 8, 3
 HASHES = TREES * DEPTH
 BLOCK, SMALL = 512, 64
+#: Rows before it that a row meets in each order, and bits of a head for its second minhash.
+NEAR, SECOND = 4, 24
 #: Rows of a cell; two cells meet in a task.
 CELL = BLOCK // 2
 #: Sketch matches below which a pair cannot be linked, and from which leaders stand for a row.
@@ -66,8 +75,8 @@ FEW_IDS = 2_000_000
 #: Parts a component is dealt in when its rows get its smallest doc_id.
 SALT = 16
 
-SIGNATURES = "uid long, doc_id long, name binary, n_shingles long, fp1 long, fp2 long, sketch binary, keys array<long>, shingles binary"
-FOUND = "a long, b long, first boolean, block long, key long, label binary, n long, sketch binary"
+SIGNATURES = "uid long, doc_id long, name binary, n_shingles long, fp1 long, fp2 long, sketch binary, heads array<long>, keys array<long>, shingles binary"
+FOUND = "a long, b long, first boolean, block long, head long, key long, label binary, n long, sketch binary"
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int, span: SpanHash) -> list[np.ndarray]:
@@ -135,20 +144,23 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     name = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) if len(s) else (uid, -1)
                     least = minhashes(s, times, plus)
                     v = mixed(least).reshape(TREES, DEPTH)
+                    one = mixed(trees * U64(0x9FB21C651E98DF25) + v[:, 0])
+                    two = mixed(one ^ v[:, 1] * U64(0xD6E8FEB86659FD93)) >> U64(64 - SECOND)
+                    head = (one >> U64(SECOND) << U64(SECOND)) | two
                     key = trees
                     for k in range(MIN_DEPTH):
                         key = mixed(key * U64(0xE7037ED1A0B428DB) + v[:, k])
                     rows.append(
                         (
                             uid, len(s), int(name[0]), int(name[1]), (v & U64(255)).astype(np.uint8).tobytes(),
-                            key.astype(np.int64) if len(s) else [], packed48(s)
+                            head.astype(np.int64) if len(s) else [], key.astype(np.int64) if len(s) else [], packed48(s)
                         )
                     )
                     uid += 1
-                u, n, f1, f2, sketch, keys, full = zip(*rows)
+                u, n, f1, f2, sketch, heads, keys, full = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(u, pa.int64()), batch.column("doc_id").slice(lo, hi - lo), batch.column("name").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sketch, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(full, pa.binary())],
-                    ["uid", "doc_id", "name", "n_shingles", "fp1", "fp2", "sketch", "keys", "shingles"],
+                    [pa.array(u, pa.int64()), batch.column("doc_id").slice(lo, hi - lo), batch.column("name").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sketch, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), pa.array(full, pa.binary())],
+                    ["uid", "doc_id", "name", "n_shingles", "fp1", "fp2", "sketch", "heads", "keys", "shingles"],
                 )
 
     ship(docs.sparkSession)
@@ -193,8 +205,37 @@ def cut_at(labels: np.ndarray, begin: int) -> int:
     return begin + BLOCK - int(prefix[::-1].argmin())
 
 
+def common_prefix(rows: list[np.ndarray], apart: int) -> np.ndarray:
+    """Minhashes that rows (head, key, label) of one order share from the first on with the row so many places before."""
+    head, key, label = rows[:3]
+    one = head[apart:] >> SECOND == head[:-apart] >> SECOND
+    two = one & (head[apart:] == head[:-apart])
+    three = two & (key[apart:] == key[:-apart])
+    deep = np.cumprod(label[apart:] == label[:-apart], axis=1).sum(axis=1)
+    return one.astype(np.int16) + two + three * (MIN_DEPTH - 2 + deep)
+
+
+def neighbours(rows: list[np.ndarray], percent: int, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates among the rows (head, key, label, uid, n, sketch) of one order that are at most NEAR places apart.
+
+    Each row from `new` on meets its NEAR predecessors, which have the longest common prefix with it.  Gives the
+    places of both rows and whether the pair goes first: of each row that of longest common prefix, then most matches.
+    """
+    count = len(rows[0])
+    best = np.zeros((NEAR + 1, count), np.int16)
+    for d in range(1, min(NEAR, count - 1) + 1):
+        depth, n, s = common_prefix(rows, d), rows[4], rows[5]
+        able = (depth > 0) & (100 * np.minimum(n[d:], n[:-d]) >= percent * np.maximum(n[d:], n[:-d]))
+        able[: max(new - d, 0)] = False
+        at = np.flatnonzero(able)
+        alike = (s[at + d] == s[at]).sum(axis=1)
+        best[d, at + d] = np.where(alike >= POSSIBLE, depth[at] * (HASHES + 1) + alike, 0)
+    apart, b = np.nonzero(best)
+    return b - apart, b, best[apart, b] == best.max(axis=0)[b]
+
+
 def _blocks(percent: int, whole: bool):
-    """Stream rows sorted by (key, label, uid); give candidate pairs, members of large blocks and leaders.
+    """Stream rows sorted by (head, key, label, uid); give candidate pairs, members of large blocks and leaders.
 
     whole: also all rows of regions of several blocks, as key and uid without a label.
     """
@@ -208,17 +249,18 @@ def _blocks(percent: int, whole: bool):
         leaders: list[tuple] = []
         spread: list[tuple[np.ndarray, np.ndarray, int]] = []  # uid and n of a block whose region goes on, and its key
 
-        def solve(key, label, uid, n, s, more):
+        def solve(head, key, label, uid, n, s, more):
             """One block; more: the region goes on elsewhere."""
             nonlocal block
             g = len(uid)
-            if g < 2 and not more:
+            if g <= NEAR + 1 and not more:  # its rows are all neighbours
                 return
             m = matches(s, n, percent)
-            edges, _ = spanning_forest(m)
+            deep = sum(np.multiply.accumulate([x[:, None] == x for x in label.T], dtype=np.int16))
+            edges, _ = spanning_forest(np.where(m, deep * np.int16(HASHES + 1) + m, 0))
             first = np.array(sorted((min(e), max(e)) for e in edges), np.int64).reshape(-1, 2)
             if g <= SMALL:
-                rest = np.triu(m)
+                rest = np.triu(m, NEAR + 1)
                 rest[first[:, 0], first[:, 1]] = 0
                 rest = np.stack(np.nonzero(rest), axis=1)
             else:
@@ -237,13 +279,13 @@ def _blocks(percent: int, whole: bool):
                 for r in np.unique(root):
                     mine = np.flatnonzero(root == r)
                     top = mine[m[np.ix_(mine, mine)].sum(axis=1, dtype=np.int64).argmax()]
-                    leaders.append((int(key), label[top].tobytes(), int(uid[top]), int(n[top]), s[top].tobytes()))
+                    leaders.append((int(head), int(key), label[top].tobytes(), int(uid[top]), int(n[top]), s[top].tobytes()))
 
         def out():
             joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
             a, b, f = (joined([x[k] for x in pairs], t) for k, t in ((0, np.int64), (1, np.int64), (2, bool)))
             mu, mb = joined([x for x, _ in members], np.int64), joined([np.full(len(x), k) for x, k in members], np.int64)
-            lk, ll, lu, ln, ls = zip(*leaders) if leaders else ((),) * 5
+            lh, lk, ll, lu, ln, ls = zip(*leaders) if leaders else ((),) * 6
             su, sn, sk = joined([x for x, _, _ in spread], np.int64), joined([n for _, n, _ in spread], np.int64), joined(
                 [np.full(len(x), k) for x, _, k in spread], np.int64
             )
@@ -255,55 +297,67 @@ def _blocks(percent: int, whole: bool):
 
             i64, raw = pa.int64(), pa.binary()
             return pa.RecordBatch.from_arrays(
-                [column(i64, a, mu, lu, su), column(i64, b, None, None, None), column(pa.bool_(), f, None, None, None), column(i64, None, mb, None, None), column(i64, None, None, lk, sk), column(raw, None, None, ll, None), column(i64, None, None, ln, sn), column(raw, None, None, ls, None)],
-                ["a", "b", "first", "block", "key", "label", "n", "sketch"],
+                [column(i64, a, mu, lu, su), column(i64, b, None, None, None), column(pa.bool_(), f, None, None, None), column(i64, None, mb, None, None), column(i64, None, None, lh, None), column(i64, None, None, lk, sk), column(raw, None, None, ll, None), column(i64, None, None, ln, sn), column(raw, None, None, ls, None)],
+                ["a", "b", "first", "block", "head", "key", "label", "n", "sketch"],
             )
 
-        held = None
+        held = before = None
         cutoff = 0  # blocks of the held region that went already
         first = True  # the first region of a partition may have begun before it
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, uid, n = (np.asarray(batch.column(c)) for c in ("key", "uid", "n"))
+            head, key, uid, n = (np.asarray(batch.column(c)) for c in ("head", "key", "uid", "n"))
             label = np.frombuffer(b"".join(batch.column("label").to_pylist()), np.uint8).reshape(-1, DEPTH - MIN_DEPTH)
             s = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
-            rows = [key, label, uid, n, s] if held is None else [np.concatenate([x, y]) for x, y in zip(held, (key, label, uid, n, s))]
+            rows = new = [head, key, label, uid, n, s]
+            if before is not None:
+                rows, new = ([np.concatenate([x, y]) for x, y in zip(old, rows)] for old in (held, before))
+            a, b, best = neighbours(new, percent, len(new[0]) - len(uid))
+            if len(a):
+                a, b = new[3][a], new[3][b]
+                pairs.append((np.minimum(a, b), np.maximum(a, b), best))
+            before = [x[-NEAR:] for x in new]
             begin = 0
-            for end in np.append(np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1, len(rows[0])).tolist():
+            for end in np.append(np.flatnonzero((rows[1][1:] != rows[1][:-1]) | (rows[0][1:] != rows[0][:-1])) + 1, len(rows[0])).tolist():
                 while end - begin > BLOCK:
-                    to = cut_at(rows[1], begin)
-                    solve(rows[0][begin], *(x[begin:to] for x in rows[1:]), True)
+                    to = cut_at(rows[2], begin)
+                    solve(rows[0][begin], rows[1][begin], *(x[begin:to] for x in rows[2:]), True)
                     begin, cutoff = to, cutoff + 1
                 if end == len(rows[0]):
                     break  # the region may go on in the next batch
-                solve(rows[0][begin], *(x[begin:end] for x in rows[1:]), first or cutoff > 0)
+                solve(rows[0][begin], rows[1][begin], *(x[begin:end] for x in rows[2:]), first or cutoff > 0)
                 begin, first, cutoff = end, False, 0
             held = [x[begin:] for x in rows]
             if sum(len(x[0]) for x in pairs) > 20_000 or len(leaders) > 5_000 or len(members) > 50 or len(spread) > 50:
                 yield out()
         if held is not None and len(held[0]):
-            solve(held[0][0], *held[1:], True)
+            solve(held[0][0], held[1][0], *held[2:], True)
         yield out()
 
     return run
 
 
 def candidates(reps: DataFrame, percent: int) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
-    """Candidate pairs (a < b, first), members of large blocks (uid, block), level by level, and the rows of regions of several blocks (key, uid, n)."""
+    """Candidate pairs (a < b, first), members of large blocks (uid, block), level by level, and the rows of regions of several blocks (key, uid, n).
+
+    Orders of reps without heads begin with their keys.
+    """
     spark = reps.sparkSession
-    rows = reps.select("uid", F.col("n_shingles").alias("n"), "sketch", F.posexplode("keys").alias("tree", "key"))
+    rows = reps.select("*", F.col("n_shingles").alias("n"), F.posexplode("keys").alias("tree", "key"))
+    head = F.expr("heads[tree]") if "heads" in reps.columns else F.col("key")
     label = F.expr(f"substring(sketch, tree * {DEPTH} + {MIN_DEPTH + 1}, {DEPTH - MIN_DEPTH})")
-    rows = rows.select("key", label.alias("label"), "uid", "n", "sketch")
+    order = ["head", "key", "label", "uid"]
+    rows = rows.select(head.alias("head"), "key", label.alias("label"), "uid", "n", "sketch")
     pairs, members, regions, before, parts = [], [], None, None, partitions(spark)
     while True:
-        dealt = rows.repartitionByRange(parts, "key", "label", "uid").sortWithinPartitions("key", "label", "uid")
+        dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
         found = written(dealt.mapInArrow(_blocks(percent, regions is None), FOUND), "found")
         pairs.append(found.where("b IS NOT NULL").select("a", "b", "first"))
         members.append(found.where("block IS NOT NULL").select(F.col("a").alias("uid"), "block", F.lit(len(members)).alias("level")))
         if regions is None:  # the leaders of later levels are rows of these regions
             regions = found.where("key IS NOT NULL AND label IS NULL").select("key", F.col("a").alias("uid"), "n")
-        rows = found.where("label IS NOT NULL").select("key", "label", F.col("a").alias("uid"), "n", "sketch")
+        rows = found.where("label IS NOT NULL").select("head", "key", "label", F.col("a").alias("uid"), "n", "sketch")
         # a region ends for itself: with one leader, or where a round removes hardly any (step 6 compares all its rows anyway)
         going = rows.groupBy("key").agg(F.count("*").alias("leaders")).where("leaders > 1")
         if before is not None:
@@ -426,7 +480,7 @@ def rooted(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     reps = sig.groupBy(*names).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "uid")).alias("r"))
     reps = written(reps.select(*names, F.col("r.uid").alias("rep"), F.col("r.doc_id").alias("rep_doc")), "reps")
     alone = sig.where("n_shingles > 0").join(reps.select(F.col("rep").alias("uid")), "uid", "left_semi")
-    pairs, members, regions = candidates(alone.select("uid", "n_shingles", "sketch", "keys"), percent)
+    pairs, members, regions = candidates(alone.select("uid", "n_shingles", "sketch", "heads", "keys"), percent)
     inside = _all(members)
     pairs = written(_all(pairs).groupBy("a", "b").agg(F.max("first").alias("first")), "pairs")
     ids = _all([pairs.select(F.col("a").alias("uid")), pairs.select(F.col("b").alias("uid")), inside.select("uid"), regions.select("uid")]).distinct()
