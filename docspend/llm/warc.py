@@ -5,8 +5,11 @@ framing.  Of equal payloads of at least REVISIT bytes only the page with the sma
 response; the others are revisits that refer to it.  A block longer than SEGMENT is split: its
 first part is segment 1, the others are continuation records in another file.
 
-Reading: every archive is inflated and parsed once, and what was found is written once.  Whole
-records are decoded where they are read; segments are grouped by the identifier of their origin,
+Reading: tasks get paths, open the files as streams, and inflate and parse them record by record,
+so a task holds one record at a time, whatever the size of an archive or of a gzip member.  A file
+is one task's: a payload may hold an archive itself, stored as it is, so a place in the middle of
+a file can't tell whether a member begins there.  Where pyarrow has no file system for the path,
+Spark reads the files whole instead.  What was found is written once.  Whole records are decoded where they are read; segments are grouped by the identifier of their origin,
 ordered by segment number, checked for gaps and against the total length, and joined.  Then the
 HTTP head is cut off and the chunked framing decoded.
 
@@ -15,7 +18,8 @@ written as such; rows that repeat a page_id and html are records each, and none
 other; a record whose segments are not whole has its problem named and no payload, and so has what
 is no record at all (no head, no length, a length or segment number that is no number, a cut
 record, a cut or broken gzip member): it is a row with a problem, and reading goes on with the next
-gzip member; broken UTF-8 is read as U+FFFD; no rows give no rows; other columns
+gzip member (after a broken one, the next that starts with a record); a head of more than HEAD_LIMIT
+bytes counts as cut short; broken UTF-8 is read as U+FFFD; no rows give no rows; other columns
 are not used.
 """
 
@@ -23,8 +27,10 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +40,8 @@ from docspend.llm.common import clean_text, scratch, written
 from docspend.shipping import ship
 
 REVISIT, SEGMENT, CHUNK, ROTATE, LEVEL = 100, 32_768, 4096, 32_000_000, 3
+#: Bytes of a step of reading and of inflating, and of the longest head of a record.
+WINDOW, STEP, HEAD_LIMIT = 1_000_000, 16_384, 1_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -97,19 +105,53 @@ def _number(text: str | None) -> int | None:
     return int(text)
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+class _Bytes:
+    """The bytes of an iterator of chunks, taken from the front."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.data = chunks, bytearray()
+
+    def fill(self, n: int) -> bool:
+        """Hold n bytes, if there are as many."""
+        while len(self.data) < n:
+            chunk = next(self.chunks, None)
+            if chunk is None:
+                return False
+            self.data += chunk
+        return True
+
+    def find(self, mark: bytes, limit: int) -> int:
+        at = 0
+        while (found := self.data.find(mark, at)) < 0:
+            at = max(0, len(self.data) - len(mark) + 1)
+            if len(self.data) > limit or not self.fill(len(self.data) + 1):
+                return -1
+        return found
+
+    def take(self, n: int) -> bytes:
+        self.fill(n)
+        out = bytes(self.data[:n])
+        del self.data[:n]
+        return out
+
+    def drain(self) -> None:
+        for _ in self.chunks:
+            pass
+
+
+def parsed(source: _Bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
     """Header fields (names in lower case), block and problem of each record of plain WARC bytes.
 
     After a record whose length is not known nothing more can be read.
     """
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at : end if end >= 0 else at + 4096].decode("utf-8", "replace").split("\r\n")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        if not lines[0].startswith("WARC/"):
+    while source.fill(1):
+        source.fill(5)
+        if not source.data.startswith(b"WARC/"):
             yield {}, b"", "not a record"
             return
+        end = source.find(b"\r\n\r\n", HEAD_LIMIT)
+        lines = source.take(end if end >= 0 else 4096).decode("utf-8", "replace").split("\r\n")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         if end < 0:
             yield fields, b"", "the head is cut short"
             return
@@ -120,32 +162,71 @@ def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
         if size is None:
             yield fields, b"", "no length"
             return
-        block = data[end + 4 : end + 4 + size]
+        source.take(4)
+        block = source.take(size)
         yield fields, block, "the record is cut short" if len(block) < size else None
-        at = end + 4 + size + 4
+        source.take(4)
 
 
-def members(raw: bytes) -> Iterator[tuple[bytes, str | None]]:
-    """The gzip members of a file and their problems, one at a time; bytes that are not gzip as they are."""
-    if raw[:2] != b"\x1f\x8b":
-        if raw:
-            yield raw, None
-        return
-    at, view = 0, memoryview(raw)
-    while at < len(raw):
-        one, parts = zlib.decompressobj(31), []
+class _File:
+    """Reads at any place of an open file, WINDOW bytes at a time."""
+
+    def __init__(self, f, size: int):
+        self.f, self.size, self.at, self.held = f, size, 0, b""
+
+    def read(self, at: int, n: int) -> bytes:
+        """Up to n bytes from a place on; none at the end only."""
+        if not self.at <= at < self.at + len(self.held):
+            self.f.seek(at)
+            self.at, self.held = at, self.f.read(WINDOW)
+        return self.held[at - self.at : at - self.at + n]
+
+    def plain(self) -> Iterator[bytes]:
+        at = 0
+        while part := self.read(at, WINDOW):
+            yield part
+            at += len(part)
+
+
+class _Member:
+    """A gzip member of a file: its plain bytes, then where it ended or what is wrong with it."""
+
+    def __init__(self, file: _File, begin: int):
+        self.file, self.end, self.problem = file, begin, None
+
+    def chunks(self) -> Iterator[bytes]:
+        one = zlib.decompressobj(31)
         try:
-            while not one.eof and at < len(raw):
+            while not one.eof:
                 # small steps: what is left over after a member's end is copied
-                step = view[at : at + 16_384]
-                parts.append(one.decompress(step))
-                at += len(step)
-            at -= len(one.unused_data)
-            parts.append(one.flush())
+                step = self.file.read(self.end, STEP)
+                if not step:
+                    self.problem = "a gzip member is cut short"
+                    return
+                self.end += len(step)
+                if part := one.decompress(step):
+                    yield part
+            self.end -= len(one.unused_data)
         except zlib.error:
-            yield b"".join(parts), "a gzip member is broken"
-            return
-        yield b"".join(parts), None if one.eof else "a gzip member is cut short"
+            self.problem = "a gzip member is broken"
+
+
+def record_start(file: _File, at: int) -> int:
+    """The first place from `at` on where a gzip member starts with a record, or the end of the file."""
+    while at < file.size:
+        part = file.read(at, WINDOW)
+        if not part:
+            break
+        here = part.find(b"\x1f\x8b")
+        if here < 0:
+            at += max(1, len(part) - 1)
+            continue
+        at += here
+        start = _Bytes(_Member(file, at).chunks())
+        if start.fill(5) and start.data.startswith(b"WARC/"):
+            return at
+        at += 1
+    return file.size
 
 
 def identifier(page_id: int | None, digest: str) -> str:
@@ -236,23 +317,36 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> int:
     return written(rows.mapInArrow(run, "n long"), "manifest").agg(F.sum("n")).first()[0] or 0
 
 
-def _records(raw: bytes) -> Iterator[tuple]:
-    """The columns of RECORDS of the records of one file that matter here, and rows of what can't be read."""
-    for member, broken in members(raw):
-        for f, block, problem in parsed(member):
-            kind, name = f.get("warc-type"), f.get("warc-record-id")
-            digest = f.get("warc-payload-digest", "").removeprefix("sha256:") or None
-            numbers = []
-            try:
-                numbers = [_number(f.get("warc-segment-number")), _number(f.get("warc-segment-total-length"))]
-            except ValueError as e:
-                problem = problem or str(e)
-            if problem:
-                yield name, kind, None, None, None, None, digest, None, problem
-            elif kind in ("response", "revisit", "continuation"):
-                yield name, kind, numbers[0], f.get("warc-segment-origin-id"), numbers[1], f.get("warc-refers-to"), digest, block, None
-        if broken:
-            yield None, None, None, None, None, None, None, None, broken
+def _rows(source: _Bytes) -> Iterator[tuple]:
+    """The columns of RECORDS of the records that matter here, and rows of what can't be read."""
+    for f, block, problem in parsed(source):
+        kind, name = f.get("warc-type"), f.get("warc-record-id")
+        digest = f.get("warc-payload-digest", "").removeprefix("sha256:") or None
+        numbers = []
+        try:
+            numbers = [_number(f.get("warc-segment-number")), _number(f.get("warc-segment-total-length"))]
+        except ValueError as e:
+            problem = problem or str(e)
+        if problem:
+            yield name, kind, None, None, None, None, digest, None, problem
+        elif kind in ("response", "revisit", "continuation"):
+            yield name, kind, numbers[0], f.get("warc-segment-origin-id"), numbers[1], f.get("warc-refers-to"), digest, block, None
+
+
+def _records(file: _File) -> Iterator[tuple]:
+    """The rows of the records of one file."""
+    if file.read(0, 2) != b"\x1f\x8b":
+        yield from _rows(_Bytes(file.plain()))
+        return
+    at = 0
+    while at < file.size:
+        member = _Member(file, at)
+        source = _Bytes(member.chunks())
+        yield from _rows(source)
+        source.drain()
+        if member.problem:
+            yield None, None, None, None, None, None, None, None, member.problem
+        at = record_start(file, at + 1) if member.problem else member.end
 
 
 KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
@@ -276,8 +370,45 @@ def _emitted(rows: Iterator[tuple], schema: str, size_of) -> Iterator[pa.RecordB
         yield out()
 
 
+def _known(spark: SparkSession, path: str) -> bool:
+    """Whether pyarrow has a file system for a path."""
+    from docspend.llm.files import filesystem
+
+    system = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        filesystem(_uri(system.getUri().toString().rstrip("/") + "/"))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def _uri(path: str) -> str:
+    """A path as Spark names it, as a URI."""
+    scheme, _, rest = path.partition(":")
+    return f"{scheme}:{'//' * (not rest.startswith('//'))}{quote(rest, safe='/:@[]')}"
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("content")
+    """path and length of all archives below path, and their content where tasks can't open them.
+
+    Spark deals files to tasks by their lengths; unless asked for the content it does not read it.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
+    return files.select("path", "length", (F.lit(None).cast("binary") if _known(spark, path) else F.col("content")).alias("content"))
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of the records of files."""
+    from docspend.llm.files import filesystem
+
+    for batch in batches:
+        for path, size, content in zip(*(batch.column(c) for c in ("path", "length", "content"))):
+            if content.is_valid:
+                yield from _records(_File(io.BytesIO(content.as_py()), size.as_py()))
+                continue
+            system, name = filesystem(_uri(path.as_py()))
+            with system.open_input_file(name) as f:
+                yield from _records(_File(f, size.as_py()))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -285,8 +416,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for raw in batch.column("content") for r in _records(raw.as_py()))
-        yield from _emitted(rows, RECORDS, lambda r: len(r[7] or b""))
+        yield from _emitted(_found(batches), RECORDS, lambda r: len(r[7] or b""))
 
     return _files(spark, path).mapInArrow(run, RECORDS)
 
@@ -311,14 +441,12 @@ def read_once(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for batch in batches:
-                for raw in batch.column("content"):
-                    for r in _records(raw.as_py()):
-                        if r[8] is None and r[2] is None and r[1] != "continuation":
-                            payload, problem = _answer(r[1], None, r[7])
-                            yield *r[:7], None, problem, payload if payloads else None, *_measured(payload)
-                        else:
-                            yield *r, None, None, None
+            for r in _found(batches):
+                if r[8] is None and r[2] is None and r[1] != "continuation":
+                    payload, problem = _answer(r[1], None, r[7])
+                    yield *r[:7], None, problem, payload if payloads else None, *_measured(payload)
+                else:
+                    yield *r, None, None, None
 
         yield from _emitted(rows(), READ, lambda r: len(r[7] or b"") + len(r[9] or b""))
 
