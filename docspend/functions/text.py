@@ -43,8 +43,11 @@ def _code_point(number: Column) -> Column:
     ).otherwise(plain)
 
 
-def unescape(text: Column) -> Column:
-    """Character references decoded as browsers do: by name, decimal and hexadecimal, with or without semicolon."""
+def unescape(text: Column, only: tuple[str, ...] | None = None) -> Column:
+    """Character references decoded as browsers do: by name, decimal and hexadecimal, with or without semicolon.
+
+    only: just these, as they stand between ampersand and semicolon; all others stay as they are.
+    """
     table = F.from_json(F.lit(NAMED), "map<string, string>")
 
     def decoded(part: Column) -> Column:
@@ -63,14 +66,18 @@ def unescape(text: Column) -> Column:
             .otherwise(F.concat(F.lit("&"), part))
         )
 
+    def chosen(part: Column) -> Column:
+        wanted = F.contains(part, F.lit(";")) & F.substring_index(part, ";", 1).isin(*only)
+        return F.when(wanted, decoded(part)).otherwise(F.concat(F.lit("&"), part))
+
     parts = F.split(text, "&")
-    later = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decoded)
+    later = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decoded if only is None else chosen)
     return F.when(F.contains(text, F.lit("&")), F.concat(F.get(parts, F.lit(0)), F.array_join(later, ""))).otherwise(text)
 
 
-def html_to_text(html: Column) -> Column:
-    """Tags become spaces, character references are decoded, white space collapses."""
-    text = unescape(F.regexp_replace(html, r"<[^>]+>", " "))
+def html_to_text(html: Column, only: tuple[str, ...] | None = None) -> Column:
+    """Tags become spaces, character references are decoded (see unescape), white space collapses."""
+    text = unescape(F.regexp_replace(html, r"<[^>]+>", " "), only)
     return F.btrim(F.regexp_replace(text, rf"[{SPACE}]+", " "), F.lit(" "))
 
 

@@ -357,3 +357,16 @@ def test_intake_stream_knows_earlier_batches(spark, tmp_path):
     assert [(r.user_id, r.invoice_no, r.amount, r.email_uid) for r in saved] == [(7, "12345678", Decimal("1234.50"), "1")]
     audit = spark.read.parquet(f"{tmp_path}/out/audit").orderBy("email_uid").collect()
     assert [(r.email_uid, r.outcome) for r in audit] == [("1", "saved"), ("2", "duplicate")]
+
+
+def test_page_text_decodes_the_references_of_its_sql_only(spark, tmp_path):
+    import duckdb
+
+    from docspend.plans.all import ORACLES, QUERIES
+
+    pages = ["<p>a &amp b&amp", "&amp;lt; &lt;b&gt; &copy2 &copy; &eacute; &#39;x&#40;", "&&&amp;&nbsp; &middot;&quot;;", "", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = {r.page_id: r.text for r in QUERIES["fn_01_html_to_text"](spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute(ORACLES["fn_01_html_to_text"]).fetchall())
