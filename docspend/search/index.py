@@ -6,26 +6,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspend.scratch import written
-from docspend.search.text import COLUMNS, build_index, tokens
+from docspend.search.text import COLUMNS, tokens
 
-BUCKETS, SALT = 64, 4
+BUCKETS = 64
+#: Removed ids are broadcast, 64 to a word of bits, while they take at most so many words.
+WORDS = 3_000_000
 
 
 def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Postings by bucket, each bucket over SALT tasks as a term may be in most rows, sorted by term."""
-    return rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SALT))).sortWithinPartitions("bucket", "term", "id")
+def _postings(df: DataFrame, key: str, columns: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
+    """Postings of rows, a row at a time and without a shuffle: its words are sorted, and each run of equal ones in a column is a posting."""
+    c = F.col
+    placed = lambda x, n: F.transform(tokens(c(x)), lambda w, i: F.struct(w.alias("term"), F.lit(n).alias("col"), i.alias("pos")))
+    rows = df.select(c(key).alias("id"), *keep, F.sort_array(F.flatten(F.array(*(placed(x, n) for n, x in enumerate(columns))))).alias("at"))
+    term, col = (lambda i, name=name: F.get(c("at"), i)[name] for name in ("term", "col"))
+    new = lambda i: (i == 0) | (term(i) != term(i - 1))
+    begins = F.filter(F.sequence(F.lit(0), F.size("at") - 1), lambda i: new(i) | (col(i) != col(i - 1)))
+    rows = rows.where(F.size("at") > 0).select("id", *keep, "at", begins.alias("begins"))
+    end = lambda k: F.coalesce(F.get(c("begins"), k + 1), F.size("at"))
+    runs = F.transform("begins", lambda b, k: F.struct(
+        term(b).alias("term"), F.get(F.array(*map(F.lit, columns)), col(b)).alias("col"), new(b).alias("first"), (end(k) - b).alias("n"),
+        F.transform(F.slice("at", b + 1, end(k) - b), lambda x: x["pos"]).alias("positions")
+    ))
+    return rows.select("id", F.size("at").alias("size"), *keep, F.inline(runs)).withColumn("bucket", bucket_of(c("term")))
+
+
+def _words(ids: DataFrame) -> DataFrame:
+    """Distinct ids; whole numbers as slot and mask, 64 to a word of bits."""
+    if dict(ids.dtypes)["id"] not in ("bigint", "int"):
+        return ids.distinct()
+    bit = F.expr("shiftleft(1L, CAST(id & 63 AS INT))")
+    return ids.where("id IS NOT NULL").groupBy(_slot().alias("slot")).agg(F.bit_or(bit).alias("mask"))
+
+
+def _slot() -> Column:
+    return F.expr("shiftright(CAST(id AS BIGINT), 6)")
 
 
 class TextIndex:
     """Postings of rows below path.
 
-    postings: term, id, col, positions, size (tokens of the whole row) and the kept columns, one row
-    for each (term, row, column), in folders by bucket of the term and sorted by term in them;
-    lengths: id and the tokens of each column; gone: ids whose rows in earlier segments are dead.
+    postings: term, id, col, positions, n (how many), first (whether of the first column of the row
+    that holds the term), size (tokens of the whole row) and the kept columns, one row for each (term,
+    row, column).  Rows are dealt, not their postings: each task writes those of its rows, in folders
+    by bucket of the term and sorted by term, so a term in most rows is no hot one.  lengths: id and
+    the tokens of each column; gone: ids whose rows in earlier segments are dead, whole numbers as
+    words of 64 bits.  The key is unique among the rows of a segment.
     `add` writes a segment: new rows, and rows that replace those of the same id; `remove` one that
     only buries.  A segment counts once its totals stand in `stats`, written last.  `compacted`
     writes what lives as one segment elsewhere.
@@ -53,20 +82,19 @@ class TextIndex:
     def _write(self, number: int, df: DataFrame | None, key: str, columns: tuple[str, ...], keep: tuple[str, ...], buried: DataFrame | None) -> None:
         docs, total = 0, 0
         if df is not None:
-            sized = df.select(F.col(key).alias("id"), F.create_map(*(x for c in columns for x in (F.lit(c), F.size(tokens(F.col(c)))))).alias("sizes"))
-            sized = sized.select("id", "sizes", F.aggregate(F.map_values("sizes"), F.lit(0), lambda n, x: n + x).alias("size"))
+            counted = df.select(F.col(key).alias("id"), *(F.size(tokens(F.col(c))).alias(f"n_{i}") for i, c in enumerate(columns)))
+            of = [F.col(f"n_{i}") for i in range(len(columns))]
+            sized = counted.select("id", F.create_map(*(x for c, n in zip(columns, of) for x in (F.lit(c), n))).alias("sizes"), sum(of, F.lit(0)).alias("size"))
             sized.write.mode("overwrite").parquet(f"{self.path}/lengths/segment={number}")
             docs, total = self.spark.read.parquet(f"{self.path}/lengths/segment={number}").where("size > 0").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-            sized = df.withColumn("size", sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0)))
-            carried = ("size", *keep)
-            rows = build_index(sized, key, columns, carried).groupBy("term", "id", "col", *carried).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-            dealt = _dealt(rows.withColumn("bucket", bucket_of(F.col("term"))))
+            rows = df.select(*dict.fromkeys((key, *keep, *columns))).hint("rebalance", key)
+            dealt = _postings(rows, key, columns, keep).sortWithinPartitions("bucket", "term")
             dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={number}")
         if buried is not None:
             dead = written(self.lengths().join(buried, "id", "left_semi").where("size > 0").select("id", "size"), "dead")
             n, tokens_gone = dead.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
             docs, total = docs - n, total - tokens_gone
-            buried.select("id").distinct().withColumn("since", F.lit(number)).write.mode("overwrite").parquet(f"{self.path}/gone/segment={number}")
+            _words(buried.select("id")).withColumn("since", F.lit(number)).write.mode("overwrite").parquet(f"{self.path}/gone/segment={number}")
         stats = self.spark.range(1).select(F.lit(docs).cast("long").alias("docs"), F.lit(total).cast("long").alias("total"))
         stats.write.mode("overwrite").parquet(f"{self.path}/stats/segment={number}")
 
@@ -80,8 +108,8 @@ class TextIndex:
 
     def compacted(self, path: str) -> TextIndex:
         other = TextIndex(self.spark, path)
-        whole = self._live(self._read("postings"))
-        _dealt(whole.drop("segment")).write.partitionBy("bucket").parquet(f"{path}/postings/segment=0")
+        whole = self._live(self._read("postings")).drop("segment").hint("rebalance", "id").sortWithinPartitions("bucket", "term")
+        whole.write.partitionBy("bucket").parquet(f"{path}/postings/segment=0")
         self.lengths().write.parquet(f"{path}/lengths/segment=0")
         self.totals().select("docs", "total").write.parquet(f"{path}/stats/segment=0")
         return other
@@ -100,8 +128,13 @@ class TextIndex:
         gone = self._read("gone")
         if gone is None:
             return rows
-        last = gone.groupBy("id").agg(F.max("since").alias("since"))
-        return rows.join(last, "id", "left").where("since IS NULL OR segment >= since").drop("since")
+        if "id" in gone.columns:
+            last = gone.groupBy("id").agg(F.max("since").alias("since"))
+            return rows.join(last, "id", "left").where("since IS NULL OR segment >= since").drop("since")
+        dead = gone.groupBy("slot").agg(F.collect_list(F.struct("since", "mask")).alias("gone"))
+        dead = F.broadcast(dead) if gone.count() <= WORDS else dead
+        hit = "exists(gone, g -> g.since > segment AND getbit(g.mask, CAST(id & 63 AS INT)) = 1)"
+        return rows.withColumn("slot", _slot()).join(dead, "slot", "left").where(f"gone IS NULL OR NOT {hit}").drop("slot", "gone")
 
     def totals(self) -> DataFrame:
         """docs, total: rows with tokens and their tokens, one row."""
@@ -137,5 +170,5 @@ class TextIndex:
 
     def term_stats(self) -> DataFrame:
         """docs and n of every term."""
-        rows = self._live(self._read("postings")).groupBy("term", "id").agg(F.sum(F.size("positions")).alias("n"))
-        return rows.groupBy("term").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+        rows = self._live(self._read("postings").select("term", "id", "n", "first", "segment"))
+        return rows.groupBy("term").agg(F.count_if("first").alias("docs"), F.sum("n").alias("n"))

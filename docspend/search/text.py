@@ -26,7 +26,7 @@ def tokens(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     # few texts have such letters; only those are translated letter by letter
     plain = F.when(low.rlike(SOME_MARK), F.regexp_replace(F.translate(low, *ACCENTS), MARKS, "")).otherwise(low)
-    return F.filter(F.split(plain, SPLIT), lambda x: x != "")
+    return F.array_remove(F.split(plain, SPLIT), "")
 
 
 def terms_of(text: str) -> list[str]:
@@ -49,10 +49,10 @@ def term_stats(index: DataFrame) -> DataFrame:
 
 
 def _phrase(index: DataFrame, words: list[str]) -> DataFrame:
-    """Ids of the documents in which the words stand side by side."""
-    at = None
+    """Ids of the documents in which the words stand side by side; index has pos or positions."""
+    at, places = None, F.explode("positions") if "positions" in index.columns else F.col("pos")
     for i, w in enumerate(words):
-        own = index.where(F.col("term") == w).select("id", "col", (F.col("pos") - i).alias("pos"))
+        own = index.where(F.col("term") == w).select("id", "col", places.alias("pos")).withColumn("pos", F.col("pos") - i)
         at = own if at is None else at.join(own, ["id", "col", "pos"], "left_semi")
     return at.select("id").distinct()
 
@@ -77,19 +77,23 @@ def match(
     wanted = sorted({w for texts in (all_, any_, none_) for words in texts for w in words})
     # only the postings of the query's terms are shuffled
     if stored:
-        rows = index.postings(wanted, begin[0] if begin else None, columns).select("term", "id", "col", F.explode("positions").alias("pos"))
+        rows = index.postings(wanted, begin[0] if begin else None, columns)
     else:
         near = F.col("term").isin(*wanted) if wanted else F.lit(False)
         rows = index.where(near | F.startswith("term", F.lit(begin[0])) if begin else near)
     single = lambda texts: sorted({words[0] for words in texts if len(words) == 1})
     several = lambda texts: [words for words in texts if len(words) > 1]
-    has = lambda terms: F.count_distinct(F.when(F.col("term").isin(*terms), F.col("term")))
-    tests = [has(single(all_)) == len(single(all_))] if single(all_) else []
+    has = lambda *terms: F.bool_or(F.col("term").isin(*terms))
+    # one flag a word and row, which fold before the shuffle
+    tests = [has(word) for word in single(all_)]
     if single(any_) and not several(any_):
-        tests.append(has(single(any_)) > 0)
+        tests.append(has(*single(any_)))
     if begin:
-        tests.append(F.max(F.startswith("term", F.lit(begin[0]))))
+        tests.append(F.bool_or(F.startswith("term", F.lit(begin[0]))))
+    without = single(none_)
     if tests:
+        tests += [~has(*without)] if without else []
+        without = []
         kept = rows.groupBy("id").agg(reduce(lambda a, b: a & b, tests).alias("ok")).where("ok").select("id")
     elif several(all_):
         kept = _phrase(rows, several(all_)[0])
@@ -105,8 +109,8 @@ def match(
         kept = kept.join(reduce(DataFrame.unionByName, found), "id", "left_semi")
     for words in several(none_):
         kept = kept.join(_phrase(rows, words), "id", "left_anti")
-    if single(none_):
-        kept = kept.join(rows.where(F.col("term").isin(*single(none_))).select("id"), "id", "left_anti")
+    if without:
+        kept = kept.join(rows.where(F.col("term").isin(*without)).select("id"), "id", "left_anti")
     return kept
 
 
@@ -147,7 +151,7 @@ def bm25(df: DataFrame, terms: list[str], k: int | None = None, key: str = "id",
 def ranked(index, terms: list[str], k: int | None = None, columns: tuple[str, ...] | None = None) -> DataFrame:
     """bm25 over a stored TextIndex: only the postings of the terms are read, and folded to a row for each (term, row)."""
     words = list(dict.fromkeys(w for t in terms for w in terms_of(t)))
-    hits = index.postings(words, columns=columns).groupBy("term", "id").agg(F.sum(F.size("positions")).alias("tf"), F.first("size").alias("size"))
+    hits = index.postings(words, columns=columns).groupBy("term", "id").agg(F.sum("n").alias("tf"), F.first("size").alias("size"))
     hits = written(hits, "hits")
     held = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row a word
     whole = index.totals().select("docs", (F.col("total") / F.col("docs")).alias("mean"))  # one row

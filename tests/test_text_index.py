@@ -61,3 +61,21 @@ def test_a_segment_that_was_not_finished_does_not_count(spark, index, monkeypatc
         with pytest.raises(RuntimeError, match="lost"):
             index.add(rows(spark, r1="never seen").where("id = 1"), columns=COLUMNS, keep=("user_id",))
     assert index.term_stats().count() == before and index.totals().first().docs == live(spark).where("coalesce(buyer, '') <> '' OR coalesce(seller, '') <> ''").count()
+
+
+def test_postings_are_made_row_by_row_without_a_shuffle_of_them(spark):
+    from docspend.search.index import _postings
+
+    made = _postings(rows(spark), "id", COLUMNS, ("user_id",))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r.term, r.id, r.col): (r.positions, r.n) for r in made.collect()}
+    want = {}
+    for r in plain(rows(spark)).collect():
+        want.setdefault((r.term, r.id, r.col), []).append(r.pos)
+    assert got == {k: (sorted(v), len(v)) for k, v in want.items()}
+
+
+def test_words_of_a_match_fold_to_one_row_a_document(spark, index):
+    """Several counted words must not copy the postings for each of them."""
+    plan = X.match(index, all_=("ink", "pen"), any_=("paper", "penny"), none_=("old",), prefix="pen")._jdf.queryExecution().toString()
+    assert "Expand" not in plan and "LeftAnti" not in plan and "explode" not in plan
