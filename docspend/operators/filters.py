@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docspend.functions.text import iso
 from docspend.operators.aggregates import currency
 from docspend.schemas import BLOCKED_HOSTS, BLOCKED_PATHS, CONTENT_TYPES, IMAGE_SUFFIXES, SKIP_FLAGS, UNKNOWN
+from docspend.scratch import written
 
 
 def scoped(df: DataFrame, user_id: int) -> DataFrame:
@@ -38,10 +39,12 @@ def by_ids(df: DataFrame, ids: list[int], user_id: int) -> DataFrame:
 def evaluate_views(views: DataFrame, invoices: DataFrame, index=None) -> DataFrame:
     """Matches of every saved view, all at once: within its dates, and with all words of its q where it has one.
 
-    Views without words: invoices are folded to a count for each (tenant, day) first, so the range
-    join meets a view with days, not with invoices.  Views with words: only postings of words that
-    some view asks for are shuffled, and meet the views by (tenant, word).  index: a stored
-    TextIndex of the invoices that keeps user_id and invoice_date; without one the words are made anew.
+    Views that ask for the same are evaluated once.  Views without words: invoices are folded to a
+    count for each (tenant, day) first, so the range join meets days, not invoices.  Views with
+    words: only postings of words that some view asks for are shuffled, once, by invoice; an invoice
+    meets those word sets of its tenant whose rarest word it holds, and what it matches is folded to
+    days too.  index: a stored TextIndex of the invoices that keeps user_id and invoice_date; without
+    one the words are made anew.
     """
     from docspend.search.text import build_index, tokens
 
@@ -49,21 +52,29 @@ def evaluate_views(views: DataFrame, invoices: DataFrame, index=None) -> DataFra
     spec = F.from_json("filter_json", "q string, date_from string, date_to string")
     parsed = views.select("id", "user_id", spec.alias("f"))
     parsed = parsed.select(
-        "id", "user_id", F.array_distinct(tokens(c("f.q"))).alias("words"), F.try_to_date("f.date_from").alias("lo"),
+        "id", "user_id", F.sort_array(F.array_distinct(tokens(c("f.q")))).alias("words"), F.try_to_date("f.date_from").alias("lo"),
         F.try_to_date("f.date_to").alias("hi")
     )
+    parsed = written(parsed.withColumn("spec", F.to_json(F.struct("user_id", "words", "lo", "hi"))), "views")
+    kinds = parsed.drop("id").distinct()
     between = (c("lo").isNull() | (c("invoice_date") >= c("lo"))) & (c("hi").isNull() | (c("invoice_date") <= c("hi")))
     days = invoices.groupBy(c("user_id").alias("owner"), "invoice_date").agg(F.count("*").alias("n"))
-    plain = parsed.where(F.size("words") == 0).join(days, (c("user_id") == c("owner")) & between).groupBy("id").agg(F.sum("n").alias("n"))
-    asked = parsed.where(F.size("words") > 0).select("id", "user_id", "lo", "hi", F.size("words").alias("many"), F.explode("words").alias("term"))
+    plain = kinds.where(F.size("words") == 0).join(days, (c("user_id") == c("owner")) & between).groupBy("spec").agg(F.sum("n").alias("n"))
+    sets = kinds.where(F.size("words") > 0).select("user_id", "words").distinct()
+    asked = sets.select("user_id", "words", F.explode("words").alias("term"))
     if index is None:
         hits = build_index(invoices, keep=("user_id", "invoice_date")).join(asked.select("term").distinct(), "term", "left_semi")
+        hits = hits.select("term", c("id").alias("invoice"), "user_id", "invoice_date").distinct()
     else:
-        hits = index.postings(asked.select("term"))
-    hits = hits.select("term", c("id").alias("invoice"), "user_id", "invoice_date").distinct()
-    worded = asked.join(hits, ["user_id", "term"]).where(between).groupBy("id", "invoice", "many").agg(F.count("*").alias("found"))
-    worded = worded.where("found = many").groupBy("id").agg(F.count("*").alias("n"))
-    return parsed.select("id").join(plain.unionByName(worded), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("matches"))
+        hits = index.postings(asked.select("term")).where("first").select("term", c("id").alias("invoice"), "user_id", "invoice_date")
+    held = hits.groupBy("term").agg(F.count("*").alias("df"))
+    asked = asked.join(held, "term", "left").groupBy("user_id", "words").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("rarest"))
+    asked = written(asked, "asked")
+    found = hits.groupBy("invoice", "user_id", "invoice_date").agg(F.collect_set("term").alias("held"))
+    found = found.select("user_id", "invoice_date", "held", F.explode("held").alias("rarest")).join(asked, ["user_id", "rarest"])
+    found = found.where(F.size(F.array_except("words", "held")) == 0).groupBy("user_id", "words", "invoice_date").agg(F.count("*").alias("n"))
+    worded = kinds.join(found, ["user_id", "words"]).where(between).groupBy("spec").agg(F.sum("n").alias("n"))
+    return parsed.select("id", "spec").join(plain.unionByName(worded), "spec", "left").select("id", F.coalesce("n", F.lit(0)).alias("matches"))
 
 
 def active_accounts(df: DataFrame, account_id: int | None = None) -> DataFrame:

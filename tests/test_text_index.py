@@ -79,3 +79,38 @@ def test_words_of_a_match_fold_to_one_row_a_document(spark, index):
     """Several counted words must not copy the postings for each of them."""
     plan = X.match(index, all_=("ink", "pen"), any_=("paper", "penny"), none_=("old",), prefix="pen")._jdf.queryExecution().toString()
     assert "Expand" not in plan and "LeftAnti" not in plan and "explode" not in plan
+
+
+def test_saved_views_of_one_kind_are_evaluated_once(spark, tmp_path):
+    """300 views of a tenant over 300 invoices: rows of joins grow with kinds and days, not with views times invoices."""
+    from docspend.operators.filters import evaluate_views
+
+    invoices = spark.range(300).selectExpr("id", "id % 2 AS user_id", "DATE '2024-01-01' + CAST(id % 7 AS INT) AS invoice_date", "concat('Seller ', id % 5) AS seller", *(f"'' AS {c}" for c in X.COLUMNS if c != "seller"))
+    views = spark.range(300).selectExpr(
+        "id", "id % 2 AS user_id", """CASE id % 3 WHEN 0 THEN '{"q": "seller 3", "date_from": "2024-01-03"}' WHEN 1 THEN '{"date_to": "2024-01-04"}' ELSE '{"q": "3, 4"}' END AS filter_json"""
+    )
+    kept = ("user_id", "invoice_date")
+    made = evaluate_views(views, invoices, TextIndex.build(invoices, str(tmp_path), keep=kept))
+    got = {r.id: r.matches for r in made.collect()}
+    all_ = invoices.collect()
+    late = lambda r: r.invoice_date.day
+    for i in range(300):
+        own = [r for r in all_ if r.user_id == i % 2]
+        want = [r for r in own if r.seller == "Seller 3" and late(r) >= 3] if i % 3 == 0 else [r for r in own if late(r) <= 4] if i % 3 == 1 else []
+        assert got[i] == len(want)
+    joined = [n for name, n in _rows(made._jdf.queryExecution().executedPlan()) if "Join" in name]
+    assert joined and max(joined) <= 420  # postings of the words; views times invoices gave 6000
+
+
+def _rows(plan) -> list[tuple[str, int]]:
+    """The operators of a plan that ran, with the rows that came out of them."""
+    out, todo = [], [plan]
+    while todo:
+        p = todo.pop()
+        m = p.metrics().get("numOutputRows")
+        if m.isDefined():
+            out.append((p.nodeName(), m.get().value()))
+        name = p.nodeName()
+        todo += [p.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [p.plan()] if "QueryStage" in name else []
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return out
