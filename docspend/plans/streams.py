@@ -15,20 +15,34 @@ from docspend.streaming.intake import committed, intake_stream
 c = F.col
 
 
-def landed(df: DataFrame, *parts: str) -> DataFrame:
-    """A stream of df's files, one batch for each of the given conditions, in their order."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, "landed")
-    for part in parts:
-        df.where(part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+class Landed:
+    """A stream of df's files: those of each of the given conditions land in turn, and the stream runs between them, a batch each.
 
+    Files are written by the tasks that read df, so none reads it whole.
+    """
 
-def run(stream: DataFrame) -> DataFrame:
-    """What a stream appends until its source is read."""
-    spark = stream.sparkSession
-    out, checkpoint = scratch(spark, "out"), scratch(spark, "checkpoint")
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    def __init__(self, df: DataFrame, *parts: str):
+        self.df, self.parts, self.path = df, parts, scratch(df.sparkSession, "landed")
+
+    def each(self, start) -> None:
+        """start(stream), a query that ends with what is there, after each part."""
+        for part in self.parts:
+            self.df.where(part).write.mode("append").parquet(self.path)
+            start(self.df.sparkSession.readStream.schema(self.df.schema).parquet(self.path)).awaitTermination()
+
+
+def run(landed: Landed, make) -> DataFrame:
+    """What the stream make(source) appends until its source is read."""
+    spark = landed.df.sparkSession
+    out, checkpoint, schema = scratch(spark, "out"), scratch(spark, "checkpoint"), []
+
+    def start(source):
+        stream = make(source)
+        schema[:] = [stream.schema]
+        return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    landed.each(start)
+    return spark.read.schema(schema[0]).parquet(out)
 
 
 BEFORE = "SELECT account_id, folder, MAX(CAST(uid AS BIGINT)) AS top FROM {emails} b WHERE email_id % 2 = 0 GROUP BY 1, 2"
@@ -42,13 +56,13 @@ def _(t):
     """Two batches: of the second only what is newer than the first is new."""
     rows = t.emails.select("account_id", "folder", "uid", F.lit("v1").alias("uidvalidity"))
     even = F.expr("CAST(uid AS BIGINT) % 2 = 0")
-    return run(G.ingest_stream(landed(rows.withColumn("even", even), "even", "NOT even"))).select("uid")
+    return run(Landed(rows.withColumn("even", even), "even", "NOT even"), G.ingest_stream).select("uid")
 
 
 @query("stm_05_dedup_stream", "SELECT DISTINCT message_id FROM {emails} e WHERE message_id <> ''")
 def _(t):
     rows = t.emails.where("message_id <> ''").select("message_id", "received_at")
-    return run(G.dedup_stream(landed(rows, "true"), "400 days")).select("message_id")
+    return run(Landed(rows, "true"), lambda source: G.dedup_stream(source, "400 days")).select("message_id")
 
 
 TOPS = "SELECT account_id, folder, MAX(CAST(uid AS BIGINT)) AS top FROM {emails} b WHERE received_at < TIMESTAMP '2024-01-05 00:00:00' GROUP BY 1, 2"
@@ -64,7 +78,7 @@ def _(t):
     first = F.col("received_at") < F.lit("2024-01-05").cast("timestamp")
     none = t.spark.createDataFrame([], "account_id long, folder string, last_uid string, validity string")
     state = written(G.ingest_increment(rows.where(first), none)[1], "state")
-    return run(G.ingest_stream(landed(rows.where(~first), "true"), state)).select("uid")
+    return run(Landed(rows.where(~first), "true"), lambda source: G.ingest_stream(source, state)).select("uid")
 
 
 OPTIONS = {"trusted": TRUST, "analyser": _answers, "extractor": _extracted}
@@ -80,7 +94,7 @@ def _(t):
     """All messages as one batch of a stream, from an empty state."""
     documents = t.attachments.select("email_id", "filename", "raw_text", "qr", "source_format")
     out, checkpoint = scratch(t.spark, "intake"), scratch(t.spark, "checkpoint")
-    intake_stream(landed(_messages(t), "true"), documents, _seen(t), t.invoices, AS_OF[:10], out, checkpoint, **OPTIONS).awaitTermination()
+    Landed(_messages(t), "true").each(lambda source: intake_stream(source, documents, _seen(t), t.invoices, AS_OF[:10], out, checkpoint, **OPTIONS))
     return committed(t.spark, out, "audit").select(*LOG.split(", "))
 
 
@@ -97,12 +111,9 @@ TWO = mail_sql(
 def _(t):
     """Two batches, and a restart between them; some of the messages of the first land again with the second."""
     documents = t.attachments.select("email_id", "filename", "raw_text", "qr", "source_format")
-    out, checkpoint, path = (scratch(t.spark, x) for x in ("intake", "checkpoint", "landed"))
-    mail = _messages(t)
-    for part in (EARLY, f"NOT ({EARLY}) OR email_id % 5 = 0"):
-        mail.where(part).coalesce(1).write.mode("append").parquet(path)
-        source = t.spark.readStream.schema(mail.schema).option("maxFilesPerTrigger", 1).parquet(path)
-        intake_stream(source, documents, _seen(t), t.invoices, AS_OF[:10], out, checkpoint, **OPTIONS).awaitTermination()
+    out, checkpoint = scratch(t.spark, "intake"), scratch(t.spark, "checkpoint")
+    landed = Landed(_messages(t), EARLY, f"NOT ({EARLY}) OR email_id % 5 = 0")
+    landed.each(lambda source: intake_stream(source, documents, _seen(t), t.invoices, AS_OF[:10], out, checkpoint, **OPTIONS))
     return committed(t.spark, out, "audit").select(*LOG.split(", "))
 
 
@@ -114,7 +125,7 @@ def _(t):
     """Counters of each run, kept up to date over three batches of its log."""
     logs = t.extraction_logs.select("id", "scan_log_id", "outcome", "created_at")
     out, checkpoint = scratch(t.spark, "progress"), scratch(t.spark, "checkpoint")
-    G.progress_table(landed(logs, *(f"id % 3 = {k}" for k in range(3))), out, checkpoint).awaitTermination()
+    Landed(logs, *(f"id % 3 = {k}" for k in range(3))).each(lambda source: G.progress_table(source, out, checkpoint))
     return G.progress_at(t.spark, out, G.run_progress(logs)).read(before=1 << 62)
 
 

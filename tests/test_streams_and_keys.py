@@ -135,3 +135,20 @@ def test_patterns_of_tenants(spark):
     emails = mail.withColumns({"subject": F.lit("n"), "body_text": F.lit(""), "attachments": F.array().cast("array<string>"), "links": F.array().cast("array<string>"), "headers": F.create_map().cast("map<string,string>")})
     rules = spark.createDataFrame(rules, "user_id long, pattern string")
     assert {r.email_id for r in intake.classify(emails, rules).where("is_invoice").collect()} == {1, 2, 3, 7}
+
+
+def test_no_task_reads_a_whole_table_to_land_it(spark, tmp_path):
+    from docspend.plans.streams import Landed, run
+
+    rows = spark.range(0, 4000, numPartitions=8)
+    landed, batches = Landed(rows, "id % 2 = 0", "id % 2 = 1"), []
+
+    def start(source):
+        seen = lambda df, number: batches.append((number, df.count(), df.where("id % 2 = 0").count()))
+        return source.writeStream.foreachBatch(seen).option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
+
+    landed.each(start)
+    assert batches == [(0, 2000, 2000), (1, 2000, 0)]  # a batch for each part, in their order
+    per_file = spark.read.parquet(landed.path).selectExpr("_metadata.file_path AS f").groupBy("f").count().collect()
+    assert max(r["count"] for r in per_file) <= 500  # 8 tasks a part; a part was one file of 2000
+    assert run(Landed(rows, "id < 10", "id >= 10"), lambda source: source.where("id % 100 = 0")).count() == 40
