@@ -13,6 +13,8 @@ from docspend.search.text import similar_text
 from docspend.shipping import ship
 
 ROWS, QUERIES = 4096, 512
+#: Pairs of a row and a query that are measured exactly at a time.
+PAIRS = 1 << 16
 
 
 def bad_dims(vectors: DataFrame, dim: int) -> DataFrame:
@@ -49,7 +51,8 @@ def _meeting(k: int, exclude_self: bool, higher_first: bool):
         import numpy as np
 
         for batch in batches:
-            for ids, data, qids, qdata in zip(*(batch.column(c).to_pylist() for c in ("r_ids", "r_data", "q_ids", "q_data"))):
+            for at in range(batch.num_rows):  # one pair at a time, as each holds two matrices
+                ids, data, qids, qdata = (batch.column(c)[at].as_py() for c in ("r_ids", "r_data", "q_ids", "q_data"))
                 x, q = np.frombuffer(data).reshape(len(ids), -1), np.frombuffer(qdata).reshape(len(qids), -1)
                 ids = np.array(ids)
                 x2, q2 = (x * x).sum(axis=1), (q * q).sum(axis=1)
@@ -74,6 +77,74 @@ def _meeting(k: int, exclude_self: bool, higher_first: bool):
     return run
 
 
+def _running(asked, k: int, exclude_self: bool, higher_first: bool):
+    """The k best of a task's rows (id, embedding) for each of the queries asked (a broadcast of ids and their matrix).
+
+    What a task holds does not grow with its rows: a block of rows, the distances of a block of
+    queries from it, and the k best so far, whose last distance leaves out almost all that follows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        qids, q = asked.value
+        sign = -1 if higher_first else 1
+        best = [tuple(np.empty(0, t) for t in ("i8", "f8", "i8")) for _ in range(0, len(qids), QUERIES)]  # query's place, distance, id
+        last = np.full(len(qids), np.inf)  # distance of the k-th
+        q2 = (q * q).sum(axis=1)
+        for ids, x in _slices(batches, ROWS):
+            x2 = (x * x).sum(axis=1)
+            for b, at in enumerate(range(0, len(qids), QUERIES)):
+                part = slice(at, at + QUERIES)
+                near = q[part] @ x.T
+                near *= -2
+                near += x2
+                near += q2[part, None]
+                if exclude_self:
+                    near[qids[part, None] == ids] = np.inf
+                slack = 1e-6 + 1e-12 * (x2.max() + q2[part])  # distances are rounded to 6 places
+                limit = last[part]
+                if np.isinf(limit).any() and len(ids) > k:
+                    kth = np.partition(near, k - 1, axis=1)[:, k - 1]
+                    limit = np.minimum(limit, np.sqrt(np.maximum(kth, 0)))
+                row, some = np.nonzero((near <= ((limit + 1e-6) ** 2 + slack)[:, None]) & np.isfinite(near))
+                for begin in range(0, len(row), PAIRS):
+                    r, c = row[begin : begin + PAIRS], some[begin : begin + PAIRS]
+                    d = np.round(np.sqrt(((x[c] - q[part][r]) ** 2).sum(axis=1)), 6)
+                    r, d, i = (np.concatenate(y) for y in zip(best[b], (r, d, ids[c])))
+                    order = np.lexsort((sign * i, d, r))
+                    r, d, i = r[order], d[order], i[order]
+                    place = np.arange(len(r)) - np.searchsorted(r, r)
+                    best[b] = tuple(y[place < k] for y in (r, d, i))
+                    full = place == k - 1
+                    last[at + r[full]] = d[full]
+        for b, (r, d, i) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array(qids[b * QUERIES + r]), pa.array(i), pa.array(d)], ["query_id", "id", "distance"])
+
+    return run
+
+
+def _slices(batches: Iterator[pa.RecordBatch], size: int):
+    """Ids and matrices of at most so many rows."""
+    import numpy as np
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
+            yield np.array(part.column("id")), _matrix(part.column("embedding"))
+
+
+def _matrix(vectors: pa.Array):
+    """Vectors of one length as a matrix; a number that is missing is not a number."""
+    import numpy as np
+
+    if not len(vectors):
+        return np.empty((0, 0))
+    if vectors.null_count or len(set(np.diff(np.asarray(vectors.offsets)))) > 1:
+        raise ValueError("a vector is missing or has another length")
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
 def _best(found: DataFrame, k: int, higher_first: bool) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", F.desc("id") if higher_first else "id"))
     return found.withColumn("place", place).where(F.col("place") <= k)
@@ -229,14 +300,21 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Tru
     """
     ship(vectors.sparkSession)
 
-    rows, asked = _blocks(vectors, ROWS, "r"), _blocks(queries, QUERIES, "q")
     size = queries.agg(F.sum(F.size("embedding") * 8)).first()[0] or 0
     if size <= BROADCAST:
-        pairs = rows.join(F.broadcast(asked))
-    else:  # every block of queries goes to each of the groups of row blocks
-        groups = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        deal = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
-        pairs = rows.withColumn("group", F.pmod(F.xxhash64("r_ids"), F.lit(groups)).cast("int")).join(asked.select("*", deal), "group").drop("group")
+        doubles = lambda df: df.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>"))
+        table = doubles(queries).toArrow().combine_chunks()
+        if not table.num_rows:
+            return _best(doubles(vectors).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance")).limit(0), k, higher_first)
+        column = lambda name: table.column(name).combine_chunks()
+        asked = vectors.sparkSession.sparkContext.broadcast((column("id").to_numpy(), _matrix(column("embedding"))))
+        found = doubles(vectors).repartition("id").mapInArrow(_running(asked, k, exclude_self, higher_first), "query_id long, id long, distance double")
+        return _best(found, k, higher_first)
+    rows, asked = _blocks(vectors, ROWS, "r"), _blocks(queries, QUERIES, "q")
+    # every block of queries goes to each of the groups of row blocks
+    groups = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+    pairs = rows.withColumn("group", F.pmod(F.xxhash64("r_ids"), F.lit(groups)).cast("int")).join(asked.select("*", deal), "group").drop("group")
     found = pairs.mapInArrow(_meeting(k, exclude_self, higher_first), "query_id long, id long, distance double")
     return _best(found, k, higher_first)
 

@@ -54,3 +54,19 @@ def test_buckets_without_changes_keep_their_files(spark, tmp_path):
     assert {r.id: r.buyer for r in table.read().collect()} == want
     table.delete(table.read().select("id"), 0), table.delete(table.read().select("id"), 1)
     assert table.read().count() == 0 and not files(path)
+
+
+def test_rows_meet_queries_without_a_table_of_pairs(spark, monkeypatch):
+    """Blocks of rows were joined with all blocks of queries, so a task's Python held more the more of both there were."""
+    monkeypatch.setattr(V, "ROWS", 64), monkeypatch.setattr(V, "QUERIES", 16), monkeypatch.setattr(V, "PAIRS", 50)
+    points = np.random.default_rng(4).integers(0, 4, (900, 3)).astype("f8")  # many equal vectors and distances
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "id long, embedding array<double>")
+    found = V.knn(rows, rows.where("id % 20 = 0"), 7)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [(r.query_id, r.id, r.distance) for r in found.orderBy("query_id", "place").collect()]
+    exact = np.round(np.sqrt(((points[::20, None] - points[None]) ** 2).sum(axis=2)), 6)
+    want = [(q, j, d[j]) for q, d in zip(range(0, 900, 20), exact) for j in sorted((j for j in range(900) if j != q), key=lambda j: (d[j], j))[:7]]
+    assert got == want
+    asked = type("Asked", (), {"value": (np.arange(0, 900, 20), points[::20])})
+    out = list(V._running(asked, 7, True, False)(iter(rows.toArrow().to_batches(max_chunksize=100))))
+    assert sum(b.num_rows for b in out) == 45 * 7  # a task gives k rows a query, however many blocks it read
