@@ -196,5 +196,6 @@ def _(t):
     f"""SELECT id, invoice_no, buyer, seller, invoice_type, amount, invoice_date, item_summary, confidence, is_vat_document FROM ({X.xml_invoice('(SELECT * FROM {xml_texts} x0)')}) x1""",
 )
 def _(t):
-    rows = t.xml_texts.withColumn("x", xml_fields(c("raw_text")))
+    """Documents are dealt before they are parsed, as few tasks may have read them all."""
+    rows = t.xml_texts.repartition("id").withColumn("x", xml_fields(c("raw_text")))
     return rows.select("id", *(v.alias(k) for k, v in xml_invoice(c("x"), c("raw_text")).items() if k != "extraction_method"))

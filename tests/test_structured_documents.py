@@ -172,3 +172,12 @@ def test_messages_with_links_are_read_for_hints(spark, tmp_path, with_cache):
         again = run(cache)
         assert {(r.email_uid, r.attachment_filename): (r.outcome, r.classification_tier) for r in again.audit.collect()} == log
         assert (analyser.calls(), extractor.calls()) == (5, 2)
+
+
+def test_documents_are_parsed_by_all_tasks(spark):
+    """One row group of orders was one task, which parsed all of them."""
+    from docspend.plans.all import QUERIES
+
+    found = QUERIES["fn_16_xml_invoice"](spark, "/root/testdata/sf0.001").select("invoice_no", F.spark_partition_id().alias("task"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(id" in plan.split("EvalPython")[1]
