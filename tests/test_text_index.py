@@ -114,3 +114,16 @@ def _rows(plan) -> list[tuple[str, int]]:
         todo += [p.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [p.plan()] if "QueryStage" in name else []
         todo += [p.children().apply(i) for i in range(p.children().size())]
     return out
+
+
+def test_removed_ids_are_words_of_bits(spark, tmp_path):
+    """Postings were joined with a row for each removed id, which shuffled them all by id."""
+    made = rows(spark)
+    index = TextIndex.build(made, str(tmp_path), columns=COLUMNS)
+    index.remove(spark.createDataFrame([(i,) for i in (-1, 0, 5, 39, 63, 64, 1 << 40)], "id long"))
+    gone = spark.read.parquet(f"{tmp_path}/gone")
+    assert {r.slot: bin(r["mask"] & (1 << 64) - 1).count("1") for r in gone.collect()} == {-1: 1, 0: 4, 1: 1, 1 << 34: 1}
+    plan = index.term_stats()._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    left = plain(made.where("id NOT IN (0, 5, 39)"))
+    assert {(r.term, r.docs, r.n) for r in index.term_stats().collect()} == {(r.term, r.docs, r.n) for r in X.term_stats(left).collect()}
