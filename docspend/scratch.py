@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +58,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of a generated method from which on it is not used, and what the JVM compiles at most.
+HUGE, COMPILED = "spark.sql.codegen.hugeMethodLimit", 8000
+
+
+@contextmanager
+def compiled(spark: SparkSession) -> Iterator[None]:
+    """What runs inside uses generated code only where the JVM compiles it.
+
+    A projection of many columns can become one method of more than 8000 bytes, which the JVM interprets for
+    every row; below the limit Spark takes expressions one by one, in methods that are compiled.
+    """
+    before = spark.conf.get(HUGE)
+    spark.conf.set(HUGE, str(min(int(before), COMPILED)))
+    try:
+        yield
+    finally:
+        spark.conf.set(HUGE, before)

@@ -2,36 +2,116 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, MapType, StringType, StructField, StructType
 
-from docspend.scratch import written
+from docspend.scratch import compiled, written
 from docspend.search.text import COLUMNS, tokens
+from docspend.shipping import ship
 
 BUCKETS = 64
 #: Removed ids are broadcast, 64 to a word of bits, while they take at most so many words.
 WORDS = 3_000_000
+#: Tokens that a task sorts at a time.
+TOKENS = 1 << 20
 
 
 def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+#: Stands between the columns of a row while its words are made; in a text it is no letter, as white space.
+BETWEEN = "\x01"
+
+
+def _worded(df: DataFrame, key: str, columns: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, kept columns and words, the tokens of all columns with BETWEEN between two columns: lower case, marks and splitting once a row."""
+    ship(df.sparkSession)
+    texts = [F.replace(F.coalesce(F.col(x).cast("string"), F.lit("")), F.lit(BETWEEN), F.lit(" ")) for x in columns]
+    whole = F.concat_ws(f" {BETWEEN} ", *texts)
+    return df.select(F.col(key).alias("id"), *keep, tokens(whole, also=BETWEEN).alias("words"))
+
+
 def _postings(df: DataFrame, key: str, columns: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
-    """Postings of rows, a row at a time and without a shuffle: its words are sorted, and each run of equal ones in a column is a posting."""
-    c = F.col
-    placed = lambda x, n: F.transform(tokens(c(x)), lambda w, i: F.struct(w.alias("term"), F.lit(n).alias("col"), i.alias("pos")))
-    rows = df.select(c(key).alias("id"), *keep, F.sort_array(F.flatten(F.array(*(placed(x, n) for n, x in enumerate(columns))))).alias("at"))
-    term, col = (lambda i, name=name: F.get(c("at"), i)[name] for name in ("term", "col"))
-    new = lambda i: (i == 0) | (term(i) != term(i - 1))
-    begins = F.filter(F.sequence(F.lit(0), F.size("at") - 1), lambda i: new(i) | (col(i) != col(i - 1)))
-    rows = rows.where(F.size("at") > 0).select("id", *keep, "at", begins.alias("begins"))
-    end = lambda k: F.coalesce(F.get(c("begins"), k + 1), F.size("at"))
-    runs = F.transform("begins", lambda b, k: F.struct(
-        term(b).alias("term"), F.get(F.array(*map(F.lit, columns)), col(b)).alias("col"), new(b).alias("first"), (end(k) - b).alias("n"),
-        F.transform(F.slice("at", b + 1, end(k) - b), lambda x: x["pos"]).alias("positions")
-    ))
-    return rows.select("id", F.size("at").alias("size"), *keep, F.inline(runs)).withColumn("bucket", bucket_of(c("term")))
+    """Postings of rows, without a shuffle: Arrow tasks sort the words of many rows at once, and each run of equal ones in a column is a posting."""
+    rows = _worded(df, key, columns, keep)
+    kept = [rows.schema[n] for n in keep]
+    made = [("term", StringType()), ("col", StringType()), ("first", BooleanType()), ("n", IntegerType()), ("positions", ArrayType(IntegerType()))]
+    schema = StructType([rows.schema["id"], StructField("size", IntegerType()), *kept, *(StructField(*x) for x in made)])
+    return rows.mapInArrow(_by_slice(lambda batch: _posted(batch, columns, keep)), schema).withColumn("bucket", bucket_of(F.col("term")))
+
+
+def _sized(df: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """id, sizes (tokens by column) and size of rows."""
+
+    def sized(batch: pa.RecordBatch) -> pa.RecordBatch:
+        import numpy as np
+
+        _, row, col, _ = _places(batch, len(columns))
+        many = np.bincount(row * len(columns) + col, minlength=batch.num_rows * len(columns)).astype("i4")
+        at = pa.array(np.arange(batch.num_rows + 1) * len(columns), pa.int32())
+        sizes = pa.MapArray.from_arrays(at, pa.array(list(columns) * batch.num_rows, pa.string()), pa.array(many))
+        return pa.RecordBatch.from_arrays([batch.column("id"), sizes, pa.array(many.reshape(-1, len(columns)).sum(axis=1).astype("i4"))], ["id", "sizes", "size"])
+
+    rows = _worded(df, key, columns)
+    schema = StructType([rows.schema["id"], StructField("sizes", MapType(StringType(), IntegerType())), StructField("size", IntegerType())])
+    return rows.mapInArrow(_by_slice(sized), schema)
+
+
+def _by_slice(made: Callable[[pa.RecordBatch], pa.RecordBatch]):
+    """made of slices of rows with TOKENS tokens at most, or of one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            until, at = np.asarray(batch.column("words").offsets), 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(until, until[at] + TOKENS, "right")) - 1)
+                yield made(batch.slice(at, end - at))
+                at = end
+
+    return run
+
+
+def _places(batch: pa.RecordBatch, columns: int) -> tuple:
+    """The words of a batch without BETWEEN; row, column and position of each."""
+    import numpy as np
+
+    lists = batch.column("words")
+    words, many = lists.flatten(), np.diff(np.asarray(lists.offsets))
+    row = np.repeat(np.arange(len(many)), many)
+    marks = np.asarray(pa.compute.equal(words, BETWEEN))
+    block = np.cumsum(marks) - row * (columns - 1)  # every row has one mark less than columns
+    begins = np.flatnonzero(marks | (np.append(-1, row[:-1]) != row))
+    pos = np.arange(len(row)) - np.repeat(begins + marks[begins], np.diff(np.append(begins, len(row))))
+    real = np.flatnonzero(~marks)
+    return words.take(pa.array(real)), row[real], block[real], pos[real].astype("i4")
+
+
+def _posted(batch: pa.RecordBatch, columns: tuple[str, ...], keep: tuple[str, ...]) -> pa.RecordBatch:
+    import numpy as np
+
+    words, row, col, pos = _places(batch, len(columns))
+    told = words.dictionary_encode()
+    of = row * len(told.dictionary) + np.asarray(told.indices)  # a word in a row
+    order = np.argsort(of * len(columns) + col, kind="stable")  # positions of a column ascend already
+    of, col = of[order], col[order]
+    new = np.append(-1, of[:-1]) != of
+    begins = np.flatnonzero(new | (np.append(-1, col[:-1]) != col))
+    at, in_row = order[begins], pa.array(row[order[begins]])
+    ends = np.append(begins, len(order))
+    positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pos[order]))
+    sizes = pa.array(np.bincount(row, minlength=batch.num_rows), pa.int32())
+    carried = [sizes.take(in_row), *(batch.column(x).take(in_row) for x in keep)]
+    term, name = told.dictionary.take(told.indices.take(pa.array(at))), pa.array(columns, pa.string()).take(pa.array(col[begins]))
+    made = [batch.column("id").take(in_row), *carried, term, name, pa.array(new[begins]), pa.array(np.diff(ends), pa.int32()), positions]
+    return pa.RecordBatch.from_arrays(made, ["id", "size", *keep, "term", "col", "first", "n", "positions"])
 
 
 def _words(ids: DataFrame) -> DataFrame:
@@ -79,13 +159,14 @@ class TextIndex:
         names = [x.getPath() for x in system.listStatus(top)]
         return sorted(int(p.getName().split("=")[1]) for p in names if "=" in p.getName() and system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
-    def _write(self, number: int, df: DataFrame | None, key: str, columns: tuple[str, ...], keep: tuple[str, ...], buried: DataFrame | None) -> None:
+    def _write(self, *args) -> None:
+        with compiled(self.spark):
+            self._segment(*args)
+
+    def _segment(self, number: int, df: DataFrame | None, key: str, columns: tuple[str, ...], keep: tuple[str, ...], buried: DataFrame | None) -> None:
         docs, total = 0, 0
         if df is not None:
-            counted = df.select(F.col(key).alias("id"), *(F.size(tokens(F.col(c))).alias(f"n_{i}") for i, c in enumerate(columns)))
-            of = [F.col(f"n_{i}") for i in range(len(columns))]
-            sized = counted.select("id", F.create_map(*(x for c, n in zip(columns, of) for x in (F.lit(c), n))).alias("sizes"), sum(of, F.lit(0)).alias("size"))
-            sized.write.mode("overwrite").parquet(f"{self.path}/lengths/segment={number}")
+            _sized(df, key, columns).write.mode("overwrite").parquet(f"{self.path}/lengths/segment={number}")
             docs, total = self.spark.read.parquet(f"{self.path}/lengths/segment={number}").where("size > 0").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
             rows = df.select(*dict.fromkeys((key, *keep, *columns))).hint("rebalance", key)
             dealt = _postings(rows, key, columns, keep).sortWithinPartitions("bucket", "term")

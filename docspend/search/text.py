@@ -17,16 +17,19 @@ ACCENTS = ("".join(MARKED), "".join(MARKED.values()))
 #: Marks that stand alone.
 MARKS = "[\\u0300-\\u0331]"
 SOME_MARK = "[\\u00c0-\\u024f\\u1e00-\\u1eff\\u0300-\\u0331]"
-SPLIT = r"[^\p{L}\p{N}]+"
+SPLIT = r"[^\p{L}\p{N}%s]+"
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
 
-def tokens(text: Column) -> Column:
-    """Runs of letters and digits, in lower case, without marks; a run of Chinese is one token."""
+def tokens(text: Column, also: str = "") -> Column:
+    """Runs of letters and digits, in lower case, without marks; a run of Chinese is one token.
+
+    also: a character that counts as a letter.
+    """
     low = F.lower(F.coalesce(text, F.lit("")))
     # few texts have such letters; only those are translated letter by letter
     plain = F.when(low.rlike(SOME_MARK), F.regexp_replace(F.translate(low, *ACCENTS), MARKS, "")).otherwise(low)
-    return F.array_remove(F.split(plain, SPLIT), "")
+    return F.array_remove(F.split(plain, SPLIT % also), "")
 
 
 def terms_of(text: str) -> list[str]:

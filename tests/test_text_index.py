@@ -127,3 +127,19 @@ def test_removed_ids_are_words_of_bits(spark, tmp_path):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     left = plain(made.where("id NOT IN (0, 5, 39)"))
     assert {(r.term, r.docs, r.n) for r in index.term_stats().collect()} == {(r.term, r.docs, r.n) for r in X.term_stats(left).collect()}
+
+
+def test_words_are_split_once_a_row(spark):
+    """All columns of a row together, also where a text holds the sign between them, is empty or missing."""
+    from docspend.search import index as made
+
+    odd = spark.createDataFrame([(1, "a\x01b a", None), (2, None, "́Ä\x01"), (3, "", ""), (4, "\x01", "Σας ΟΔΟΣ"), (5, "ΟΔΟΣ", "Έ 日本 x")], "id long, buyer string, seller string")
+    plan = made._postings(odd, "id", COLUMNS, ())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1
+    want = {}
+    for r in plain(odd).collect():
+        want.setdefault((r.term, r.id, r.col), []).append(r.pos)
+    assert {(r.term, r.id, r.col): r.positions for r in made._postings(odd, "id", COLUMNS, ()).collect()} == {k: sorted(v) for k, v in want.items()}
+    count = lambda i, col: sum(len(v) for (_, at, of), v in want.items() if (at, of) == (i, col))
+    got = made._sized(odd, "id", COLUMNS).collect()
+    assert {r.id: (r.sizes, r.size) for r in got} == {i: ({c: count(i, c) for c in COLUMNS}, sum(count(i, c) for c in COLUMNS)) for i in range(1, 6)}
