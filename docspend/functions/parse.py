@@ -35,10 +35,9 @@ def narrow(text: Column) -> Column:
 
 
 def day(year: Column, month: Column, dom: Column) -> Column:
-    """A date, null if there is no such day."""
-    year, month, dom = narrow(year), narrow(month), narrow(dom)
-    text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(dom, 2, "0"))
-    return F.when(year.isNotNull() & month.isNotNull() & dom.isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
+    """A date, null if there is no such day; each part is found once, and a day that is none throws nothing, as it would where a pattern is parsed."""
+    y, m, d = (F.lpad(narrow(x), n, "0") for x, n in ((year, 4), (month, 2), (dom, 2)))
+    return F.concat(y, F.lit("-"), m, F.lit("-"), d).try_cast("date")
 
 
 def amount(text: Column) -> Column:
