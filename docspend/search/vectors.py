@@ -179,10 +179,9 @@ class Pruned:
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = np.array(batch.column("embedding").to_pylist(), "<f8").reshape(batch.num_rows, -1)
-                if not len(x):
+                if not batch.num_rows:
                     continue
-                near = _distances(x, pivot)
+                near = np.nan_to_num(_distances(_matrix(batch.column("embedding")), pivot), nan=np.inf)
                 p = near.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.array(p), pa.array(near[np.arange(len(p)), p])], ["id", "embedding", "p", "d"])
 
@@ -210,20 +209,40 @@ class Pruned:
         self.bounds = [np.array(x) for x in zip(*((r.block, r.p, r.lo, r.hi, r.n) for r in self.blocks.select("block", "p", "lo", "hi", "n").collect()))]
 
     def knn(self, queries: DataFrame, k: int, exclude_self: bool = True, higher_first: bool = False) -> DataFrame:
-        """query_id, id, distance, place: as `knn` gives them."""
-        asked = written(queries.select(F.col("id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(None).cast("double").alias("limit")), "queries")
+        """query_id, id, distance, place: as `knn` gives them.
+
+        The nearest blocks of a query, dealt to them, give its limit.  Then the queries go to all tasks as
+        one matrix with their limits (BROADCAST bytes at a time), and a task meets its blocks one after the
+        other, so neither pairs of blocks and queries nor their finds are shuffled.
+        """
+        asked = written(queries.select(F.col("id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")), "queries")
         first = written(self._route(asked, k), "first")
-        found = written(self._met(first, k, exclude_self, higher_first), "near")
-        limit = _best(found, k, higher_first).groupBy("query_id").agg(F.when(F.count("*") == k, F.max("distance")).otherwise(float("inf")).alias("limit"))
-        again = asked.drop("limit").join(limit, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
-        second = written(self._route(again, k), "second")
-        found = found.unionByName(self._met(second, k, exclude_self, higher_first))
-        pairs = asked.count() * (len(self.bounds[0]) if self.bounds else 0)
-        self.visited = (first.count() + second.count()) / pairs if pairs else 0.0
-        return _best(found, k, higher_first)
+        limit = _best(self._met(first, k, exclude_self, higher_first), k, higher_first).groupBy("query_id").agg(F.when(F.count("*") == k, F.max("distance")).otherwise(float("inf")).alias("limit"))
+        n, size = asked.agg(F.count("*"), F.sum(F.size("embedding") * 8 + 16 * k)).first()
+        parts = max(1, -(-(size or 0) // BROADCAST))
+        again = written(asked.join(limit, "query_id", "left").select("*", F.pmod(F.xxhash64("query_id"), F.lit(parts)).alias("part")), "limits")
+        found = None
+        for part in range(parts):
+            near = written(self._searched(again.where(F.col("part") == part), k, exclude_self, higher_first), "near")
+            found = near if found is None else found.unionByName(near)
+        pairs = n * (len(self.bounds[0]) if self.bounds else 0)
+        self.visited = found.agg(F.sum("met")).first()[0] / pairs if pairs else 0.0
+        return _best(found.where("query_id IS NOT NULL").drop("met"), k, higher_first)
+
+    def _searched(self, asked: DataFrame, k: int, exclude_self: bool, higher_first: bool) -> DataFrame:
+        """query_id, id, distance: a task's k best for each of asked; and a row a task with met, the number of its pairs of a block and a query."""
+        spark, schema = self.spark, "query_id long, id long, distance double, met long"
+        table = asked.select("query_id", "embedding", F.coalesce("limit", F.lit(float("inf"))).alias("limit")).toArrow().combine_chunks()
+        if not table.num_rows:
+            return spark.createDataFrame([], schema)
+        column = lambda name: table.column(name).combine_chunks()
+        sent = spark.sparkContext.broadcast((column("query_id").to_numpy(), _matrix(column("embedding")), column("limit").to_numpy()))
+        # what comes out is k rows a query and task, so there are only as many tasks as run at a time, twice over
+        dealt = self.blocks.repartition(2 * spark.sparkContext.defaultParallelism, "block")
+        return dealt.mapInArrow(_narrowing(sent, self.pivots, k, exclude_self, higher_first), schema)
 
     def _route(self, asked: DataFrame, k: int) -> DataFrame:
-        """block, query_id, embedding: the nearest blocks with more than k rows, or with a limit all others that may hold a row within it."""
+        """block, query_id, embedding: the nearest blocks with more than k rows."""
         import numpy as np
 
         pivot, bounds = self.pivots, self.bounds
@@ -235,17 +254,12 @@ class Pruned:
                     if not bounds:
                         continue
                     block, p, lo, hi, n = bounds
-                    q = np.array(batch.column("embedding").to_pylist(), "<f8").reshape(batch.num_rows, -1)
-                    away = _distances(q, pivot)[:, p]
+                    away = _distances(_matrix(batch.column("embedding")), pivot)[:, p]
                     least = np.maximum(np.maximum(away - hi, lo - away), 0)
-                    least -= 1e-9 * (1 + away)  # rounding of the products
                     order = np.argsort(least, axis=1, kind="stable")
                     enough = np.cumsum(n[order], axis=1) - n[order] <= k  # one row may be the query itself
                     near = np.zeros(least.shape, bool)
                     np.put_along_axis(near, order, enough, axis=1)
-                    limit = batch.column("limit")
-                    if not limit.null_count:
-                        near = ~near & (least <= np.asarray(limit)[:, None] + 2e-6)
                     row, to = np.nonzero(near)
                     at_row = pa.array(row)
                     yield pa.RecordBatch.from_arrays([pa.array(block[to]), batch.column("query_id").take(at_row), batch.column("embedding").take(at_row)], ["block", "query_id", "embedding"])
@@ -272,6 +286,66 @@ class Pruned:
         return pairs.mapInArrow(lambda batches: meet(packed(batches)), "query_id long, id long, distance double")
 
 
+def _narrowing(asked, pivots, k: int, exclude_self: bool, higher_first: bool):
+    """The k best of a task's blocks for each of the queries asked (a broadcast of ids, their matrix, and limits of the k-th distance).
+
+    A query meets a block only if the triangle inequality leaves open that it holds a row within the
+    query's limit, which shrinks to the k-th distance found; a task holds one block at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        qids, q, limits = asked.value
+        sign, met, last = -1 if higher_first else 1, 0, limits.copy()
+        best_d, best_i = np.full((len(qids), k), np.inf), np.zeros((len(qids), k), "i8")
+        q2 = (q * q).sum(axis=1)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                of, lo, hi = (batch.column(c)[at].as_py() for c in ("p", "lo", "hi"))
+                ids = batch.column("r_ids")[at].values.to_numpy()
+                x = np.frombuffer(batch.column("r_data")[at].as_buffer()).reshape(len(ids), -1)
+                p2 = pivots[of] @ pivots[of]
+                away = np.sqrt(np.maximum(q2 + p2 - 2 * (q @ pivots[of]), 0))
+                # distances from products may be wrong by the root of their rounding; the limits are rounded to 6 places
+                least = np.maximum(away - hi, lo - away) - 1e-9 * away - 3e-7 * np.sqrt(q2 + p2)
+                close = np.flatnonzero(~(least > last + 2e-6))
+                met += len(close)
+                x2 = (x * x).sum(axis=1)
+                for begin in range(0, len(close), QUERIES):
+                    some = close[begin : begin + QUERIES]
+                    near = q[some] @ x.T
+                    near *= -2
+                    near += x2
+                    near += q2[some, None]
+                    if exclude_self:
+                        near[qids[some, None] == ids] = np.inf
+                    limit, slack = last[some], 1e-6 + 1e-12 * (np.nanmax(x2, initial=0) + q2[some])
+                    if np.isinf(limit).any() and len(ids) > k:
+                        limit = np.minimum(limit, np.sqrt(np.maximum(np.partition(near, k - 1, axis=1)[:, k - 1], 0)))
+                    row, place = np.nonzero((near <= ((limit + 1e-6) ** 2 + slack)[:, None]) & np.isfinite(near))
+                    for part in range(0, len(row), PAIRS):
+                        r, c = row[part : part + PAIRS], place[part : part + PAIRS]
+                        d = np.round(np.sqrt(((x[c] - q[some[r]]) ** 2).sum(axis=1)), 6)
+                        kept = d <= last[some[r]]
+                        r, d, i = r[kept], d[kept], ids[c[kept]]
+                        rows = np.unique(r)
+                        r = np.concatenate((np.repeat(rows, k), r))
+                        d, i = np.concatenate((best_d[some[rows]].ravel(), d)), np.concatenate((best_i[some[rows]].ravel(), i))
+                        order = np.lexsort((sign * i, d, r))
+                        r, d, i = r[order], d[order], i[order]
+                        turn = np.arange(len(r)) - np.searchsorted(r, r)
+                        top = turn < k
+                        best_d[some[rows]], best_i[some[rows]] = d[top].reshape(-1, k), i[top].reshape(-1, k)
+                        last[some[rows]] = np.minimum(last[some[rows]], best_d[some[rows], -1])
+        r, c = np.nonzero(np.isfinite(best_d))
+        for columns in (([None], [None], [None], [met]), (qids[r], best_i[r, c], best_d[r, c], [None] * len(r))):
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["query_id", "id", "distance", "met"])
+
+    return run
+
+
 def _distances(x, y):
     """Distances of all rows of x from all rows of y."""
     import numpy as np
@@ -284,7 +358,7 @@ def _block(rows: pa.Table, number: int) -> pa.RecordBatch:
     import numpy as np
 
     d = np.asarray(rows.column("d").combine_chunks())
-    matrix = np.array(rows.column("embedding").to_pylist(), "<f8")
+    matrix = _matrix(rows.column("embedding").combine_chunks())
     # the distances come from products: the bounds leave room for their rounding
     lo, hi = d.min() * (1 - 1e-9) - 1e-7, d.max() * (1 + 1e-9) + 1e-7
     columns = [pa.array([number]), pa.array([rows.column("p")[0].as_py()]), pa.array([lo]), pa.array([hi]), pa.array([len(rows)]), pa.array([rows.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary())]

@@ -70,3 +70,20 @@ def test_rows_meet_queries_without_a_table_of_pairs(spark, monkeypatch):
     asked = type("Asked", (), {"value": (np.arange(0, 900, 20), points[::20])})
     out = list(V._running(asked, 7, True, False)(iter(rows.toArrow().to_batches(max_chunksize=100))))
     assert sum(b.num_rows for b in out) == 45 * 7  # a task gives k rows a query, however many blocks it read
+
+
+def test_pruned_search_shuffles_no_finds_of_blocks(spark, monkeypatch):
+    """A block gave its k best of each query that it met, so what was shuffled grew with the square of the rows."""
+    monkeypatch.setattr(V, "QUERIES", 16), monkeypatch.setattr(V, "PAIRS", 50), monkeypatch.setattr(V, "BROADCAST", 3000)  # queries in several parts
+    points = np.random.default_rng(5).integers(0, 4, (600, 3)).astype("f8")  # many equal vectors and distances
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "id long, embedding array<double>").repartition(3)
+    found = []
+    monkeypatch.setattr(V, "written", lambda df, what, f=V.written: (out := f(df, what), found.append((what, out.count())))[0])
+    made = V.Pruned(rows, rows=20, pivots=8)
+    got = [(r.query_id, r.id, r.distance) for r in made.knn(rows.where("id % 20 = 0"), 7).orderBy("query_id", "place").collect()]
+    exact = np.round(np.sqrt(((points[::20, None] - points[None]) ** 2).sum(axis=2)), 6)
+    assert got == [(q, j, d[j]) for q, d in zip(range(0, 600, 20), exact) for j in sorted((j for j in range(600) if j != q), key=lambda j: (d[j], j))[:7]]
+    assert sum(n for what, n in found if what == "first") <= 60 and len([1 for what, _ in found if what == "near"]) > 1
+    asked = type("Asked", (), {"value": (np.arange(0, 600, 20), points[::20], np.full(30, np.inf))})
+    out = list(V._narrowing(asked, made.pivots, 7, True, False)(iter(made.blocks.toArrow().to_batches(max_chunksize=4))))
+    assert sum(b.num_rows for b in out) == 30 * 7 + 1  # a task gives k rows a query, however many blocks it met
