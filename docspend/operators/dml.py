@@ -82,8 +82,8 @@ def correction_history(logs: DataFrame) -> DataFrame:
 
 def delete_invoices(df: DataFrame, ids: DataFrame, user_id: int) -> tuple[DataFrame, DataFrame]:
     """What stays, and the file paths of the tenant's deleted rows."""
-    own = ids.join(df.where(F.col("user_id") == user_id).select("id"), "id", "left_semi")
-    return df.join(own, "id", "left_anti"), df.join(own, "id", "left_semi").select("id", "file_path")
+    own = df.where(F.col("user_id") == user_id).select("id", "file_path").join(ids.select("id"), "id", "left_semi")
+    return df.join(own.select("id"), "id", "left_anti"), own
 
 
 def upsert_latest(base: DataFrame, delta: DataFrame, key: str, order: str | None = None) -> DataFrame:
@@ -91,13 +91,18 @@ def upsert_latest(base: DataFrame, delta: DataFrame, key: str, order: str | None
 
     order is a column of delta; without one delta must not repeat a key.
     """
-    if order:
-        others = [c for c in delta.columns if c != key]
-        delta = delta.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("last")).select(key, *(F.col(f"last.{c}").alias(c) for c in others))
-        delta = delta.select(*base.columns)
+    delta = latest(delta, key, order).select(*base.columns) if order else delta
     return base.join(delta.select(key), key, "left_anti").unionByName(delta)
 
 
+def latest(delta: DataFrame, key: str, order: str | None) -> DataFrame:
+    """Of several rows of a key the one with the highest order; all rows without an order."""
+    if not order:
+        return delta
+    others = [c for c in delta.columns if c != key]
+    return delta.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("last")).select(key, *(F.col(f"last.{c}").alias(c) for c in others))
+
+
 def insert_ignore(cache: DataFrame, new: DataFrame, key: str = "content_hash") -> DataFrame:
     """New rows whose key is not there yet; of several new rows with one key the lowest id."""
     first = new.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy("id"))).where("turn = 1").drop("turn")

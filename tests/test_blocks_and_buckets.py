@@ -87,3 +87,30 @@ def test_pruned_search_shuffles_no_finds_of_blocks(spark, monkeypatch):
     asked = type("Asked", (), {"value": (np.arange(0, 600, 20), points[::20], np.full(30, np.inf))})
     out = list(V._narrowing(asked, made.pivots, 7, True, False)(iter(made.blocks.toArrow().to_batches(max_chunksize=4))))
     assert sum(b.num_rows for b in out) == 30 * 7 + 1  # a task gives k rows a query, however many blocks it met
+
+
+def test_changes_shuffle_no_table(spark, tmp_path, monkeypatch):
+    """A change shuffled the rows of its buckets, by key and by bucket, and wrote them twice."""
+    from docspend.operators import bucketed
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kinds = "id long, user_id long, invoice_no string, buyer string, file_path string, is_manually_corrected boolean"
+        base = spark.createDataFrame([(i, i % 2, f"n{i}", "old", f"p{i}", False) for i in range(60)], kinds)
+        table = BucketedTable.create(base, str(tmp_path / "t"), buckets=8)
+        (group, keys), = table._groups(spark.createDataFrame([(i,) for i in range(5)], "id long"))
+        plan = table._met(keys, group, "left_anti")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        monkeypatch.setattr(bucketed, "KEYS", 3)  # several groups of buckets, and buckets with more keys than go to all tasks
+        names = []
+        monkeypatch.setattr(bucketed, "written", lambda df, what, f=bucketed.written: (names.append(what), f(df, what))[1])
+        log, _ = table.correct(spark.createDataFrame([(i, "new") for i in range(0, 90, 2)], "id long, buyer string"))
+        assert log.count() == 30 and "buckets" not in names
+        assert table.delete(spark.createDataFrame([(i,) for i in range(40)], "id long"), 0).count() == 20
+        assert {r.id: r.buyer for r in table.read().collect()} == {i: "old" if i % 2 else "new" for i in range(60) if i % 2 or i >= 40}
+        for i in range(2 * bucketed.FILES):
+            table.upsert(base.where("id < 9").withColumn("buyer", F.lit(f"v{i}")))
+        assert table.read().where("buyer = 'v15'").count() == 9 and table.read().count() == 60 - 20 + 5
+        assert max(len([f for f in os.listdir(d) if f.startswith("part-")]) for d, _, _ in os.walk(tmp_path / "t")) <= 2 * bucketed.FILES
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
